@@ -46,85 +46,92 @@ def parts_for(spark: SparkSession, amount: float, each: float) -> int:
     return max(int(spark.conf.get("spark.sql.shuffle.partitions")), math.ceil(amount / each))
 
 
-_ODD_SPACE = re.compile(r"\s | \s|\A | \Z")
 _BEFORE_WORD = re.compile(r"(?<=\S)(?= \S)")
+_OTHER_SPACE = re.compile(r"[^\S \n]")
+_ASCII_SPACE = "\t\r\x0b\x0c\x1c\x1d\x1e\x1f"
+RAW = "\0"
 
 
 class ChunkEncoder:
-    """Token ids of whole texts, each distinct chunk encoded once by the given function.
+    """Token ids of whole texts, each distinct chunk encoded once by a tokenizers object.
 
     Chunks end where no token can cross:
     - words: at blanks and line feeds, which the tokenizer drops (its pre-tokens hold no white space);
-    - spaces: before a single blank that has no white space beside it, where byte-level patterns always begin a token.
-    encode_all takes a list of strings and returns a list of id lists. The cache is emptied when it holds max_entries.
+    - spaces: before a single blank and around a single line feed that have no other white space beside them, where
+      byte-level patterns always begin a token. A chunk stands without its blank; RAW marks those that have none.
+    New chunks are encoded many at a time as one text, where the ids show each chunk's end; the rest one by one. The cache is
+    emptied when it holds max_entries.
     """
 
-    def __init__(self, encode_all, spaces: bool, max_entries: int = 400_000):
-        self.encode_all, self.spaces, self.max_entries = encode_all, spaces, max_entries
+    def __init__(self, tokenizer, spaces: bool, max_entries: int = 1_000_000):
+        self.tokenizer, self.spaces, self.max_entries = tokenizer, spaces, max_entries
+        vocabulary = tokenizer.get_vocab()
+        self.edge = np.zeros(max(vocabulary.values(), default=0) + 1, bool)
+        self.edge[[i for t, i in vocabulary.items() if (t.startswith("\u0120") if spaces else t.endswith("</w>"))]] = True
         self._clear()
 
     def _clear(self):
-        self.first: dict[str, int] = {}
-        self.rest: dict[str, int] = {} if self.spaces else self.first
-        self.starts, self.lens = np.zeros(1, np.int64), np.zeros(1, np.int64)
+        self.at: dict[str, int] = {}
+        self.starts, self.lens = np.zeros(0, np.int64), np.zeros(0, np.int64)
         self.flat = np.zeros(0, np.uint32)
-        self.n = 0
 
-    def _add(self, where: dict[str, int], words: list[str], prefix: str):
-        ids = self.encode_all([prefix + w for w in words])
+    def _one_by_one(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        texts = [(w[1:] if w.startswith(RAW) else " " + w) for w in words] if self.spaces else words
+        ids = [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
         lens = np.fromiter(map(len, ids), np.int64, len(ids))
-        flat = np.fromiter((i for x in ids for i in x), np.uint32, int(lens.sum()))
-        base = len(self.flat)
-        self.starts = np.concatenate([self.starts[: self.n], base + np.cumsum(lens) - lens])
-        self.lens = np.concatenate([self.lens[: self.n], lens])
-        self.flat = np.concatenate([self.flat, flat])
-        where.update(zip(words, range(self.n, self.n + len(words))))
-        self.n += len(words)
+        return np.fromiter((i for x in ids for i in x), np.uint32, int(lens.sum())), lens
+
+    def _together(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Chunks that begin (spaces) or end (words) with exactly one marked token each."""
+        text = " " + " ".join(words) if self.spaces else " ".join(words)
+        ids = np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, np.uint32)
+        marks = np.flatnonzero(self.edge[ids])
+        if len(marks) != len(words):
+            return self._one_by_one(words)
+        bounds = np.append(marks, len(ids)) if self.spaces else np.concatenate([[0], marks + 1])
+        return ids, np.diff(bounds)
+
+    def _add(self, words: list[str]):
+        plain = (lambda w: w[:1] > " " and w.isprintable()) if self.spaces else str.isalpha
+        easy, rest = [], []
+        for w in words:
+            (easy if plain(w) else rest).append(w)
+        got = [self._together(easy[i : i + 256]) for i in range(0, len(easy), 256)]
+        got += [self._one_by_one(rest[i : i + 10_000]) for i in range(0, len(rest), 10_000)]
+        lens = np.concatenate([n for _, n in got])
+        base, n = len(self.flat), len(self.lens)
+        self.starts = np.concatenate([self.starts, base + np.cumsum(lens) - lens])
+        self.lens = np.concatenate([self.lens, lens])
+        self.flat = np.concatenate([self.flat, *(f for f, _ in got)])
+        self.at.update(zip(easy + rest, range(n, n + len(words))))
+
+    def _chunks(self, t: str) -> list[str]:
+        if not self.spaces:
+            return [w for w in t.replace("\n", " ").split(" ") if w]
+        if not t:
+            return []
+        if RAW in t:
+            return [RAW + t]
+        if "  " in t or "\n\n" in t or " \n" in t or "\n " in t or (any(c in t for c in _ASCII_SPACE) if t.isascii() else _OTHER_SPACE.search(t)):
+            w = _BEFORE_WORD.split(t)
+            return [RAW + w[0], *(x[1:] for x in w[1:])]
+        return (RAW + t.replace("\n", " \0\n \0")).split(" ")
 
     def encode(self, texts: Iterable[str]) -> tuple[np.ndarray, np.ndarray]:
         """All ids of all texts one after another, and the number of ids of each text."""
-        if self.n > self.max_entries or len(self.flat) > 8 * self.max_entries:
+        if len(self.at) > self.max_entries or len(self.flat) > 8 * self.max_entries:
             self._clear()
-        firsts: list[str] = []
-        rests: list[str] = []
-        is_rest: list[np.ndarray] = []
-        counts: list[int] = []
+        words: list[str] = []
+        counts = []
         for t in texts:
-            if not self.spaces:
-                w = [x for x in t.replace("\n", " ").split(" ") if x]
-                firsts += w
-                counts.append(len(w))
-                continue
-            if not t:
-                counts.append(0)
-                continue
-            if _ODD_SPACE.search(t):
-                w = _BEFORE_WORD.split(t)
-                firsts.append(w[0])
-                rests += [x[1:] for x in w[1:]]
-            else:
-                w = t.split(" ")
-                firsts.append(w[0])
-                rests += w[1:]
-            mark = np.ones(len(w), bool)
-            mark[0] = False
-            is_rest.append(mark)
+            w = self._chunks(t)
+            words += w
             counts.append(len(w))
-        codes = np.zeros(len(firsts) + len(rests), np.int64)
-        for where, words, prefix, rest in ((self.first, firsts, "", False), (self.rest, rests, " ", True)):
-            if not words:
-                continue
-            try:
-                got = [where[w] for w in words]
-            except KeyError:
-                new = list(dict.fromkeys(w for w in words if w not in where))
-                for i in range(0, len(new), 20_000):
-                    self._add(where, new[i : i + 20_000], prefix)
-                got = [where[w] for w in words]
-            if self.spaces:
-                codes[np.concatenate(is_rest) == rest] = got
-            else:
-                codes[:] = got
+        codes = list(map(self.at.get, words))
+        if None in codes:
+            self._add(list({w: None for w, c in zip(words, codes) if c is None}))
+            codes = list(map(self.at.__getitem__, words))
+        codes = np.array(codes, np.int64)
         lens = self.lens[codes]
         ends = np.cumsum(lens)
         total = int(ends[-1]) if len(ends) else 0
@@ -150,7 +157,7 @@ def tokenizer_encoder(path: str, spaces: bool) -> ChunkEncoder:
 
         t = Tokenizer.from_file(path)
         t.encode_special_tokens = True
-        _encoders[path, spaces] = ChunkEncoder(lambda words: [e.ids for e in t.encode_batch_fast(words, add_special_tokens=False)], spaces)
+        _encoders[path, spaces] = ChunkEncoder(t, spaces)
     return _encoders[path, spaces]
 
 

@@ -9,7 +9,7 @@ time v each source has sent min(w_s v, N_s) tokens, and T(v) = sum of these is p
 the v for which T(v) runs from p T/P to (p+1) T/P, and has of source s exactly the tokens from floor(w_s v_p) to
 floor(w_s v_{p+1}): the fraction that does not fit is the deficit carried into the next partition. So any task can cut
 any document knowing only the totals of the sources (one row a source, read by the driver) and the tokens before the
-document in its queue (a two-level prefix sum, blocks first). Each partition of at most `windows` full windows is filled
+document in its queue (those of the tasks before its own, and a running sum inside it). Each partition of at most `windows` full windows is filled
 by one task, whatever the skew of sources or documents.
 """
 
@@ -90,22 +90,42 @@ def fill_windows(amounts: np.ndarray, window: int) -> np.ndarray:
 
 
 def tokenize(docs: DataFrame, tokenizer_path: str, end_id: int, spaces: bool = True) -> DataFrame:
-    """doc_id, source, n_tokens, ids (little-endian u32) of each row's whole text and the end id; no shuffle."""
+    """doc_id, source, n_tokens, ids of each row's whole text and the end id; no shuffle.
+
+    ids are little-endian u16 where the vocabulary allows it, else u32. part is the task, inside the number of tokens of the
+    same source before the row in that task.
+    """
 
     def work(batches):
+        from pyspark import TaskContext
+
         enc = tokenizer_encoder(tokenizer_path, spaces)
+        kind = id_type(len(enc.edge), end_id)
+        part, sent = TaskContext.get().partitionId(), {}
         for b in batches:
-            texts = [t or "" for t in b.column(2).to_pylist()]
+            texts, sources = [t or "" for t in b.column(2).to_pylist()], b.column(1).to_pylist()
             for i, j in in_batches(texts):
                 flat, n = enc.encode(texts[i:j])
-                raw = np.insert(flat, np.cumsum(n), end_id).astype("<u4").tobytes()
-                tops = np.concatenate([[0], np.cumsum(n + 1)]) * 4
-                yield pa.RecordBatch.from_arrays([b.column(0)[i:j], b.column(1)[i:j], pa.array(n + 1, pa.int64()), pa.array([raw[a:z] for a, z in zip(tops, tops[1:])], pa.binary())], names=["doc_id", "source", "n_tokens", "ids"])
+                raw = np.insert(flat, np.cumsum(n), end_id).astype(kind).tobytes()
+                tops = np.concatenate([[0], np.cumsum(n + 1)]) * np.dtype(kind).itemsize
+                inside = []
+                for s, k in zip(sources[i:j], (n + 1).tolist()):
+                    inside.append(sent.get(s, 0))
+                    sent[s] = inside[-1] + k
+                yield pa.RecordBatch.from_arrays([b.column(0)[i:j], b.column(1)[i:j], pa.array(n + 1, pa.int64()), pa.array([raw[x:z] for x, z in zip(tops, tops[1:])], pa.binary()), pa.array([part] * (j - i), pa.int32()), pa.array(inside, pa.int64())], names=["doc_id", "source", "n_tokens", "ids", "part", "inside"])
+
+    return docs.select(F.col("doc_id").cast("long"), F.col("source").cast("string"), "text").mapInArrow(work, "doc_id long, source string, n_tokens long, ids binary, part int, inside long")
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("source").cast("string"), "text").mapInArrow(work, "doc_id long, source string, n_tokens long, ids binary")
 
+def vocabulary_size(tokenizer_path: str) -> int:
+    return len(tokenizer_encoder(tokenizer_path, True).edge)
 
-def pack(docs: DataFrame, tokenizer_path: str, end_id: int = 1, weights: dict | None = None, window: int = WINDOW, windows: int = 512, spaces: bool = True, blocks: int = 4096, ids: bool = False) -> DataFrame:
+
+def id_type(vocabulary: int, end_id: int) -> str:
+    return "<u2" if max(vocabulary, end_id + 1) <= 1 << 16 else "<u4"
+
+
+def pack(docs: DataFrame, tokenizer_path: str, end_id: int = 1, weights: dict | None = None, window: int = WINDOW, windows: int = 512, spaces: bool = True, ids: bool = False) -> DataFrame:
     """Pieces of all documents (doc_id, source, text) in sequences of `window` tokens.
 
     weights: target proportion of each source; default each source's share of all tokens. Sources without one (null is a
@@ -114,26 +134,19 @@ def pack(docs: DataFrame, tokenizer_path: str, end_id: int = 1, weights: dict |
     Returns doc_id, source, start, length, ids_crc32, doc_tokens, sequence_id, offset (and ids, little-endian u32).
     """
     spark = docs.sparkSession
-    made = saved(tokenize(docs, tokenizer_path, end_id, spaces).withColumn("row", F.monotonically_increasing_id()), "tokens")
-    totals = {r["source"]: r["n"] for r in made.groupBy("source").agg(F.sum("n_tokens").alias("n")).collect()}  # a row a source
+    made = saved(tokenize(docs, tokenizer_path, end_id, spaces), "tokens")
+    # Tokens before a document in its queue: those of its source in the tasks before, and those inside its own.
+    sums = saved(made.groupBy("source", "part").agg(F.sum("n_tokens").alias("n")), "sums")
+    totals = {r["source"]: r["n"] for r in sums.groupBy("source").agg(F.sum("n").alias("n")).collect()}  # a row a source
     schema = "doc_id long, source string, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long" + ", ids binary" * ids
     if not totals:
         return spark.createDataFrame([], schema)
     plan = Schedule(totals, weights, window, windows)
-
-    # Tokens before a document in its queue: rows by block of the row number, then blocks by source.
-    low, high = made.agg(F.min("row"), F.max("row")).first()
-    rows = made.count()
-    by_file = F.shiftright("row", 33)  # the partition that made the row
-    last = (high >> 33) + 1
-    each = max(1, -(-rows // max(1, blocks)))
-    block = (by_file * F.lit(1 << 33) + F.col("row").bitwiseAND((1 << 33) - 1) - F.pmod(F.col("row").bitwiseAND((1 << 33) - 1), F.lit(each))) if last else F.lit(0)
-    keyed = made.select("row", "source", "n_tokens", block.alias("block"))
-    sums = keyed.groupBy("source", "block").agg(F.sum("n_tokens").alias("n"))
-    before = sums.select("source", "block", (F.sum("n").over(Window.partitionBy("source").orderBy("block")) - F.col("n")).alias("before"))
-    inside = keyed.withColumn("inside", F.sum("n_tokens").over(Window.partitionBy("source", "block").orderBy("row")) - F.col("n_tokens"))
-    at = inside.join(before, (inside["block"] == before["block"]) & inside["source"].eqNullSafe(before["source"])).select("row", (F.col("before") + F.col("inside")).alias("queue_start"))
-    placed = made.join(at, "row")
+    kind = id_type(vocabulary_size(tokenizer_path), end_id)
+    size = np.dtype(kind).itemsize
+    # a row a source and task: a written table, whose size the planner knows, so it broadcasts it only when that is small
+    before = saved(sums.select("source", "part", (F.sum("n").over(Window.partitionBy("source").orderBy("part")) - F.col("n")).alias("before")), "before")
+    placed = made.join(before, (made["part"] == before["part"]) & made["source"].eqNullSafe(before["source"])).select("doc_id", made["source"], "n_tokens", "ids", (F.col("before") + F.col("inside")).alias("queue_start"))
 
     def cut(batches):
         for b in batches:
@@ -141,7 +154,7 @@ def pack(docs: DataFrame, tokenizer_path: str, end_id: int = 1, weights: dict |
             for doc_id, source, n, raw, q in zip(*(b.column(c).to_pylist() for c in ("doc_id", "source", "n_tokens", "ids", "queue_start"))):
                 s = plan.index[source]
                 for p, a, z in plan.pieces(s, q, n):
-                    for o, x in zip(out, (p, s, a, doc_id, a - q, z - a, n, raw[4 * (a - q) : 4 * (z - q)])):
+                    for o, x in zip(out, (p, s, a, doc_id, a - q, z - a, n, raw[size * (a - q) : size * (z - q)])):
                         o.append(x)
             yield pa.RecordBatch.from_pydict(dict(zip(names, out)), schema=pieces_schema)
 
@@ -173,7 +186,7 @@ def pack(docs: DataFrame, tokenizer_path: str, end_id: int = 1, weights: dict |
                 while x < z:
                     y = min(z, int(e[k + 1]))
                     if y > x:
-                        own = raw[4 * (x - a) : 4 * (y - a)]
+                        own = np.frombuffer(raw, kind, y - x, size * (x - a)).astype("<u4").tobytes()
                         for o, v in zip(out, (doc_id, plan.names[s], start + x - a, y - x, zlib.crc32(own), n, first + k, int(offsets[k, c]) + x - int(e[k]), own)):
                             o.append(v)
                     x = y
