@@ -45,7 +45,12 @@ class FrameWriter:
 
         self.out, self.zstd, self.table, self.index, self.tokens, self.docs = out, zstandard.ZstdCompressor(level=level, write_checksum=True), [], [], 0, 0
 
-    def _frame(self, content: bytes):
+    @property
+    def frames_written(self) -> int:
+        return len(self.table)
+
+    def content(self, content: bytes):
+        """One frame of any content."""
         import xxhash
 
         packed = self.zstd.compress(content)
@@ -55,14 +60,14 @@ class FrameWriter:
     def add(self, doc_ids: list[int | None], lens: np.ndarray, ids: np.ndarray):
         keys = np.array([0 if d is None else d for d in doc_ids], "<i8")
         valid = np.array([d is not None for d in doc_ids], "u1")
-        self._frame(struct.pack("<I", len(keys)) + valid.tobytes() + keys.tobytes() + lens.astype("<u8").tobytes() + ids.astype("<u4").tobytes())
+        self.content(struct.pack("<I", len(keys)) + valid.tobytes() + keys.tobytes() + lens.astype("<u8").tobytes() + ids.astype("<u4").tobytes())
         known = keys[valid == 1]
         self.index.append((int(known[0]), int(known[-1])) + (self.tokens, self.docs) if len(known) else (0, -1, self.tokens, self.docs))
         self.tokens += int(lens.sum())
         self.docs += len(keys)
 
     def close(self):
-        self._frame(np.array(self.index, "<i8").tobytes())
+        self.content(np.array(self.index, "<i8").tobytes())
         table = b"".join(struct.pack("<III", *t) for t in self.table) + struct.pack("<IBI", len(self.table), CHECKSUMS, SEEKABLE)
         self.out.write(struct.pack("<II", SKIPPABLE, len(table)) + table)
 
@@ -80,9 +85,9 @@ class FrameReader:
         table = np.frombuffer(self.file.read_at(12 * n, size - 9 - 12 * n), "<u4").reshape(n, 3)
         self.uri, self.table = uri, table
         self.offsets = np.concatenate([[0], np.cumsum(table[:, 0].astype(np.int64))])
-        self.index = np.frombuffer(self._content(n - 1), "<i8").reshape(-1, 4)
+        self.index = np.frombuffer(self.content(n - 1), "<i8").reshape(-1, 4)
 
-    def _content(self, k: int) -> bytes:
+    def content(self, k: int) -> bytes:
         import xxhash
         import zstandard
 
@@ -94,7 +99,7 @@ class FrameReader:
 
     def frame(self, k: int) -> tuple[list[int | None], np.ndarray, np.ndarray]:
         """(doc_ids, lengths, ids) of one data frame."""
-        content = self._content(k)
+        content = self.content(k)
         n = struct.unpack_from("<I", content)[0]
         valid = np.frombuffer(content, "u1", n, 4)
         keys = np.frombuffer(content, "<i8", n, 4 + n)
