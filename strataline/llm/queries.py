@@ -2,15 +2,27 @@
 
 from __future__ import annotations
 
+from strataline.llm.ann import op4_nearest
 from strataline.llm.bpe import op8_byte_bpe
+from strataline.llm.embedding_dedup import op10_embedding_dedup
 from strataline.llm.packing import op7_packing
+from strataline.llm.quality import op6_quality
+from strataline.llm.simhash import op5_simhash
+from strataline.llm.suffix_dedup import op3_suffix_dedup
 from strataline.llm.token_counts import op9_token_counts
 from strataline.llm.token_files import op2_token_files
+from strataline.llm.urls import op1_url_filter
 
 QUERIES = {
+    "op1_url_filter": op1_url_filter,
     "op2_token_files": op2_token_files,
+    "op3_suffix_dedup": op3_suffix_dedup,
+    "op4_nearest": op4_nearest,
+    "op5_simhash": op5_simhash,
+    "op6_quality": op6_quality,
     "op7_packing": op7_packing,
     "op8_byte_bpe": op8_byte_bpe,
     "op9_token_counts": op9_token_counts,
+    "op10_embedding_dedup": op10_embedding_dedup,
 }
 ORACLE_SQL: dict[str, str] = {}
