@@ -7,6 +7,7 @@ import re
 import tempfile
 import uuid
 from collections.abc import Iterable
+from itertools import repeat
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
@@ -127,11 +128,12 @@ class ChunkEncoder:
             w = self._chunks(t)
             words += w
             counts.append(len(w))
-        codes = list(map(self.at.get, words))
-        if None in codes:
-            self._add(list({w: None for w, c in zip(words, codes) if c is None}))
-            codes = list(map(self.at.__getitem__, words))
-        codes = np.array(codes, np.int64)
+        codes = np.fromiter(map(self.at.get, words, repeat(-1)), np.int64, len(words))
+        new = np.flatnonzero(codes < 0)
+        if len(new):
+            unknown = [words[i] for i in new.tolist()]
+            self._add(list(dict.fromkeys(unknown)))
+            codes[new] = list(map(self.at.__getitem__, unknown))
         lens = self.lens[codes]
         ends = np.cumsum(lens)
         total = int(ends[-1]) if len(ends) else 0

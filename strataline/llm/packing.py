@@ -175,22 +175,19 @@ def pack(docs: DataFrame, tokenizer_path: str, end_id: int = 1, weights: dict |
             first = held[0][0] * (windows + 1)
             col = {s: i for i, s in enumerate(live)}
             used = np.zeros(len(live), np.int64)
-            out = [[] for _ in range(9)]
+            rows = []
             for _, s, _, doc_id, start, length, n, raw in held:
                 c = col[s]
                 a, z = int(used[c]), int(used[c]) + length
                 used[c] = z
-                e = edges[:, c]
-                k = int(np.searchsorted(e, a, "right")) - 1
-                x = a
-                while x < z:
-                    y = min(z, int(e[k + 1]))
+                wide = memoryview(np.frombuffer(raw, kind).astype("<u4").tobytes())
+                k, last = np.searchsorted(edges[:, c], (a, z - 1), "right") - 1
+                bounds = [a, *edges[k + 1 : last + 1, c].tolist(), z]
+                for k, base, x, y in zip(range(k, last + 1), (offsets[k : last + 1, c] - edges[k : last + 1, c]).tolist(), bounds, bounds[1:]):
                     if y > x:
-                        own = np.frombuffer(raw, kind, y - x, size * (x - a)).astype("<u4").tobytes()
-                        for o, v in zip(out, (doc_id, plan.names[s], start + x - a, y - x, zlib.crc32(own), n, first + k, int(offsets[k, c]) + x - int(e[k]), own)):
-                            o.append(v)
-                    x = y
-                    k += 1
+                        own = wide[4 * (x - a) : 4 * (y - a)]
+                        rows.append((doc_id, plan.names[s], start + x - a, y - x, zlib.crc32(own), n, first + k, base + x, bytes(own) if ids else None))
+            out = list(zip(*rows))
             return pa.RecordBatch.from_pydict(dict(zip(out_names, out[: len(out_names)])), schema=out_schema)
 
         for b in batches:
