@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from strataline.plans import cohort_queries
+
 FLAGSHIP = "cohort_ladder"
-QUERIES: dict = {}
-ORACLE_SQL: dict[str, str] = {}
+_MODULES = [cohort_queries]
+QUERIES = {k: v for m in _MODULES for k, v in m.QUERIES.items()}
+ORACLE_SQL = {k: v for m in _MODULES for k, v in m.SQL.items()}
