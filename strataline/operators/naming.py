@@ -106,7 +106,7 @@ def parse_section_names(df: DataFrame, name: str, organ: str = "aorta") -> DataF
         rest = F.when(pick["k"] == 0, F.array_append(state["rest"], tok)).otherwise(state["rest"])
         return F.struct(*out, rest.alias("rest"))
 
-    tokens = F.filter(F.transform(F.split(F.coalesce(F.col(name), F.lit("")), "_"), F.trim), lambda t: t != "")
+    tokens = F.filter(F.transform(F.split(F.coalesce(F.col(name), F.lit("")), "_"), lambda t: F.trim(t)), lambda t: t != "")
     zero = F.struct(*[F.lit("").alias(f) for f in FIELDS], F.array().cast("array<string>").alias("rest"))
     made = df.withColumn("parsed_name", F.aggregate(tokens, zero, step))
     made = made.select(*df.columns, *[F.col(f"parsed_name.{f}").alias(f) for f in FIELDS if f != "segment"], F.when(F.col("parsed_name.segment") == "", region_of(F.coalesce(F.col(name), F.lit("")), organ)).otherwise(F.col("parsed_name.segment")).alias("segment"), F.array_join("parsed_name.rest", " | ").alias("unparsed"))

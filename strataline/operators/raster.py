@@ -104,13 +104,15 @@ def choose_clusters(df: DataFrame, vector: str, most: int = 3, seed: int = 0) ->
     """The number of clusters with the least BIC, by Spark's k-means over all rows."""
     from pyspark.ml.clustering import KMeans
     from pyspark.ml.functions import array_to_vector
+    from pyspark.ml.stat import Summarizer
 
     rows = df.where(F.col(vector).isNotNull()).select(array_to_vector(F.col(vector).cast("array<double>")).alias("features"))
     n, first = rows.count(), df.where(F.col(vector).isNotNull()).select(F.size(vector)).first()
     if not n:
         return 1, {}
-    scores = {}
-    for k in range(1, most + 1):
+    spread = rows.select(Summarizer.metrics("variance").summary(F.col("features")).alias("s")).first()["s"]["variance"]
+    scores = {1: bic(float(sum(spread)) * (n - 1), n, first[0], 1)}
+    for k in range(2, min(most, n) + 1):
         model = KMeans(k=k, seed=seed, initSteps=4).fit(rows)
         scores[k] = bic(model.summary.trainingCost, n, first[0], k)
     return min(scores, key=scores.get), scores
