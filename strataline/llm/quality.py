@@ -153,13 +153,15 @@ def judge(docs: DataFrame, labels: DataFrame, host: list[Column] | None = None,
     both = paths.join(shrunk, [paths[n].eqNullSafe(shrunk[n]) for n in names[0]]).select(*[paths[n] for n in [*names[0], *names[1]]], "n", "s", "host")
     k_path = _strength(excess(both, F.col("host")), mean)
     sites = saved(both.withColumn("path", (F.col("s") + k_path * F.col("host")) / (F.col("n") + k_path)).select(*names[0], *names[1], "host", "path"), "sites")
-    sites = sites.select(*[F.col(n).alias(f"site_{n}") for n in [*names[0], *names[1]]], F.struct(F.col("host"), F.col("path")).alias("site"))
+    taken = [*docs.columns, p]
+    site = _spare(taken, "site")
+    sites = sites.select(*[F.col(n).alias(_spare(taken, f"site_{n}")) for n in [*names[0], *names[1]]], F.struct(F.col("host"), F.col("path")).alias(site))
 
     scored = _with_evidence(docs, model, p)
-    at = [c.cast("string").eqNullSafe(sites[f"site_{n}"]) for c, n in zip([*host, *path], [*names[0], *names[1]])]
-    score = 1 / (1 + F.exp(-(_log_odds(F.col(p)) + _log_odds(F.col("site.path")) - _log_odds(F.lit(mean)))))
+    at = [c.cast("string").eqNullSafe(sites[_spare(taken, f"site_{n}")]) for c, n in zip([*host, *path], [*names[0], *names[1]])]
+    score = 1 / (1 + F.exp(-(_log_odds(F.col(p)) + _log_odds(F.col(f"{site}.path")) - _log_odds(F.lit(mean)))))
     score = F.when(F.col(p) == 0, F.lit(0.0)).otherwise(score)
-    full = F.struct(F.col(p).alias("evidence"), F.col("site.host").alias("host"), F.col("site.path").alias("path"), score.alias("score"), (score >= threshold).alias("keep"))
+    full = F.struct(F.col(p).alias("evidence"), F.col(f"{site}.host").alias("host"), F.col(f"{site}.path").alias("path"), score.alias("score"), (score >= threshold).alias("keep"))
     return scored.join(sites, at).select(*[scored[c] for c in docs.columns], full.alias(verdict))
 
 
