@@ -211,3 +211,42 @@ def ordered_names(df: DataFrame, name: str, at: str, preferred: list[str]) -> Da
     pref = F.array_position(F.array(*[F.lit(p) for p in preferred]), F.col(name)) if preferred else F.lit(0)
     known = F.when(pref > 0, pref).otherwise(len(preferred) + 1)
     return df.withColumn("position", F.row_number().over(Window.orderBy(known, at)))  # a row a series of one figure
+
+
+def matrix_of(df: DataFrame, row: str, column: str, value: str) -> DataFrame:
+    """A row a name, a column each label: means. Labels are the columns of one figure."""
+    return df.groupBy(row).pivot(column).agg(F.avg(finite(value)))
+
+
+def leaf_order(m: np.ndarray) -> list[int]:
+    """Rows in the order in which average linkage by Euclidean distance joins them; gaps count as the mean of all values."""
+    m = np.asarray(m, float)
+    m = np.where(np.isnan(m), np.nanmean(m) if np.isfinite(m).any() else 0.0, m)
+    if len(m) < 2:
+        return list(range(len(m)))
+    d = np.sqrt(((m[:, None] - m[None]) ** 2).sum(2))
+    np.fill_diagonal(d, np.inf)
+    groups = {i: [i] for i in range(len(m))}
+    while len(groups) > 1:
+        live = sorted(groups)
+        sub = d[np.ix_(live, live)]
+        a, b = (live[k] for k in np.unravel_index(int(sub.argmin()), sub.shape))
+        a, b = min(a, b), max(a, b)
+        na, nb = len(groups[a]), len(groups[b])
+        d[a] = d[:, a] = (na * d[a] + nb * d[b]) / (na + nb)  # mean distance of all pairs
+        d[a, a] = np.inf
+        groups[a] += groups.pop(b)
+    return groups[0]
+
+
+def families(df: DataFrame, at: str, keys: list[str], name: str = "family") -> DataFrame:
+    """Number of the run of consecutive rows that share the keys: rows of one figure, in its order."""
+    w = Window.orderBy(at)
+    key = F.struct(*keys)
+    made = df.withColumn("family_start", F.when(F.lag(key).over(w).eqNullSafe(key), 0).otherwise(1))
+    return made.withColumn(name, F.sum("family_start").over(w.rowsBetween(Window.unboundedPreceding, 0))).drop("family_start")
+
+
+def limits(df: DataFrame, keys: list[str], *values: str) -> DataFrame:
+    """Shared axis limits of facets."""
+    return df.groupBy(*keys).agg(*[f(finite(v)).alias(f"{v}_{n}") for v in values for n, f in (("min", F.min), ("max", F.max))])

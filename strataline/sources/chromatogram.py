@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+import re
 import struct
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 # Fixed values of the format (version 130): where its fields lie and how they are written.
@@ -97,3 +98,49 @@ def wide_export(channels: DataFrame) -> DataFrame:
     p = points(channels)
     agg = [F.max(F.when(F.col("path") == c, F.col(v))).alias(f"{c.rsplit('/', 1)[-1]} {v}") for c in curves for v in ("x", "y")]
     return p.groupBy("i").agg(*agg) if agg else p.select("i")
+
+
+def _doubles(raw: bytes, shift: int = 0) -> np.ndarray:
+    """The little-endian double at every byte position."""
+    n = max(0, len(raw) - 7 - shift)
+    return np.ndarray((n,), "<f8", raw, shift, (1,)) if n else np.zeros(0)
+
+
+def fractions_of(raw: bytes, flow: float | None = None) -> list[dict]:
+    """Rows of the fraction table within a register file, known by what their numbers must be.
+
+    A row has its number, 12 bytes on its volume (ul), 20 and 28 bytes on its start and end (ms). Numbers run from 1 without
+    gaps, starts never go back. Wells are the UTF-16 words between Location and Volume, if there are as many as rows.
+    """
+    n = _doubles(raw)[: max(0, len(raw) - 35)]
+    volume, start, end = (_doubles(raw, k)[: len(n)] for k in (12, 20, 28))
+    with np.errstate(invalid="ignore"):
+        likely = np.flatnonzero((n >= 1) & (n == np.floor(n)) & (volume > 0) & (volume < 1e6) & (start >= 0) & (start < end) & (end < 1e8))
+    out: list[dict] = []
+    for at in likely.tolist():
+        if n[at] == len(out) + 1 and (not out or start[at] >= out[-1]["start_min"] * 60_000):
+            a, z = float(start[at]) / 60_000, float(end[at]) / 60_000
+            out.append({"n": len(out) + 1, "ul": round(float(volume[at]), 2), "start_min": a, "end_min": z, "well": "", "start_ml": a * flow if flow else None, "end_ml": z * flow if flow else None})
+    words = [w.group().decode("utf-16-le") for w in re.finditer(rb"(?:[\x20-\x7e]\x00){2,}", raw)]
+    if "Location" in words and "Volume" in words:
+        wells = words[words.index("Location") + 1 : words.index("Volume")]
+        if len(wells) == len(out):
+            out = [r | {"well": w} for r, w in zip(out, wells)]
+    return out
+
+
+FRACTIONS = "path string, n long, ul double, start_min double, end_min double, well string, start_ml double, end_ml double"
+
+
+def read_fractions(spark: SparkSession, path: str, glob: str = "*.reg", flow: float | None = None) -> DataFrame:
+    def work(frames):
+        for pdf in frames:
+            rows = [{"path": p, **r} for p, raw in zip(pdf["path"], pdf["content"]) for r in fractions_of(bytes(raw), flow)]
+            yield pd.DataFrame(rows, columns=[f.split()[0] for f in FRACTIONS.split(", ")])
+
+    return spark.read.format("binaryFile").option("pathGlobFilter", glob).option("recursiveFileLookup", "true").load(path).select("path", "content").mapInPandas(work, FRACTIONS)
+
+
+def flow_of(content) -> Column:
+    """ml a minute out of a method's UTF-16 text."""
+    return F.regexp_extract(F.decode(content, "UTF-16LE"), r"(?i)flow\s*[:=]?\s*([0-9]+(?:\.[0-9]+)?)\s*mL/min", 1).try_cast("double")

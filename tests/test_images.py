@@ -76,3 +76,33 @@ def test_geometry():
     assert wall.branch_positions(np.array([[220.0, 131.0], [5.0, 5.0]]), xy, arc, 10.0).shape == (1,)
     band = np.tile(depths, (3, 1))
     assert np.allclose(wall.to_grid(band, depths, np.array([0.0, 1, np.nan]), np.array([10.0, 5, 3]), np.array([0.0, 0.5, 1]))[:2], [[0, 5, 10], [1, 3, 5]])
+
+
+def test_zones(spark):
+    from strataline.operators import zones
+
+    rng = np.random.default_rng(0)
+    h, w = 120, 240
+    stripes = 0.5 + 0.5 * np.sin(np.arange(w)[None] * 1.2) * np.ones((h, 1))
+    left = np.arange(w)[None] < w // 2
+    collagen = np.where(left, 0.8 * stripes, 0.1) + rng.uniform(0, 0.05, (h, w))
+    muscle, nuclei = np.where(left, 0.2, 0.8) + rng.uniform(0, 0.3, (h, w)), np.where(left, 0.1, 0.6) * np.ones((h, 1))
+    labels, names, sure = zones.detect(collagen, muscle, nuclei, np.ones((h, w), bool), 10.0)
+    assert len(names) >= 2 and labels[60, 20] == 1 and labels[60, 220] == len(names) and labels[60, 20] != labels[60, 220]
+    assert zones.detect(collagen, muscle, nuclei, np.zeros((h, w), bool), 10.0)[1] == []
+    df = spark.createDataFrame([("a", h, w, 10.0, *[x.astype("<f4").tobytes() for x in (collagen, muscle, nuclei)])], "section string, height int, width int, px_um double, collagen binary, muscle binary, nuclei binary")
+    assert sum(r["area_um2"] for r in zones.zones(df).collect()) == h * w * 100
+
+
+def test_leaves_and_fractions():
+    import struct
+
+    from strataline.operators.charts import leaf_order
+    from strataline.sources.chromatogram import fractions_of
+
+    order = leaf_order(np.array([[0, 0], [10, 10], [0.1, 0], [10, 10.2], [np.nan, 5]]))
+    assert abs(order.index(0) - order.index(2)) == 1 and abs(order.index(1) - order.index(3)) == 1 and sorted(order) == [0, 1, 2, 3, 4]
+    row = lambda n, a, z: struct.pack("<d", n) + bytes(4) + struct.pack("<ddd", 200.0, a, z)
+    words = b"".join(w.encode("utf-16-le") + b"\x01\x02\x03" for w in ("Location", "A1", "B12", "Volume"))
+    got = fractions_of(b"\x07" * 11 + row(1.0, 60e3, 120e3) + bytes(5) + row(3.0, 1e3, 2e3) + row(2.0, 120e3, 180e3) + words, 0.5)
+    assert [(r["n"], r["start_min"], r["well"], r["end_ml"]) for r in got] == [(1, 1.0, "A1", 1.0), (2, 2.0, "B12", 1.5)]
