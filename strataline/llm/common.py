@@ -82,22 +82,26 @@ class ChunkEncoder:
         lens = np.fromiter(map(len, ids), np.int64, len(ids))
         return np.fromiter((i for x in ids for i in x), np.uint32, int(lens.sum())), lens
 
-    def _together(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """Chunks that begin (spaces) or end (words) with exactly one marked token each."""
-        text = " " + " ".join(words) if self.spaces else " ".join(words)
-        ids = np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, np.uint32)
-        marks = np.flatnonzero(self.edge[ids])
-        if len(marks) != len(words):
-            return self._one_by_one(words)
-        bounds = np.append(marks, len(ids)) if self.spaces else np.concatenate([[0], marks + 1])
-        return ids, np.diff(bounds)
+    def _together(self, groups: list[list[str]]) -> list[tuple[np.ndarray, np.ndarray]]:
+        """Groups of chunks that begin (spaces) or end (words) with exactly one marked token each."""
+        texts = [" " * self.spaces + " ".join(words) for words in groups]
+        out = []
+        for words, e in zip(groups, self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)):
+            ids = np.array(e.ids, np.uint32)
+            marks = np.flatnonzero(self.edge[ids])
+            if len(marks) == len(words):
+                bounds = np.append(marks, len(ids)) if self.spaces else np.concatenate([[0], marks + 1])
+                out.append((ids, np.diff(bounds)))
+            else:
+                out.append(self._one_by_one(words))
+        return out
 
     def _add(self, words: list[str]):
         plain = (lambda w: w[:1] > " " and w.isprintable()) if self.spaces else str.isalpha
         easy, rest = [], []
         for w in words:
             (easy if plain(w) else rest).append(w)
-        got = [self._together(easy[i : i + 256]) for i in range(0, len(easy), 256)]
+        got = self._together([easy[i : i + 256] for i in range(0, len(easy), 256)])
         got += [self._one_by_one(rest[i : i + 10_000]) for i in range(0, len(rest), 10_000)]
         lens = np.concatenate([n for _, n in got])
         base, n = len(self.flat), len(self.lens)
