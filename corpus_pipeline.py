@@ -20,13 +20,16 @@ def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
     Rows without doc_id go if their group has a document with one, else stay.
     """
-    found = simhash.near_duplicates(docs)
-    gone = found.where("component_id is not null and (doc_id is null or doc_id != component_id)").select("doc_id").distinct()
+    found = saved(simhash.near_duplicates(docs), "near")
+    gone = found.where("doc_id is not null and doc_id != component_id").select("doc_id").distinct()
     # an id may stand on several rows with different texts: it stays if it is the least of any of its groups
     gone = saved(gone.join(found.where("doc_id = component_id").select("doc_id").distinct(), "doc_id", "left_anti"), "gone")
-    nameless = gone.where("doc_id is null").count() > 0
-    kept = docs.join(gone.where("doc_id is not null"), docs["doc_id"] == gone["doc_id"], "left_anti")
-    return kept.where("doc_id is not null") if nameless else kept
+    kept = docs.join(gone, docs["doc_id"] == gone["doc_id"], "left_anti").where("doc_id is not null")
+    # rows without doc_id are told apart by their fingerprints
+    name = "fingerprint" + "_" * len("".join(docs.columns))
+    alone = found.where("component_id is null").select(F.col("fingerprint").alias("alone")).distinct()
+    nameless = simhash.with_fingerprint(docs.where("doc_id is null"), name)
+    return kept.union(nameless.join(alone, nameless[name] == alone["alone"], "left_semi").select(*docs.columns))
 
 
 def suffix_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

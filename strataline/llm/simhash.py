@@ -17,6 +17,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from strataline.llm.common import parts_for, saved
 from strataline.llm.components import components
@@ -75,6 +76,18 @@ def fingerprints(docs: DataFrame, shingle: int = 3) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(work, "doc_id long, fp long")
 
 
+def with_fingerprint(docs: DataFrame, name: str, shingle: int = 3) -> DataFrame:
+    """docs and a column with the fingerprint of text as 16 hex digits."""
+    k = docs.columns.index("text")
+
+    def work(batches):
+        for b in batches:
+            fps = [f"{f:016x}" for f in fingerprints_of(b.column(k).to_pylist(), shingle).tolist()] if b.num_rows else []
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(fps, pa.string())], names=[*b.schema.names, name])
+
+    return docs.mapInArrow(work, T.StructType([*docs.schema.fields, T.StructField(name, T.StringType())]))
+
+
 class Forest:
     """Union-find over positions; joins pairs given as arrays and keeps those that joined something."""
 

@@ -149,3 +149,4 @@ def test_pipeline_stages_on_edges(spark, docs, no_docs):
     kept = c.near_dedup_stage(spark, docs, SF)
     ids = [r["doc_id"] for r in kept.collect()]
     assert 20 in ids and not {21, 22, 23} & set(ids)
+    assert ids.count(None) == 1  # the other row without an id is a copy of document 20
