@@ -1,132 +1,139 @@
 """Byte-level BPE by ranks, for texts of any length, and its decoding.
 
 Merging works on a hierarchical-bitmap rank queue. A pre-token is a linked list of parts. Each rank at which two
-neighbours could merge has a bucket of the list positions where they meet. Bitmaps of 64 bits, three levels for 50k
-ranks, say which buckets hold any: find-first-set down the levels gives the least rank. The bucket of that rank is
-taken whole, positions in ascending order; entries whose pair has changed since are stale and skipped. Each merge adds at most
-two entries, so a pre-token of n bytes costs O(n log n), not the O(n^2) of rescanning it.
+neighbours could merge has a bucket of the list positions where they meet. A lower bitmap of 256 bits for each 256 ranks
+says which buckets hold any, and an upper one which lower ones do: find-first-set in the upper and then in the lower gives
+the least rank, and its bucket the leftmost position. Entries whose pair has changed since are stale and skipped. Each merge adds
+at most two entries, so a pre-token of n bytes costs O(n log n), not the O(n^2) of rescanning it.
+
+Texts are cut where the pattern always begins a pre-token; what a chunk gives (ids, their text, the bytes they decode to) is
+kept for the next time it comes.
 """
 
 from __future__ import annotations
 
 import base64
 import hashlib
-import heapq
+from heapq import heappop, heappush
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from strataline.llm.common import chunk_text, space_chunks
+
 
-class RankQueue:
-    """Positions by rank; the least rank by find-first-set in bitmaps of 64 bits."""
-
-    def __init__(self, n_ranks: int):
-        self.levels: list[list[int]] = []
-        while True:
-            n_ranks = (n_ranks + 63) >> 6
-            self.levels.append([0] * n_ranks)
-            if n_ranks <= 1:
-                break
-        self.buckets: dict[int, list[int]] = {}
-
-    def push(self, rank: int, position: int):
-        bucket = self.buckets.get(rank)
-        if bucket is not None:
-            heapq.heappush(bucket, position)
-            return
-        self.buckets[rank] = [position]
-        for words in self.levels:
-            old = words[rank >> 6]
-            words[rank >> 6] = old | 1 << (rank & 63)
-            if old:
-                break
-            rank >>= 6
-
-    def first(self) -> int:
-        """The least rank that has a bucket, or -1."""
-        if not self.buckets:
-            return -1
-        at = 0
-        for words in reversed(self.levels):
-            word = words[at]
-            at = at << 6 | (word & -word).bit_length() - 1
-        return at
-
-    def drop(self, rank: int):
-        del self.buckets[rank]
-        for words in self.levels:
-            words[rank >> 6] &= ~(1 << (rank & 63))
-            if words[rank >> 6]:
-                break
-            rank >>= 6
+BIT = [1 << i for i in range(256)]
 
 
 class RankBPE:
     """Encoder and decoder of one vocabulary of byte strings by rank."""
 
-    def __init__(self, path: str, pattern: str, max_cached: int = 400_000):
+    def __init__(self, path: str, pattern: str, max_cached: int = 600_000):
         import regex
 
         with open(path, "rb") as f:
             self.ranks = {base64.b64decode(a): int(b) for a, b in (line.split() for line in f if line.strip())}
         self.bytes_of = {i: b for b, i in self.ranks.items()}
         self.split = regex.compile(pattern).findall
-        self.queue = RankQueue(max(self.ranks.values()) + 1)
-        self.cache: dict[str, list[int]] = {}
+        self.cache: dict[str, tuple[list[int], str, bytes]] = {}
         self.max_cached = max_cached
 
     def merge(self, piece: bytes) -> list[int]:
         """Ids of one pre-token."""
-        ranks = self.ranks
+        ranks, get = self.ranks, self.ranks.get
         if piece in ranks:
             return [ranks[piece]]
         n = len(piece)
-        end = list(range(1, n + 1))  # where the part that begins here ends; 0: no part begins here
-        before = list(range(-1, n - 1))
-        queue, get = self.queue, ranks.get
-        for i in range(n - 1):
-            if (r := get(piece[i : i + 2])) is not None:
-                queue.push(r, i)
-        while (r := queue.first()) >= 0:
-            bucket = queue.buckets[r]
-            while bucket:
-                i = heapq.heappop(bucket)
-                mid = end[i]
-                if not mid or mid == n or get(piece[i : (z := end[mid])]) != r:
-                    continue  # stale: a part of it has been merged
-                end[i], end[mid] = z, 0
-                if z < n:
-                    before[z] = i
-                    if (q := get(piece[i : end[z]])) is not None:
-                        queue.push(q, i)
-                if i and (q := get(piece[before[i] : z])) is not None:
-                    queue.push(q, before[i])
-                if (low := queue.first()) < r:
-                    break
+        end = list(range(1, n + 1))  # where the part that begins here ends
+        before = list(range(-1, n - 1))  # where the part before the one that begins here begins
+        rank_at = [get(piece[i : i + 2], -1) for i in range(n)]  # of the part that begins here with the next; -1: none
+        rank_at[-1] = -1
+        upper, lower, buckets = 0, {}, {}
+        for i, r in enumerate(rank_at):
+            if r >= 0:
+                if r in buckets:
+                    buckets[r].append(i)
+                else:
+                    buckets[r] = [i]
+                    h = r >> 8
+                    if h in lower:
+                        lower[h] |= BIT[r & 255]
+                    else:
+                        lower[h] = BIT[r & 255]
+                        upper |= 1 << h
+        while upper:
+            first = upper & -upper
+            h = first.bit_length() - 1
+            word = lower[h]
+            low = word & -word
+            r = (h << 8) + low.bit_length() - 1
+            bucket = buckets[r]
+            if len(bucket) > 1:
+                i = heappop(bucket)
             else:
-                queue.drop(r)
-                continue
-            if not bucket:
-                queue.drop(r)
+                i = bucket[0]
+                del buckets[r]
+                if word == low:
+                    del lower[h]
+                    upper ^= first
+                else:
+                    lower[h] = word ^ low
+            if rank_at[i] != r:
+                continue  # stale: one of the two parts has grown or gone
+            mid = end[i]
+            end[i] = z = end[mid]
+            rank_at[mid] = -1
+            if z < n:
+                before[z] = i
+                rank_at[i] = q = get(piece[i : end[z]], -1)
+            else:
+                rank_at[i] = q = -1
+            at = i
+            while True:  # the merged part with the next one, then the one before with it
+                if q >= 0:
+                    if q in buckets:
+                        heappush(buckets[q], at)
+                    else:
+                        buckets[q] = [at]
+                        h = q >> 8
+                        if h in lower:
+                            lower[h] |= BIT[q & 255]
+                        else:
+                            lower[h] = BIT[q & 255]
+                            upper |= 1 << h
+                if at != i or before[i] < 0:
+                    break
+                at = before[i]
+                rank_at[at] = q = get(piece[at:z], -1)
         ids, i = [], 0
         while i < n:
             ids.append(ranks[piece[i : end[i]]])
             i = end[i]
         return ids
 
+    def _chunk(self, chunk: str) -> tuple[list[int], str, bytes]:
+        if chunk.isalpha():  # letters behind one blank are one pre-token
+            ids = self.merge(b" " + chunk.encode())
+        else:
+            ids = []
+            for p in self.split(chunk_text(chunk)):
+                word = p[1:] if p[0] == " " else ""
+                ids += (self.cache.get(word) or self._chunk(word))[0] if word.isalpha() else self.merge(p.encode())
+        got = ids, ",".join(map(str, ids)), self.decode(ids)
+        if len(chunk) <= 64:  # a long one is unlikely to come again
+            self.cache[chunk] = got
+        return got
+
+    def chunks(self, text: str) -> list[tuple[list[int], str, bytes]]:
+        """ids, ids as text and decoded bytes of each chunk that has any."""
+        if len(self.cache) > self.max_cached:
+            self.cache.clear()
+        get = self.cache.get
+        return [got for c in space_chunks(text) if (got := get(c) or self._chunk(c))[0]]
+
     def encode(self, text: str) -> list[int]:
-        out, cache = [], self.cache
-        for p in self.split(text):
-            ids = cache.get(p)
-            if ids is None:
-                ids = self.merge(p.encode())
-                if len(p) <= 64:  # a long one is unlikely to come again
-                    if len(cache) >= self.max_cached:
-                        cache.clear()
-                    cache[p] = ids
-            out += ids
-        return out
+        return [i for ids, _, _ in self.chunks(text) for i in ids]
 
     def decode(self, ids: list[int]) -> bytes:
         return b"".join(map(self.bytes_of.__getitem__, ids))
@@ -155,10 +162,10 @@ def encode_documents(docs: DataFrame, path: str, pattern: str, ids: bool = True)
         for b in batches:
             out = []
             for doc_id, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                got = own.encode(text or "")
-                back = own.decode(got)
-                row = (doc_id, len(got), hashlib.sha256(",".join(map(str, got)).encode()).hexdigest(), hashlib.sha256(back).hexdigest())
-                out.append(row + (got, back) * ids)
+                got = own.chunks(text or "")
+                back = b"".join([x for _, _, x in got])
+                row = (doc_id, sum([len(i) for i, _, _ in got]), hashlib.sha256(",".join([s for _, s, _ in got]).encode()).hexdigest(), hashlib.sha256(back).hexdigest())
+                out.append(row + ([i for own_ids, _, _ in got for i in own_ids], back) if ids else row)
             if out:
                 yield pa.RecordBatch.from_pydict(dict(zip(names, map(list, zip(*out)))), schema=arrow)
 

@@ -53,6 +53,22 @@ _ASCII_SPACE = "\t\r\x0b\x0c\x1c\x1d\x1e\x1f"
 RAW = "\0"
 
 
+def space_chunks(t: str) -> list[str]:
+    """A text cut where byte-level patterns always begin a token; the ids of the text are those of its chunks in order."""
+    if not t:
+        return []
+    if RAW in t:
+        return [RAW + t]
+    if "  " in t or "\n\n" in t or " \n" in t or "\n " in t or (any(c in t for c in _ASCII_SPACE) if t.isascii() else _OTHER_SPACE.search(t)):
+        w = _BEFORE_WORD.split(t)
+        return [RAW + w[0], *(x[1:] for x in w[1:])]
+    return (RAW + t.replace("\n", " \0\n \0")).split(" ")
+
+
+def chunk_text(chunk: str) -> str:
+    return chunk[1:] if chunk.startswith(RAW) else " " + chunk
+
+
 class ChunkEncoder:
     """Token ids of whole texts, each distinct chunk encoded once by a tokenizers object.
 
@@ -77,7 +93,7 @@ class ChunkEncoder:
         self.flat = np.zeros(0, np.uint32)
 
     def _one_by_one(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        texts = [(w[1:] if w.startswith(RAW) else " " + w) for w in words] if self.spaces else words
+        texts = list(map(chunk_text, words)) if self.spaces else words
         ids = [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
         lens = np.fromiter(map(len, ids), np.int64, len(ids))
         return np.fromiter((i for x in ids for i in x), np.uint32, int(lens.sum())), lens
@@ -111,16 +127,7 @@ class ChunkEncoder:
         self.at.update(zip(easy + rest, range(n, n + len(words))))
 
     def _chunks(self, t: str) -> list[str]:
-        if not self.spaces:
-            return [w for w in t.replace("\n", " ").split(" ") if w]
-        if not t:
-            return []
-        if RAW in t:
-            return [RAW + t]
-        if "  " in t or "\n\n" in t or " \n" in t or "\n " in t or (any(c in t for c in _ASCII_SPACE) if t.isascii() else _OTHER_SPACE.search(t)):
-            w = _BEFORE_WORD.split(t)
-            return [RAW + w[0], *(x[1:] for x in w[1:])]
-        return (RAW + t.replace("\n", " \0\n \0")).split(" ")
+        return space_chunks(t) if self.spaces else [w for w in t.replace("\n", " ").split(" ") if w]
 
     def encode(self, texts: Iterable[str]) -> tuple[np.ndarray, np.ndarray]:
         """All ids of all texts one after another, and the number of ids of each text."""

@@ -7,7 +7,7 @@ import pytest
 
 from strataline.llm import ann, embedding_dedup, urls
 from strataline.llm.queries import ORACLE_SQL, QUERIES
-from tests.compare import SF
+from tests.compare import SF, same
 from tests.llm import brute
 
 URLS = ["https://a.EXAMPLE.com/en/712?x=1", "http://example.com/en/8", "http://xexample.com/en/8", "http://example.net/de/8", "http://q.example.net/de/9#z", "net/de/8", None, "", "://", "http://", "http://Ä.Org/es/", "x://org/es/a://net/de/", "http://h?://net/de/", "http://a.b\nc.com/en/", "http://com/en/", "http://com/en", "http://é.net/de/8/../?a=b&c=d"]
@@ -67,6 +67,10 @@ def test_embedding_dedup(spark, chunk, pivots, width):
     assert got == want
 
 
+def test_embedding_dedup_like_its_sql(spark, duck):
+    same(QUERIES["op10_embedding_dedup"](spark, SF), duck, ORACLE_SQL["op10_embedding_dedup"])
+
+
 def test_embedding_edges(spark):
     none = spark.createDataFrame([], "vec_id long, embedding array<float>")
     assert embedding_dedup.near_duplicates(none).collect() == []
