@@ -113,10 +113,10 @@ class ChunkEncoder:
         return out
 
     def _add(self, words: list[str]):
-        plain = (lambda w: w[:1] > " " and w.isprintable()) if self.spaces else str.isalpha
-        easy, rest = [], []
-        for w in words:
-            (easy if plain(w) else rest).append(w)
+        if self.spaces:
+            easy, rest = [w for w in words if w and w.isprintable()], [w for w in words if not (w and w.isprintable())]
+        else:
+            easy, rest = [w for w in words if w.isalpha()], [w for w in words if not w.isalpha()]
         got = self._together([easy[i : i + 256] for i in range(0, len(easy), 256)])
         got += [self._one_by_one(rest[i : i + 10_000]) for i in range(0, len(rest), 10_000)]
         lens = np.concatenate([n for _, n in got])

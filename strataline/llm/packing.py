@@ -53,6 +53,23 @@ class Schedule:
         got = np.minimum(np.floor(self.w[source] * v).astype(np.int64), self.n[source])
         return np.where(parts <= 0, 0, np.where(parts >= self.parts, self.n[source], got))
 
+    def whole(self, sources: list, starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+        """The one partition that holds a row's tokens; -1 where several do, or it is too close to a boundary to tell."""
+        out = np.full(len(starts), -1, np.int64)
+        own = np.array([self.index[s] for s in sources], np.int64)
+        for s in np.unique(own):
+            at = np.flatnonzero(own == s)
+            v = (starts[at] + lengths[at] / 2) / self.w[s]
+            p = np.floor(np.interp(v, np.concatenate([[0.0], self.dry]), np.concatenate([[0.0], self.sent])) / (self.total / self.parts)).astype(np.int64)
+            p = np.clip(p, 0, self.parts - 1)
+            out[at] = np.where((self.cut_of(s, p) <= starts[at]) & (self.cut_of(s, p + 1) >= starts[at] + lengths[at]), p, -1)
+        return out
+
+    def cut_of(self, source: int, parts: np.ndarray) -> np.ndarray:
+        """cut for many partitions, each once."""
+        known, where = np.unique(parts, return_inverse=True)
+        return self.cut(source, known)[where]
+
     def pieces(self, source: int, start: int, length: int) -> list[tuple[int, int, int]]:
         """(partition, from, to) of the stream positions start to start + length of a source."""
         v = np.array([start, start + length]) / self.w[source]
@@ -151,9 +168,16 @@ def pack(docs: DataFrame, tokenizer_path: str, end_id: int = 1, weights: dict |
     def cut(batches):
         for b in batches:
             out = [[] for _ in range(8)]
+            whole = plan.whole(b.column("source").to_pylist(), b.column("queue_start").to_numpy(), b.column("n_tokens").to_numpy())
+            i = 0
             for doc_id, source, n, raw, q in zip(*(b.column(c).to_pylist() for c in ("doc_id", "source", "n_tokens", "ids", "queue_start"))):
                 s = plan.index[source]
-                for p, a, z in plan.pieces(s, q, n):
+                if whole[i] >= 0:
+                    parts = [(int(whole[i]), q, q + n)]
+                else:
+                    parts = plan.pieces(s, q, n)
+                i += 1
+                for p, a, z in parts:
                     for o, x in zip(out, (p, s, a, doc_id, a - q, z - a, n, raw[size * (a - q) : size * (z - q)])):
                         o.append(x)
             yield pa.RecordBatch.from_pydict(dict(zip(names, out)), schema=pieces_schema)
@@ -173,22 +197,31 @@ def pack(docs: DataFrame, tokenizer_path: str, end_id: int = 1, weights: dict |
             edges = np.vstack([np.zeros((1, len(live)), np.int64), np.cumsum(quota, 0)])
             offsets = np.cumsum(quota, 1) - quota
             first = held[0][0] * (windows + 1)
-            col = {s: i for i, s in enumerate(live)}
-            used = np.zeros(len(live), np.int64)
-            rows = []
-            for _, s, _, doc_id, start, length, n, raw in held:
-                c = col[s]
-                a, z = int(used[c]), int(used[c]) + length
-                used[c] = z
-                wide = memoryview(np.frombuffer(raw, kind).astype("<u4").tobytes())
-                k, last = np.searchsorted(edges[:, c], (a, z - 1), "right") - 1
-                bounds = [a, *edges[k + 1 : last + 1, c].tolist(), z]
-                for k, base, x, y in zip(range(k, last + 1), (offsets[k : last + 1, c] - edges[k : last + 1, c]).tolist(), bounds, bounds[1:]):
-                    if y > x:
-                        own = wide[4 * (x - a) : 4 * (y - a)]
-                        rows.append((doc_id, plan.names[s], start + x - a, y - x, zlib.crc32(own), n, first + k, base + x, bytes(own) if ids else None))
-            out = list(zip(*rows))
-            return pa.RecordBatch.from_pydict(dict(zip(out_names, out[: len(out_names)])), schema=out_schema)
+            out = {n: [] for n in out_names}
+            by_source: dict[int, list] = {}
+            for r in held:
+                by_source.setdefault(r[1], []).append(r)
+            for c, s in enumerate(live.tolist()):
+                rows = by_source[s]
+                ends = np.cumsum([r[5] for r in rows])
+                tops = ends - [r[5] for r in rows]
+                bounds = np.union1d(np.append(tops, ends[-1]), edges[:, c])  # a piece ends with its document or its window
+                x, y = bounds[:-1], bounds[1:]
+                row, k = np.searchsorted(tops, x, "right") - 1, np.searchsorted(edges[:, c], x, "right") - 1
+                wide = memoryview(np.frombuffer(b"".join([r[7] for r in rows]), kind).astype("<u4").tobytes())
+                cuts = list(zip((4 * x).tolist(), (4 * y).tolist()))
+                names_of = np.array([-1 if r[3] is None else r[3] for r in rows])
+                out["doc_id"].append(pa.array(names_of[row], mask=np.array([r[3] is None for r in rows])[row]))
+                out["source"].append(pa.array([plan.names[s]] * len(x), pa.string()))
+                out["start"].append(np.array([r[4] for r in rows])[row] + x - tops[row])
+                out["length"].append(y - x)
+                out["ids_crc32"].append([zlib.crc32(wide[i:j]) for i, j in cuts])
+                out["doc_tokens"].append(np.array([r[6] for r in rows])[row])
+                out["sequence_id"].append(first + k)
+                out["offset"].append(offsets[k, c] + x - edges[k, c])
+                if ids:
+                    out["ids"].append([bytes(wide[i:j]) for i, j in cuts])
+            return pa.RecordBatch.from_arrays([pa.concat_arrays([pa.array(v, f.type) if not isinstance(v, pa.Array) else v.cast(f.type) for v in out[f.name]]) for f in out_schema], schema=out_schema)
 
         for b in batches:
             for r in zip(*(b.column(c).to_pylist() for c in names)):
