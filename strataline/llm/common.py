@@ -51,6 +51,7 @@ _BEFORE_WORD = re.compile(r"(?<=\S)(?= \S)")
 _OTHER_SPACE = re.compile(r"[^\S \n]")
 _ASCII_SPACE = "\t\r\x0b\x0c\x1c\x1d\x1e\x1f"
 RAW = "\0"
+MARKS = tuple(".,;:!?")
 
 
 def space_chunks(t: str) -> list[str]:
@@ -113,18 +114,39 @@ class ChunkEncoder:
         return out
 
     def _add(self, words: list[str]):
+        """New chunks; letters before one mark are encoded for themselves, as a token ends between them.
+
+        Where the tokenizer drops white space it normalises too, which can end other letters in a mark of their own.
+        """
+        marked = [w for w in words if w[-1:] in MARKS and w[:-1].isalpha() and (self.spaces or w.isascii())]
+        if marked:
+            known = set(marked)
+            words = list(dict.fromkeys([w for w in words if w not in known] + [x for w in marked for x in (w[:-1], RAW * self.spaces + w[-1]) if x not in self.at]))
         if self.spaces:
             easy, rest = [w for w in words if w and w.isprintable()], [w for w in words if not (w and w.isprintable())]
         else:
             easy, rest = [w for w in words if w.isalpha()], [w for w in words if not w.isalpha()]
         got = self._together([easy[i : i + 256] for i in range(0, len(easy), 256)])
         got += [self._one_by_one(rest[i : i + 10_000]) for i in range(0, len(rest), 10_000)]
-        lens = np.concatenate([n for _, n in got])
+        if got:
+            self._keep(easy + rest, np.concatenate([f for f, _ in got]), np.concatenate([n for _, n in got]))
+        if marked:
+            codes = np.array([self.at[x] for w in marked for x in (w[:-1], RAW * self.spaces + w[-1])], np.int64)
+            flat, lens = self._gather(codes)
+            self._keep(marked, flat, lens[::2] + lens[1::2])
+
+    def _keep(self, words: list[str], flat: np.ndarray, lens: np.ndarray):
         base, n = len(self.flat), len(self.lens)
         self.starts = np.concatenate([self.starts, base + np.cumsum(lens) - lens])
         self.lens = np.concatenate([self.lens, lens])
-        self.flat = np.concatenate([self.flat, *(f for f, _ in got)])
-        self.at.update(zip(easy + rest, range(n, n + len(words))))
+        self.flat = np.concatenate([self.flat, flat])
+        self.at.update(zip(words, range(n, n + len(words))))
+
+    def _gather(self, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of chunks by their numbers, one after another, and how many each has."""
+        lens = self.lens[codes]
+        ends = np.cumsum(lens)
+        return self.flat[np.repeat(self.starts[codes] - (ends - lens), lens) + np.arange(int(ends[-1]) if len(ends) else 0)], lens
 
     def _chunks(self, t: str) -> list[str]:
         return space_chunks(t) if self.spaces else [w for w in t.replace("\n", " ").split(" ") if w]
@@ -145,10 +167,8 @@ class ChunkEncoder:
             unknown = [words[i] for i in new.tolist()]
             self._add(list(dict.fromkeys(unknown)))
             codes[new] = list(map(self.at.__getitem__, unknown))
-        lens = self.lens[codes]
+        ids, lens = self._gather(codes)
         ends = np.cumsum(lens)
-        total = int(ends[-1]) if len(ends) else 0
-        ids = self.flat[np.repeat(self.starts[codes] - (ends - lens), lens) + np.arange(total)]
         bounds = np.concatenate([[0], np.cumsum(counts)]).astype(np.int64)
         tops = np.concatenate([[0], ends]).astype(np.int64)
         return ids, np.diff(tops[bounds])
