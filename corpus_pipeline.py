@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strataline.llm import packing, quality, simhash, suffix_dedup
+from strataline.llm import jaccard, packing, quality, suffix_dedup
 from strataline.llm.common import saved, table
 
 
@@ -18,17 +18,18 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near-duplicates the document with the least doc_id; rows under one doc_id stay or go together.
 
+    Near: the sets of runs of five words have a Jaccard similarity of at least 0.8, verified for each pair.
     Rows without doc_id go if their group has a document with one, else stay.
     """
-    found = saved(simhash.near_duplicates(docs), "near")
+    found = saved(jaccard.near_duplicates(docs), "near")
     gone = found.where("doc_id is not null and doc_id != component_id").select("doc_id").distinct()
     # an id may stand on several rows with different texts: it stays if it is the least of any of its groups
     gone = saved(gone.join(found.where("doc_id = component_id").select("doc_id").distinct(), "doc_id", "left_anti"), "gone")
     kept = docs.join(gone, docs["doc_id"] == gone["doc_id"], "left_anti").where("doc_id is not null")
-    # rows without doc_id are told apart by their fingerprints
-    name = "fingerprint" + "_" * len("".join(docs.columns))
-    alone = found.where("component_id is null").select(F.col("fingerprint").alias("alone")).distinct()
-    nameless = simhash.with_fingerprint(docs.where("doc_id is null"), name)
+    # rows without doc_id are told apart by their sets
+    name = "key" + "_" * len("".join(docs.columns))
+    alone = found.where("component_id is null").select(F.col("key").alias("alone")).distinct()
+    nameless = jaccard.with_key(docs.where("doc_id is null"), name)
     return kept.union(nameless.join(alone, nameless[name] == alone["alone"], "left_semi").select(*docs.columns))
 
 
