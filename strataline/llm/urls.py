@@ -12,6 +12,8 @@ import string
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from strataline.llm.common import saved
+
 #: (rule, verdict): a host and the beginning of a path.
 RULES = (("com/en/", "block"), ("example.com/en/7", "allow"), ("net/de/", "allow"), ("example.net/de/8", "block"), ("org/es/", "block"))
 FEATURES = ("length", "host_length", "path_length", "depth", "labels", "digits", "entropy", "parameters", "query_length", "fragment", "dashes", "suffix_rate", "suffix_seen")
@@ -67,7 +69,8 @@ def lexical(url: Column, host: Column, path: Column) -> dict[str, Column]:
 def judge(pages: DataFrame, rules=RULES, most: int = 20_000, trees: int = 12, depth: int = 4) -> DataFrame:
     """page_id, host, path, rule, verdict of every row of pages (page_id, url), and score where the trees decided.
 
-    The trees see at most `most` labelled URLs, those with the least hashes. Null and malformed URLs have empty host and path;
+    Classes and the counts and block rates of suffixes are of all labelled rows. The trees see at most `most` distinct labelled URLs, of
+    either verdict those with the least hashes, weighted by their copies. Null and malformed URLs have empty host and path;
     no rule fits them, so the trees decide, as for any other. If all labelled URLs have one verdict, so have the rest; without
     labelled URLs the rest are allowed. Repeated rows are judged each.
     """
@@ -80,23 +83,36 @@ def judge(pages: DataFrame, rules=RULES, most: int = 20_000, trees: int = 12, de
     rule, verdict = matching_rule(F.col("host"), F.col("path"), rules)
     read = read.withColumn("rule", rule).withColumn("ruled", verdict)
     features = {k: v.cast("double") for k, v in lexical(F.col("url"), F.col("host"), F.col("path")).items()}
-    labelled = read.where("ruled is not null").orderBy(F.xxhash64("url"), "url").limit(most).select("*", (F.col("ruled") == "block").cast("double").alias("label"), suffix_of(F.col("host")).alias("suffix"))
-    classes = labelled.agg(F.avg("label")).first()[0]
+    labels = read.where("ruled is not null").select("url", "host", "path", (F.col("ruled") == "block").cast("double").alias("label"), suffix_of(F.col("host")).alias("suffix"))
+    # counts and rates are of all labelled rows; only the fit below sees a sample
+    rates = saved(labels.groupBy("suffix").agg(F.sum("label").alias("blocked"), F.count("*").cast("double").alias("seen")), "suffixes")
+    classes = rates.agg(F.sum("blocked") / F.sum("seen")).first()[0]
     out = ("page_id", "host", "path", "rule")
     if classes in (None, 0.0, 1.0):
         return read.select(*out, F.coalesce("ruled", F.lit("block" if classes else "allow")).alias("verdict"), F.lit(None).cast("double").alias("score"))
 
-    # block rate of suffixes, at most `most` rows; halved evidence for rare ones
-    rates = labelled.groupBy("suffix").agg(((F.sum("label") + 4 * F.lit(classes)) / (F.count("*") + 4)).alias("rate"), F.count("*").cast("double").alias("seen"))
-    rates = rates.sparkSession.createDataFrame(rates.collect(), rates.schema)
+    # halved evidence for rare suffixes
+    rates = rates.select("suffix", ((F.col("blocked") + 4 * F.lit(classes)) / (F.col("seen") + 4)).alias("rate"), "seen")
+    each = most // 2  # of either class, so that both are seen whatever their shares
+    urls = labels.groupBy("url").agg(F.first("host").alias("host"), F.first("path").alias("path"), F.first("label").alias("label"), F.count("*").cast("double").alias("copies"))
+    urls = saved(urls, "labelled")
+    sample = None
+    for label in (0.0, 1.0):
+        of = urls.where(F.col("label") == label)
+        total = of.agg(F.sum("copies")).first()[0]
+        took = saved(of.orderBy(F.xxhash64("url"), "url").limit(each), f"sample{int(label)}")
+        # weights by copies, and of each class together as in all labelled rows
+        held = took.agg(F.sum("copies")).first()[0]
+        took = took.withColumn("weight", F.col("copies") * F.lit(total / held))
+        sample = took if sample is None else sample.union(took)
 
     def with_features(df: DataFrame) -> DataFrame:
-        df = df.join(F.broadcast(rates), suffix_of(F.col("host")) == rates["suffix"], "left").drop(rates["suffix"])
+        df = df.join(rates, suffix_of(F.col("host")) == rates["suffix"], "left").drop(rates["suffix"])
         known = {**features, "suffix_rate": F.coalesce("rate", F.lit(classes)), "suffix_seen": F.log1p(F.coalesce("seen", F.lit(0.0)))}
         return df.withColumns({f"x_{k}": known[k] for k in FEATURES})
 
     assembler = VectorAssembler(inputCols=[f"x_{k}" for k in FEATURES], outputCol="x")
-    model = GBTClassifier(featuresCol="x", labelCol="label", maxIter=trees, maxDepth=depth, seed=7).fit(assembler.transform(with_features(labelled.drop("suffix").select("url", "host", "path", "label"))))
+    model = GBTClassifier(featuresCol="x", labelCol="label", weightCol="weight", maxIter=trees, maxDepth=depth, seed=7).fit(assembler.transform(with_features(sample.select("url", "host", "path", "label", "weight"))))
     # only what no rule covers is scored
     ruled = read.where("ruled is not null").select(*out, F.col("ruled").alias("verdict"), F.lit(None).cast("double").alias("score"))
     rest = model.transform(assembler.transform(with_features(read.where("ruled is null")))).withColumn("score", vector_to_array("probability")[1])
