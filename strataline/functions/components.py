@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strataline.llm.common import saved
+from strataline.functions.scratch import saved
 
 
 def _stars(edges: DataFrame) -> DataFrame:
@@ -21,7 +21,7 @@ def _stars(edges: DataFrame) -> DataFrame:
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """(id, root) for every vertex of edges (u long, v long); root is the least vertex reachable.
+    """(id, root) for every vertex of edges (u, v); root is the least vertex reachable.
 
     Edges may come in either direction and repeat; loops and edges with a null end are ignored. Every round is written to
     the shared folder, and the end is seen from a count and a sum of hashes. A star with a hot centre has one edge for each

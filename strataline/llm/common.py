@@ -4,8 +4,6 @@ from __future__ import annotations
 
 import math
 import re
-import tempfile
-import uuid
 from collections.abc import Iterable
 from itertools import repeat
 
@@ -13,30 +11,13 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from strataline.functions.scratch import saved, scratch  # noqa: F401
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def scratch(spark: SparkSession, name: str) -> str:
-    """A fresh path in the folder that all executors share (spark.checkpoint.dir).
-
-    Only where the session names no such folder (tests, one machine) is one made here.
-    """
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not base:
-        base = "file://" + tempfile.mkdtemp(prefix="strataline-")
-        spark.sparkContext.setCheckpointDir(base)
-    return f"{base}/{name}-{uuid.uuid4().hex}"
-
-
-def saved(df: DataFrame, name: str) -> DataFrame:
-    """df as a Parquet table in the shared folder: lineage ends there, so lost executors cost no recomputation."""
-    path = scratch(df.sparkSession, name)
-    df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def text_bytes(df: DataFrame, column: str = "text") -> int:
     """Bytes of a text column over all rows (one small aggregate to the driver)."""
     return df.agg(F.sum(F.octet_length(column).cast("long"))).first()[0] or 0

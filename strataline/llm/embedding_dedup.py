@@ -20,8 +20,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from strataline.functions.components import components
 from strataline.llm.common import parts_for, saved
-from strataline.llm.components import components
 from strataline.llm.simhash import Forest
 from strataline.llm.vectors import matrix, sample_rows, usable
 

@@ -21,8 +21,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from strataline.functions.components import components
 from strataline.llm.common import saved
-from strataline.llm.components import components
 from strataline.llm.simhash import SEED
 
 

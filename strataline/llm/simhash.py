@@ -19,8 +19,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from strataline.functions.components import components
 from strataline.llm.common import parts_for, saved
-from strataline.llm.components import components
 
 SEED, MAX_BITS, POSITIONS = 42, 3, 8
 LEAST = POSITIONS - MAX_BITS
