@@ -197,7 +197,7 @@ SELECT id, max(CASE WHEN first = 1 THEN id END) OVER (ORDER BY id ROWS UNBOUNDED
 
 
 def irls_positions(spark, d):
-    e = _edges(spark, d).where("i < 60").select((F.col("i") / 20).cast("int").alias("island"), "i", "j", (F.col("j") - F.col("i") + (F.col("i") * 13 % 7 - 3) / 10.0).alias("dx"), ((F.col("j") * 5 % 11 - 5) / 10.0).alias("dy"), "quality")
+    e = _edges(spark, d).select((F.col("i") / 20).cast("int").alias("island"), "i", "j", (F.col("j") - F.col("i") + (F.col("i") * 13 % 7 - 3) / 10.0).alias("dx"), ((F.col("j") * 5 % 11 - 5) / 10.0).alias("dy"), "quality")
     return rounded(graph.solve_positions(e), 3)
 
 

@@ -3,8 +3,13 @@
 from __future__ import annotations
 
 import random
+from collections import defaultdict
+
+import numpy as np
 
 from strataline.operators import graph
+from strataline.plans import chart_queries
+from tests.compare import SF
 
 
 def test_components_of_a_long_shuffled_path(spark):
@@ -14,3 +19,38 @@ def test_components_of_a_long_shuffled_path(spark):
     e = spark.createDataFrame(pairs, "i long, j long").repartition(4)
     got = {r["id"]: r["component"] for r in graph.components(e).collect()}
     assert got == {**dict.fromkeys(ids, 0), **dict.fromkeys((2000, 2001, 2002), 2000), 3000: 3000, 4000: 4000}
+
+
+def positions(edges):
+    """Positions by weighted normal equations, the first tile at 0. edges: (i, j, dx, dy, quality)."""
+    ids = sorted({k for e in edges for k in e[:2]})
+    at, w = None, [max(e[4], 1e-3) for e in edges]
+    for _ in range(6):
+        m, d = np.zeros((len(ids), len(ids))), np.zeros((len(ids), 2))
+        for (i, j, dx, dy, _), x in zip(edges, w):
+            a, b = ids.index(i), ids.index(j)
+            m[a, a] += x * x
+            m[b, b] += x * x
+            m[a, b] -= x * x
+            m[b, a] -= x * x
+            d[b] += x * x * np.array([dx, dy])
+            d[a] -= x * x * np.array([dx, dy])
+        at = np.zeros((len(ids), 2))
+        at[1:] = np.linalg.solve(m[1:, 1:], d[1:])
+        r = [float(np.hypot(*(at[ids.index(j)] - at[ids.index(i)] - (dx, dy)))) for i, j, dx, dy, _ in edges]
+        s = max(float(np.median(r)), 1.0)
+        w = [max(e[4], 1e-3) / (1 + (x / (2 * s)) ** 2) ** 0.5 for e, x in zip(edges, r)]
+    return {k: (*at[n], float(np.median(r))) for n, k in enumerate(ids)}
+
+
+def test_positions_of_all_parts(spark):
+    islands = defaultdict(list)
+    for r in chart_queries._edges(spark, SF).select("i", "j", "quality").collect():
+        i, j = r["i"], r["j"]
+        islands[i // 20].append((i, j, j - i + (i * 13 % 7 - 3) / 10, (j * 5 % 11 - 5) / 10, r["quality"]))
+    want = {(k, t): v for k, e in islands.items() for t, v in positions(e).items()}
+    got = {(r["island"], r["tile"]): (r["x"], r["y"], r["residual"]) for r in chart_queries.irls_positions(spark, SF).collect()}
+    parts = {r["p_partkey"] for r in spark.read.parquet(f"{SF}/part.parquet").select("p_partkey").collect()}
+    assert {t for _, t in got} == parts and got.keys() == want.keys()
+    for k, v in want.items():
+        assert np.allclose(got[k], v, rtol=0, atol=2e-3), k
