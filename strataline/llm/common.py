@@ -51,22 +51,25 @@ def chunk_text(chunk: str) -> str:
     return chunk[1:] if chunk.startswith(RAW) else " " + chunk
 
 
-class ChunkEncoder:
-    """Token ids of whole texts, each distinct chunk encoded once by a tokenizers object.
+def gathered(flat: np.ndarray, starts: np.ndarray, lens: np.ndarray, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """What stands in flat for each code, one after another, and how much each has."""
+    lens = lens[codes]
+    ends = np.cumsum(lens)
+    return flat[np.repeat(starts[codes] - (ends - lens), lens) + np.arange(int(ends[-1]) if len(ends) else 0)], lens
+
+
+class ChunkCache:
+    """Token ids of whole texts, each distinct chunk encoded once.
 
     Chunks end where no token can cross:
     - words: at blanks and line feeds, which the tokenizer drops (its pre-tokens hold no white space);
     - spaces: before a single blank and around a single line feed that have no other white space beside them, where
       byte-level patterns always begin a token. A chunk stands without its blank; RAW marks those that have none.
-    New chunks are encoded many at a time as one text, where the ids show each chunk's end; the rest one by one. The cache is
-    emptied when it holds max_entries.
+    The cache is emptied when it holds max_entries.
     """
 
-    def __init__(self, tokenizer, spaces: bool, max_entries: int = 1_000_000):
-        self.tokenizer, self.spaces, self.max_entries = tokenizer, spaces, max_entries
-        vocabulary = tokenizer.get_vocab()
-        self.edge = np.zeros(max(vocabulary.values(), default=0) + 1, bool)
-        self.edge[[i for t, i in vocabulary.items() if (t.startswith("\u0120") if spaces else t.endswith("</w>"))]] = True
+    def __init__(self, spaces: bool, max_entries: int):
+        self.spaces, self.max_entries = spaces, max_entries
         self._clear()
 
     def _clear(self):
@@ -74,6 +77,61 @@ class ChunkEncoder:
         self.starts, self.lens = np.zeros(0, np.int64), np.zeros(0, np.int64)
         self.flat = np.zeros(0, np.uint32)
 
+    def _add(self, words: list[str]):
+        """Encode new chunks and _keep them."""
+        raise NotImplementedError
+
+    def _keep(self, words: list[str], flat: np.ndarray, lens: np.ndarray):
+        base, n = len(self.flat), len(self.lens)
+        self.starts = np.concatenate([self.starts, base + np.cumsum(lens) - lens])
+        self.lens = np.concatenate([self.lens, lens])
+        self.flat = np.concatenate([self.flat, flat])
+        self.at.update(zip(words, range(n, n + len(words))))
+
+    def _gather(self, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        return gathered(self.flat, self.starts, self.lens, codes)
+
+    def _chunks(self, t: str) -> list[str]:
+        return space_chunks(t) if self.spaces else [w for w in t.replace("\n", " ").split(" ") if w]
+
+    def encode(self, texts: Iterable[str]) -> tuple[np.ndarray, np.ndarray]:
+        """All ids of all texts one after another, and the number of ids of each text."""
+        if len(self.at) > self.max_entries or len(self.flat) > 8 * self.max_entries:
+            self._clear()
+        words: list[str] = []
+        counts = []
+        for t in texts:
+            w = self._chunks(t)
+            words += w
+            counts.append(len(w))
+        codes = np.fromiter(map(self.at.get, words, repeat(-1)), np.int64, len(words))
+        new = np.flatnonzero(codes < 0)
+        if len(new):
+            unknown = [words[i] for i in new.tolist()]
+            self._add(list(dict.fromkeys(unknown)))
+            codes[new] = list(map(self.at.__getitem__, unknown))
+        ids, lens = self._gather(codes)
+        ends = np.cumsum(lens)
+        bounds = np.concatenate([[0], np.cumsum(counts)]).astype(np.int64)
+        tops = np.concatenate([[0], ends]).astype(np.int64)
+        return ids, np.diff(tops[bounds])
+
+
+class ChunkEncoder(ChunkCache):
+    """Chunks encoded by a tokenizers object, with the ids of its plain call on the whole texts.
+
+    New chunks are encoded many at a time as one text, where the ids show each chunk's end; the rest one by one. A text that
+    holds the beginning of an added token's string goes to the tokenizer whole, as such a string may cross chunks.
+    """
+
+    def __init__(self, tokenizer, spaces: bool, max_entries: int = 1_000_000):
+        super().__init__(spaces, max_entries)
+        self.tokenizer = tokenizer
+        vocabulary = tokenizer.get_vocab()
+        self.edge = np.zeros(max(vocabulary.values(), default=0) + 1, bool)
+        self.edge[[i for t, i in vocabulary.items() if (t.startswith("\u0120") if spaces else t.endswith("</w>"))]] = True
+        self.added = sorted({t.content[:2] for t in tokenizer.get_added_tokens_decoder().values()})
+
     def _one_by_one(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         texts = list(map(chunk_text, words)) if self.spaces else words
         ids = [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
@@ -116,62 +174,30 @@ class ChunkEncoder:
             flat, lens = self._gather(codes)
             self._keep(marked, flat, lens[::2] + lens[1::2])
 
-    def _keep(self, words: list[str], flat: np.ndarray, lens: np.ndarray):
-        base, n = len(self.flat), len(self.lens)
-        self.starts = np.concatenate([self.starts, base + np.cumsum(lens) - lens])
-        self.lens = np.concatenate([self.lens, lens])
-        self.flat = np.concatenate([self.flat, flat])
-        self.at.update(zip(words, range(n, n + len(words))))
-
-    def _gather(self, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of chunks by their numbers, one after another, and how many each has."""
-        lens = self.lens[codes]
-        ends = np.cumsum(lens)
-        return self.flat[np.repeat(self.starts[codes] - (ends - lens), lens) + np.arange(int(ends[-1]) if len(ends) else 0)], lens
-
-    def _chunks(self, t: str) -> list[str]:
-        return space_chunks(t) if self.spaces else [w for w in t.replace("\n", " ").split(" ") if w]
-
     def encode(self, texts: Iterable[str]) -> tuple[np.ndarray, np.ndarray]:
-        """All ids of all texts one after another, and the number of ids of each text."""
-        if len(self.at) > self.max_entries or len(self.flat) > 8 * self.max_entries:
-            self._clear()
-        words: list[str] = []
-        counts = []
-        for t in texts:
-            w = self._chunks(t)
-            words += w
-            counts.append(len(w))
-        codes = np.fromiter(map(self.at.get, words, repeat(-1)), np.int64, len(words))
-        new = np.flatnonzero(codes < 0)
-        if len(new):
-            unknown = [words[i] for i in new.tolist()]
-            self._add(list(dict.fromkeys(unknown)))
-            codes[new] = list(map(self.at.__getitem__, unknown))
-        ids, lens = self._gather(codes)
-        ends = np.cumsum(lens)
-        bounds = np.concatenate([[0], np.cumsum(counts)]).astype(np.int64)
-        tops = np.concatenate([[0], ends]).astype(np.int64)
-        return ids, np.diff(tops[bounds])
+        texts = list(texts)
+        whole = [i for i, t in enumerate(texts) if any(a in t for a in self.added)]
+        if not whole:
+            return super().encode(texts)
+        ids, n = super().encode([t if i not in set(whole) else "" for i, t in enumerate(texts)])
+        own = {i: np.array(e.ids, np.uint32) for i, e in zip(whole, self.tokenizer.encode_batch_fast([texts[i] for i in whole], add_special_tokens=False))}
+        tops = np.concatenate([[0], np.cumsum(n)])
+        parts = [own[i] if i in own else ids[tops[i] : tops[i + 1]] for i in range(len(texts))]
+        return np.concatenate(parts), np.array([*map(len, parts)], np.int64)
 
 
 _encoders: dict[tuple, ChunkEncoder] = {}
 
 
 def tokenizer_encoder(path: str, spaces: bool) -> ChunkEncoder:
-    """An encoder on a tokenizers file; one per Python worker, so that tasks that follow each other share its cache.
-
-    The strings of special tokens are ordinary text.
-    """
+    """An encoder on a tokenizers file; one per Python worker, so that tasks that follow each other share its cache."""
     if (path, spaces) not in _encoders:
         import os
 
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
-        t = Tokenizer.from_file(path)
-        t.encode_special_tokens = True
-        _encoders[path, spaces] = ChunkEncoder(t, spaces)
+        _encoders[path, spaces] = ChunkEncoder(Tokenizer.from_file(path), spaces)
     return _encoders[path, spaces]
 
 

@@ -24,17 +24,17 @@ def crc(ids):
 
 def encode(name, texts):
     t = Tokenizer.from_file(P.path(name))
-    t.encode_special_tokens = True
     return [e.ids for e in t.encode_batch([x or "" for x in texts], add_special_tokens=False)]
 
 
 @pytest.mark.parametrize("name, spaces", [("byte_bpe_50k.json", True), ("word_bpe_49k.json", False)])
 def test_chunks_encode_like_whole_texts(name, spaces):
     t = Tokenizer.from_file(P.path(name))
-    t.encode_special_tokens = True
     rng = np.random.default_rng(5)
     texts = ["".join(rng.choice(list("ab é'sdt1.,!  \n\t\r\u00a0\u2003\x1c\u0301日\x00İΣ"), rng.integers(0, 60))) for _ in range(3000)]
     texts += ["", " ", "\n", "a\n", "\na", " a", "a ", "a \n b", "a\nb c\n\nd", "I'm we'll DON'T 's", "<|endoftext|> <|startoftext|>"]
+    special = ["<|endoftext|>", "<|startoftext|>", "<|", "|>", "<|endof", "text|>", " ", "\n", "a", "B1", ".", "é"]
+    texts += ["".join(rng.choice(special, rng.integers(1, 9))) for _ in range(3000)]
     enc = ChunkEncoder(t, spaces, max_entries=2000)
     for i in range(0, len(texts), 100):
         ids, n = enc.encode(texts[i : i + 100])
@@ -153,11 +153,16 @@ def test_byte_bpe_like_tiktoken(spark, docs, rows, no_docs):
     assert got == want
     own = bpe.RankBPE(path, P.PATTERN)
     rng = np.random.default_rng(1)
-    for _ in range(300):
-        s = "".join(rng.choice(list("aabbeth éñ\n!?日"), rng.integers(0, 80)))
-        assert own.encode(s) == real.encode_ordinary(s) and own.decode(own.encode(s)) == s.encode()
-    for s in ("ab" * 30_000, "a" * 30_001, "".join(rng.choice(list("etaoin"), 30_000))):
-        assert own.encode(s) == real.encode_ordinary(s)
+    texts = ["".join(rng.choice(list("aabbeth éñ\n!?日"), rng.integers(0, 80))) for _ in range(300)]
+    texts += ["ab" * 30_000, "a" * 30_001, "".join(rng.choice(list("etaoin"), 30_000)), "", "x"]
+    for group in ([texts], [[s] for s in texts]):  # all new pre-tokens together, and each text's own
+        own = bpe.RankBPE(path, P.PATTERN, max_entries=500)
+        for some in group:
+            ids, n = own.encode(some)
+            want = [real.encode_ordinary(s) for s in some]
+            assert n.tolist() == [*map(len, want)] and ids.tolist() == [i for w in want for i in w]
+            back, _ = own.decode(ids)
+            assert back.tobytes() == "".join(some).encode()
     assert bpe.encode_documents(no_docs, path, P.PATTERN).collect() == []
 
 
