@@ -1,14 +1,19 @@
-"""Near-duplicates by exact Jaccard similarity of word shingles: a positional index of prefixes, then verification.
+"""Near-duplicates by exact Jaccard similarity of word shingles: fingerprints first, then a positional index of prefixes.
 
 Two sets with a similarity of at least t share at least ceil(t n) members of either, n its size. With all members in one order,
 the first shared one is then among the first n - ceil(t n) + 1 of both: only these prefixes are indexed, and no pair is
-missed. The positions of a shared member bound the overlap of two sets, so most other pairs are dropped before the rest
-are verified. (The bits of a 64-bit fingerprint cannot do this: at a similarity of 0.8 about 10 of them differ and often 17,
-a radius for which no byte is sure to agree.)
-
-Members that a sample shows to be frequent come last in the order, so that common passages have few prefixes; the sample
-bears on speed only. Equal sets are one entry. In each posting list neighbours are verified first; after that only
-pairs in different components, so a large group of near copies costs about one pair a member and list.
+missed. Two texts at a similarity of 0.8 differ in about 10 of the 64 bits of their SimHashes and often in 17, a radius for
+which no byte is sure to agree; fingerprints alone would lose most such pairs. So:
+
+1. Fingerprints that differ in at most 3 bits, found by the byte-position index, are candidates at once.
+2. In each posting list neighbours in different components are candidates; of those each set takes the one whose fingerprint is
+   nearest. Rounds of this join large groups of near copies at about a pair a member and round.
+3. All pairs of different components that meet in a posting list are tallied. A pair is a candidate if the prefix members that it
+   shares reach the guaranteed minimum: what t asks for, less what can stand behind the prefixes.
+
+Candidates are verified on the whole sets, so 1 and 2 bear on speed only and 3 misses nothing. Members that a sample shows
+to be frequent come last in the order, so that common passages have few prefixes; that too bears on speed only. Equal sets
+are one entry.
 """
 
 from __future__ import annotations
@@ -22,8 +27,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from strataline.functions.components import components
-from strataline.llm.common import saved
-from strataline.llm.simhash import SEED
+from strataline.llm.common import in_batches, saved
+from strataline.llm.simhash import SEED, near_links
+
+APART = 20  # bits; fingerprints of unrelated texts are seldom nearer, those of texts at 0.8 seldom further apart
 
 
 def shingles_of(text: str | None, shingle: int = 5) -> np.ndarray:
@@ -74,84 +81,128 @@ def frequent(docs: DataFrame, shingle: int, sample: int = 8_000, least: int = 8)
     return np.sort(np.array([r[0] for r in got], np.int64))
 
 
+def prefix_size(n, least: float):
+    return n - F.ceil(least * n - 1e-9) + 1
+
+
+def simhashes(sets: list[np.ndarray]) -> np.ndarray:
+    """A bit (i8 in all) is 1 if set in over half the members of a set."""
+    out = np.zeros(len(sets), np.int64)
+    full = [i for i, m in enumerate(sets) if len(m)]
+    if full:
+        sizes = np.array([len(sets[i]) for i in full])
+        bits = np.unpackbits(np.concatenate([sets[i] for i in full]).view("u1").reshape(-1, 8), axis=1, bitorder="little")
+        counts = np.add.reduceat(bits, np.cumsum(sizes) - sizes, axis=0, dtype=np.int64)
+        out[full] = np.packbits(counts * 2 > sizes[:, None], axis=1, bitorder="little").view("<i8").ravel()
+    return out
+
+
 def sets_of(docs: DataFrame, shingle: int, least: float, last: np.ndarray) -> DataFrame:
-    """doc_id, rid, key, n (size), prefix and rest of every row; members in `last` come behind the others."""
-    step = 4_000_000  # characters at a time
-
-    def made(ids, rids, texts):
-        prefix, rest, keys, sizes = [], [], [], []
-        for t in texts:
-            m = shingles_of(t, shingle)
-            keys.append(key_of(m))
-            sizes.append(len(m))
-            if len(last) and len(m):
-                late = last[np.minimum(np.searchsorted(last, m), len(last) - 1)] == m
-                m = np.concatenate([m[~late], m[late]])
-            p = len(m) - int(np.ceil(least * len(m) - 1e-9)) + 1 if len(m) else 0
-            prefix.append(m[:p])
-            rest.append(m[p:])
-        return pa.RecordBatch.from_arrays([ids, rids, pa.array(keys, pa.int64()), pa.array(sizes, pa.int32()), _lists(prefix), _lists(rest)], names=["doc_id", "rid", "key", "n", "prefix", "rest"])
+    """doc_id, key, fp, n (size) and prefix of every row; members in `last` come behind the others.
+
+    A prefix is given once a task for each key, so many copies have few.
+    """
 
     def work(batches):
+        given: set[int] = set()
         for b in batches:
-            texts = b.column(2).to_pylist()
-            i = 0
-            while i < len(texts):
-                j, n = i, 0
-                while j < len(texts) and (j == i or n + len(texts[j] or "") <= step):
-                    n += len(texts[j] or "")
-                    j += 1
-                yield made(b.column(0)[i:j], b.column(1)[i:j], texts[i:j])
-                i = j
-
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.monotonically_increasing_id().alias("rid"), "text")
-    return rows.mapInArrow(work, "doc_id long, rid long, key long, n int, prefix array<long>, rest array<long>")
-
-
-def _may(least: float, n: Column, p: Column, n2: Column, p2: Column) -> Column:
-    """Whether sets of n and n2 members that first meet at positions p and p2 can be similar enough."""
-    return F.least(n - p, n2 - p2) >= least / (1 + least) * (n + n2) - 1e-9
-
-
-def _verified(pairs: DataFrame, made: DataFrame, entries: DataFrame, least: float) -> DataFrame:
-    """Of pairs of keys (a, b) those whose sets have a Jaccard similarity of at least `least`."""
-    pairs = saved(pairs, "pairs")
-    used = pairs.select(F.col("a").alias("key")).union(pairs.select("b")).distinct()
-    rows = entries.join(used, "key", "left_semi").select("rid")  # one row an entry, so that many equal texts don't meet in a task
-    sets = saved(made.join(rows, "rid", "left_semi").select("key", F.concat("prefix", "rest").alias("members")), "members")
-    side = lambda k: sets.select(F.col("key").alias(k), F.col("members").alias(f"m_{k}"))
+            texts = [t or "" for t in b.column(1).to_pylist()]
+            for i, j in in_batches(texts, 4_000_000):
+                sets = [shingles_of(t, shingle) for t in texts[i:j]]
+                keys, prefix = [*map(key_of, sets)], []
+                for k, m in zip(keys, sets):
+                    if k in given or not len(m):
+                        prefix.append(m[:0])
+                        continue
+                    given.add(k)
+                    if len(last):
+                        late = last[np.minimum(np.searchsorted(last, m), len(last) - 1)] == m
+                        m = np.concatenate([m[~late], m[late]])
+                    prefix.append(m[: len(m) - int(np.ceil(least * len(m) - 1e-9)) + 1])
+                yield pa.RecordBatch.from_arrays([b.column(0)[i:j], pa.array(keys, pa.int64()), pa.array(simhashes(sets)), pa.array([*map(len, sets)], pa.int32()), _lists(prefix)], names=["doc_id", "key", "fp", "n", "prefix"])
+
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(work, "doc_id long, key long, fp long, n int, prefix array<long>")
+
+
+def members_of(docs: DataFrame, entries: DataFrame, shingle: int) -> DataFrame:
+    """key and all members of the sets of entries (key, least: the doc_id of one of its texts)."""
+
+    def work(batches):
+        for b in batches:
+            texts = [t or "" for t in b.column(0).to_pylist()]
+            for i, j in in_batches(texts, 4_000_000):
+                sets = [shingles_of(t, shingle) for t in texts[i:j]]
+                yield pa.RecordBatch.from_arrays([pa.array([*map(key_of, sets)], pa.int64()), _lists(sets)], names=["key", "members"])
+
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    ids = entries.where("least is not null").select(F.col("least").alias("doc_id")).distinct()
+    some = rows.join(ids, "doc_id", "left_semi").select("text").union(rows.where("doc_id is null").select("text"))
+    found = some.mapInArrow(work, "key long, members array<long>").join(entries.select("key"), "key", "left_semi")
+    return found.groupBy("key").agg(F.first("members").alias("members"))  # an id may stand on several rows
+
+
+def _reachable(least: float, n: Column, n2: Column) -> Column:
+    """What two sets of n and n2 members share if they are similar enough."""
+    return least / (1 + least) * (n + n2) - 1e-9
+
+
+def _verified(pairs: DataFrame, members: DataFrame, least: float) -> DataFrame:
+    """Of pairs of keys (a, b) those whose sets have a Jaccard similarity of at least `least`, as (u, v)."""
+    side = lambda k: members.select(F.col("key").alias(k), F.col("members").alias(f"m_{k}"))
     both = pairs.join(side("a"), "a").join(side("b"), "b").withColumn("shared", F.size(F.array_intersect("m_a", "m_b")))
     return saved(both.where(F.col("shared") / (F.size("m_a") + F.size("m_b") - F.col("shared")) >= least).select(F.col("a").alias("u"), F.col("b").alias("v")), "links")
 
 
-def near_duplicates(docs: DataFrame, shingle: int = 5, least: float = 0.8) -> DataFrame:
+def near_duplicates(docs: DataFrame, shingle: int = 5, least: float = 0.8, rounds: int = 3) -> DataFrame:
     """doc_id, key (of the set), component_id of every row of docs (doc_id, text); all pairs at `least` or above are linked.
 
-    Null, empty and blank texts have the empty set and are linked with each other alone. component_id is the least doc_id that
-    can be reached; rows without doc_id take part, and a component of such rows alone has none. Repeated rows stay.
+    Null, empty and blank texts have the empty set and are linked with each other alone; a text of fewer words than a shingle
+    is one shingle. Texts are taken whole, however long. component_id is the least doc_id that can be reached; rows without
+    doc_id take part, and a component of such rows alone has none. Repeated rows stay; other columns are ignored, and a
+    table without rows gives none.
     """
     made = saved(sets_of(docs, shingle, least, frequent(docs, shingle)), "sets")
-    entries = saved(made.groupBy("key").agg(F.min("doc_id").alias("least"), F.min("rid").alias("rid"), F.first("n").alias("n"), F.first("prefix").alias("prefix")), "entries")
-    posted = entries.select("key", "n", F.posexplode("prefix").alias("p", "s"))
-    by = Window.partitionBy("s").orderBy("key")
-    posted = posted.withColumn("before", F.lag(F.struct("key", "n", "p")).over(by)).withColumn("after", F.lead("key").over(by))
-    lists = saved(posted.where("before is not null or after is not null"), "lists")
-
-    pairs = lists.where("before is not null").where(_may(least, F.col("n"), F.col("p"), F.col("before.n"), F.col("before.p")))
-    links = _verified(pairs.select(F.col("before.key").alias("a"), F.col("key").alias("b")).distinct(), made, entries, least)
+    entries = saved(made.groupBy("key").agg(F.min("doc_id").alias("least"), F.min("fp").alias("fp"), F.min("n").alias("n")), "entries")
+    posted = made.where("n > 0").select("key", "n", "fp", F.posexplode("prefix").alias("p", "s"))
+    posted = posted.withColumn("m", F.count("*").over(Window.partitionBy("s"))).where("m > 1").drop("m")
+    # several tasks can have posted one set: each set once a list
+    lists = saved(posted.groupBy("s", "key").agg(F.min("n").alias("n"), F.min("p").alias("p"), F.min("fp").alias("fp")), "lists")
+    members = saved(members_of(docs, entries.join(lists.select("key").distinct(), "key", "left_semi"), shingle), "members")
+
+    # equal and near fingerprints
+    fps = entries.where("n > 0").groupBy("fp").agg(F.min("key").alias("a"))
+    first = entries.join(fps, "fp").where("key != a").select("a", F.col("key").alias("b"))
+    u, v = (fps.select(F.col("fp").alias(k), F.col("a").alias(f"k_{k}")) for k in "uv")
+    near = near_links(fps.select("fp")).join(u, "u").join(v, "v").select(F.col("k_u").alias("a"), F.col("k_v").alias("b"))
+    links = _verified(first.union(near), members, least)
     roots = saved(components(links), "roots")
 
-    # lists whose members are not yet in one component: all pairs across components
-    c = lists.join(roots.withColumnRenamed("id", "key"), "key", "left").select("s", "key", "n", "p", F.coalesce("root", "key").alias("c"))
-    c = saved(c, "labelled")
-    open_lists = c.groupBy("s").agg(F.count("*").alias("m"), F.min("c").alias("lo"), F.max("c").alias("hi")).where("m > 2 and lo != hi").select("s")
-    groups = saved(c.join(open_lists, "s", "left_semi").groupBy("s", "c").agg(F.collect_list(F.struct("key", "n", "p")).alias("g")), "open")
-    x, y = (groups.select("s", F.col("c").alias(f"c_{k}"), F.col("g").alias(k)) for k in "xy")
-    across = x.join(y, "s").where("c_x < c_y").select(F.explode("x").alias("x"), "y").select("x", F.explode("y").alias("y"))
-    across = across.where(_may(least, F.col("x.n"), F.col("x.p"), F.col("y.n"), F.col("y.p"))).select(F.least("x.key", "y.key").alias("a"), F.greatest("x.key", "y.key").alias("b")).distinct()
-    more = _verified(across, made, entries, least)
-
-    roots = components(links.union(more))
+    for _ in range(rounds):
+        now = lists.join(roots.withColumnRenamed("id", "key"), "key", "left").withColumn("c", F.coalesce("root", "key")).drop("root")
+        prev = F.lag(F.struct("key", "n", "fp", "c")).over(Window.partitionBy("s").orderBy("c", "key"))
+        beside = now.withColumn("prev", prev).where("prev.c != c").withColumn("apart", F.bit_count(F.col("fp").bitwiseXOR(F.col("prev.fp"))))
+        beside = beside.where((F.col("apart") <= APART) & (F.least("n", "prev.n") >= _reachable(least, F.col("n"), F.col("prev.n"))))
+        ends = F.explode(F.array(F.struct(F.col("key").alias("own"), F.col("prev.key").alias("other")), F.struct(F.col("prev.key").alias("own"), F.col("key").alias("other"))))
+        best = beside.select("apart", ends.alias("e")).groupBy("e.own").agg(F.min(F.struct("apart", "e.other")).alias("m"))
+        more = _verified(best.select(F.least("own", "m.other").alias("a"), F.greatest("own", "m.other").alias("b")).distinct(), members, least)
+        if more.isEmpty():
+            break
+        links = links.union(more)
+        roots = saved(components(links), "roots")
+
+    # pairs of different components, wherever a list has several
+    now = saved(lists.join(roots.withColumnRenamed("id", "key"), "key", "left").select("s", "key", "n", "p", F.coalesce("root", "key").alias("c")), "labelled")
+    several = now.groupBy("s").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo != hi").select("s")
+    now = now.join(several, "s", "left_semi")
+    x, y = (now.select("s", *[F.col(k).alias(f"{k}_{side}") for k in ("key", "n", "p", "c")]) for side in "xy")
+    met = x.join(y, "s").where((F.col("key_x") < F.col("key_y")) & (F.col("c_x") != F.col("c_y")) & (F.least("n_x", "n_y") >= _reachable(least, F.col("n_x"), F.col("n_y"))))
+    tally = met.groupBy("key_x", "key_y").agg(F.count("*").alias("k"), *[F.min(c).alias(c) for c in ("n_x", "n_y", "p_x", "p_y")])
+    behind = F.greatest(*[F.col(n) - prefix_size(F.col(n), least) for n in ("n_x", "n_y")])
+    # the first shared member stands at p in both, so no more than what follows it is shared
+    reach = F.least(F.col("k") + behind, F.col("n_x") - F.col("p_x"), F.col("n_y") - F.col("p_y"))
+    across = tally.where(reach >= _reachable(least, F.col("n_x"), F.col("n_y"))).select(F.col("key_x").alias("a"), F.col("key_y").alias("b"))
+
+    roots = components(links.union(_verified(across, members, least)))
     rooted = entries.select("key", "least").join(roots.withColumnRenamed("id", "key"), "key", "left").select("key", "least", F.coalesce("root", "key").alias("root"))
     named = rooted.join(rooted.groupBy("root").agg(F.min("least").alias("component_id")), "root").select("key", "component_id")
     return made.select("doc_id", "key").join(named, "key")

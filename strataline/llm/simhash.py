@@ -184,12 +184,21 @@ def near_links(fps: DataFrame, part_rows: int = 600_000) -> DataFrame:
     return fps.select(F.explode(lists).alias("posting"), "fp").repartition(n, "posting").mapInArrow(work, "u long, v long")
 
 
-def near_duplicates(docs: DataFrame, shingle: int = 3) -> DataFrame:
+def near_duplicates(docs: DataFrame, shingle: int = 3, similarity: float | None = None) -> DataFrame:
     """doc_id, fingerprint (16 hex digits), component_id of every row of docs (doc_id, text).
 
     Null, empty and blank texts have fingerprint zero and are linked like any other. component_id is the least doc_id that
-    can be reached; rows without doc_id take part, and a component of such rows alone has none. Repeated rows stay.
+    can be reached; rows without doc_id take part, and a component of such rows alone has none. Repeated rows stay and are
+    linked; which of equal texts comes first makes no difference. Texts are taken whole, however long. Other columns are
+    ignored, whatever their names; a table without rows gives none.
+
+    With similarity, fingerprints only give the first candidates: texts are linked whose sets of shingles have at least this
+    Jaccard similarity, all of them. Returns doc_id, key (of the set), component_id then; see strataline.llm.jaccard.
     """
+    if similarity is not None:
+        from strataline.llm import jaccard
+
+        return jaccard.near_duplicates(docs, shingle, similarity)
     made = saved(fingerprints(docs, shingle), "fingerprints")
     distinct = saved(made.groupBy("fp").agg(F.min("doc_id").alias("least")), "distinct")
     roots = components(near_links(distinct.select("fp")))

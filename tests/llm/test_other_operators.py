@@ -9,6 +9,7 @@ from strataline.llm import ann, embedding_dedup, urls
 from strataline.llm.queries import ORACLE_SQL, QUERIES
 from tests.compare import SF, same
 from tests.llm import brute
+from tests.llm.test_near_dedup import components
 
 URLS = ["https://a.EXAMPLE.com/en/712?x=1", "http://example.com/en/8", "http://xexample.com/en/8", "http://example.net/de/8", "http://q.example.net/de/9#z", "net/de/8", None, "", "://", "http://", "http://Ä.Org/es/", "x://org/es/a://net/de/", "http://h?://net/de/", "http://a.b\nc.com/en/", "http://com/en/", "http://com/en", "http://é.net/de/8/../?a=b&c=d"]
 
@@ -136,7 +137,7 @@ def test_pipeline(spark):
     labels = table(spark, SF, "labels")
     assert seen[1].join(labels.where("quality = 0"), "doc_id").count() <= 1
     rows = [(r["doc_id"], r["text"]) for r in seen[1].collect()]
-    keep = sorted(i for (i, _), (_, comp) in zip(rows, brute.simhash_components(rows)) if i == comp)
+    keep = sorted(i for i, comp in components(rows).items() if i == comp)
     assert sorted(r["doc_id"] for r in seen[2].collect()) == keep
     rows = [(r["doc_id"], r["text"]) for r in seen[2].collect()]
     want = {i: n - g for (i, _), (n, g, *_) in zip(rows, brute.without_repeats(rows))}
