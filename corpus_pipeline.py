@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strataline.llm import jaccard, packing, quality, suffix_dedup
+from strataline.llm import jaccard, packing, quality, simhash, suffix_dedup
 from strataline.llm.common import saved, table
 
 
@@ -21,7 +21,7 @@ def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     Near: the sets of runs of five words have a Jaccard similarity of at least 0.8, verified for each pair.
     Rows without doc_id go if their group has a document with one, else stay.
     """
-    found = saved(jaccard.near_duplicates(docs), "near")
+    found = saved(simhash.near_duplicates(docs, shingle=5, similarity=0.8), "near")
     gone = found.where("doc_id is not null and doc_id != component_id").select("doc_id").distinct()
     # an id may stand on several rows with different texts: it stays if it is the least of any of its groups
     gone = saved(gone.join(found.where("doc_id = component_id").select("doc_id").distinct(), "doc_id", "left_anti"), "gone")
