@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import ctypes
 import math
 import re
 from collections.abc import Iterable
 from itertools import repeat
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -201,6 +203,35 @@ def tokenizer_encoder(path: str, spaces: bool) -> ChunkEncoder:
     return _encoders[path, spaces]
 
 
+def text_slices(batch, column: int, max_chars: int = 2_000_000):
+    """(first, last, texts) of runs of rows of an Arrow batch of about max_chars bytes together; a null is an empty text."""
+    import pyarrow.compute as pc
+
+    texts = batch.column(column)
+    ends = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+    i = 0
+    while i < len(texts):
+        j = max(i + 1, int(np.searchsorted(ends, (ends[i - 1] if i else 0) + max_chars, "right")))
+        yield i, j, [t or "" for t in texts[i:j].to_pylist()]
+        i = j
+
+
+def lean(work):
+    """work, for mapInArrow, that gives freed memory back to the system when a task ends: workers live on through many stages."""
+
+    def run(batches):
+        try:
+            yield from work(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            try:
+                ctypes.CDLL(None).malloc_trim(0)
+            except (OSError, AttributeError):  # another C library
+                pass
+
+    return run
+
+
 def in_batches(texts: list[str], max_chars: int = 2_000_000):
     """(first, last) of runs of texts of about max_chars together, whatever the length of one."""
     i = 0

@@ -7,7 +7,8 @@ which no byte is sure to agree; fingerprints alone would lose most such pairs. S
 
 1. Fingerprints that differ in at most 3 bits, found by the byte-position index, are candidates at once.
 2. In each posting list neighbours in different components are candidates; of those each set takes the one whose fingerprint is
-   nearest. Rounds of this join large groups of near copies at about a pair a member and round.
+   nearest. Rounds of this join large groups of near copies at about a pair a member and round. Lists come from five bytes of
+   each member first; only members that come again are posted with their sets.
 3. All pairs of different components that meet in a posting list are tallied. A pair is a candidate if the prefix members that it
    shares reach the guaranteed minimum: what t asks for, less what can stand behind the prefixes.
 
@@ -27,8 +28,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from strataline.functions.components import components
-from strataline.llm.common import in_batches, saved
+from strataline.llm.common import lean, parts_for, saved, text_slices
 from strataline.llm.simhash import SEED, near_links
+from strataline.llm.suffix_dedup import _five, _from_five, _grouped
 
 APART = 20  # bits; fingerprints of unrelated texts are seldom nearer, those of texts at 0.8 seldom further apart
 
@@ -60,7 +62,7 @@ def with_key(docs: DataFrame, name: str, shingle: int = 5) -> DataFrame:
             keys = [key_of(shingles_of(t, shingle)) for t in b.column(k).to_pylist()]
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(keys, pa.int64())], names=[*b.schema.names, name])
 
-    return docs.mapInArrow(work, T.StructType([*docs.schema.fields, T.StructField(name, T.LongType())]))
+    return docs.mapInArrow(lean(work), T.StructType([*docs.schema.fields, T.StructField(name, T.LongType())]))
 
 
 def _lists(sets: list[np.ndarray]) -> pa.Array:
@@ -74,10 +76,11 @@ def frequent(docs: DataFrame, shingle: int, sample: int = 8_000, least: int = 8)
 
     def work(batches):
         for b in batches:
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([np.zeros(0, np.int64), *(shingles_of(t, shingle) for t in b.column(0).to_pylist())]))], names=["s"])
+            for _, _, texts in text_slices(b, 0, 500_000):
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([shingles_of(t, shingle) for t in texts]))], names=["s"])
 
     some = docs.select("text") if n <= sample else docs.select("text").sample(sample / n, seed=1)
-    got = some.mapInArrow(work, "s long").groupBy("s").count().where(F.col("count") >= least).select("s").collect()
+    got = some.mapInArrow(lean(work), "s long").groupBy("s").count().where(F.col("count") >= least).select("s").collect()
     return np.sort(np.array([r[0] for r in got], np.int64))
 
 
@@ -98,17 +101,18 @@ def simhashes(sets: list[np.ndarray]) -> np.ndarray:
 
 
 def sets_of(docs: DataFrame, shingle: int, least: float, last: np.ndarray) -> DataFrame:
-    """doc_id, key, fp, n (size) and prefix of every row; members in `last` come behind the others.
+    """doc_id, key, fp, n (size), prefix and part (the task) of every row; members in `last` come behind the others.
 
     A prefix is given once a task for each key, so many copies have few.
     """
 
     def work(batches):
-        given: set[int] = set()
+        from pyspark import TaskContext
+
+        given, part = set(), TaskContext.get().partitionId()
         for b in batches:
-            texts = [t or "" for t in b.column(1).to_pylist()]
-            for i, j in in_batches(texts, 4_000_000):
-                sets = [shingles_of(t, shingle) for t in texts[i:j]]
+            for i, j, texts in text_slices(b, 1, 500_000):
+                sets = [shingles_of(t, shingle) for t in texts]
                 keys, prefix = [*map(key_of, sets)], []
                 for k, m in zip(keys, sets):
                     if k in given or not len(m):
@@ -119,9 +123,70 @@ def sets_of(docs: DataFrame, shingle: int, least: float, last: np.ndarray) -> Da
                         late = last[np.minimum(np.searchsorted(last, m), len(last) - 1)] == m
                         m = np.concatenate([m[~late], m[late]])
                     prefix.append(m[: len(m) - int(np.ceil(least * len(m) - 1e-9)) + 1])
-                yield pa.RecordBatch.from_arrays([b.column(0)[i:j], pa.array(keys, pa.int64()), pa.array(simhashes(sets)), pa.array([*map(len, sets)], pa.int32()), _lists(prefix)], names=["doc_id", "key", "fp", "n", "prefix"])
+                yield pa.RecordBatch.from_arrays([b.column(0)[i:j], pa.array(keys, pa.int64()), pa.array(simhashes(sets)), pa.array([*map(len, sets)], pa.int32()), _lists(prefix), pa.array(np.full(j - i, part, np.int32))], names=["doc_id", "key", "fp", "n", "prefix", "part"])
+
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(lean(work), "doc_id long, key long, fp long, n int, prefix array<long>, part int")
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(work, "doc_id long, key long, fp long, n int, prefix array<long>")
+
+def repeated_postings(made: DataFrame) -> DataFrame:
+    """s, key, n, fp and p (position in the prefix) of the prefix members s that two or more postings share, and few others."""
+    spark = made.sparkSession
+    shards = parts_for(spark, made.agg(F.coalesce(F.sum(F.size("prefix").cast("long")), F.lit(0))).first()[0], 2_000_000)
+    of = lambda s: ((s.view("u8") >> np.uint64(40)) % np.uint64(shards)).astype(np.int64)
+    packs = pa.schema([("shard", pa.int32()), ("part", pa.int32()), ("keys", pa.binary())])
+
+    def ask(batches):
+        for b in batches:
+            parts = b.column(1).to_numpy()
+            edges = np.flatnonzero(np.concatenate([[True], parts[1:] != parts[:-1], [True]])) if len(parts) else []
+            for i, j in zip(edges, edges[1:]):
+                s = b.column(0)[i:j].flatten().to_numpy()
+                shard = of(s)
+                order = np.argsort(shard, kind="stable")
+                s, shard = s[order], shard[order]
+                cuts = np.flatnonzero(np.concatenate([[True], shard[1:] != shard[:-1], [True]])) if len(s) else []
+                rows = [(int(shard[x]), int(parts[i]), _five(s[x:y].view("u8"))) for x, y in zip(cuts, cuts[1:])]
+                if rows:
+                    yield pa.RecordBatch.from_pydict(dict(zip(packs.names, map(list, zip(*rows)))), schema=packs)
+
+    def answer(batches):
+        for shard, rows in _grouped(batches, "shard"):
+            keys = [_from_five(r["keys"]) for r in rows]
+            _, where, counts = np.unique(np.concatenate(keys), return_inverse=True, return_counts=True)
+            hits, at, out = counts[where] > 1, 0, []
+            for k, r in zip(keys, rows):
+                own = np.unique(k[hits[at : at + len(k)]])
+                at += len(k)
+                if len(own):
+                    out.append((shard, r["part"], _five(own)))
+            if out:
+                yield pa.RecordBatch.from_pydict(dict(zip(packs.names, map(list, zip(*out)))), schema=packs)
+
+    def post(batches):
+        part, known = None, {}
+        for b in batches:
+            for r in b.to_pylist():
+                if r["part"] != part:
+                    part, known = r["part"], {}
+                if r["keys"] is not None:
+                    known.setdefault(r["shard"], []).append(_from_five(r["keys"]))
+                    continue
+                if isinstance(known, dict):
+                    known = np.unique(np.concatenate([np.zeros(0, np.uint64), *(np.uint64(k << 40) | np.unique(np.concatenate(v)) for k, v in known.items())]))
+                s = np.array(r["prefix"], np.int64)
+                if not len(known):
+                    continue
+                full = of(s).astype(np.uint64) << np.uint64(40) | s.view("u8") & np.uint64((1 << 40) - 1)
+                p = np.flatnonzero(known[np.minimum(np.searchsorted(known, full), len(known) - 1)] == full)
+                if len(p):
+                    yield pa.RecordBatch.from_arrays([pa.array(s[p]), *(pa.array(np.full(len(p), r[c])) for c in ("key", "fp")), pa.array(np.full(len(p), r["n"], np.int32)), pa.array(p.astype(np.int32))], names=["s", "key", "fp", "n", "p"])
+
+    full = made.where(F.size("prefix") > 0)
+    asked = full.select("prefix", "part").mapInArrow(lean(ask), "shard int, part int, keys binary")
+    answers = saved(asked.repartitionById(shards, F.col("shard")).sortWithinPartitions("shard").mapInArrow(lean(answer), "shard int, part int, keys binary"), "answers")
+    rows = answers.unionByName(full.select("part", "key", "fp", "n", "prefix"), allowMissingColumns=True)
+    tasks = parts_for(spark, (made.agg(F.max("part")).first()[0] or 0) + 1, 4)
+    return rows.repartition(tasks, "part").sortWithinPartitions("part", F.col("keys").isNull()).mapInArrow(lean(post), "s long, key long, fp long, n int, p int")
 
 
 def members_of(docs: DataFrame, entries: DataFrame, shingle: int) -> DataFrame:
@@ -129,15 +194,14 @@ def members_of(docs: DataFrame, entries: DataFrame, shingle: int) -> DataFrame:
 
     def work(batches):
         for b in batches:
-            texts = [t or "" for t in b.column(0).to_pylist()]
-            for i, j in in_batches(texts, 4_000_000):
-                sets = [shingles_of(t, shingle) for t in texts[i:j]]
+            for _, _, texts in text_slices(b, 0, 500_000):
+                sets = [shingles_of(t, shingle) for t in texts]
                 yield pa.RecordBatch.from_arrays([pa.array([*map(key_of, sets)], pa.int64()), _lists(sets)], names=["key", "members"])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     ids = entries.where("least is not null").select(F.col("least").alias("doc_id")).distinct()
     some = rows.join(ids, "doc_id", "left_semi").select("text").union(rows.where("doc_id is null").select("text"))
-    found = some.mapInArrow(work, "key long, members array<long>").join(entries.select("key"), "key", "left_semi")
+    found = some.mapInArrow(lean(work), "key long, members array<long>").join(entries.select("key"), "key", "left_semi")
     return found.groupBy("key").agg(F.first("members").alias("members"))  # an id may stand on several rows
 
 
@@ -146,14 +210,7 @@ def _reachable(least: float, n: Column, n2: Column) -> Column:
     return least / (1 + least) * (n + n2) - 1e-9
 
 
-def _verified(pairs: DataFrame, members: DataFrame, least: float) -> DataFrame:
-    """Of pairs of keys (a, b) those whose sets have a Jaccard similarity of at least `least`, as (u, v)."""
-    side = lambda k: members.select(F.col("key").alias(k), F.col("members").alias(f"m_{k}"))
-    both = pairs.join(side("a"), "a").join(side("b"), "b").withColumn("shared", F.size(F.array_intersect("m_a", "m_b")))
-    return saved(both.where(F.col("shared") / (F.size("m_a") + F.size("m_b") - F.col("shared")) >= least).select(F.col("a").alias("u"), F.col("b").alias("v")), "links")
-
-
-def near_duplicates(docs: DataFrame, shingle: int = 5, least: float = 0.8, rounds: int = 3) -> DataFrame:
+def near_duplicates(docs: DataFrame, shingle: int = 5, least: float = 0.8, rounds: int = 2) -> DataFrame:
     """doc_id, key (of the set), component_id of every row of docs (doc_id, text); all pairs at `least` or above are linked.
 
     Null, empty and blank texts have the empty set and are linked with each other alone; a text of fewer words than a shingle
@@ -161,48 +218,59 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, least: float = 0.8, round
     doc_id take part, and a component of such rows alone has none. Repeated rows stay; other columns are ignored, and a
     table without rows gives none.
     """
+    spark = docs.sparkSession
     made = saved(sets_of(docs, shingle, least, frequent(docs, shingle)), "sets")
     entries = saved(made.groupBy("key").agg(F.min("doc_id").alias("least"), F.min("fp").alias("fp"), F.min("n").alias("n")), "entries")
-    posted = made.where("n > 0").select("key", "n", "fp", F.posexplode("prefix").alias("p", "s"))
-    posted = posted.withColumn("m", F.count("*").over(Window.partitionBy("s"))).where("m > 1").drop("m")
+
+    def verified(pairs: DataFrame) -> DataFrame:
+        """Of pairs of keys (a, b) those whose sets are similar enough, as (u, v)."""
+        pairs = saved(pairs.distinct(), "pairs")
+        used = pairs.select(F.col("a").alias("key")).union(pairs.select("b")).distinct()
+        members = saved(members_of(docs, entries.join(used, "key", "left_semi").select("key", "least"), shingle), "members")
+        side = lambda k: members.select(F.col("key").alias(k), F.col("members").alias(f"m_{k}"))
+        both = pairs.join(side("a"), "a").join(side("b"), "b").withColumn("shared", F.size(F.array_intersect("m_a", "m_b")))
+        return saved(both.where(F.col("shared") / (F.size("m_a") + F.size("m_b") - F.col("shared")) >= least).select(F.col("a").alias("u"), F.col("b").alias("v")), "links")
+
     # several tasks can have posted one set: each set once a list
-    lists = saved(posted.groupBy("s", "key").agg(F.min("n").alias("n"), F.min("p").alias("p"), F.min("fp").alias("fp")), "lists")
-    members = saved(members_of(docs, entries.join(lists.select("key").distinct(), "key", "left_semi"), shingle), "members")
+    posted = saved(repeated_postings(made), "postings")
+    n = parts_for(spark, posted.count(), 1_000_000)
+    once = posted.repartition(n, "s").groupBy("s", "key").agg(F.min("n").alias("n"), F.min("p").alias("p"), F.min("fp").alias("fp"))
+    lists = saved(once.withColumn("m", F.count("*").over(Window.partitionBy("s"))).where("m > 1").drop("m"), "lists")
+
+    def beside(labelled: DataFrame) -> DataFrame:
+        """Of each set's neighbours in lists, in other components, the one with the nearest fingerprint."""
+        prev = F.lag(F.struct("key", "n", "fp", "c")).over(Window.partitionBy("s").orderBy("c", "fp", "key"))
+        near = labelled.withColumn("prev", prev).where("prev.key != key and (c is null or prev.c != c)").withColumn("apart", F.bit_count(F.col("fp").bitwiseXOR(F.col("prev.fp"))))
+        near = near.where((F.col("apart") <= APART) & (F.least("n", "prev.n") >= _reachable(least, F.col("n"), F.col("prev.n"))))
+        ends = F.explode(F.array(F.struct(F.col("key").alias("own"), F.col("prev.key").alias("other")), F.struct(F.col("prev.key").alias("own"), F.col("key").alias("other"))))
+        best = near.select("apart", ends.alias("e")).groupBy("e.own").agg(F.min_by("e.other", "apart").alias("other"))
+        return best.select(F.least("own", "other").alias("a"), F.greatest("own", "other").alias("b"))
 
-    # equal and near fingerprints
-    fps = entries.where("n > 0").groupBy("fp").agg(F.min("key").alias("a"))
-    first = entries.join(fps, "fp").where("key != a").select("a", F.col("key").alias("b"))
+    fps = saved(entries.where("n > 0").groupBy("fp").agg(F.min("key").alias("a")), "fingerprints")
+    equal = entries.join(fps, "fp").where("key != a").select("a", F.col("key").alias("b"))
     u, v = (fps.select(F.col("fp").alias(k), F.col("a").alias(f"k_{k}")) for k in "uv")
-    near = near_links(fps.select("fp")).join(u, "u").join(v, "v").select(F.col("k_u").alias("a"), F.col("k_v").alias("b"))
-    links = _verified(first.union(near), members, least)
-    roots = saved(components(links), "roots")
-
+    near = near_links(fps.select("fp")).join(u, "u").join(v, "v").select(F.least("k_u", "k_v").alias("a"), F.greatest("k_u", "k_v").alias("b"))
+    links = verified(equal.union(near).union(beside(lists.withColumn("c", F.lit(None).cast("long")))))
+    label = lambda: lists.join(components(links).withColumnRenamed("id", "key"), "key", "left").select("s", "key", "n", "p", "fp", F.coalesce("root", "key").alias("c"))
     for _ in range(rounds):
-        now = lists.join(roots.withColumnRenamed("id", "key"), "key", "left").withColumn("c", F.coalesce("root", "key")).drop("root")
-        prev = F.lag(F.struct("key", "n", "fp", "c")).over(Window.partitionBy("s").orderBy("c", "key"))
-        beside = now.withColumn("prev", prev).where("prev.c != c").withColumn("apart", F.bit_count(F.col("fp").bitwiseXOR(F.col("prev.fp"))))
-        beside = beside.where((F.col("apart") <= APART) & (F.least("n", "prev.n") >= _reachable(least, F.col("n"), F.col("prev.n"))))
-        ends = F.explode(F.array(F.struct(F.col("key").alias("own"), F.col("prev.key").alias("other")), F.struct(F.col("prev.key").alias("own"), F.col("key").alias("other"))))
-        best = beside.select("apart", ends.alias("e")).groupBy("e.own").agg(F.min(F.struct("apart", "e.other")).alias("m"))
-        more = _verified(best.select(F.least("own", "m.other").alias("a"), F.greatest("own", "m.other").alias("b")).distinct(), members, least)
+        more = verified(beside(saved(label(), "labelled")))
         if more.isEmpty():
             break
         links = links.union(more)
-        roots = saved(components(links), "roots")
 
     # pairs of different components, wherever a list has several
-    now = saved(lists.join(roots.withColumnRenamed("id", "key"), "key", "left").select("s", "key", "n", "p", F.coalesce("root", "key").alias("c")), "labelled")
+    now = saved(label(), "labelled")
     several = now.groupBy("s").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo != hi").select("s")
     now = now.join(several, "s", "left_semi")
     x, y = (now.select("s", *[F.col(k).alias(f"{k}_{side}") for k in ("key", "n", "p", "c")]) for side in "xy")
     met = x.join(y, "s").where((F.col("key_x") < F.col("key_y")) & (F.col("c_x") != F.col("c_y")) & (F.least("n_x", "n_y") >= _reachable(least, F.col("n_x"), F.col("n_y"))))
     tally = met.groupBy("key_x", "key_y").agg(F.count("*").alias("k"), *[F.min(c).alias(c) for c in ("n_x", "n_y", "p_x", "p_y")])
-    behind = F.greatest(*[F.col(n) - prefix_size(F.col(n), least) for n in ("n_x", "n_y")])
+    behind = F.greatest(*[F.col(c) - prefix_size(F.col(c), least) for c in ("n_x", "n_y")])
     # the first shared member stands at p in both, so no more than what follows it is shared
     reach = F.least(F.col("k") + behind, F.col("n_x") - F.col("p_x"), F.col("n_y") - F.col("p_y"))
-    across = tally.where(reach >= _reachable(least, F.col("n_x"), F.col("n_y"))).select(F.col("key_x").alias("a"), F.col("key_y").alias("b"))
+    across = verified(tally.where(reach >= _reachable(least, F.col("n_x"), F.col("n_y"))).select(F.col("key_x").alias("a"), F.col("key_y").alias("b")))
 
-    roots = components(links.union(_verified(across, members, least)))
+    roots = components(links.union(across))
     rooted = entries.select("key", "least").join(roots.withColumnRenamed("id", "key"), "key", "left").select("key", "least", F.coalesce("root", "key").alias("root"))
     named = rooted.join(rooted.groupBy("root").agg(F.min("least").alias("component_id")), "root").select("key", "component_id")
     return made.select("doc_id", "key").join(named, "key")
