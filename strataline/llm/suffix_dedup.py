@@ -6,12 +6,13 @@ strings), so equal strings meet in the shard of their common minimizer.
 
 1. Documents are stored once, in frames of a few MB in the shared folder; later steps read a frame by its number, so no
    text is shuffled.
-2. Each frame sends the distinct minimizers of its strings, 5 bytes each, to shards by hash, which answer with those that
-   more than one document has. A hot one comes at most once from each frame.
+2. Each frame sends the distinct minimizers of its strings, 6 bytes each with the size of their number, to shards by hash,
+   which answer with those that more than one document has. A hot one comes at most once from each frame.
 3. Maximal runs of strings with the same repeated minimizer are sent, as text, to shards; equal ones of a frame once, with
-   the documents that have them. A shard of bounded size builds its suffix array by induced sorting over the distinct texts,
-   bounds groups of equal `length`-byte strings by permuted common prefixes, and takes the least doc_id of each. It answers
-   with the intervals to remove in each document.
+   the documents that have them. A minimizer with more text than a part of a shard is hot: its runs are cut further by the
+   minimizers of one or two other hashes, which lie in the strings' different contexts, and those cuts go to shards of their own.
+   A shard builds its suffix array by induced sorting over the distinct texts, bounds groups of equal `length`-byte strings by
+   permuted common prefixes, and takes the least doc_id of each. It answers with the intervals to remove in each document.
 4. Each frame applies its intervals. All strings are judged on the input, not on what is left.
 
 Minimizers only choose where strings meet; two different strings never count as equal, whatever their hashes.
@@ -28,16 +29,17 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from strataline.llm.common import parts_for, saved, scratch
-from strataline.llm.suffixes import shares_prefix, suffix_array
+from strataline.llm.common import lean, parts_for, saved, scratch
+from strataline.llm.suffixes import common_prefixes, suffix_array
 from strataline.llm.token_files import FrameReader, FrameWriter, filesystem
 
 LENGTH, SEED_BYTES, FRAME_BYTES, SHARD_BYTES, FRAMES = 50, 24, 4 << 20, 4 << 20, 1 << 24
+HOT_BYTES = 1 << 19  # text of one minimizer, as estimated, above which its runs are cut further
 NEVER_SMALLER = np.iinfo(np.int64).max  # a row without doc_id
 
 
-def window_minima(buf: np.ndarray, length: int = LENGTH, k: int = SEED_BYTES, step: int = 1 << 16) -> np.ndarray:
-    """For each position the least hash among the k-byte strings of the `length` bytes from there."""
+def window_minima(buf: np.ndarray, length: int = LENGTH, k: int = SEED_BYTES, step: int = 1 << 16, other: int = 0) -> np.ndarray:
+    """For each position the least hash among the k-byte strings of the `length` bytes from there; other: number of another hash."""
     n, span = len(buf) - length + 1, length - k + 1
     out = np.empty(max(0, n), np.uint64)
     with np.errstate(over="ignore"):
@@ -45,7 +47,7 @@ def window_minima(buf: np.ndarray, length: int = LENGTH, k: int = SEED_BYTES, st
             z = min(n, a + step)
             count = z - a + span - 1
             part = np.ascontiguousarray(buf[a : a + count + k - 1])
-            h = np.zeros(count, np.uint64)
+            h = np.full(count, other, np.uint64)
             for d in range(0, k, 8):
                 h += np.ndarray((count,), "<u8", part, d, (1,))
                 h *= np.uint64(0x9E3779B97F4A7C15)
@@ -88,6 +90,26 @@ class Frame:
         return (m & np.uint64(0xFFFFFF)) % np.uint64(shards) << np.uint64(40) | m >> np.uint64(24), starts, ends, doc
 
 
+def cut_further(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray, twice: np.ndarray, length: int = LENGTH) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Runs of strings (first, end) cut where the minimizer of a second hash changes, or (twice) of a second or third.
+
+    Returns run, first, end and a hash of the further minimizers. Equal strings get equal hashes, wherever they are.
+    """
+    sizes = ends - starts + length - 1
+    base = np.cumsum(sizes) - sizes
+    text = buf[np.repeat(starts - base, sizes) + np.arange(int(sizes.sum()))]
+    run = np.repeat(np.arange(len(starts)), ends - starts)
+    step = np.arange(len(run)) - np.repeat(np.cumsum(ends - starts) - (ends - starts), ends - starts)
+    at = base[run] + step
+    mark = window_minima(text, length, other=1)[at]
+    if twice.any():
+        more = window_minima(text, length, other=2)[at]
+        mark = np.where(twice[run], mark * np.uint64(0x9E3779B97F4A7C15) ^ more, mark)
+    first = np.flatnonzero(np.concatenate([[True], (mark[1:] != mark[:-1]) | (run[1:] != run[:-1])])[: len(run)])
+    own = run[first]
+    return own, starts[own] + step[first], starts[own] + step[np.append(first[1:], len(run)) - 1] + 1, mark[first]
+
+
 def _five(keys: np.ndarray) -> bytes:
     return keys.astype("<u8").view("u1").reshape(-1, 8)[:, :5].tobytes()
 
@@ -98,6 +120,18 @@ def _from_five(raw: bytes) -> np.ndarray:
     return wide.view("<u8").ravel().astype(np.uint64)
 
 
+def _six(keys: np.ndarray, code: np.ndarray) -> bytes:
+    """40-bit keys with a byte behind each."""
+    wide = keys.astype("<u8").view("u1").reshape(-1, 8)[:, :6].copy()
+    wide[:, 5] = code
+    return wide.tobytes()
+
+
+def _from_six(raw: bytes) -> tuple[np.ndarray, np.ndarray]:
+    wide = np.frombuffer(raw, np.uint8).reshape(-1, 6)
+    return _from_five(np.ascontiguousarray(wide[:, :5]).tobytes()), wide[:, 5]
+
+
 def _grouped(batches, key: str):
     """(value of key, list of rows) for each run of equal keys over a sorted partition."""
     held, now = [], None
@@ -157,7 +191,7 @@ def _store(docs: DataFrame, uri: str) -> DataFrame:
             fs.move(own, path)
             yield pa.RecordBatch.from_pydict({"frame": pa.array([f for f, _ in rows], pa.int64()), "n_bytes": pa.array([n for _, n in rows], pa.int64())})
 
-    return saved(docs.mapInArrow(write, "frame long, n_bytes long"), "frames")
+    return saved(docs.mapInArrow(lean(write), "frame long, n_bytes long"), "frames")
 
 
 def _load(uri: str, frame: int) -> Frame:
@@ -169,7 +203,9 @@ def remove_repeats(docs: DataFrame, finish, schema, length: int = LENGTH) -> Dat
     """docs (doc_id, text, more) through finish(frame, removed), which gives an Arrow batch of schema for each frame.
 
     removed: a mask over the frame's bytes. Null texts are empty; rows without doc_id lose what others have, and take nothing
-    from others; rows under one doc_id take nothing from each other, so repeated rows stay as they are.
+    from others; rows under one doc_id take nothing from each other, so repeated rows stay as they are. Texts shorter than
+    length lose nothing; a text is taken whole, up to the 2 GiB that one Arrow value holds. Other columns go through, whatever
+    their names. A table without rows gives none.
     """
     spark = docs.sparkSession
     uri = scratch(spark, "frames")
@@ -189,43 +225,54 @@ def remove_repeats(docs: DataFrame, finish, schema, length: int = LENGTH) -> Dat
                 last = np.append(first[1:], len(keys)) - 1
                 many = doc[first] != doc[last]
                 keys = keys[first]
+                code = np.log2(np.maximum(1, np.diff(np.append(first, len(doc))))).astype(np.uint8)
                 shard = (keys >> np.uint64(40)).astype(np.int64)
                 cuts = np.flatnonzero(np.concatenate([[True], shard[1:] != shard[:-1]])) if len(keys) else []
                 out = []
                 for a, z in zip(cuts, np.append(cuts[1:], len(keys))):
-                    k, r = keys[a:z] & np.uint64((1 << 40) - 1), many[a:z]
-                    out.append((int(shard[a]), f, int(r.sum()), _five(np.concatenate([k[r], k[~r]]))))
+                    k, r, n = keys[a:z] & np.uint64((1 << 40) - 1), many[a:z], code[a:z]
+                    out.append((int(shard[a]), f, int(r.sum()), _six(np.concatenate([k[r], k[~r]]), np.concatenate([n[r], n[~r]]))))
                 if out:
                     yield pa.RecordBatch.from_pydict(dict(zip(("shard", "frame", "n_many", "keys"), map(list, zip(*out)))), schema=pa.schema([("shard", pa.int32()), ("frame", pa.int64()), ("n_many", pa.int32()), ("keys", pa.binary())]))
 
     def repeated(batches):
         for shard, rows in _grouped(batches, "shard"):
-            keys = [_from_five(r["keys"]) for r in rows]
+            keys, codes = zip(*(_from_six(r["keys"]) for r in rows))
             many = np.concatenate([np.arange(len(k)) < r["n_many"] for k, r in zip(keys, rows)])
             found, inverse, counts = np.unique(np.concatenate(keys), return_inverse=True, return_counts=True)
             hit = (counts > 1) | (np.bincount(inverse[many], minlength=len(found)) > 0)
+            text = np.bincount(inverse, 1.5 * 2.0 ** np.concatenate(codes), minlength=len(found)) * 1.5 * length
+            split = np.ceil(np.log2(np.maximum(1, text / HOT_BYTES))).astype(np.uint8)
             hits, at, out = hit[inverse], 0, []
             for k, r in zip(keys, rows):
-                own = k[hits[at : at + len(k)]]
+                own = hits[at : at + len(k)]
+                if own.any():
+                    out.append((r["frame"], shard, _six(k[own], split[inverse[at : at + len(k)][own]])))
                 at += len(k)
-                if len(own):
-                    out.append((r["frame"], shard, _five(own)))
             if out:
                 yield pa.RecordBatch.from_pydict(dict(zip(("frame", "shard", "keys"), map(list, zip(*out)))), schema=pa.schema([("frame", pa.int64()), ("shard", pa.int32()), ("keys", pa.binary())]))
 
-    asked = frames.select("frame").repartition(tasks).mapInArrow(minimizers, "shard int, frame long, n_many int, keys binary")
-    answers = saved(asked.repartitionById(shards, F.col("shard")).sortWithinPartitions("shard").mapInArrow(repeated, "frame long, shard int, keys binary"), "repeated")
-    runs = answers.agg(F.coalesce(F.sum(F.octet_length("keys")), F.lit(0))).first()[0] / 5
+    asked = frames.select("frame").repartition(tasks).mapInArrow(lean(minimizers), "shard int, frame long, n_many int, keys binary")
+    answers = saved(asked.repartitionById(shards, F.col("shard")).sortWithinPartitions("shard").mapInArrow(lean(repeated), "frame long, shard int, keys binary"), "repeated")
+    runs = answers.agg(F.coalesce(F.sum(F.octet_length("keys")), F.lit(0))).first()[0] / 6
     text_shards = parts_for(spark, runs * 1.3 * length, SHARD_BYTES)
     packet = pa.schema([("shard", pa.int32()), ("frame", pa.int64()), ("text", pa.binary()), ("lens", pa.binary()), ("n", pa.binary()), ("doc", pa.binary()), ("pos", pa.binary()), ("id", pa.binary())])
 
     def texts(batches):
         for f, rows in _grouped(batches, "frame"):
-            wanted = np.sort(np.concatenate([_from_five(r["keys"]) | np.uint64(r["shard"]) << np.uint64(40) for r in rows]))
+            wanted, split = (np.concatenate(x) for x in zip(*((k | np.uint64(r["shard"]) << np.uint64(40), c) for r in rows for k, c in [_from_six(r["keys"])])))
+            order = np.argsort(wanted)
+            wanted, split = wanted[order], split[order]
             frame = _load(uri, f)
             keys, starts, ends, doc = frame.runs(shards, length)
-            use = wanted[np.minimum(np.searchsorted(wanted, keys), len(wanted) - 1)] == keys
-            keys, starts, ends, doc = keys[use], starts[use], ends[use] + length - 1, doc[use]
+            at = np.minimum(np.searchsorted(wanted, keys), len(wanted) - 1)
+            use = wanted[at] == keys
+            keys, starts, ends, doc, split = keys[use], starts[use], ends[use], doc[use], split[at[use]]
+            if (hot := split > 0).any():
+                own, a, z, mark = cut_further(frame.buf, starts[hot], ends[hot], split[hot] > 4, length)
+                starts, ends, doc = np.append(starts[~hot], a), np.append(ends[~hot], z), np.append(doc[~hot], doc[hot][own])
+                keys = np.append(keys[~hot], keys[hot][own] ^ mark)
+            ends = ends + length - 1
             shard = ((keys ^ keys >> np.uint64(21)) % np.uint64(text_shards)).astype(np.int64)
             order = np.argsort(shard, kind="stable")
             raw = frame.buf.tobytes()
@@ -258,9 +305,9 @@ def remove_repeats(docs: DataFrame, finish, schema, length: int = LENGTH) -> Dat
             depth = np.bincount(frame.off[marks[:, 0]] + marks[:, 1], minlength=n + 1) - np.bincount(frame.off[marks[:, 0]] + marks[:, 2], minlength=n + 1)
             yield finish(frame, np.cumsum(depth)[:n] > 0)
 
-    sent = answers.repartition(tasks, "frame").sortWithinPartitions("frame").mapInArrow(texts, "shard int, frame long, text binary, lens binary, n binary, doc binary, pos binary, id binary")
-    marks = saved(sent.repartitionById(text_shards, F.col("shard")).sortWithinPartitions("shard").mapInArrow(judge, "frame long, marks binary"), "marks")
-    return marks.union(frames.select("frame", F.lit(b"").alias("marks"))).repartition(tasks, "frame").sortWithinPartitions("frame").mapInArrow(apply, schema)
+    sent = answers.repartition(tasks, "frame").sortWithinPartitions("frame").mapInArrow(lean(texts), "shard int, frame long, text binary, lens binary, n binary, doc binary, pos binary, id binary")
+    marks = saved(sent.repartitionById(text_shards, F.col("shard")).sortWithinPartitions("shard").mapInArrow(lean(judge), "frame long, marks binary"), "marks")
+    return marks.union(frames.select("frame", F.lit(b"").alias("marks"))).repartition(tasks, "frame").sortWithinPartitions("frame").mapInArrow(lean(apply), schema)
 
 
 def judged(rows: list[dict], length: int) -> list[bytes]:
@@ -279,8 +326,8 @@ def judged(rows: list[dict], length: int) -> list[bytes]:
     text = np.frombuffer(b"".join(unique), np.uint8)
     least = np.full(len(unique), NEVER_SMALLER)
     np.minimum.at(least, np.concatenate(where), np.concatenate(ids))
-    sa = suffix_array(text, length)
-    same = shares_prefix(text, sa, length)
+    sa = suffix_array(text)
+    same = common_prefixes(text, sa) >= length
     sa = sa[1:].astype(np.int64)
     owner = np.repeat(np.arange(len(lens)), lens)
     group = np.cumsum(~same[sa])
@@ -337,7 +384,7 @@ def _kept(frame: Frame, removed: np.ndarray, n: np.ndarray):
 
 
 def digests(docs: DataFrame, length: int = LENGTH) -> DataFrame:
-    """doc_id, n_bytes, n_removed, n_spans, kept_sha256 of every row."""
+    """doc_id, n_bytes, n_removed, n_spans, kept_sha256 of every row; null and empty texts have no bytes. See remove_repeats."""
 
     def finish(frame: Frame, removed: np.ndarray) -> pa.RecordBatch:
         n, runs = _spans(frame, removed)
