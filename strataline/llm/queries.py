@@ -6,7 +6,7 @@ from strataline.llm.ann import op4_nearest
 from strataline.llm.bpe import op8_byte_bpe
 from strataline.llm.embedding_dedup import op10_embedding_dedup
 from strataline.llm.packing import op7_packing
-from strataline.llm.quality import op6_quality
+from strataline.llm.quality import POSTERIORS_SQL, op6_quality, quality_posteriors
 from strataline.llm.simhash import op5_simhash
 from strataline.llm.suffix_dedup import op3_suffix_dedup
 from strataline.llm.token_counts import op9_token_counts
@@ -24,9 +24,11 @@ QUERIES = {
     "op8_byte_bpe": op8_byte_bpe,
     "op9_token_counts": op9_token_counts,
     "op10_embedding_dedup": op10_embedding_dedup,
+    "quality_posteriors": quality_posteriors,
 }
 #: The other operators are learned, hash or encode, which SQL can't express; tests hold them against brute force.
 ORACLE_SQL: dict[str, str] = {
+    "quality_posteriors": POSTERIORS_SQL,
     "op10_embedding_dedup": """WITH RECURSIVE v AS (
   SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings
   WHERE embedding IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0),

@@ -69,10 +69,12 @@ def lexical(url: Column, host: Column, path: Column) -> dict[str, Column]:
 def judge(pages: DataFrame, rules=RULES, most: int = 20_000, trees: int = 12, depth: int = 4) -> DataFrame:
     """page_id, host, path, rule, verdict of every row of pages (page_id, url), and score where the trees decided.
 
-    Classes and the counts and block rates of suffixes are of all labelled rows. The trees see at most `most` distinct labelled URLs, of
+    Classes and the counts and block rates of suffixes are of all labelled rows, but for the copies of a URL that is learnt from: its own
+    label is no part of its features. The trees see at most `most` distinct labelled URLs, of
     either verdict those with the least hashes, weighted by their copies. Null and malformed URLs have empty host and path;
     no rule fits them, so the trees decide, as for any other. If all labelled URLs have one verdict, so have the rest; without
-    labelled URLs the rest are allowed. Repeated rows are judged each.
+    labelled URLs the rest are allowed. Repeated rows are judged each, so ties need no order. URLs are read whole, however long;
+    a table without rows gives none; other columns are ignored, whatever their names.
     """
     from pyspark.ml.classification import GBTClassifier
     from pyspark.ml.feature import VectorAssembler
@@ -91,8 +93,6 @@ def judge(pages: DataFrame, rules=RULES, most: int = 20_000, trees: int = 12, de
     if classes in (None, 0.0, 1.0):
         return read.select(*out, F.coalesce("ruled", F.lit("block" if classes else "allow")).alias("verdict"), F.lit(None).cast("double").alias("score"))
 
-    # halved evidence for rare suffixes
-    rates = rates.select("suffix", ((F.col("blocked") + 4 * F.lit(classes)) / (F.col("seen") + 4)).alias("rate"), "seen")
     each = most // 2  # of either class, so that both are seen whatever their shares
     urls = labels.groupBy("url").agg(F.first("host").alias("host"), F.first("path").alias("path"), F.first("label").alias("label"), F.count("*").cast("double").alias("copies"))
     urls = saved(urls, "labelled")
@@ -106,13 +106,16 @@ def judge(pages: DataFrame, rules=RULES, most: int = 20_000, trees: int = 12, de
         took = took.withColumn("weight", F.col("copies") * F.lit(total / held))
         sample = took if sample is None else sample.union(took)
 
-    def with_features(df: DataFrame) -> DataFrame:
+    def with_features(df: DataFrame, own: Column | float = 0.0, own_blocked: Column | float = 0.0) -> DataFrame:
+        """own: the rows with the same labelled URL, which say nothing about their own suffix."""
         df = df.join(rates, suffix_of(F.col("host")) == rates["suffix"], "left").drop(rates["suffix"])
-        known = {**features, "suffix_rate": F.coalesce("rate", F.lit(classes)), "suffix_seen": F.log1p(F.coalesce("seen", F.lit(0.0)))}
+        seen = F.coalesce("seen", F.lit(0.0)) - own
+        rate = (F.coalesce("blocked", F.lit(0.0)) - own_blocked + 4 * F.lit(classes)) / (seen + 4)  # rare suffixes are near the mean of all
+        known = {**features, "suffix_rate": rate, "suffix_seen": F.log1p(seen)}
         return df.withColumns({f"x_{k}": known[k] for k in FEATURES})
 
     assembler = VectorAssembler(inputCols=[f"x_{k}" for k in FEATURES], outputCol="x")
-    model = GBTClassifier(featuresCol="x", labelCol="label", weightCol="weight", maxIter=trees, maxDepth=depth, seed=7).fit(assembler.transform(with_features(sample.select("url", "host", "path", "label", "weight"))))
+    model = GBTClassifier(featuresCol="x", labelCol="label", weightCol="weight", maxIter=trees, maxDepth=depth, seed=7).fit(assembler.transform(with_features(sample, F.col("copies"), F.col("copies") * F.col("label"))))
     # only what no rule covers is scored
     ruled = read.where("ruled is not null").select(*out, F.col("ruled").alias("verdict"), F.lit(None).cast("double").alias("score"))
     rest = model.transform(assembler.transform(with_features(read.where("ruled is null")))).withColumn("score", vector_to_array("probability")[1])

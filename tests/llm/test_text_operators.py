@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import random
 import zlib
 from collections import Counter
 
@@ -226,10 +227,37 @@ def test_suffix_arrays():
         b = bytes(t)
         sa = suffixes.suffix_array(t)
         assert list(sa) == sorted(range(len(b) + 1), key=lambda i: b[i:])
-        length = int(rng.integers(1, 20))
-        same = suffixes.shares_prefix(t, sa, length)
+        shared = suffixes.common_prefixes(t, sa)
         for p, q in zip(sa, sa[1:]):
-            assert same[q] == (len(b) >= max(p, q) + length and b[p : p + length] == b[q : q + length])
+            k = 0
+            while max(p, q) + k < len(b) and b[p + k] == b[q + k]:
+                k += 1
+            assert shared[q] == k
+
+
+def test_suffix_array_sorts_reduced_strings_recursively():
+    rng = np.random.default_rng(2)
+    t = rng.integers(0, 256, 6000).astype(np.uint8)
+    t = np.concatenate([t, t[500:4000], t[100:2000], t, t[:50]])  # long repeats: several levels, large alphabets
+    b = bytes(t)
+    assert list(suffixes.suffix_array(t)) == sorted(range(len(b) + 1), key=lambda i: b[i:])
+
+
+def test_a_hot_minimizer_is_spread():
+    """One minimizer in many contexts: no shard gets much of its text, and equal strings still meet."""
+    rng = np.random.default_rng(3)
+    shared = rng.integers(97, 123, 24).astype(np.uint8)
+    texts = [np.concatenate([rng.integers(97, 123, 26), shared, rng.integers(97, 123, 26)]).astype(np.uint8) for _ in range(20_000)]
+    texts[1] = texts[0]
+    buf = np.concatenate(texts)
+    starts = np.arange(len(texts)) * 76
+    for twice in (False, True):
+        run, a, z, mark = suffix_dedup.cut_further(buf, starts, starts + 27, np.full(len(texts), twice))
+        assert np.bincount(run, z - a, minlength=len(texts)).tolist() == [27.0] * len(texts)  # each string in one cut
+        assert ((a - starts[run]).tolist(), mark[run == 0].tolist()) == ((a - starts[run]).tolist(), mark[run == 1].tolist())
+        amount = np.bincount((mark % np.uint64(256)).astype(np.int64), z - a + 49, minlength=256)
+        assert amount.max() < 0.1 * amount.sum() and amount.sum() < 4 * len(buf)
+        assert np.unique(mark[z - a > 0], return_counts=True)[1].max() < (0.08 if twice else 0.1) * len(mark)
 
 
 def test_suffix_dedup(spark, docs, rows, no_docs):
@@ -251,6 +279,40 @@ def test_small_lengths_against_brute_force(spark):
     assert got == Counter((r[0], *w) for r, w in zip(rows, brute.without_repeats(rows)))
 
 
+def test_hot_runs_are_cut_in_the_query(spark, monkeypatch):
+    monkeypatch.setattr(suffix_dedup, "HOT_BYTES", 64)  # nearly every repeated minimizer counts as hot
+    rng = random.Random(6)
+    prose = lambda n: "".join(rng.choice("abcdef ") for _ in range(n))
+    core, passage = prose(30), prose(90)
+    rows = [(i, prose(40) + core + prose(40) + (passage if i % 4 == 0 else "")) for i in range(80)] + [(5, passage), (90, ""), (91, None)]
+    got = Counter(tuple(r) for r in suffix_dedup.digests(spark.createDataFrame(rows, "doc_id long, text string").repartition(6)).collect())
+    assert got == Counter((r[0], *w) for r, w in zip(rows, brute.without_repeats(rows)))
+
+
+def test_quality_posteriors_against_plain_moments(spark, duck):
+    from strataline.llm.queries import ORACLE_SQL, QUERIES
+    from tests.compare import SF, same
+
+    same(QUERIES["quality_posteriors"](spark, SF), duck, ORACLE_SQL["quality_posteriors"])
+    rng = np.random.default_rng(8)
+    rows = [(f"h{h}" if h else None, f"p{p}", float(np.clip(0.5 + 0.2 * np.sin(h) + 0.1 * np.cos(h + p) + rng.normal(0, 0.35), 0, 1))) for h in range(12) for p in range(3) for _ in range(int(rng.integers(1, 40)))]
+    found, mean = quality.posteriors(spark.createDataFrame(rows, "site string, part string, e double"), ["site"], ["part"], "e")
+    e = np.array([r[2] for r in rows])
+    assert abs(mean - e.mean()) < 1e-12
+    hosts, paths = ({k: np.array([x[2] for x in rows if key(x) == k]) for k in {key(x) for x in rows}} for key in (lambda x: x[0], lambda x: x[:2]))
+    n, within = len(e), lambda g: sum(((v - v.mean()) ** 2).sum() for v in g.values()) / (len(e) - len(g))
+    between_h = (sum(len(v) * (v.mean() - e.mean()) ** 2 for v in hosts.values()) - (len(hosts) - 1) * within(hosts)) / (n - sum(len(v) ** 2 for v in hosts.values()) / n)
+    k = within(hosts) / between_h
+    assert 1 < k < quality.STRONGEST
+    host = {h: (v.sum() + k * e.mean()) / (len(v) + k) for h, v in hosts.items()}
+    between_p = (sum(len(v) * (v.mean() - hosts[h].mean()) ** 2 for (h, _), v in paths.items()) - (len(paths) - len(hosts)) * within(paths)) / (n - sum(len(v) ** 2 / len(hosts[h]) for (h, _), v in paths.items()))
+    k = min(quality.STRONGEST, max(1.0, within(paths) / between_p)) if between_p > 0 else quality.STRONGEST
+    assert found.count() == len(paths)
+    for r in found.toDF("h", "p", "n", "host", "path").collect():
+        v = paths[r["h"], r["p"]]
+        assert r["n"] == len(v) and abs(r["host"] - host[r["h"]]) < 1e-9 and abs(r["path"] - (v.sum() + k * host[r["h"]]) / (len(v) + k)) < 1e-9
+
+
 def test_quality(spark):
     from tests.compare import SF
 
