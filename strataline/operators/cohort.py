@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from strataline.functions.core import UNKNOWN, constant_or_unknown, finite, key_or_unknown, number, safe_div, unpivot, weighted_mean
+from strataline.functions.scratch import saved
 
 
 @dataclass(frozen=True)
@@ -108,31 +109,34 @@ def with_readouts(df: DataFrame, scheme: Scheme = WALL) -> DataFrame:
     return df.withColumns({k: F.coalesce(number(df, k), v) for k, v in derived.items()})
 
 
-def _aggregates(df: DataFrame, keys: list[str], scheme: Scheme, name: str, carry: tuple[str, ...], counted: tuple[str, ...]) -> list[Column]:
+def _weighted(df: DataFrame, scheme: Scheme) -> dict[str, Column]:
+    """The weight of each averaged column that is there."""
+    w = number(df, scheme.weight) if scheme.weight else F.lit(None).cast("double")
+    cover = w * number(df, scheme.coverage) if scheme.coverage in df.columns else w
+    return {c: cover if c in scheme.coverage_weighted else w for c in scheme.averaged if c in df.columns}
+
+
+def _aggregates(df: DataFrame, keys: list[str], scheme: Scheme, name: str, carry: tuple[str, ...], counted: tuple[str, ...], listed: bool) -> list[Column]:
     out = [F.sum(number(df, c)).alias(c) for c in scheme.sums if c in df.columns]
-    for c in scheme.averaged:
-        if c in df.columns:
-            w = number(df, scheme.weight)
-            if c in scheme.coverage_weighted and scheme.coverage in df.columns:
-                w = w * number(df, scheme.coverage)
-            out.append(weighted_mean(number(df, c), w).alias(c))
+    out += [weighted_mean(number(df, c), w).alias(c) for c, w in _weighted(df, scheme).items()]
     out += [constant_or_unknown(c).alias(c) for c in carry if c in df.columns and c not in keys]
     out.append((F.count_distinct(name) if name in df.columns else F.count("*")).alias("n_sections"))
     out += [F.count("*").alias("n_vessels"), F.count("*").alias("n_fields")]
     out += [F.count_distinct(key_or_unknown(c)).alias(f"n_{c}s") for c in counted if c in df.columns and c not in keys]
-    if name in df.columns:
+    if listed and name in df.columns:
         out.append(F.array_join(F.array_sort(F.collect_list(F.col(name).cast("string"))), ", ").alias("sections"))
     return out
 
 
-def pool(df: DataFrame, by: list[str], scheme: Scheme = WALL, name: str = "name", carry: tuple[str, ...] = ("genotype", "age"), counted: tuple[str, ...] = ("slide", "mouse", "segment")) -> DataFrame:
+def pool(df: DataFrame, by: list[str], scheme: Scheme = WALL, name: str = "name", carry: tuple[str, ...] = ("genotype", "age"), counted: tuple[str, ...] = ("slide", "mouse", "segment"), listed: bool = False) -> DataFrame:
     """One row a group: sums, readouts of the sums, weighted means, what the rows share, and counts.
 
-    A sum over no value is NULL. Blank keys are `unknown`. `sections` lists names with repetition, in order.
+    A sum over no value is NULL. Blank keys are `unknown`. listed: also `sections`, the names with repetition, in order; that is
+    one value a group, so only for groups of a few sections.
     """
     df = with_sums(df, scheme)
     keyed = df.withColumns({k: key_or_unknown(k) for k in by})
-    made = keyed.groupBy(*by).agg(*_aggregates(keyed, by, scheme, name, carry, counted))
+    made = keyed.groupBy(*by).agg(*_aggregates(keyed, by, scheme, name, carry, counted, listed))
     return _finished(made, scheme)
 
 
@@ -142,14 +146,52 @@ def _finished(made: DataFrame, scheme: Scheme) -> DataFrame:
     return made.withColumns({k: F.col(c) / unit for k, (c, unit) in scheme.convenience.items() if c in made.columns})
 
 
-def ladder(df: DataFrame, group: str = "genotype", subject: str = "mouse", region: str = "segment", scheme: Scheme = WALL, name: str = "name", carry: tuple[str, ...] = ("age",)) -> DataFrame:
-    """Both lower steps in one pass: rows by subject and region, and by subject with the region `all segments`."""
+def ladder(df: DataFrame, group: str = "genotype", subject: str = "mouse", region: str = "segment", scheme: Scheme = WALL, name: str = "name", carry: tuple[str, ...] = ("age",), counted: tuple[str, ...] = ("slide",), listed: bool = False) -> DataFrame:
+    """Both lower steps: rows by subject and region, and by subject with the region `all segments`.
+
+    The input is read once, to a small table in the shared folder: by subject and region a row of sums, and a row for each different
+    name, slide and carried value with its count. Either step adds up that table: sums of sums, and counts of what differs.
+    No string is an aggregate's value there, so all of it is hashed and combined before the shuffle.
+    """
     keys = [group, subject, region]
     df = with_sums(df, scheme)
     keyed = df.withColumns({k: key_or_unknown(k) for k in keys})
-    label = F.when(F.grouping(region) == 1, F.lit(scheme.together)).otherwise(F.col(region)).alias("region_label")
-    made = keyed.groupingSets([[F.col(k) for k in keys], [F.col(group), F.col(subject)]], *keys).agg(label, *_aggregates(keyed, keys, scheme, name, carry, ("slide",)))
-    return _finished(made.drop(region).withColumnRenamed("region_label", region).select(group, subject, region, *[c for c in made.columns if c not in (*keys, "region_label")]), scheme)
+    parts = {c: number(keyed, c) for c in scheme.sums if c in df.columns}
+    weights = _weighted(keyed, scheme)
+    for c, w in weights.items():
+        use = number(keyed, c).isNotNull() & (w > 0)
+        parts |= {f"num_{c}": F.when(use, number(keyed, c) * w), f"den_{c}": F.when(use, w)}
+    carry = tuple(c for c in carry if c in df.columns and c not in keys)
+    counted = tuple(c for c in counted if c in df.columns and c not in keys)
+    kinds = {"sums": F.lit(None).cast("string")}
+    if name in df.columns:
+        kinds["name"] = F.col(name).cast("string")
+    kinds |= {f"n_{c}": key_or_unknown(c) for c in counted} | {f"carry_{c}": F.nullif(F.col(c).cast("string"), F.lit("")) for c in carry}
+    number_of = {k: i for i, k in enumerate(kinds)}
+    wide = keyed.select(*keys, F.explode(F.array(*[F.struct(F.lit(number_of[k]).alias("kind"), v.alias("value")) for k, v in kinds.items()])).alias("_"), *[v.alias(f"part_{k}") for k, v in parts.items()])
+    made = wide.groupBy(*keys, F.col("_.kind").alias("kind"), F.col("_.value").alias("value")).agg(F.count("*").alias("n"), *[F.sum(F.when(F.col("_.kind") == 0, F.col(f"part_{k}"))).alias(f"part_{k}") for k in parts])
+    made = saved(made, "ladder")
+
+    def step(by: list[str]) -> DataFrame:
+        sums = made.where("kind = 0").groupBy(*by).agg(F.sum("n").alias("n_vessels"), *[F.sum(f"part_{k}").alias(f"part_{k}") for k in parts])
+        sums = sums.select(*by, "n_vessels", *[F.col(f"part_{c}").alias(c) for c in parts if c in scheme.sums], *[safe_div(f"part_num_{c}", f"part_den_{c}").alias(c) for c in weights])
+        different = made.where("kind > 0").select(*by, "kind", "value").distinct()
+        n = lambda k: F.count(F.when(F.col("kind") == number_of[k], F.col("value")))
+        counts = different.groupBy(*by).agg(F.count("*").alias("_rows"), *([n("name").alias("n_sections")] if "name" in kinds else []), *[n(f"n_{c}").alias(f"n_{c}s") for c in counted])
+        out = sums.join(counts, by, "left").drop("_rows").withColumn("n_fields", F.col("n_vessels"))
+        if "name" not in kinds:
+            out = out.withColumn("n_sections", F.col("n_vessels"))
+        for c in carry:
+            one = different.where((F.col("kind") == number_of[f"carry_{c}"]) & F.col("value").isNotNull()).groupBy(*by).agg(F.count("*").alias("_k"), F.max("value").alias("_v"))
+            out = out.join(one, by, "left").withColumn(c, F.when(F.col("_k") == 1, F.col("_v")).otherwise(F.lit(UNKNOWN))).drop("_k", "_v")
+        if listed and "name" in kinds:
+            names = made.where((F.col("kind") == number_of["name"]) & F.col("value").isNotNull()).groupBy(*by).agg(F.array_join(F.array_sort(F.flatten(F.collect_list(F.array_repeat("value", F.col("n").cast("int"))))), ", ").alias("sections"))
+            out = out.join(names, by, "left")
+        return out
+
+    whole = step([group, subject]).withColumn(region, F.lit(scheme.together))
+    both = step(keys).unionByName(whole)
+    return _finished(both.select(*keys, *[c for c in both.columns if c not in keys]), scheme)
 
 
 def per_group(rows: DataFrame, readouts: list[str], by: str = "genotype", region: str = "segment") -> DataFrame:
@@ -190,7 +232,7 @@ def summarise(sections: DataFrame, organ: str | None = None) -> dict[str, DataFr
     """The whole ladder: sections, by_mouse_segment, by_mouse, by_genotype and comparison."""
     scheme = scheme_for(organ)
     checked = check_columns(sections, scheme)
-    both = ladder(checked, scheme=scheme)
+    both = ladder(checked, scheme=scheme, listed=True)
     fine, whole = both.where(F.col("segment") != scheme.together), both.where(F.col("segment") == scheme.together)
     stacked = fine.unionByName(whole, allowMissingColumns=True)
     readouts = [*scheme.readouts, *[c for c in scheme.averaged if c in stacked.columns]]

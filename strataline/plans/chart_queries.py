@@ -84,12 +84,13 @@ def upset_patterns(spark, d):
 
 
 def venn_regions(spark, d):
-    return charts.venn(table(spark, d, "events").where("value > 300"), "event_type", "user_id", ["click", "purchase", "view"])
+    visits = table(spark, d, "events").withColumn("visit", F.col("user_id") * 1000 + F.dayofyear("ts"))
+    return charts.venn(visits, "event_type", "visit", ["click", "purchase", "view"])
 
 
-_UP = "SELECT pattern, count(*) AS n, max(degree) AS degree FROM (SELECT user_id, string_agg(event_type, ' & ' ORDER BY event_type) AS pattern, count(*) AS degree FROM (SELECT DISTINCT event_type, user_id FROM events{}) GROUP BY user_id) GROUP BY pattern"
-SQL["upset_patterns"] = _UP.format("")
-SQL["venn_regions"] = _UP.format(" WHERE value > 300 AND event_type IN ('click', 'purchase', 'view')")
+_UP = "SELECT pattern, count(*) AS n, max(degree) AS degree FROM (SELECT item, string_agg(event_type, ' & ' ORDER BY event_type) AS pattern, count(*) AS degree FROM (SELECT DISTINCT event_type, {} AS item FROM events{}) GROUP BY item) GROUP BY pattern"
+SQL["upset_patterns"] = _UP.format("user_id", "")
+SQL["venn_regions"] = _UP.format("user_id * 1000 + dayofyear(ts)", " WHERE event_type IN ('click', 'purchase', 'view')")
 
 
 def linear_fit(spark, d):
@@ -139,28 +140,36 @@ def _edges(spark, d):
     p = graph.band_pairs(table(spark, d, "part"), "p_partkey", 6, ["p_size", "p_retailprice"])
     ncc = 1 - F.abs(F.col("p_size_i") - F.col("p_size_j")) / 50.0
     ratio = 1 + ((F.col("i") * 31 + F.col("j") * 17) % 100) / 100.0
-    return p.select("i", "j", ncc.alias("ncc"), ratio.alias("ratio"), ((F.col("i") + F.col("j")) % 10 / 20.0).alias("overlap"), (F.col("i") % 7 + 1.0).alias("weight")).withColumn("quality", F.round(graph.edge_quality(F.col("ncc"), F.col("ratio"), F.col("overlap")), 9))
+    return p.select("i", "j", ncc.alias("ncc"), ratio.alias("ratio"), ((F.col("i") + F.col("j")) % 10 / 20.0).alias("overlap"), (F.col("i") % 7 + 1.0).alias("weight")).withColumn("quality", graph.edge_quality(F.col("ncc"), F.col("ratio"), F.col("overlap")))
 
 
 _EDGES = """e AS (SELECT a.p_partkey AS i, b.p_partkey AS j, 1 - abs(a.p_size - b.p_size) / 50.0::DOUBLE AS ncc, 1 + ((a.p_partkey * 31 + b.p_partkey * 17) % 100) / 100.0::DOUBLE AS ratio, ((a.p_partkey + b.p_partkey) % 10) / 20.0::DOUBLE AS overlap, CAST(a.p_partkey % 7 + 1 AS DOUBLE) AS weight FROM part a JOIN part b ON b.p_partkey > a.p_partkey AND b.p_partkey <= a.p_partkey + 6),
-q AS (SELECT *, round(power(greatest(0, least(1, (ncc - 0.35) / 0.5)), 0.8) * (0.35 + 0.65 * greatest(0, least(1, (ratio - 1) / 0.8))) * (0.45 + 0.55 * greatest(0, least(1, overlap / 0.35))), 9) AS quality FROM e)"""
+q AS (SELECT *, power(greatest(0, least(1, (ncc - 0.35) / 0.5)), 0.8) * (0.35 + 0.65 * greatest(0, least(1, (ratio - 1) / 0.8))) * (0.45 + 0.55 * greatest(0, least(1, overlap / 0.35))) AS quality FROM e)"""
 
 
 def topk_per_endpoint(spark, d):
-    return rounded(graph.best_edges(_edges(spark, d), 2).select("i", "j", "quality"))
+    # ranked by rounded qualities, so that the last digit of a power makes no order; those returned are rounded once
+    e = _edges(spark, d).withColumn("ranked", F.round("quality", 9))
+    return rounded(graph.best_edges(e, 2, "ranked").select("i", "j", "quality"))
 
 
-SQL["topk_per_endpoint"] = f"""WITH {_EDGES}, t AS (SELECT i, j, quality, i AS tile FROM q UNION ALL SELECT i, j, quality, j FROM q), r AS (SELECT *, row_number() OVER (PARTITION BY tile ORDER BY quality DESC, i, j) AS k FROM t)
+SQL["topk_per_endpoint"] = f"""WITH {_EDGES}, t AS (SELECT i, j, quality, i AS tile FROM q UNION ALL SELECT i, j, quality, j FROM q), r AS (SELECT *, row_number() OVER (PARTITION BY tile ORDER BY round(quality, 9) DESC, i, j) AS k FROM t)
 SELECT DISTINCT i, j, round(quality, 6) AS quality FROM r WHERE k <= 2"""
 
 
 def edge_qc(spark, d):
-    e = _edges(spark, d).withColumn("conflict", graph.contradicts(F.col("ncc"), F.col("overlap") * 2, F.col("weight") * 300, F.lit(2000.0)))
-    return rounded(graph.edge_report(e, "weight", "ncc", "conflict"))
+    """Edges of which some have no correlation, some little tissue in both, some none in either."""
+    n_a, n_b = F.col("weight") * 300, (F.col("j") % 8) * 250.0
+    e = _edges(spark, d).withColumn("ncc", F.when((F.col("i") + F.col("j")) % 11 != 0, F.col("ncc") * 2 - 1)).withColumn("n_both", F.least(n_a, n_b))
+    iou = F.when(F.col("j") % 13 != 0, F.col("overlap") * 2)
+    e = e.withColumn("conflict", graph.contradicts(F.col("ncc"), iou, F.col("n_both"), n_a, n_b, (F.col("i") % 5 + 1) * 500.0))
+    return rounded(graph.edge_report(e, "n_both", "ncc", "conflict", above=500.0))
 
 
-SQL["edge_qc"] = f"""WITH {_EDGES}, c AS (SELECT *, CASE WHEN weight * 300 < 600 THEN false WHEN ncc >= 0.55 THEN false WHEN overlap * 2 < 0.55 THEN true ELSE ncc < 0.35 END AS conflict FROM q), t AS (SELECT i AS tile, ncc, weight, conflict FROM c UNION ALL SELECT j, ncc, weight, conflict FROM c)
-SELECT tile, round(sum(weight * ncc) / sum(weight), 6) AS mean_score, count(*) AS neighbours, count(*) FILTER (conflict) AS conflicts FROM t GROUP BY tile"""
+SQL["edge_qc"] = f"""WITH {_EDGES}, x AS (SELECT i, j, CASE WHEN (i + j) % 11 <> 0 THEN ncc * 2 - 1 END AS ncc, CASE WHEN j % 13 <> 0 THEN overlap * 2 END AS iou, weight * 300 AS n_a, CAST(j % 8 * 250 AS DOUBLE) AS n_b, (i % 5 + 1) * 500 AS area FROM q),
+c AS (SELECT *, least(n_a, n_b) AS n_both, CASE WHEN area < 1200 OR greatest(n_a, n_b) < 600 THEN false WHEN least(n_a, n_b) >= 600 AND ncc IS NOT NULL AND ncc >= 0.55 THEN false WHEN iou IS NOT NULL AND iou < 0.55 THEN true WHEN least(n_a, n_b) >= 600 AND ncc IS NOT NULL AND ncc < 0.35 THEN true ELSE false END AS conflict FROM x),
+t AS (SELECT i AS tile, ncc, n_both, conflict FROM c UNION ALL SELECT j, ncc, n_both, conflict FROM c)
+SELECT tile, round(sum(n_both * ncc) FILTER (ncc IS NOT NULL AND n_both > 500) / sum(n_both) FILTER (ncc IS NOT NULL AND n_both > 500), 6) AS mean_score, count(*) AS neighbours, count(*) FILTER (conflict) AS conflicts FROM t GROUP BY tile"""
 
 
 def _rectangles(spark, d):
@@ -234,10 +243,22 @@ _OD = "SELECT l_orderkey, l_linenumber, -log10(least(1, greatest(1e-4, l_quantit
 SQL["unmix_stains"] = f"WITH p AS ({_OD}) SELECT l_orderkey, l_linenumber, round(r, 6) AS r, " + ", ".join(f"round(greatest(0, r * ({_I[0, k]!r}::DOUBLE) + g * ({_I[1, k]!r}::DOUBLE) + b * ({_I[2, k]!r}::DOUBLE)), 6) AS s{k}" for k in range(3)).replace("np.float64(", "(") + " FROM p"
 
 
+def _densities(spark, d):
+    return _pixels(spark, d).select(*[raster.optical_density(F.col(c)).alias(c) for c in "rgb"])
+
+
+def stain_moments(spark, d):
+    """What the stain directions are read from: how many pixels are stained, and their covariances."""
+    return rounded(raster.stain_moments(_densities(spark, d), "r", "g", "b"))
+
+
+SQL["stain_moments"] = """WITH p AS (SELECT -log10(least(1, greatest(1e-4, l_quantity / 50))) AS r, -log10(least(1, greatest(1e-4, 1 - l_discount * 5))) AS g, -log10(least(1, greatest(1e-4, 1 - l_tax * 8))) AS b FROM lineitem)
+SELECT count(*) AS n, round(covar_samp(r, r), 6) AS r_r, round(covar_samp(r, g), 6) AS r_g, round(covar_samp(r, b), 6) AS r_b, round(covar_samp(g, g), 6) AS g_g, round(covar_samp(g, b), 6) AS g_b, round(covar_samp(b, b), 6) AS b_b FROM p WHERE r + g + b > 0.15"""
+
+
 def stain_estimate(spark, d):
-    p = _pixels(spark, d)
-    got = raster.stain_vectors(p.select(*[raster.optical_density(F.col(c)).alias(c) for c in "rgb"]), "r", "g", "b", beta=0.01)
-    return spark.createDataFrame([] if got is None else [(k, *map(float, np.round(v, 4))) for k, v in enumerate(got)], "stain int, r double, g double, b double")
+    got = raster.stain_vectors(_densities(spark, d), "r", "g", "b")
+    return spark.createDataFrame([(name, *map(float, np.round(v, 4))) for name, v in zip(("muscle", "collagen", "residual"), got)], "stain string, r double, g double, b double")
 
 
 def otsu_cut(spark, d):
@@ -255,6 +276,12 @@ def triangle_cut(spark, d):
     return rounded(raster.triangle(table(spark, d, "lineitem"), "l_extendedprice", 0.0, 1e9, 64), 4)
 
 
+SQL["triangle_cut"] = """WITH t AS (SELECT l_extendedprice AS v FROM lineitem), s AS (SELECT min(v) AS lo, (max(v) - min(v)) / 64 AS width FROM t), h AS (SELECT least(63, CAST(floor((v - lo) / width) AS INTEGER)) AS bin, count(*) AS n FROM t, s GROUP BY 1),
+e AS (SELECT arg_max(bin, n * 100 - bin) AS top, max(n) AS top_n, min(bin) AS first, max(bin) AS last FROM h), f AS (SELECT *, CASE WHEN last - top >= top - first THEN last ELSE first END AS far FROM e),
+g AS (SELECT bin, round((1 - abs(bin - top) / CAST(abs(far - top) AS DOUBLE)) * top_n - n, 6) AS below FROM h, f WHERE (bin - top) * sign(far - top) >= 0)
+SELECT round(greatest(0.0, least(1e9, lo + (bin + 0.5) * width)), 4) AS cut FROM g, s ORDER BY below DESC, bin LIMIT 1"""
+
+
 def mad_outliers(spark, d):
     return rounded(raster.mad_cut(table(spark, d, "part"), ["p_brand"], "p_retailprice", 1.0))
 
@@ -300,4 +327,4 @@ def _edge(x0, y0, x1, y1):
 
 SQL["polygon_membership"] = f"WITH {_RECT} SELECT k AS p_partkey, ({_edge(10.0, 10.0, 60.0, 15.0)} + {_edge(60.0, 15.0, 35.0, 70.0)} + {_edge(35.0, 70.0, 10.0, 10.0)}) % 2 = 1 AS inside FROM r"
 
-QUERIES = {f.__name__: f for f in (ecdf_steps, ecdf_ks, kaplan_meier, logrank, contingency_percent, contingency_chi2, volcano_classes, upset_patterns, venn_regions, linear_fit, curve_fit_hill, curve_fit_boltzmann, curve_fit_exp, error_bars, ordered_series, band_theta_pairs, topk_per_endpoint, edge_qc, rect_overlap_join, nearest_join, components, irls_positions, bounding_boxes, feather_blend, unmix_stains, stain_estimate, otsu_cut, triangle_cut, mad_outliers, nearest_centres, cluster_choice, region_measures, polygon_membership)}
+QUERIES = {f.__name__: f for f in (ecdf_steps, ecdf_ks, kaplan_meier, logrank, contingency_percent, contingency_chi2, volcano_classes, upset_patterns, venn_regions, linear_fit, curve_fit_hill, curve_fit_boltzmann, curve_fit_exp, error_bars, ordered_series, band_theta_pairs, topk_per_endpoint, edge_qc, rect_overlap_join, nearest_join, components, irls_positions, bounding_boxes, feather_blend, unmix_stains, stain_moments, stain_estimate, otsu_cut, triangle_cut, mad_outliers, nearest_centres, cluster_choice, region_measures, polygon_membership)}

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import functions as F
 
 from strataline.operators import profile, series
@@ -90,6 +92,24 @@ def despiked_profiles(spark, d):
     return rounded(profile.despike(e, K, "i", "value", 5, 80.0, 1.5))
 
 
+_DOWN, _UP = "OVER (PARTITION BY user_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)", "OVER (PARTITION BY user_id ORDER BY i ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)"
+
+
+def _held(column: str, k: int) -> str:
+    """The value k positions on, that of the end where the profile ends before."""
+    order = "OVER (PARTITION BY user_id ORDER BY i)"
+    every = "OVER (PARTITION BY user_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)"
+    return column if not k else f"coalesce({'lead' if k > 0 else 'lag'}({column}, {abs(k)}) {order}, {'last' if k > 0 else 'first'}_value({column}) {every})"
+
+
+_KERNEL = [math.exp(-0.5 * (k / 1.5) ** 2) for k in range(-6, 7)]
+SQL["despiked_profiles"] = f"""WITH p AS (SELECT user_id, row_number() {O} - 1 AS i, value FROM events), m AS (SELECT *, list_aggregate([{", ".join(_held("value", k) for k in range(-2, 3))}], 'median') AS med FROM p),
+g AS (SELECT *, CASE WHEN abs(value - med) <= 80 THEN i END AS gi, CASE WHEN abs(value - med) <= 80 THEN value END AS gv FROM m),
+b AS (SELECT *, last_value(gi IGNORE NULLS) {_DOWN} AS i0, last_value(gv IGNORE NULLS) {_DOWN} AS v0, first_value(gi IGNORE NULLS) {_UP} AS i1, first_value(gv IGNORE NULLS) {_UP} AS v1 FROM g),
+f AS (SELECT user_id, i, value, CASE WHEN gv IS NOT NULL THEN gv WHEN i0 IS NULL AND i1 IS NULL THEN med WHEN i0 IS NULL THEN v1 WHEN i1 IS NULL THEN v0 ELSE v0 + (v1 - v0) * (i - i0) / (i1 - i0) END AS v FROM b)
+SELECT user_id, CAST(i AS INTEGER) AS i, round(value, 6) AS value, round(({" + ".join(f"{w!r}::DOUBLE * {_held('v', k)}" for k, w in zip(range(-6, 7), _KERNEL))}) / {sum(_KERNEL)!r}::DOUBLE, 6) AS despiked FROM f"""
+
+
 def turn_zones(spark, d):
     return profile.turns(_events(spark, d).withColumn("side", F.col("event_id") % 3 == 0), K, AT, "side", 2).select("event_id", "turned")
 
@@ -104,6 +124,13 @@ def curve_geometry(spark, d):
     return rounded(made.select("event_id", "curvature", "arc"))
 
 
+_MID = "(coalesce(lead({0}) {1}, {0}) - coalesce(lag({0}) {1}, {0})) / nullif((CASE WHEN lead({0}) {1} IS NULL THEN 0 ELSE 1 END) + (CASE WHEN lag({0}) {1} IS NULL THEN 0 ELSE 1 END), 0)"
+_BY = "OVER (PARTITION BY user_id ORDER BY i)"
+SQL["curve_geometry"] = f"""WITH p AS (SELECT event_id, user_id, CAST(row_number() {O} - 1 AS DOUBLE) AS i, value AS y FROM events), d AS (SELECT *, {_MID.format("i", _BY)} AS dx, {_MID.format("y", _BY)} AS dy FROM p),
+dd AS (SELECT *, {_MID.format("dx", _BY)} AS ddx, {_MID.format("dy", _BY)} AS ddy, coalesce(sqrt(power(i - lag(i) {_BY}, 2) + power(y - lag(y) {_BY}, 2)), 0) AS step FROM d)
+SELECT event_id, round(CASE WHEN dx * dx + dy * dy > 0 THEN (dx * ddy - dy * ddx) / power(dx * dx + dy * dy, 1.5) END, 6) AS curvature, round(sum(step) {_DOWN}, 6) AS arc FROM dd"""
+
+
 def polygon_area(spark, d):
     return rounded(profile.shoelace(_events(spark, d).withColumn("x", (F.col("event_id") % 17) * 1.0), K, AT, "x", "value"))
 

@@ -34,7 +34,7 @@ def section_rows(spark, rows):
 
 def test_pooling_is_of_sums(spark):
     rows = [("s1", "KO", "1", "arch", 4000.0, 8000.0, 400.0, 4000.0), ("s2", "KO", "1", "arch", 400.0, 800.0, 200.0, 400.0), ("s3", "", None, "arch", 100.0, 0.0, None, -1.0)]
-    got = {r["mouse"]: r for r in cohort.pool(section_rows(spark, rows), ["genotype", "mouse"]).collect()}
+    got = {r["mouse"]: r for r in cohort.pool(section_rows(spark, rows), ["genotype", "mouse"], listed=True).collect()}
     assert close(got["1"]["collagen_to_muscle_ratio"], 600 / 4400) and got["1"]["n_sections"] == 2 and got["1"]["sections"] == "s1, s2" and close(got["1"]["wall_length_mm"], 4.4)
     assert got["unknown"]["genotype"] == "unknown" and got["unknown"]["collagen_od_um2_total"] is None and got["unknown"]["collagen_to_muscle_ratio"] is None
     with pytest.raises(ValueError):
