@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from strataline.functions.core import finite, safe_div
+from strataline.functions.ordering import numbered
 
 
 def ecdf(df: DataFrame, group: str, value: str) -> DataFrame:
@@ -239,12 +240,19 @@ def leaf_order(m: np.ndarray) -> list[int]:
     return groups[0]
 
 
-def families(df: DataFrame, at: str, keys: list[str], name: str = "family") -> DataFrame:
-    """Number of the run of consecutive rows that share the keys: rows of one figure, in its order."""
-    w = Window.orderBy(at)
+def families(df: DataFrame, at: str, keys: list[str], name: str = "family", block_rows: int = 100_000) -> DataFrame:
+    """Number of the run of consecutive rows that share the keys: rows of one figure, in its order.
+
+    Neighbours meet by their numbers; starts of runs are counted within blocks of rows, and from block to block.
+    """
+    rows = numbered(df, [F.col(at)], "family_at").withColumn("family_block", (F.col("family_at") / block_rows).cast("long"))
     key = F.struct(*keys)
-    made = df.withColumn("family_start", F.when(F.lag(key).over(w).eqNullSafe(key), 0).otherwise(1))
-    return made.withColumn(name, F.sum("family_start").over(w.rowsBetween(Window.unboundedPreceding, 0))).drop("family_start")
+    before = rows.select((F.col("family_at") + 1).alias("family_at"), key.alias("family_key"))
+    rows = rows.join(before, "family_at", "left").withColumn("family_start", (~F.coalesce(F.col("family_key").eqNullSafe(key), F.lit(False))).cast("int"))
+    blocks = rows.groupBy("family_block").agg(F.sum("family_start").alias("n"))
+    blocks = blocks.select("family_block", (F.sum("n").over(Window.orderBy("family_block")) - F.col("n")).alias("family_before"))  # a row a block
+    inside = F.sum("family_start").over(Window.partitionBy("family_block").orderBy("family_at"))
+    return rows.withColumn("family_inside", inside).join(blocks, "family_block").withColumn(name, F.col("family_before") + F.col("family_inside")).drop("family_at", "family_block", "family_key", "family_start", "family_before", "family_inside")
 
 
 def limits(df: DataFrame, keys: list[str], *values: str) -> DataFrame:

@@ -117,6 +117,24 @@ def align_pairs(df: DataFrame, value: str, group: str, a: str, b: str, unit: str
     return made.withColumn("complete", F.col("value_a").isNotNull() & F.col("value_b").isNotNull())
 
 
+def align_all_pairs(df: DataFrame, value: str, group: str, unit: str, keys: list[str] | None = None, pairs: list[tuple[str, str]] | None = None) -> DataFrame:
+    """align_pairs for every pair of levels a < b, or those given: columns a and b come before the unit.
+
+    One aggregate a unit and level, whatever the number of pairs; a unit has a mean for each of a factor's few levels.
+    """
+    keys = keys or []
+    means = df.groupBy(*keys, unit, group).agg(F.avg(finite(F.col(value).try_cast("double"))).alias("m"))
+    if pairs is None:
+        pairs = list(combinations(sorted(r[0] for r in means.select(group).where(F.col(group).isNotNull()).distinct().collect()), 2))  # labels of a factor
+    each = means.groupBy(*keys, unit).agg(F.map_from_entries(F.collect_list(F.when(F.col(group).isNotNull(), F.struct(group, "m")))).alias("means"))
+    if not pairs:
+        return each.select(F.lit(None).cast("string").alias("a"), F.lit(None).cast("string").alias("b"), *keys, unit, F.lit(0.0).alias("value_a"), F.lit(0.0).alias("value_b"), F.lit(False).alias("complete")).limit(0)
+    asked = F.explode(F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a, b in pairs])).alias("p")
+    rows = each.select(*keys, unit, "means", asked).where(F.map_contains_key("means", F.col("p.a")) | F.map_contains_key("means", F.col("p.b")))
+    made = rows.select("p.a", "p.b", *keys, unit, F.try_element_at("means", F.col("p.a")).alias("value_a"), F.try_element_at("means", F.col("p.b")).alias("value_b"))
+    return made.withColumn("complete", F.col("value_a").isNotNull() & F.col("value_b").isNotNull())
+
+
 def paired_t(pairs: DataFrame, keys: list[str]) -> DataFrame:
     """n, dropped, mean difference, sd, t and df of a - b over complete pairs."""
     d = F.when(F.col("complete"), F.col("value_a") - F.col("value_b"))
@@ -124,11 +142,12 @@ def paired_t(pairs: DataFrame, keys: list[str]) -> DataFrame:
     return made.withColumn("t", safe_div("difference", F.col("sd") / F.sqrt("n"))).withColumn("df", F.when(F.col("n") > 1, (F.col("n") - 1).cast("double")))
 
 
-def pooled_paired_t(pairs: DataFrame, keys: list[str], ratio: bool = False) -> DataFrame:
+def pooled_paired_t(pairs: DataFrame, keys: list[str], ratio: bool = False, family: list[str] | None = None) -> DataFrame:
     """Paired comparisons that share one variance over all blocks; with ratio, of logs, which needs one sign in a block.
 
-    effect: mean difference, or geometric mean ratio.
+    effect: mean difference, or geometric mean ratio. family: the keys within which blocks share their variance (default: none).
     """
+    family = family or []
     both = pairs.where("complete")
     if ratio:
         both = both.withColumn("d", F.when((F.col("value_a") > 0) & (F.col("value_b") > 0), F.log(F.col("value_a") / F.col("value_b"))))
@@ -137,8 +156,8 @@ def pooled_paired_t(pairs: DataFrame, keys: list[str], ratio: bool = False) -> D
         both = both.withColumn("d", F.col("value_a") - F.col("value_b"))
         bad = F.lit(False)
     m = both.groupBy(*keys).agg(F.count("d").alias("n"), F.avg("d").alias("mean"), (F.var_samp("d") * (F.count("d") - 1)).alias("ss"), bad.alias("mixed")).where("not mixed and n > 1")
-    shared = m.agg(F.sum("ss").alias("ss_all"), F.sum(F.col("n") - 1).cast("double").alias("df"))
-    made = m.join(F.broadcast(shared))  # one row
+    shared = m.groupBy(*family).agg(F.sum("ss").alias("ss_all"), F.sum(F.col("n") - 1).cast("double").alias("df"))
+    made = m.join(shared, family) if family else m.join(F.broadcast(shared))  # one row
     made = made.withColumn("t", safe_div("mean", F.sqrt(F.col("ss_all") / F.col("df")) / F.sqrt("n"))).withColumn("effect", F.exp("mean") if ratio else F.col("mean"))
     return made.select(*keys, "n", "effect", "t", "df")
 
@@ -280,14 +299,21 @@ def brackets(table: DataFrame, corrected: bool = True, only_significant: bool =
     return made.where(F.col("p") < alpha) if only_significant else made
 
 
-def aligned(df: DataFrame, value: str, factors: list[str], term: list[str]) -> Column:
-    """The response aligned for one term: residual of the full cell plus the term's effect by inclusion and exclusion."""
-    mean = lambda by: F.avg(value).over(Window.partitionBy(*by) if by else Window.partitionBy(F.lit(1)))
-    effect = F.lit(0.0)
+def aligned(df: DataFrame, value: str, factors: list[str], term: list[str], name: str = "aligned") -> DataFrame:
+    """df and the response aligned for one term: residual of the full cell plus the term's effect by inclusion and exclusion.
+
+    All means come from the sums of the cells, a row a cell, which are joined back.
+    """
+    cells = df.groupBy(*factors).agg(F.sum(value).alias("_s"), F.count(value).alias("_c"))
+    over = lambda by: Window.partitionBy(*by) if by else Window.partitionBy(F.lit(1))  # noqa: E731  over cells
+    mean = lambda by: F.sum("_s").over(over(by)) / F.sum("_c").over(over(by))
+    shift = -mean(factors)
     for k in range(len(term) + 1):
         for sub in combinations(term, k):
-            effect = effect + (-1) ** (len(term) - k) * mean(list(sub))
-    return F.col(value) - mean(factors) + effect
+            shift = shift + (-1) ** (len(term) - k) * mean(list(sub))
+    shifts = cells.select(*[F.col(f).alias(f"_{f}") for f in factors], shift.alias("_shift"))
+    made = df.join(shifts, [df[f].eqNullSafe(shifts[f"_{f}"]) for f in factors])
+    return made.withColumn(name, F.col(value) + F.col("_shift")).drop("_shift", *[f"_{f}" for f in factors])
 
 
 def terms(factors: list[str]) -> list[tuple[str, ...]]:

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from strataline.plans import chart_queries, cohort_queries, image_queries, naming_queries, profile_queries, stats_queries
+from strataline.plans import chart_queries, cohort_queries, image_queries, naming_queries, profile_queries, sheet_queries, stats_queries
 
 FLAGSHIP = "cohort_ladder"
-_MODULES = [cohort_queries, stats_queries, profile_queries, chart_queries, naming_queries, image_queries]
+_MODULES = [cohort_queries, stats_queries, profile_queries, chart_queries, naming_queries, image_queries, sheet_queries]
 QUERIES = {k: v for m in _MODULES for k, v in m.QUERIES.items()}
 ORACLE_SQL = {k: v for m in _MODULES for k, v in m.SQL.items()}

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from strataline.functions import ordering
 from strataline.operators import naming
 from strataline.plans.tables import rounded, table
 from strataline.streaming import pooling
@@ -87,10 +88,9 @@ SQL["first_channels"] = "SELECT min(p_partkey) AS p_partkey FROM part GROUP BY p
 
 
 def natural_order(spark, d):
-    from pyspark.sql import Window
-
     n = table(spark, d, "supplier").select("s_suppkey", F.concat(F.lit("tile"), F.col("s_suppkey").cast("string"), F.lit("b")).alias("name"))
-    return n.select("s_suppkey", F.row_number().over(Window.orderBy(naming.natural_key(F.col("name")))).cast("long").alias("position"))
+    n = n.withColumn("key", naming.natural_key(F.col("name")))
+    return ordering.numbered(n, [F.col("key")]).select("s_suppkey", "position")
 
 
 SQL["natural_order"] = "SELECT s_suppkey, row_number() OVER (ORDER BY s_suppkey) AS position FROM supplier"

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from strataline.functions import ordering
 from strataline.operators import stats
 from strataline.plans.tables import rounded, table
 
@@ -87,34 +88,37 @@ round(power(x.var / x.n + y.var / y.n, 2) / (power(x.var / x.n, 2) / (x.n - 1) +
 round((x.mean - y.mean) / sqrt(((x.n - 1) * x.var + (y.n - 1) * y.var) / (x.n + y.n - 2) * (1.0 / x.n + 1.0 / y.n)), 5) AS t_student, CAST(x.n + y.n - 2 AS DOUBLE) AS df_student, round(x.med - y.med, 5) AS difference {_JOIN}"""
 
 
+_BLOCKS = ["a", "b", "block"]
+
+
 def _pairs(spark, d):
     e = table(spark, d, "events").withColumn("block", (F.col("user_id") % 4).cast("int"))
-    types = [r[0] for r in e.select("event_type").distinct().orderBy("event_type").limit(2).collect()]
-    return stats.align_pairs(e, "value", "event_type", types[0], types[1], "user_id", ["block"])
+    return stats.align_all_pairs(e, "value", "event_type", "user_id", ["block"])
 
 
-_PAIRS = """t AS (SELECT DISTINCT event_type FROM events ORDER BY event_type LIMIT 2), k AS (SELECT min(event_type) AS a, max(event_type) AS b FROM t),
-p AS (SELECT CAST(user_id % 4 AS INTEGER) AS block, user_id, avg(CASE WHEN event_type = (SELECT a FROM k) THEN value END) AS va, avg(CASE WHEN event_type = (SELECT b FROM k) THEN value END) AS vb
-      FROM events WHERE event_type IN (SELECT event_type FROM t) GROUP BY user_id % 4, user_id)"""
+_PAIRS = """t AS (SELECT DISTINCT event_type FROM events WHERE event_type IS NOT NULL), k AS (SELECT x.event_type AS a, y.event_type AS b FROM t x JOIN t y ON x.event_type < y.event_type),
+p AS (SELECT a, b, CAST(user_id % 4 AS INTEGER) AS block, user_id, avg(CASE WHEN event_type = a THEN value END) AS va, avg(CASE WHEN event_type = b THEN value END) AS vb
+      FROM events JOIN k ON event_type IN (a, b) GROUP BY a, b, user_id % 4, user_id)"""
 
 
 def paired_t(spark, d):
-    return rounded(stats.paired_t(_pairs(spark, d), ["block"]))
+    return rounded(stats.paired_t(_pairs(spark, d), _BLOCKS))
 
 
 def pooled_paired_t(spark, d):
-    return rounded(stats.pooled_paired_t(_pairs(spark, d), ["block"]))
+    """Blocks of one pair of event types share a variance."""
+    return rounded(stats.pooled_paired_t(_pairs(spark, d), _BLOCKS, family=["a", "b"]))
 
 
 def pooled_ratio_t(spark, d):
-    return rounded(stats.pooled_paired_t(_pairs(spark, d), ["block"], ratio=True))
+    return rounded(stats.pooled_paired_t(_pairs(spark, d), _BLOCKS, ratio=True, family=["a", "b"]))
 
 
-SQL["paired_t"] = f"""WITH {_PAIRS} SELECT block, count(va - vb) AS n, count(*) FILTER (va IS NULL OR vb IS NULL) AS dropped, round(avg(va - vb), 6) AS difference, round(stddev_samp(va - vb), 6) AS sd,
-round(avg(va - vb) / (stddev_samp(va - vb) / sqrt(count(va - vb))), 6) AS t, CAST(count(va - vb) - 1 AS DOUBLE) AS df FROM p GROUP BY block"""
-_POOL = """m AS (SELECT block, count(x) AS n, avg(x) AS mean, var_samp(x) * (count(x) - 1) AS ss FROM q GROUP BY block), z AS (SELECT sum(ss) AS ss_all, CAST(sum(n - 1) AS DOUBLE) AS df FROM m)"""
-SQL["pooled_paired_t"] = f"WITH {_PAIRS}, q AS (SELECT block, va - vb AS x FROM p WHERE va IS NOT NULL AND vb IS NOT NULL), {_POOL} SELECT block, n, round(mean, 6) AS effect, round(mean / (sqrt(ss_all / df) / sqrt(n)), 6) AS t, df FROM m, z"
-SQL["pooled_ratio_t"] = f"WITH {_PAIRS}, q AS (SELECT block, ln(va / vb) AS x FROM p WHERE va > 0 AND vb > 0), {_POOL} SELECT block, n, round(exp(mean), 6) AS effect, round(mean / (sqrt(ss_all / df) / sqrt(n)), 6) AS t, df FROM m, z"
+SQL["paired_t"] = f"""WITH {_PAIRS} SELECT a, b, block, count(va - vb) AS n, count(*) FILTER (va IS NULL OR vb IS NULL) AS dropped, round(avg(va - vb), 6) AS difference, round(stddev_samp(va - vb), 6) AS sd,
+round(avg(va - vb) / (stddev_samp(va - vb) / sqrt(count(va - vb))), 6) AS t, CAST(count(va - vb) - 1 AS DOUBLE) AS df FROM p GROUP BY a, b, block"""
+_POOL = """m AS (SELECT a, b, block, count(x) AS n, avg(x) AS mean, var_samp(x) * (count(x) - 1) AS ss FROM q GROUP BY a, b, block), z AS (SELECT a, b, sum(ss) AS ss_all, CAST(sum(n - 1) AS DOUBLE) AS df FROM m GROUP BY a, b)"""
+SQL["pooled_paired_t"] = f"WITH {_PAIRS}, q AS (SELECT a, b, block, va - vb AS x FROM p WHERE va IS NOT NULL AND vb IS NOT NULL), {_POOL} SELECT m.a, m.b, block, n, round(mean, 6) AS effect, round(mean / (sqrt(ss_all / df) / sqrt(n)), 6) AS t, df FROM m JOIN z USING (a, b)"
+SQL["pooled_ratio_t"] = f"WITH {_PAIRS}, q AS (SELECT a, b, block, ln(va / vb) AS x FROM p WHERE va > 0 AND vb > 0), {_POOL} SELECT m.a, m.b, block, n, round(exp(mean), 6) AS effect, round(mean / (sqrt(ss_all / df) / sqrt(n)), 6) AS t, df FROM m JOIN z USING (a, b)"
 
 
 def _p_values(spark, d):
@@ -148,11 +152,13 @@ CASE WHEN p < 0.001 THEN 'p < 0.001' WHEN p IS NOT NULL THEN 'p = ' || printf('%
 
 def aligned_rank(spark, d):
     rows = table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_returnflag", "l_linestatus", F.col("l_quantity").alias("v"))
-    rows = rows.withColumn("aligned", F.round(stats.aligned(rows, "v", ["l_returnflag", "l_linestatus"], ["l_returnflag", "l_linestatus"]), 6))
-    return rounded(rows.select("l_orderkey", "l_linenumber", "aligned"), 5)
+    rows = stats.aligned(rows, "v", ["l_returnflag", "l_linestatus"], ["l_returnflag", "l_linestatus"])
+    rows = ordering.ranked(rows.withColumn("aligned", F.round("aligned", 5)), "aligned")
+    return rows.select("l_orderkey", "l_linenumber", "aligned", "rank")
 
 
-SQL["aligned_rank"] = """SELECT l_orderkey, l_linenumber, round(l_quantity - avg(l_quantity) OVER (PARTITION BY l_returnflag, l_linestatus) + avg(l_quantity) OVER () - avg(l_quantity) OVER (PARTITION BY l_returnflag) - avg(l_quantity) OVER (PARTITION BY l_linestatus) + avg(l_quantity) OVER (PARTITION BY l_returnflag, l_linestatus), 5) AS aligned FROM lineitem"""
+SQL["aligned_rank"] = """WITH a AS (SELECT l_orderkey, l_linenumber, round(l_quantity - avg(l_quantity) OVER (PARTITION BY l_returnflag, l_linestatus) + avg(l_quantity) OVER () - avg(l_quantity) OVER (PARTITION BY l_returnflag) - avg(l_quantity) OVER (PARTITION BY l_linestatus) + avg(l_quantity) OVER (PARTITION BY l_returnflag, l_linestatus), 5) AS aligned FROM lineitem)
+SELECT *, rank() OVER (ORDER BY aligned) + (count(*) OVER (PARTITION BY aligned) - 1) / 2.0 AS rank FROM a"""
 
 
 def average_ranks(spark, d):
