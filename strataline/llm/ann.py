@@ -1,13 +1,13 @@
 """Nearest neighbours by learned partitions.
 
-Fit (driver, on at most `sample` vectors, a documented bound): the neighbour graph of the sample is cut into balanced
+Fit (driver, on at most `sample` different vectors, a documented bound): the neighbour graph of the sample is cut into balanced
 parts by recursive bisection along its slowest-mixing vector, with swaps that lessen the cut; a small softmax classifier
 learns to tell a vector's part. The number of parts a query visits is the least with which held-out vectors of the sample
-find `recall` of their true neighbours.
+find `recall` of their true neighbours. There are more parts the more rows there are, as many as the sample can teach.
 Index: every row goes to its most probable part. Parts are split into chunks of about `chunk` rows by a hash of vec_id, so
 no task holds more, whatever a part's share of rows. Search: each query visits all chunks of its most probable parts and is
-ranked there by exact inner products; the best of all chunks are merged. Below 4 * parts rows there is one part, and the
-search is exact.
+ranked there by exact inner products; the best of all chunks are merged. Below 4 * parts sampled vectors there is one part, and
+the search is exact.
 """
 
 from __future__ import annotations
@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from strataline.llm.common import parts_for, saved
-from strataline.llm.vectors import matrix, sample_rows, usable
+from strataline.llm.vectors import common_length, matrix, sample_rows, usable
 
 
 def neighbour_graph(x: np.ndarray, k: int) -> np.ndarray:
@@ -129,21 +129,31 @@ def _best(q: np.ndarray, q_ids: np.ndarray, x: np.ndarray, ids: np.ndarray, k: i
     return out
 
 
-def search(base: DataFrame, queries: DataFrame, k: int = 20, sample: int = 4096, parts: int = 16, recall: float = 0.97, chunk: int = 8192) -> DataFrame:
+def parts_of(rows: int, sample: int, least: int = 16, part_rows: int = 16_384) -> int:
+    """A power of two: about a part for each part_rows rows, at least 32 sampled vectors in each."""
+    want = min(rows // part_rows, sample // 32)
+    return max(least, 1 << want.bit_length() - 1) if want else least
+
+
+def search(base: DataFrame, queries: DataFrame, k: int = 20, sample: int = 4096, parts: int | None = None, recall: float = 0.95, chunk: int = 8192) -> DataFrame:
     """query_id, rank, vec_id, score: the k rows of base with the largest inner products for each query.
 
-    base and queries: vec_id, embedding. Vectors that are null, empty, zero or hold null or non-finite components, and rows
-    without vec_id, take no part; a length other than the sample's first is an error. Rows with the query's vec_id are
-    no candidates. Ties: smaller vec_id. Queries that repeat are answered once; repeated candidates are each ranked.
+    base and queries: vec_id, embedding; other columns are ignored, whatever their names. Vectors that are null, empty, zero or
+    hold null or non-finite components, those of another length than most of base, and rows without vec_id take no part. Rows
+    with the query's vec_id are no candidates. Ties: smaller vec_id. Queries that repeat are answered once (of different
+    vectors under one id, the one with the least hash); repeated candidates are each ranked. Without usable rows on
+    either side there is no answer. parts: default by the number of rows.
     """
     spark = base.sparkSession
     schema = "query_id long, rank int, vec_id long, score double"
-    clean = lambda df: df.select(F.col("vec_id").cast("long").alias("vec_id"), "embedding").where(F.col("vec_id").isNotNull() & usable("embedding"))
-    base, queries = clean(base), clean(queries).dropDuplicates(["vec_id"])
+    length = common_length(base, "embedding")
+    clean = lambda df: df.select(F.col("vec_id").cast("long").alias("vec_id"), "embedding").where(F.col("vec_id").isNotNull() & usable("embedding", length))
+    base = clean(base)
+    queries = clean(queries).groupBy("vec_id").agg(F.min(F.struct(F.xxhash64("embedding").alias("h"), "embedding")).alias("q")).select("vec_id", "q.embedding")
     x = sample_rows(base, "embedding", sample)
     if not len(x):
         return spark.createDataFrame([], schema)
-    router, visits = fit(x, parts, top=k, recall=recall)
+    router, visits = fit(x, parts or parts_of(base.count(), len(x)), top=k, recall=recall)
 
     def assign(n):
         def work(batches):

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strataline.llm.common import ChunkCache, chunk_text, gathered, in_batches
+from strataline.llm.common import ChunkCache, chunk_text, gathered, lean, text_slices
 
 ROW = 256  # ranks to a lower bitmap
 
@@ -227,9 +227,8 @@ def encode_documents(docs: DataFrame, path: str, pattern: str, ids: bool = True)
         tops = lambda n: np.concatenate([[0], np.cumsum(n)])
         sha = lambda raw: hashlib.sha256(raw).hexdigest()
         for b in batches:
-            texts = [t or "" for t in b.column(1).to_pylist()]
-            for i, j in in_batches(texts, 4_000_000):
-                flat, n = own.encode(texts[i:j])
+            for i, j, texts in text_slices(b, 1, 4_000_000):
+                flat, n = own.encode(texts)
                 ends = tops(n)
                 written, digits = memoryview(own.as_text(flat)), tops(own.digits_lens[flat])[ends].tolist()
                 back, lens = own.decode(flat)
@@ -240,7 +239,7 @@ def encode_documents(docs: DataFrame, path: str, pattern: str, ids: bool = True)
                 yield pa.RecordBatch.from_arrays(out, schema=arrow)
 
     schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<long>, decoded binary" * ids
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(work, schema)
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(lean(work), schema)
 
 
 def op8_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -230,15 +230,3 @@ def lean(work):
                 pass
 
     return run
-
-
-def in_batches(texts: list[str], max_chars: int = 2_000_000):
-    """(first, last) of runs of texts of about max_chars together, whatever the length of one."""
-    i = 0
-    while i < len(texts):
-        j, n = i, 0
-        while j < len(texts) and (j == i or n + len(texts[j]) <= max_chars):
-            n += len(texts[j])
-            j += 1
-        yield i, j
-        i = j

@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from strataline.functions.components import components
 from strataline.llm.common import parts_for, saved
 from strataline.llm.simhash import Forest
-from strataline.llm.vectors import matrix, sample_rows, usable
+from strataline.llm.vectors import common_length, matrix, sample_rows, usable
 
 GRID = 2.0**-20
 SLACK = 2e-5  # covers the grid's rounding, so that no pair is lost
@@ -83,22 +83,25 @@ def _pairs(plan: Blocks, b: int, cosine: float, mine, theirs, same: bool):
     return (np.concatenate(keep_i), np.concatenate(keep_j)) if keep_i else (np.zeros(0, np.int64), np.zeros(0, np.int64))
 
 
-def near_duplicates(vectors: DataFrame, cosine: float = 0.9, width: int = 8, sample: int = 2048, pivots: int = 16, chunk: int = 4096) -> DataFrame:
+def near_duplicates(vectors: DataFrame, cosine: float = 0.9, width: int = 16, sample: int = 2048, pivots: int | None = None, chunk: int = 4096) -> DataFrame:
     """vec_id, n_links, component_id, kept of every row of vectors (vec_id, embedding).
 
-    Null, empty and zero vectors and those with null or non-finite components link with nothing: no links, their own
-    component. n_links counts rows, so repeated rows link with each other. Rows without vec_id take part and can link
-    others; a component of such rows alone has no id and its rows are not kept. All vectors have one length.
+    Null, empty and zero vectors, those with null or non-finite components and those of another length than most link with
+    nothing: no links, their own component. n_links counts rows, so repeated rows link with each other. Rows without vec_id take
+    part and can link others; a component of such rows alone has no id and its rows are not kept. Other columns are ignored,
+    whatever their names; a table without rows gives none. pivots: default by the number of different vectors.
     """
     spark = vectors.sparkSession
     rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), "embedding")
-    good = rows.where(usable("embedding"))
-    alone = rows.where(~usable("embedding")).select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.col("vec_id").isNotNull().alias("kept"))
+    length = common_length(rows, "embedding")
+    good = rows.where(usable("embedding", length))
+    alone = rows.where(~usable("embedding", length)).select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.col("vec_id").isNotNull().alias("kept"))
     entries = saved(good.groupBy("embedding").agg(F.count("*").alias("n"), F.min("vec_id").alias("least")).withColumn("entry", F.monotonically_increasing_id()), "vectors")
     x = sample_rows(entries, "embedding", sample)
     if not len(x):
         return alone
-    plan = Blocks(x, cosine, width, pivots)
+    # more pivots, so smaller homes, the more vectors there are, up to an eighth of the sample
+    plan = Blocks(x, cosine, width, pivots or min(max(16, entries.count() >> 12), sample >> 3))
     typed = dict(entries.dtypes)["embedding"]
 
     def deal(batches):

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from strataline.llm.common import in_batches, parts_for, saved, tokenizer_encoder
+from strataline.llm.common import lean, parts_for, saved, text_slices, tokenizer_encoder
 
 WINDOW = 2048
 
@@ -120,9 +120,9 @@ def tokenize(docs: DataFrame, tokenizer_path: str, end_id: int, spaces: bool = T
         kind = id_type(len(enc.edge), end_id)
         part, sent = TaskContext.get().partitionId(), {}
         for b in batches:
-            texts, sources = [t or "" for t in b.column(2).to_pylist()], b.column(1).to_pylist()
-            for i, j in in_batches(texts):
-                flat, n = enc.encode(texts[i:j])
+            sources = b.column(1).to_pylist()
+            for i, j, texts in text_slices(b, 2):
+                flat, n = enc.encode(texts)
                 raw = np.insert(flat, np.cumsum(n), end_id).astype(kind).tobytes()
                 tops = np.concatenate([[0], np.cumsum(n + 1)]) * np.dtype(kind).itemsize
                 inside = []
@@ -131,7 +131,7 @@ def tokenize(docs: DataFrame, tokenizer_path: str, end_id: int, spaces: bool = T
                     sent[s] = inside[-1] + k
                 yield pa.RecordBatch.from_arrays([b.column(0)[i:j], b.column(1)[i:j], pa.array(n + 1, pa.int64()), pa.array([raw[x:z] for x, z in zip(tops, tops[1:])], pa.binary()), pa.array([part] * (j - i), pa.int32()), pa.array(inside, pa.int64())], names=["doc_id", "source", "n_tokens", "ids", "part", "inside"])
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("source").cast("string"), "text").mapInArrow(work, "doc_id long, source string, n_tokens long, ids binary, part int, inside long")
+    return docs.select(F.col("doc_id").cast("long"), F.col("source").cast("string"), "text").mapInArrow(lean(work), "doc_id long, source string, n_tokens long, ids binary, part int, inside long")
 
 
 def vocabulary_size(tokenizer_path: str) -> int:
@@ -146,8 +146,10 @@ def pack(docs: DataFrame, tokenizer_path: str, end_id: int = 1, weights: dict |
     """Pieces of all documents (doc_id, source, text) in sequences of `window` tokens.
 
     weights: target proportion of each source; default each source's share of all tokens. Sources without one (null is a
-    source too) come last. Each row is a document, also a repeated one; a null text has the end id alone. Of each group of
-    `windows` sequences only the last can be short of `window`.
+    source too) come last. A source is a part of a mixture, of which there are few: a row each comes to the driver. Each row is a
+    document, also a repeated one; a null or empty text has the end id alone, and a text is encoded whole, however long.
+    Of each group of `windows` sequences only the last can be short of `window`. Rows of a source follow each other as the table
+    gives them, so ties need no order. Other columns are ignored, whatever their names; a table without rows gives none.
     Returns doc_id, source, start, length, ids_crc32, doc_tokens, sequence_id, offset (and ids, little-endian u32).
     """
     spark = docs.sparkSession
@@ -236,7 +238,7 @@ def pack(docs: DataFrame, tokenizer_path: str, end_id: int = 1, weights: dict |
     out_schema = pa.schema([(n, {"ids": pa.binary(), "source": pa.string()}.get(n, pa.int64())) for n in out_names])
     cuts = placed.mapInArrow(cut, "part long, s long, at long, doc_id long, start long, length long, doc_tokens long, ids binary")
     n = parts_for(spark, plan.parts, 8)
-    return cuts.repartition(n, "part").sortWithinPartitions("part", "s", "at").mapInArrow(fill, schema)
+    return cuts.repartition(n, "part").sortWithinPartitions("part", "s", "at").mapInArrow(lean(fill), schema)
 
 
 def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -7,11 +7,11 @@ from strataline.llm.bpe import op8_byte_bpe
 from strataline.llm.embedding_dedup import op10_embedding_dedup
 from strataline.llm.packing import op7_packing
 from strataline.llm.quality import POSTERIORS_SQL, op6_quality, quality_posteriors
-from strataline.llm.simhash import op5_simhash
+from strataline.llm.simhash import COMPONENTS_SQL, fingerprint_components, op5_simhash
 from strataline.llm.suffix_dedup import op3_suffix_dedup
 from strataline.llm.token_counts import op9_token_counts
 from strataline.llm.token_files import op2_token_files
-from strataline.llm.urls import op1_url_filter
+from strataline.llm.urls import RULES_SQL, op1_url_filter, url_rules
 
 QUERIES = {
     "op1_url_filter": op1_url_filter,
@@ -24,10 +24,15 @@ QUERIES = {
     "op8_byte_bpe": op8_byte_bpe,
     "op9_token_counts": op9_token_counts,
     "op10_embedding_dedup": op10_embedding_dedup,
+    # parts of operators that SQL can express too
+    "url_rules": url_rules,
+    "fingerprint_components": fingerprint_components,
     "quality_posteriors": quality_posteriors,
 }
 #: The other operators are learned, hash or encode, which SQL can't express; tests hold them against brute force.
 ORACLE_SQL: dict[str, str] = {
+    "url_rules": RULES_SQL,
+    "fingerprint_components": COMPONENTS_SQL,
     "quality_posteriors": POSTERIORS_SQL,
     "op10_embedding_dedup": """WITH RECURSIVE v AS (
   SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings

@@ -4,8 +4,9 @@ Two 64-bit fingerprints with at most 3 differing bits share at least 5 of their
 positional byte holds 1/256 of all fingerprints, so lists are intersected three at a time before pairs are tallied: of any 5
 shared positions at least 3 lie in the lower or at least 3 in the upper half, so the 8 triples within the halves miss no
 pair. Within a posting list of (triple, its 24 bits) the shared positional bytes of each pair are tallied, pairs below 5
-are dropped, and the rest are verified by their differing bits. Equal fingerprints are one entry. Lists above `large` are
-intersected once more, with every pair of the other positions (at least 2 of those 5 must agree). Of verified pairs only
+are dropped, and the rest are verified by their differing bits. Equal fingerprints are one entry. A list above `hot` is
+dealt out to many tasks first: it is intersected with every pair of the other positions, at least 2 of which must agree too.
+Within a task lists above `large` are intersected with further positions in the same way. Of verified pairs only
 those are emitted that join two sets not yet joined in the task, so a group of copies gives a forest, not all its pairs.
 """
 
@@ -17,10 +18,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from strataline.functions.components import components
-from strataline.llm.common import parts_for, saved
+from strataline.llm.common import lean, parts_for, saved, text_slices
 
 SEED, MAX_BITS, POSITIONS = 42, 3, 8
 LEAST = POSITIONS - MAX_BITS
@@ -70,22 +70,10 @@ def fingerprints(docs: DataFrame, shingle: int = 3) -> DataFrame:
 
     def work(batches):
         for b in batches:
-            if b.num_rows:
-                yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fingerprints_of(b.column(1).to_pylist(), shingle).view("<i8"))], names=["doc_id", "fp"])
-
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(work, "doc_id long, fp long")
-
-
-def with_fingerprint(docs: DataFrame, name: str, shingle: int = 3) -> DataFrame:
-    """docs and a column with the fingerprint of text as 16 hex digits."""
-    k = docs.columns.index("text")
-
-    def work(batches):
-        for b in batches:
-            fps = [f"{f:016x}" for f in fingerprints_of(b.column(k).to_pylist(), shingle).tolist()] if b.num_rows else []
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(fps, pa.string())], names=[*b.schema.names, name])
+            for i, j, texts in text_slices(b, 1):
+                yield pa.RecordBatch.from_arrays([b.column(0)[i:j], pa.array(fingerprints_of(texts, shingle).view("<i8"))], names=["doc_id", "fp"])
 
-    return docs.mapInArrow(work, T.StructType([*docs.schema.fields, T.StructField(name, T.StringType())]))
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(lean(work), "doc_id long, fp long")
 
 
 class Forest:
@@ -167,7 +155,21 @@ def forest_of(keys: np.ndarray, fps: np.ndarray, large: int = 2048) -> list[tupl
     return [(int(fp[a].astype("<i8")), int(fp[b].astype("<i8"))) for a, b in forest.kept]
 
 
-def near_links(fps: DataFrame, part_rows: int = 600_000) -> DataFrame:
+def _refined(posting: np.ndarray, fps: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Postings of a triple with each pair of the other positions: hashes of (posting, pair, its bytes), and the fingerprints."""
+    bytes_of = fps.view("u1").reshape(-1, POSITIONS).astype(np.uint64)
+    triple = posting >> 24
+    keys, own = [], []
+    for k, t in enumerate(TRIPLES):
+        at = np.flatnonzero(triple == k)
+        for n, (a, b) in enumerate(combinations([p for p in range(POSITIONS) if p not in t], LEAST - 3)):
+            x = posting[at].astype(np.uint64) << np.uint64(32) | np.uint64(n << 16) | bytes_of[at, a] << np.uint64(8) | bytes_of[at, b]
+            keys.append((x * np.uint64(0x9E3779B97F4A7C15) ^ x >> np.uint64(31)).view("<i8"))
+            own.append(fps[at])
+    return np.concatenate(keys), np.concatenate(own)
+
+
+def near_links(fps: DataFrame, part_rows: int = 600_000, hot: int = 100_000) -> DataFrame:
     """Edges (u, v) that connect all of fp long whose bits differ in at most 3 places. fps: distinct fingerprints."""
     spark = fps.sparkSession
     n = parts_for(spark, fps.count() * len(TRIPLES), part_rows)
@@ -181,7 +183,40 @@ def near_links(fps: DataFrame, part_rows: int = 600_000) -> DataFrame:
             pairs = forest_of(keys.astype(np.int64), own.astype("<i8").view("<u8"))
             yield pa.RecordBatch.from_pydict({"u": pa.array([a for a, _ in pairs], pa.int64()), "v": pa.array([b for _, b in pairs], pa.int64())})
 
-    return fps.select(F.explode(lists).alias("posting"), "fp").repartition(n, "posting").mapInArrow(work, "u long, v long")
+    def refine(batches):
+        for b in batches:
+            if b.num_rows:
+                keys, own = _refined(b.column(0).to_numpy(), b.column(1).to_numpy().astype("<i8").view("<u8"))
+                yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(own.view("<i8"))], names=["posting", "fp"])
+
+    posted = fps.select(F.explode(lists).alias("posting"), "fp").select(F.col("posting").cast("long").alias("posting"), "fp")
+    crowded = saved(posted.groupBy("posting").agg(F.count("*").alias("m")).where(F.col("m") > hot).select("posting"), "crowded")
+    if not crowded.isEmpty():
+        dealt = posted.join(crowded, "posting", "left_semi").mapInArrow(refine, "posting long, fp long")
+        posted = posted.join(crowded, "posting", "left_anti").union(dealt)
+    return posted.repartition(n, "posting").mapInArrow(lean(work), "u long, v long")
+
+
+def components_of(made: DataFrame) -> DataFrame:
+    """doc_id, fp, component_id of rows (doc_id, fp): the least doc_id reachable over fingerprints at 3 or fewer bits."""
+    distinct = saved(made.groupBy("fp").agg(F.min("doc_id").alias("least")), "distinct")
+    roots = components(near_links(distinct.select("fp")))
+    rooted = distinct.join(roots.withColumnRenamed("id", "fp"), "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
+    named = rooted.join(rooted.groupBy("root").agg(F.min("least").alias("component_id")), "root").select("fp", "component_id")
+    return made.join(named, "fp").select("doc_id", "fp", "component_id")
+
+
+def fingerprint_components(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Components over fingerprints that SQL can make too: a product of the length of a document."""
+    from strataline.llm.common import table
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", (F.coalesce("n_chars", F.lit(0)).cast("long") * F.lit(68_719_476_731)).alias("fp"))
+    return components_of(docs).select("doc_id", "component_id")
+
+
+COMPONENTS_SQL = """WITH RECURSIVE d AS (SELECT doc_id, CAST(coalesce(n_chars, 0) AS BIGINT) * 68719476731 AS fp FROM documents), f AS (SELECT fp, min(doc_id) AS least FROM d GROUP BY fp),
+l AS (SELECT a.fp AS i, b.fp AS j FROM f a JOIN f b ON bit_count(xor(a.fp, b.fp)) <= 3), r(i, j) AS (SELECT i, j FROM l UNION SELECT r.i, l.j FROM r JOIN l ON r.j = l.i),
+c AS (SELECT r.i AS fp, min(f.least) AS component_id FROM r JOIN f ON f.fp = r.j GROUP BY r.i) SELECT d.doc_id, c.component_id FROM d JOIN c USING (fp)"""
 
 
 def near_duplicates(docs: DataFrame, shingle: int = 3, similarity: float | None = None) -> DataFrame:
@@ -200,11 +235,7 @@ def near_duplicates(docs: DataFrame, shingle: int = 3, similarity: float | None
 
         return jaccard.near_duplicates(docs, shingle, similarity)
     made = saved(fingerprints(docs, shingle), "fingerprints")
-    distinct = saved(made.groupBy("fp").agg(F.min("doc_id").alias("least")), "distinct")
-    roots = components(near_links(distinct.select("fp")))
-    rooted = distinct.join(roots.withColumnRenamed("id", "fp"), "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
-    named = rooted.join(rooted.groupBy("root").agg(F.min("least").alias("component_id")), "root").select("fp", "component_id")
-    return made.join(named, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+    return components_of(made).select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
 def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

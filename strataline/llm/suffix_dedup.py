@@ -31,7 +31,7 @@ from pyspark.sql import types as T
 
 from strataline.llm.common import lean, parts_for, saved, scratch
 from strataline.llm.suffixes import common_prefixes, suffix_array
-from strataline.llm.token_files import FrameReader, FrameWriter, filesystem
+from strataline.llm.token_files import FrameReader, FrameWriter, filesystem, put_in_place
 
 LENGTH, SEED_BYTES, FRAME_BYTES, SHARD_BYTES, FRAMES = 50, 24, 4 << 20, 4 << 20, 1 << 24
 HOT_BYTES = 1 << 19  # text of one minimizer, as estimated, above which its runs are cut further
@@ -188,7 +188,7 @@ def _store(docs: DataFrame, uri: str) -> DataFrame:
         if writer is not None:
             writer.close()
             out.close()
-            fs.move(own, path)
+            put_in_place(fs, own, path)
             yield pa.RecordBatch.from_pydict({"frame": pa.array([f for f, _ in rows], pa.int64()), "n_bytes": pa.array([n for _, n in rows], pa.int64())})
 
     return saved(docs.mapInArrow(lean(write), "frame long, n_bytes long"), "frames")

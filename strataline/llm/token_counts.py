@@ -17,6 +17,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from strataline.llm.common import lean, text_slices
+
 WORD_START = "▁"
 
 
@@ -92,8 +94,9 @@ _own: dict[str, UnigramTrie] = {}
 def count_tokens(docs: DataFrame, model_path: str) -> DataFrame:
     """doc_id, n_words, n_tokens of every row's whole text, without a shuffle.
 
-    Pre-tokens are runs of characters that are not white space. Null, empty and blank texts count 0; repeated rows are
-    counted each.
+    Pre-tokens are runs of characters that are not white space; those too long for the trie are counted all the same. Null,
+    empty and blank texts count 0; repeated rows are counted each, so ties need no order. Other columns are ignored, whatever their
+    names; a table without rows gives none.
     """
 
     def work(batches):
@@ -101,10 +104,11 @@ def count_tokens(docs: DataFrame, model_path: str) -> DataFrame:
             _own[model_path] = UnigramTrie(*zipf_pieces(model_path))
         trie = _own[model_path]
         for b in batches:
-            words = [(t or "").split() for t in b.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(map(len, words), pa.int64()), pa.array(map(trie.counts, words), pa.int64())], names=["doc_id", "n_words", "n_tokens"])
+            for i, j, texts in text_slices(b, 1):
+                words = [t.split() for t in texts]
+                yield pa.RecordBatch.from_arrays([b.column(0)[i:j], pa.array(map(len, words), pa.int64()), pa.array(map(trie.counts, words), pa.int64())], names=["doc_id", "n_words", "n_tokens"])
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(work, "doc_id long, n_words long, n_tokens long")
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(lean(work), "doc_id long, n_words long, n_tokens long")
 
 
 def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -8,8 +8,9 @@ Layout of a file (little-endian throughout):
   low 32 bits of the content's XXH64; then number of frames u32, descriptor u8 (0x80: checksums), magic 0x8F92EAB1.
 This is the public seekable format of zstandard, so its readers open the files too.
 
-Documents are in ascending doc_id (null ids first, ties by text) within a file and from file to file.
-A null text has the end id only. Repeated rows are written once each. Files are named by their partition and put in
+Documents are in ascending doc_id (null ids first, ties by a hash of the text) within a file and from file to file.
+A null or empty text has the end id only; a text is encoded whole, however long, and is never parted between frames. Repeated
+rows are written once each. Other columns are ignored, whatever their names. Files are named by their partition and put in
 place by a rename, so that a task that runs twice leaves the same one file.
 """
 
@@ -21,10 +22,10 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from strataline.llm.common import in_batches, parts_for, scratch, text_bytes, tokenizer_encoder
+from strataline.llm.common import lean, parts_for, scratch, text_bytes, text_slices, tokenizer_encoder
 
 SKIPPABLE, SEEKABLE, CHECKSUMS = 0x184D2A5E, 0x8F92EAB1, 0x80
 FRAME_TOKENS = 1 << 16
@@ -37,6 +38,16 @@ def filesystem(uri: str):
     return fs.FileSystem.from_uri(uri) if ":/" in uri else (fs.LocalFileSystem(), uri)
 
 
+def put_in_place(fs, own: str, path: str):
+    """A finished file gets its name; if another attempt of the task has given it one already, that file stays."""
+    try:
+        fs.move(own, path)
+    except OSError:
+        if not fs.get_file_info(path).is_file:
+            raise
+        fs.delete_file(own)
+
+
 class FrameWriter:
     """Frames into an open binary stream."""
 
@@ -145,15 +156,15 @@ def write_token_files(docs: DataFrame, tokenizer_path: str, uri: str, end_id: in
 
         held = 0
         for b in batches:
-            doc_ids, texts = b.column(0).to_pylist(), b.column(1).to_pylist()
-            for i, j in in_batches(texts):
+            doc_ids = b.column(0).to_pylist()
+            for i, j, texts in text_slices(b, 1):
                 if out is None:
                     fs, path = filesystem(name)
                     fs.create_dir(path.rpartition("/")[0], recursive=True)
                     own = f"{path}.{uuid.uuid4().hex}"
                     out = fs.open_output_stream(own)
                     writer = FrameWriter(out)
-                flat, n_ids = enc.encode(texts[i:j])
+                flat, n_ids = enc.encode(texts)
                 ends = np.cumsum(n_ids)
                 flat = np.insert(flat, ends, end_id)  # after each document
                 n_ids = n_ids + 1
@@ -175,10 +186,10 @@ def write_token_files(docs: DataFrame, tokenizer_path: str, uri: str, end_id: in
             flush()
             writer.close()
             out.close()
-            fs.move(own, path)
+            put_in_place(fs, own, path)
             yield pa.RecordBatch.from_pydict({"file": pa.array([part], pa.int32()), "path": [name], "n_docs": [writer.docs], "n_tokens": [writer.tokens]})
 
-    made = docs.repartitionByRange(n, F.col("doc_id").asc_nulls_first(), F.xxhash64("text")).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), F.xxhash64("text")).mapInArrow(write, "file int, path string, n_docs long, n_tokens long")
+    made = docs.repartitionByRange(n, F.col("doc_id").asc_nulls_first(), F.xxhash64("text")).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), F.xxhash64("text")).mapInArrow(lean(write), "file int, path string, n_docs long, n_tokens long")
     manifest = f"{uri.rstrip('/')}/manifest"
     made.write.parquet(manifest)
     return spark.read.schema(made.schema).parquet(manifest)
@@ -189,9 +200,12 @@ def read_token_files(spark: SparkSession, manifest: DataFrame, ids: bool = False
 
     doc_id, start (ids before it in all files), n_tokens, ids_crc32 (of the ids as little-endian u32), and ids if asked.
     """
-    files = sorted((r["file"], r["path"], r["n_tokens"]) for r in manifest.select("file", "path", "n_tokens").collect())  # a row a file
-    starts = np.concatenate([[0], np.cumsum([f[2] for f in files])]).astype(np.int64)
-    listed = spark.createDataFrame([(f, p, int(s)) for (f, p, _), s in zip(files, starts)], "file int, path string, start long")
+    listed = manifest.select("file", "path", "n_tokens", (F.col("file") / 1024).cast("int").alias("block"))
+    # ids before a file: those of its block of 1024 files, and of the blocks before, a row each
+    blocks = listed.groupBy("block").agg(F.sum("n_tokens").alias("n")).select("block", (F.sum("n").over(Window.orderBy("block")) - F.col("n")).alias("before"))
+    inside = F.sum("n_tokens").over(Window.partitionBy("block").orderBy("file")) - F.col("n_tokens")
+    listed = listed.withColumn("inside", inside).join(blocks, "block").select("file", "path", (F.col("before") + F.col("inside")).alias("start"))
+    n = manifest.count()
     schema = "doc_id long, start long, n_tokens long, ids_crc32 long" + ", ids array<long>" * ids
 
     def read(batches):
@@ -206,9 +220,7 @@ def read_token_files(spark: SparkSession, manifest: DataFrame, ids: bool = False
                     at += int(tops[-1])
                     yield pa.RecordBatch.from_pydict(out)
 
-    if not files:
-        return spark.createDataFrame([], schema)
-    return listed.repartition(len(files), "file").mapInArrow(read, schema)
+    return listed.repartition(max(1, n), "file").mapInArrow(lean(read), schema)
 
 
 def op2_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -122,6 +122,25 @@ def judge(pages: DataFrame, rules=RULES, most: int = 20_000, trees: int = 12, de
     return ruled.union(rest.select(*out, F.when(F.col("score") > 0.5, "block").otherwise("allow").alias("verdict"), "score"))
 
 
+def url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Host, path, longest rule and its verdict of every page, without the trees."""
+    from strataline.llm.common import table
+
+    parts = table(spark, sf_dir, "pages").select("page_id", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"))
+    rule, verdict = matching_rule(F.col("host"), F.col("path"), RULES)
+    return parts.select("page_id", "host", "path", rule.alias("rule"), verdict.alias("ruled"))
+
+
+def _rules_sql() -> str:
+    rows = ", ".join(f"('{r}', '{r.partition('/')[0]}', '/{r.partition('/')[2]}', '{v}')" for r, v in RULES)
+    return f"""WITH p AS (SELECT page_id, translate(coalesce(regexp_extract(url, '(?s)^.*?://([^/?#]*)', 1), ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host, coalesce(regexp_extract(url, '(?s)^.*?://[^/?#]*([^?#]*)', 1), '') AS path FROM pages),
+r(rule, h, p, verdict) AS (VALUES {rows}), m AS (SELECT page_id, rule, verdict, row_number() OVER (PARTITION BY page_id ORDER BY length(rule) DESC, rule) AS k FROM p JOIN r ON (host = h OR ends_with(host, '.' || h)) AND starts_with(path, r.p))
+SELECT p.page_id, host, path, rule, verdict AS ruled FROM p LEFT JOIN m ON m.page_id = p.page_id AND k = 1"""
+
+
+RULES_SQL = _rules_sql()
+
+
 def op1_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     from strataline.llm.common import table
 

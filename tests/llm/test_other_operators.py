@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import re
+
 import numpy as np
 import pytest
 
-from strataline.llm import ann, embedding_dedup, urls
+from strataline.llm import ann, embedding_dedup, simhash, urls
 from strataline.llm.queries import ORACLE_SQL, QUERIES
+from strataline.llm.vectors import sample_rows
 from tests.compare import SF, same
 from tests.llm import brute
 from tests.llm.test_near_dedup import components
@@ -122,7 +125,54 @@ def test_balanced_parts():
 
 
 def test_every_operator_is_registered():
-    assert sorted(int(k[2:].split("_")[0]) for k in QUERIES) == list(range(1, 11)) and set(ORACLE_SQL) <= set(QUERIES)
+    numbered = [k for k in QUERIES if re.match(r"op\d+_", k)]
+    assert sorted(int(k[2:].split("_")[0]) for k in numbered) == list(range(1, 11)) and set(ORACLE_SQL) <= set(QUERIES)
+
+
+@pytest.mark.parametrize("name", ["url_rules", "fingerprint_components", "quality_posteriors"])
+def test_parts_like_their_sql(spark, duck, name):
+    same(QUERIES[name](spark, SF), duck, ORACLE_SQL[name])
+
+
+def test_vectors_of_other_lengths_take_no_part(spark):
+    rows = [(i, [float(i + 1), 1.0, 0.5]) for i in range(8)] + [(20, [1.0, 2.0]), (21, [1.0, 2.0]), (22, [1.0] * 5)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = {r["vec_id"]: r for r in embedding_dedup.near_duplicates(df).collect()}
+    assert all(got[i]["n_links"] == 0 and got[i]["component_id"] == i and got[i]["kept"] for i in (20, 21, 22)) and got[7]["component_id"] < 7
+    found = ann.search(df, df.where("vec_id % 20 = 0")).collect()
+    assert {r["query_id"] for r in found} == {0} and {r["vec_id"] for r in found} == set(range(1, 8))
+
+
+def test_two_vectors_under_one_query_id(spark):
+    rows = [(i, [float(i % 3), 1.0 + i]) for i in range(12)]
+    both = spark.createDataFrame([(0, [5.0, 1.0]), (0, [1.0, 5.0])] * 3, "vec_id long, embedding array<double>")
+    base = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    answers = {tuple((r["rank"], r["vec_id"]) for r in ann.search(base, both.repartition(n)).orderBy("rank").collect()) for n in (1, 3, 6)}
+    assert len(answers) == 1
+
+
+def test_parts_and_sample_grow_with_the_rows(spark):
+    assert [ann.parts_of(n, 4096) for n in (0, 50_000, 600_000, 10_000_000, 10**11)] == [16, 16, 32, 128, 128]
+    many = spark.createDataFrame([(i, [1.0, 2.0]) for i in range(300)] + [(i, [float(i), 3.0]) for i in range(40)], "vec_id long, embedding array<double>")
+    assert len(sample_rows(many, "embedding", 25)) == 25 and len(sample_rows(many, "embedding", 99)) == 41  # copies count once
+
+
+def test_crowded_postings_are_dealt_out(spark):
+    rng = np.random.default_rng(0)
+    fps = set()
+    for b in rng.integers(0, 1 << 40, 12).tolist():
+        for _ in range(60):
+            x = b  # upper three bytes alike in all
+            for bit in rng.integers(0, 40, rng.integers(0, 4)).tolist():
+                x ^= 1 << bit
+            fps.add(x)
+    fps = sorted(fps)
+    want = brute.groups(len(fps), [(i, j) for i in range(len(fps)) for j in range(i) if (fps[i] ^ fps[j]).bit_count() <= 3])
+    at = {f: i for i, f in enumerate(fps)}
+    df = spark.createDataFrame([(f,) for f in fps], "fp long")
+    for hot in (5, 100, 10**6):
+        links = [(at[r["u"]], at[r["v"]]) for r in simhash.near_links(df, hot=hot).collect()]
+        assert brute.groups(len(fps), links) == want
 
 
 def test_pipeline(spark):

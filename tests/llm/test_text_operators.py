@@ -152,13 +152,13 @@ def test_byte_bpe_like_tiktoken(spark, docs, rows, no_docs):
         ids = real.encode_ordinary(t or "")
         want[(i, len(ids), sha(",".join(map(str, ids)).encode()), sha((t or "").encode()))] += 1
     assert got == want
-    own = bpe.RankBPE(path, P.PATTERN)
     rng = np.random.default_rng(1)
     texts = ["".join(rng.choice(list("aabbeth éñ\n!?日"), rng.integers(0, 80))) for _ in range(300)]
     texts += ["ab" * 30_000, "a" * 30_001, "".join(rng.choice(list("etaoin"), 30_000)), "", "x"]
+    own = bpe.RankBPE(path, P.PATTERN, max_entries=500)
     for group in ([texts], [[s] for s in texts]):  # all new pre-tokens together, and each text's own
-        own = bpe.RankBPE(path, P.PATTERN, max_entries=500)
         for some in group:
+            own._clear()
             ids, n = own.encode(some)
             want = [real.encode_ordinary(s) for s in some]
             assert n.tolist() == [*map(len, want)] and ids.tolist() == [i for w in want for i in w]
