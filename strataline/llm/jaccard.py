@@ -7,14 +7,14 @@ which no byte is sure to agree; fingerprints alone would lose most such pairs. S
 
 1. Fingerprints that differ in at most 3 bits, found by the byte-position index, are candidates at once.
 2. In each posting list neighbours in different components are candidates; of those each set takes the one whose fingerprint is
-   nearest. Rounds of this join large groups of near copies at about a pair a member and round. Lists come from five bytes of
-   each member first; only members that come again are posted with their sets.
-3. All pairs of different components that meet in a posting list are tallied. A pair is a candidate if the prefix members that it
-   shares reach the guaranteed minimum: what t asks for, less what can stand behind the prefixes.
-
-Candidates are verified on the whole sets, so 1 and 2 bear on speed only and 3 misses nothing. Members that a sample shows
-to be frequent come last in the order, so that common passages have few prefixes; that too bears on speed only. Equal sets
-are one entry.
+   nearest. Rounds of this join large groups of near copies at about a pair a member and round.
+3. All pairs of different components that meet in a posting list are candidates, if what follows the member in both can still be
+   enough: the first member that a pair shares stands so early in both.
+
+Candidates are verified on the whole sets, so 1 and 2 bear on speed only and 3 misses nothing. The order of members is by
+the number of sets that have them, rare ones first, so that common passages are in few prefixes and lists stay short at any size of
+the input: documents are stored once in frames; each frame sends five bytes of each of its members to a shard, which counts and
+answers with those that come again. Equal sets are one entry.
 """
 
 from __future__ import annotations
@@ -28,9 +28,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from strataline.functions.components import components
-from strataline.llm.common import lean, parts_for, saved, text_slices
+from strataline.llm.common import lean, parts_for, saved, scratch, text_slices
 from strataline.llm.simhash import SEED, near_links
-from strataline.llm.suffix_dedup import _five, _from_five, _grouped
+from strataline.llm.suffix_dedup import _five, _from_five, _grouped, frame_table, store_frames
 
 APART = 20  # bits; fingerprints of unrelated texts are seldom nearer, those of texts at 0.8 seldom further apart
 
@@ -70,24 +70,6 @@ def _lists(sets: list[np.ndarray]) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate([*sets, np.zeros(0, np.int64)])))
 
 
-def frequent(docs: DataFrame, shingle: int, sample: int = 8_000, least: int = 8) -> np.ndarray:
-    """Members (sorted) that at least `least` of about `sample` documents have."""
-    n = docs.count()
-
-    def work(batches):
-        for b in batches:
-            for _, _, texts in text_slices(b, 0, 500_000):
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([shingles_of(t, shingle) for t in texts]))], names=["s"])
-
-    some = docs.select("text") if n <= sample else docs.select("text").sample(sample / n, seed=1)
-    got = some.mapInArrow(lean(work), "s long").groupBy("s").count().where(F.col("count") >= least).select("s").collect()
-    return np.sort(np.array([r[0] for r in got], np.int64))
-
-
-def prefix_size(n, least: float):
-    return n - F.ceil(least * n - 1e-9) + 1
-
-
 def simhashes(sets: list[np.ndarray]) -> np.ndarray:
     """A bit (i8 in all) is 1 if set in over half the members of a set."""
     out = np.zeros(len(sets), np.int64)
@@ -100,93 +82,86 @@ def simhashes(sets: list[np.ndarray]) -> np.ndarray:
     return out
 
 
-def sets_of(docs: DataFrame, shingle: int, least: float, last: np.ndarray) -> DataFrame:
-    """doc_id, key, fp, n (size), prefix and part (the task) of every row; members in `last` come behind the others.
+def posted_sets(docs: DataFrame, shingle: int, least: float) -> DataFrame:
+    """doc_id, key, fp, n (size), s and p of every row: the prefix members that other sets have too, and where they stand in the order.
 
-    A prefix is given once a task for each key, so many copies have few.
+    s and p are given once a frame for each key, so many copies have few.
     """
-
-    def work(batches):
-        from pyspark import TaskContext
-
-        given, part = set(), TaskContext.get().partitionId()
-        for b in batches:
+    spark = docs.sparkSession
+    uri = scratch(spark, "frames")
+    frames = store_frames(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), uri)
+    n_frames, total = frames.agg(F.count("*"), F.coalesce(F.sum("n_bytes"), F.lit(0))).first()
+    shards, tasks = parts_for(spark, total, 16 << 20), parts_for(spark, n_frames, 4)
+    low = np.uint64((1 << 40) - 1)
+    full = lambda s: (s.view("u8") >> np.uint64(40)) % np.uint64(shards) << np.uint64(40) | s.view("u8") & low
+    packs = pa.schema([("shard", pa.int32()), ("frame", pa.int64()), ("n_many", pa.int32()), ("keys", pa.binary()), ("codes", pa.binary())])
+    packed = "shard int, frame long, n_many int, keys binary, codes binary"
+
+    def sets_in(frame: int):
+        """(doc_ids, keys, sets) of a stored frame, a slice at a time."""
+        table = frame_table(uri, frame)
+        for b in table.combine_chunks().to_batches():
             for i, j, texts in text_slices(b, 1, 500_000):
                 sets = [shingles_of(t, shingle) for t in texts]
-                keys, prefix = [*map(key_of, sets)], []
-                for k, m in zip(keys, sets):
-                    if k in given or not len(m):
-                        prefix.append(m[:0])
-                        continue
-                    given.add(k)
-                    if len(last):
-                        late = last[np.minimum(np.searchsorted(last, m), len(last) - 1)] == m
-                        m = np.concatenate([m[~late], m[late]])
-                    prefix.append(m[: len(m) - int(np.ceil(least * len(m) - 1e-9)) + 1])
-                yield pa.RecordBatch.from_arrays([b.column(0)[i:j], pa.array(keys, pa.int64()), pa.array(simhashes(sets)), pa.array([*map(len, sets)], pa.int32()), _lists(prefix), pa.array(np.full(j - i, part, np.int32))], names=["doc_id", "key", "fp", "n", "prefix", "part"])
-
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(lean(work), "doc_id long, key long, fp long, n int, prefix array<long>, part int")
-
-
-def repeated_postings(made: DataFrame) -> DataFrame:
-    """s, key, n, fp and p (position in the prefix) of the prefix members s that two or more postings share, and few others."""
-    spark = made.sparkSession
-    shards = parts_for(spark, made.agg(F.coalesce(F.sum(F.size("prefix").cast("long")), F.lit(0))).first()[0], 2_000_000)
-    of = lambda s: ((s.view("u8") >> np.uint64(40)) % np.uint64(shards)).astype(np.int64)
-    packs = pa.schema([("shard", pa.int32()), ("part", pa.int32()), ("keys", pa.binary())])
+                yield b.column(0)[i:j], [*map(key_of, sets)], sets
 
     def ask(batches):
         for b in batches:
-            parts = b.column(1).to_numpy()
-            edges = np.flatnonzero(np.concatenate([[True], parts[1:] != parts[:-1], [True]])) if len(parts) else []
-            for i, j in zip(edges, edges[1:]):
-                s = b.column(0)[i:j].flatten().to_numpy()
-                shard = of(s)
-                order = np.argsort(shard, kind="stable")
-                s, shard = s[order], shard[order]
-                cuts = np.flatnonzero(np.concatenate([[True], shard[1:] != shard[:-1], [True]])) if len(s) else []
-                rows = [(int(shard[x]), int(parts[i]), _five(s[x:y].view("u8"))) for x, y in zip(cuts, cuts[1:])]
-                if rows:
-                    yield pa.RecordBatch.from_pydict(dict(zip(packs.names, map(list, zip(*rows)))), schema=packs)
-
-    def answer(batches):
+            for f in b.column(0).to_pylist():
+                seen: dict[int, np.ndarray] = {}
+                for _, keys, sets in sets_in(f):
+                    seen |= {k: full(m) for k, m in zip(keys, sets) if k not in seen}
+                found, counts = np.unique(np.concatenate([np.zeros(0, np.uint64), *seen.values()]), return_counts=True)
+                shard = (found >> np.uint64(40)).astype(np.int64)
+                cuts = np.flatnonzero(np.concatenate([[True], shard[1:] != shard[:-1], [True]])) if len(found) else []
+                out = []
+                for x, y in zip(cuts, cuts[1:]):
+                    many = counts[x:y] > 1
+                    out.append((int(shard[x]), f, int(many.sum()), _five(np.concatenate([found[x:y][many] & low, found[x:y][~many] & low])), np.log2(counts[x:y][many]).astype(np.uint8).tobytes()))
+                if out:
+                    yield pa.RecordBatch.from_pydict(dict(zip(packs.names, map(list, zip(*out)))), schema=packs)
+
+    def count(batches):
         for shard, rows in _grouped(batches, "shard"):
-            keys = [_from_five(r["keys"]) for r in rows]
-            _, where, counts = np.unique(np.concatenate(keys), return_inverse=True, return_counts=True)
-            hits, at, out = counts[where] > 1, 0, []
+            keys, out, at = [_from_five(r["keys"]) for r in rows], [], 0
+            each = [np.concatenate([2.0 ** np.frombuffer(r["codes"], np.uint8), np.ones(len(k) - r["n_many"])]) for k, r in zip(keys, rows)]
+            found, where = np.unique(np.concatenate(keys), return_inverse=True)
+            code = np.minimum(255, 4 * np.log2(np.bincount(where, np.concatenate(each), minlength=len(found)))).astype(np.uint8)
             for k, r in zip(keys, rows):
-                own = np.unique(k[hits[at : at + len(k)]])
+                own = code[where[at : at + len(k)]]
                 at += len(k)
-                if len(own):
-                    out.append((shard, r["part"], _five(own)))
+                if (again := own > 0).any():
+                    out.append((shard, r["frame"], 0, _five(k[again]), own[again].tobytes()))
             if out:
                 yield pa.RecordBatch.from_pydict(dict(zip(packs.names, map(list, zip(*out)))), schema=packs)
 
     def post(batches):
-        part, known = None, {}
-        for b in batches:
-            for r in b.to_pylist():
-                if r["part"] != part:
-                    part, known = r["part"], {}
-                if r["keys"] is not None:
-                    known.setdefault(r["shard"], []).append(_from_five(r["keys"]))
-                    continue
-                if isinstance(known, dict):
-                    known = np.unique(np.concatenate([np.zeros(0, np.uint64), *(np.uint64(k << 40) | np.unique(np.concatenate(v)) for k, v in known.items())]))
-                s = np.array(r["prefix"], np.int64)
-                if not len(known):
-                    continue
-                full = of(s).astype(np.uint64) << np.uint64(40) | s.view("u8") & np.uint64((1 << 40) - 1)
-                p = np.flatnonzero(known[np.minimum(np.searchsorted(known, full), len(known) - 1)] == full)
-                if len(p):
-                    yield pa.RecordBatch.from_arrays([pa.array(s[p]), *(pa.array(np.full(len(p), r[c])) for c in ("key", "fp")), pa.array(np.full(len(p), r["n"], np.int32)), pa.array(p.astype(np.int32))], names=["s", "key", "fp", "n", "p"])
-
-    full = made.where(F.size("prefix") > 0)
-    asked = full.select("prefix", "part").mapInArrow(lean(ask), "shard int, part int, keys binary")
-    answers = saved(asked.repartitionById(shards, F.col("shard")).sortWithinPartitions("shard").mapInArrow(lean(answer), "shard int, part int, keys binary"), "answers")
-    rows = answers.unionByName(full.select("part", "key", "fp", "n", "prefix"), allowMissingColumns=True)
-    tasks = parts_for(spark, (made.agg(F.max("part")).first()[0] or 0) + 1, 4)
-    return rows.repartition(tasks, "part").sortWithinPartitions("part", F.col("keys").isNull()).mapInArrow(lean(post), "s long, key long, fp long, n int, p int")
+        for f, rows in _grouped(batches, "frame"):
+            rows = [r for r in rows if r["keys"]]
+            known = np.concatenate([np.zeros(0, np.uint64), *(_from_five(r["keys"]) | np.uint64(r["shard"]) << np.uint64(40) for r in rows)])
+            code = np.concatenate([np.zeros(0, np.uint8), *(np.frombuffer(r["codes"], np.uint8) for r in rows)])
+            order = np.argsort(known)
+            known, code = np.append(known[order], np.uint64(2**64 - 1)), np.append(code[order], np.uint8(0))
+            given: set[int] = set()
+            for ids, keys, sets in sets_in(f):
+                s, p = [], []
+                for k, m in zip(keys, sets):
+                    at = np.zeros(0, np.int64)
+                    if k not in given and len(m):
+                        given.add(k)
+                        place = np.searchsorted(known, full(m))
+                        own = np.where(known[place] == full(m), code[place], 0)
+                        order = np.lexsort((m, own))
+                        m, own = m[order], own[order]
+                        at = np.flatnonzero(own[: len(m) - int(np.ceil(least * len(m) - 1e-9)) + 1])
+                    s.append(m[at])
+                    p.append(at)
+                yield pa.RecordBatch.from_arrays([ids, pa.array(keys, pa.int64()), pa.array(simhashes(sets)), pa.array([*map(len, sets)], pa.int32()), _lists(s), _lists(p)], names=["doc_id", "key", "fp", "n", "s", "p"])
+
+    asked = frames.select("frame").repartition(tasks).mapInArrow(lean(ask), packed)
+    answers = saved(asked.repartitionById(shards, F.col("shard")).sortWithinPartitions("shard").mapInArrow(lean(count), packed), "answers")
+    every = answers.unionByName(frames.select("frame"), allowMissingColumns=True)
+    return every.repartition(tasks, "frame").sortWithinPartitions("frame").mapInArrow(lean(post), "doc_id long, key long, fp long, n int, s array<long>, p array<long>")
 
 
 def members_of(docs: DataFrame, entries: DataFrame, shingle: int) -> DataFrame:
@@ -210,7 +185,7 @@ def _reachable(least: float, n: Column, n2: Column) -> Column:
     return least / (1 + least) * (n + n2) - 1e-9
 
 
-def near_duplicates(docs: DataFrame, shingle: int = 5, least: float = 0.8, rounds: int = 2) -> DataFrame:
+def near_duplicates(docs: DataFrame, shingle: int = 5, least: float = 0.8, rounds: int = 3) -> DataFrame:
     """doc_id, key (of the set), component_id of every row of docs (doc_id, text); all pairs at `least` or above are linked.
 
     Null, empty and blank texts have the empty set and are linked with each other alone; a text of fewer words than a shingle
@@ -219,7 +194,7 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, least: float = 0.8, round
     table without rows gives none.
     """
     spark = docs.sparkSession
-    made = saved(sets_of(docs, shingle, least, frequent(docs, shingle)), "sets")
+    made = saved(posted_sets(docs, shingle, least), "sets")
     entries = saved(made.groupBy("key").agg(F.min("doc_id").alias("least"), F.min("fp").alias("fp"), F.min("n").alias("n")), "entries")
 
     def verified(pairs: DataFrame) -> DataFrame:
@@ -231,9 +206,9 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, least: float = 0.8, round
         both = pairs.join(side("a"), "a").join(side("b"), "b").withColumn("shared", F.size(F.array_intersect("m_a", "m_b")))
         return saved(both.where(F.col("shared") / (F.size("m_a") + F.size("m_b") - F.col("shared")) >= least).select(F.col("a").alias("u"), F.col("b").alias("v")), "links")
 
-    # several tasks can have posted one set: each set once a list
-    posted = saved(repeated_postings(made), "postings")
-    n = parts_for(spark, posted.count(), 1_000_000)
+    # several frames can have posted one set: each set once a list
+    posted = made.where(F.size("s") > 0).select("key", "n", "fp", F.explode(F.arrays_zip("s", "p")).alias("_")).select("_.s", "key", "n", F.col("_.p").cast("int").alias("p"), "fp")
+    n = parts_for(spark, made.agg(F.coalesce(F.sum(F.size("s").cast("long")), F.lit(0))).first()[0], 1_000_000)
     once = posted.repartition(n, "s").groupBy("s", "key").agg(F.min("n").alias("n"), F.min("p").alias("p"), F.min("fp").alias("fp"))
     lists = saved(once.withColumn("m", F.count("*").over(Window.partitionBy("s"))).where("m > 1").drop("m"), "lists")
 
@@ -263,12 +238,8 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, least: float = 0.8, round
     several = now.groupBy("s").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo != hi").select("s")
     now = now.join(several, "s", "left_semi")
     x, y = (now.select("s", *[F.col(k).alias(f"{k}_{side}") for k in ("key", "n", "p", "c")]) for side in "xy")
-    met = x.join(y, "s").where((F.col("key_x") < F.col("key_y")) & (F.col("c_x") != F.col("c_y")) & (F.least("n_x", "n_y") >= _reachable(least, F.col("n_x"), F.col("n_y"))))
-    tally = met.groupBy("key_x", "key_y").agg(F.count("*").alias("k"), *[F.min(c).alias(c) for c in ("n_x", "n_y", "p_x", "p_y")])
-    behind = F.greatest(*[F.col(c) - prefix_size(F.col(c), least) for c in ("n_x", "n_y")])
-    # the first shared member stands at p in both, so no more than what follows it is shared
-    reach = F.least(F.col("k") + behind, F.col("n_x") - F.col("p_x"), F.col("n_y") - F.col("p_y"))
-    across = verified(tally.where(reach >= _reachable(least, F.col("n_x"), F.col("n_y"))).select(F.col("key_x").alias("a"), F.col("key_y").alias("b")))
+    enough = F.least(F.col("n_x") - F.col("p_x"), F.col("n_y") - F.col("p_y")) >= _reachable(least, F.col("n_x"), F.col("n_y"))
+    across = verified(x.join(y, (x["s"] == y["s"]) & (F.col("key_x") < F.col("key_y")) & (F.col("c_x") != F.col("c_y")) & enough).select(F.col("key_x").alias("a"), F.col("key_y").alias("b")))
 
     roots = components(links.union(across))
     rooted = entries.select("key", "least").join(roots.withColumnRenamed("id", "key"), "key", "left").select("key", "least", F.coalesce("root", "key").alias("root"))

@@ -146,7 +146,7 @@ def _grouped(batches, key: str):
         yield now, held
 
 
-def _store(docs: DataFrame, uri: str) -> DataFrame:
+def store_frames(docs: DataFrame, uri: str) -> DataFrame:
     """docs as frames of Arrow data; returns frame (its number) and n_bytes."""
 
     def write(batches):
@@ -194,9 +194,13 @@ def _store(docs: DataFrame, uri: str) -> DataFrame:
     return saved(docs.mapInArrow(lean(write), "frame long, n_bytes long"), "frames")
 
 
-def _load(uri: str, frame: int) -> Frame:
+def frame_table(uri: str, frame: int) -> pa.Table:
     with pa.ipc.open_stream(FrameReader(f"{uri}/part-{frame // FRAMES:08d}.frames").content(frame % FRAMES)) as s:
-        return Frame(s.read_all())
+        return s.read_all()
+
+
+def _load(uri: str, frame: int) -> Frame:
+    return Frame(frame_table(uri, frame))
 
 
 def remove_repeats(docs: DataFrame, finish, schema, length: int = LENGTH) -> DataFrame:
@@ -209,7 +213,7 @@ def remove_repeats(docs: DataFrame, finish, schema, length: int = LENGTH) -> Dat
     """
     spark = docs.sparkSession
     uri = scratch(spark, "frames")
-    frames = _store(docs, uri)
+    frames = store_frames(docs, uri)
     n_frames, total = frames.agg(F.count("*"), F.coalesce(F.sum("n_bytes"), F.lit(0))).first()
     shards = parts_for(spark, total, 24 << 20)
     tasks = parts_for(spark, n_frames, 4)
