@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import re
+import zlib
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from strataline.llm import ann, embedding_dedup, simhash, urls
 from strataline.llm.queries import ORACLE_SQL, QUERIES
@@ -205,3 +207,29 @@ def test_pipeline_stages_on_edges(spark, docs, no_docs):
     ids = [r["doc_id"] for r in kept.collect()]
     assert 20 in ids and not {21, 22, 23} & set(ids)
     assert ids.count(None) == 1  # the other row without an id is a copy of document 20
+
+
+def test_every_pipeline_stage_takes_edge_documents(spark, docs, rows):
+    import corpus_pipeline as c
+
+    given = docs.withColumn("verdict", F.lit(1)).withColumn("frame", F.lit("f")).withColumn("key", F.lit(2)).withColumn("part", F.lit(3))
+    kept = c.quality_stage(spark, given, SF)
+    assert kept.columns == given.columns
+    texts = [r["text"] for r in kept.select("text").collect()]
+    assert len(texts) <= len(rows) and all((t or "").split() for t in texts)  # nothing without a word
+    shorter = c.suffix_stage(spark, given, SF)
+    assert shorter.columns == given.columns
+    lone = [(i, t) for i, t, *_ in rows if i is not None and t and len(t) < 50 and i not in (20,)]
+    left = {(r["doc_id"], r["text"]) for r in shorter.select("doc_id", "text").collect()}
+    assert set(lone) <= left and (50, None) in left and (51, "") in left
+    packed = c.packing_stage(spark, given, SF)
+    pieces = packed.collect()
+    assert sum(p["length"] for p in pieces) == sum(len(i) + 1 for i in encoded([r[1] or "" for r in rows]))
+    assert all(len(p["ids"]) == 4 * p["length"] and zlib.crc32(p["ids"]) == p["ids_crc32"] for p in pieces)
+
+
+def encoded(texts):
+    import public_tokenizers as P
+    from tokenizers import Tokenizer
+
+    return [e.ids for e in Tokenizer.from_file(P.path("byte_bpe_50k.json")).encode_batch(texts, add_special_tokens=False)]
