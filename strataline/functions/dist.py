@@ -8,7 +8,6 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.functions import PandasUDFType
 
 
 def log_gamma(x: np.ndarray) -> np.ndarray:
@@ -57,7 +56,7 @@ def gamma_q(a, x) -> np.ndarray:
         for n in range(1, 2000):
             term = term * x / (a + n)
             total = total + term
-            if np.nanmax(np.abs(term / total), initial=0) < 1e-16:
+            if not (np.abs(term / total) >= 1e-16).any():
                 break
         low = 1 - front * total
         b = x + 1 - a
@@ -150,10 +149,17 @@ def _guarded(f, *xs: pd.Series) -> pd.Series:
 
 
 def _udf(f, n: int):
-    kinds = {1: lambda a: _guarded(f, a), 2: lambda a, b: _guarded(f, a, b), 3: lambda a, b, c: _guarded(f, a, b, c)}
+    def one(a: pd.Series) -> pd.Series:
+        return _guarded(f, a)
+
+    def two(a: pd.Series, b: pd.Series) -> pd.Series:
+        return _guarded(f, a, b)
+
+    def three(a: pd.Series, b: pd.Series, c: pd.Series) -> pd.Series:
+        return _guarded(f, a, b, c)
 
     def apply(*cs) -> Column:
-        got = F.pandas_udf(kinds[n], "double", PandasUDFType.SCALAR)(*[F.col(c) if isinstance(c, str) else c for c in cs])
+        got = F.pandas_udf((one, two, three)[n - 1], "double")(*[F.col(c) if isinstance(c, str) else c for c in cs])
         return F.when(~F.isnan(got), got)
 
     return apply

@@ -87,10 +87,14 @@ def _placed(tissue: np.ndarray, values: np.ndarray) -> np.ndarray:
 def zones(sections: DataFrame, **options) -> DataFrame:
     """A row a zone: name, area and whether its name is sure, of sections (section, height, width, px_um, collagen, muscle, nuclei as float32 bytes)."""
 
-    def one(pdf: pd.DataFrame) -> pd.DataFrame:
-        r = pdf.iloc[0]
+    def one(r: pd.Series) -> pd.DataFrame:
         c, m, n = (np.frombuffer(r[k], "<f4").reshape(int(r["height"]), int(r["width"])).astype(float) for k in ("collagen", "muscle", "nuclei"))
         labels, names, sure = detect(c, m, n, c + m + n > 0.05, float(r["px_um"]), **options)
         return pd.DataFrame([(r["section"], k, name, float((labels == k).sum()) * float(r["px_um"]) ** 2, sure) for k, name in enumerate(names, 1)], columns=["section", "zone", "name", "area_um2", "confident"])
 
-    return sections.groupBy("section").applyInPandas(one, f"section {dict(sections.dtypes)['section']}, zone int, name string, area_um2 double, confident boolean")
+    def each(batches):
+        for pdf in batches:
+            for i in range(len(pdf)):
+                yield one(pdf.iloc[i])
+
+    return sections.mapInPandas(each, f"section {dict(sections.dtypes)['section']}, zone int, name string, area_um2 double, confident boolean")

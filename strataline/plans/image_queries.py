@@ -34,14 +34,24 @@ def pictures(spark, d):
     return _pixels(spark, d).groupBy("section").applyInPandas(one, "section string, height int, width int, px_um double, collagen binary, muscle binary, nuclei binary")
 
 
+def _by_row(one):
+    """For mapInPandas: one(row) of every row, a picture each."""
+
+    def each(batches):
+        for pdf in batches:
+            for i in range(len(pdf)):
+                yield one(pdf.iloc[i])
+
+    return each
+
+
 def lesion_table(spark, d):
-    def one(pdf):
-        r = pdf.iloc[0]
+    def one(r):
         c, m = (np.frombuffer(r[k], "<f4").reshape(r["height"], r["width"]).astype(float) for k in ("collagen", "muscle"))
         found = raster.lesions(c / np.maximum(c + m, 1e-6), c + m > 0.005, float(r["px_um"]), min_area_um2=100.0, smooth_um=8.0, k=1.0)
         return pd.DataFrame([(r["section"], f["lesion"], f["area_um2"], f["x_um"], f["y_um"]) for f in found], columns=["section", "lesion", "area_um2", "x_um", "y_um"])
 
-    return rounded(pictures(spark, d).groupBy("section").applyInPandas(one, "section string, lesion int, area_um2 double, x_um double, y_um double"), 3)
+    return rounded(pictures(spark, d).mapInPandas(_by_row(one), "section string, lesion int, area_um2 double, x_um double, y_um double"), 3)
 
 
 def kidney_zones(spark, d):
@@ -51,13 +61,12 @@ def kidney_zones(spark, d):
 def stitched_tiles(spark, d):
     """Each picture cut in overlapping tiles and put together again."""
 
-    def cut(pdf):
-        r = pdf.iloc[0]
+    def cut(r):
         img = np.frombuffer(r["nuclei"], "<f4").reshape(r["height"], r["width"])
-        parts = [img[y : y + 60, x : x + 60] for y in (0, 34) for x in (0, 36)]
+        parts = [img[y : y + 60, x : x + 60] for y in (0, 36) for x in (0, 36)]
         return pd.DataFrame([(r["section"], k, *p.shape, np.ascontiguousarray(p).tobytes()) for k, p in enumerate(parts)], columns=["section", "tile", "height", "width", "grey"])
 
-    made = pictures(spark, d).groupBy("section").applyInPandas(cut, "section string, tile long, height int, width int, grey binary")
+    made = pictures(spark, d).mapInPandas(_by_row(cut), "section string, tile long, height int, width int, grey binary")
     return rounded(tiles.stitch(made), 1)
 
 
