@@ -105,3 +105,65 @@ def read_tables(spark: SparkSession, folder: str, names: list[str], kind: str =
         except AnalysisException:
             continue
     return out
+
+
+# Endings of the files of one section's results.
+PARTS = {"profile": "along_wall", "depth": "depth_absolute_um", "depth_relative": "depth_relative", "totals": "totals", "lesions": "lesions", "points": "points"}
+
+
+def write_results(results: dict[str, DataFrame], folder: str, section: str = "section", kind: str = "csv") -> list[str]:
+    """Results of many sections at once: <folder>/<part>/<section>=..., and the profile with its running ratio.
+
+    results: those of PARTS that there are, each with the section column; a part without rows is not written. Returns the parts.
+    """
+    from strataline.operators.profile import running_ratio
+
+    written = []
+    for part, name in PARTS.items():
+        df = results.get(part)
+        if df is None or df.isEmpty():
+            continue
+        if part == "profile" and {"arc_um", "collagen_od_um", "muscle_od_um"} <= set(df.columns):
+            df = running_ratio(df, [section], ["arc_um"], "collagen_od_um", "muscle_od_um").withColumnRenamed("running_ratio", "collagen_to_muscle_running")
+        flat = df.select(*[F.to_json(c).alias(c) if t.startswith(("array", "map", "struct")) and kind == "csv" else F.col(c) for c, t in df.dtypes])
+        writer = flat.write.mode("overwrite").partitionBy(section)
+        (writer.option("header", True).csv if kind == "csv" else writer.parquet)(f"{folder}/{name}")
+        written.append(part)
+    return written
+
+
+def read_results(spark: SparkSession, folder: str, kind: str = "csv") -> dict[str, DataFrame]:
+    """Those parts of written results that are there."""
+    from pyspark.errors import AnalysisException
+
+    out = {}
+    for part, name in PARTS.items():
+        try:
+            reader = spark.read.option("header", True).option("inferSchema", True)
+            out[part] = (reader.csv if kind == "csv" else spark.read.parquet)(f"{folder}/{name}")
+        except AnalysisException:
+            continue
+    return out
+
+
+SESSION = T.StructType([T.StructField("name", T.StringType()), T.StructField("version", T.IntegerType()), T.StructField("saved", T.TimestampType()), T.StructField("settings", T.MapType(T.StringType(), T.StringType())), T.StructField("tiles", T.ArrayType(T.StringType())), T.StructField("poses", T.ArrayType(POSE)), T.StructField("matches", T.StringType())])
+
+
+def write_session(tiles: DataFrame, matches: DataFrame | None, path: str, name: str, settings: dict[str, str] | None = None) -> None:
+    """One session as a document: settings, where the tiles (by name) ended up, and the accepted matches it was solved from."""
+    pose = F.struct(*[F.col(f.name) for f in POSE])
+    rows = tiles.agg(F.array_sort(F.collect_list(F.struct(F.col("index").alias("k"), F.col("name").alias("n"), pose.alias("p")))).alias("r"))  # the tiles of one mosaic
+    kept = F.lit(None).cast("string")
+    if matches is not None:
+        rows = rows.join(F.broadcast(matches.agg(F.to_json(F.collect_list(F.struct(*[F.col(c) for c in matches.columns]))).alias("m"))))  # one row each
+        kept = F.col("m")
+    options = F.create_map(*[F.lit(str(v)) for kv in settings.items() for v in kv]) if settings else F.lit(None).cast("map<string,string>")
+    rows.select(F.lit(name).alias("name"), F.lit(2).alias("version"), F.current_timestamp().alias("saved"), options.alias("settings"), F.transform("r", lambda x: x["n"]).alias("tiles"), F.transform("r", lambda x: x["p"]).alias("poses"), kept.alias("matches")).write.mode("overwrite").json(path)
+
+
+def read_session(spark: SparkSession, path: str, match: str | None = None) -> tuple[DataFrame, DataFrame, DataFrame | None]:
+    """(name, version, saved, settings), tiles with poses, and matches by the given schema of one."""
+    df = spark.read.schema(SESSION).json(path)
+    tiles = df.select(F.posexplode(F.arrays_zip("tiles", "poses")).alias("index", "z")).select("index", F.col("z.tiles").alias("name"), "z.poses.*")
+    found = None if match is None else df.select(F.explode(F.from_json("matches", f"array<struct<{match}>>")).alias("m")).select("m.*")
+    return df.select("name", "version", "saved", "settings"), tiles, found
