@@ -30,3 +30,20 @@ def ranked(df: DataFrame, value: str, name: str = "rank") -> DataFrame:
     cut, before = _ranges(df, [F.col(value)])
     ties = F.count("*").over(Window.partitionBy("_range", value)) - 1
     return cut.withColumn("_at", F.rank().over(Window.partitionBy("_range").orderBy(value)) + ties / 2).join(before, "_range").withColumn(name, F.col("_before") + F.col("_at")).drop("_range", "_at", "_before")
+
+
+def quantiles(df: DataFrame, value: Column, shares: list[float], held: int = 1_000_000) -> list[float | None]:
+    """Exact quantiles of a column over all rows, interpolated between neighbours; nulls are left out.
+
+    A percentile aggregate holds a count for each different value, so it is used for up to about `held` of them. Beyond, the values
+    are numbered in order, range by range, and those at the ranks asked for are read.
+    """
+    values = df.select(value.cast("double").alias("v")).where("v is not null")
+    n, different = values.agg(F.count("*"), F.approx_count_distinct("v")).first()
+    if not n:
+        return [None] * len(shares)
+    if different <= held:
+        return values.agg(F.percentile("v", F.array(*[F.lit(float(s)) for s in shares]))).first()[0]
+    ranks = {k for s in shares for k in (int(s * (n - 1)), min(n - 1, int(s * (n - 1)) + 1))}
+    at = {r["k"] - 1: r["v"] for r in numbered(values, [F.col("v")], "k").where(F.col("k").isin(*[k + 1 for k in ranks])).collect()}  # two rows a share
+    return [at[k] + (at[min(n - 1, k + 1)] - at[k]) * (s * (n - 1) - k) for s in shares for k in [int(s * (n - 1))]]

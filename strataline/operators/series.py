@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from strataline.functions.core import finite, safe_div
+from strataline.functions.ordering import quantiles
 
 
 def positioned(df: DataFrame, keys: list[str], at: list[str]) -> DataFrame:
@@ -109,10 +110,11 @@ def nice(step: float) -> float:
 def histogram(df: DataFrame, group: str, value: str, most: int = 30) -> DataFrame:
     """Shares of each group's own values in bins shared by all: Sturges' or Freedman-Diaconis' width, whichever is finer."""
     rows = df.withColumn("v", finite(value)).where("v is not null")
-    s = rows.agg(F.count("*"), F.min("v"), F.max("v"), F.percentile("v", F.array(F.lit(0.25), F.lit(0.75)))).first()
+    s = rows.agg(F.count("*"), F.min("v"), F.max("v")).first()
     if not s[0]:
         return rows.select(group, F.lit(0).alias("bin"), F.lit(0.0).alias("low"), F.lit(0.0).alias("high"), F.lit(0).cast("long").alias("n"), F.lit(0.0).alias("share"))
-    n, low, high, (q1, q3) = s
+    n, low, high = s
+    q1, q3 = quantiles(rows, F.col("v"), [0.25, 0.75])
     span = high - low
     fd, sturges = 2 * (q3 - q1) / n ** (1 / 3), span / (math.log2(n) + 1)
     width = min(fd, sturges) if fd > 0 else sturges
@@ -133,12 +135,12 @@ def event_rates(df: DataFrame, group: str, trial: str, at: str, width: float) ->
 
 def active_span(df: DataFrame, at: str, spread: str, share: float = 0.03) -> DataFrame:
     """Where sweeps differ: from the first to the last place whose spread exceeds its median by 3 MAD and by a share of the rise."""
-    med = df.agg(F.median(spread).alias("m"), F.max(spread).alias("top"))
-    made = df.join(F.broadcast(med))  # one row
-    mad = made.agg(F.median(F.abs(F.col(spread) - F.col("m"))).alias("mad"))
-    made = made.join(F.broadcast(mad))  # one row
-    cut = F.greatest(F.col("m") + 3 * 1.4826 * F.col("mad"), F.col("m") + share * (F.col("top") - F.col("m")))
-    return made.where(F.col(spread) > cut).agg(F.min(at).alias("first"), F.max(at).alias("last"), F.count("*").alias("n"))
+    top, (middle,) = df.agg(F.max(spread)).first()[0], quantiles(df, F.col(spread), [0.5])
+    if middle is None:
+        return df.limit(0).agg(F.min(at).alias("first"), F.max(at).alias("last"), F.count("*").alias("n"))
+    (mad,) = quantiles(df, F.abs(F.col(spread) - middle), [0.5])
+    cut = max(middle + 3 * 1.4826 * mad, middle + share * (top - middle))
+    return df.where(F.col(spread) > cut).agg(F.min(at).alias("first"), F.max(at).alias("last"), F.count("*").alias("n"))
 
 
 def median_mad(df: DataFrame, keys: list[str], value: str) -> DataFrame:
