@@ -8,8 +8,8 @@ which no byte is sure to agree; fingerprints alone would lose most such pairs. S
 1. Fingerprints that differ in at most 3 bits, found by the byte-position index, are candidates at once.
 2. In each posting list neighbours in different components are candidates; of those each set takes the one whose fingerprint is
    nearest. Rounds of this join large groups of near copies at about a pair a member and round.
-3. All pairs of different components that meet in a posting list are candidates, if what follows the member in both can still be
-   enough: the first member that a pair shares stands so early in both.
+3. All pairs of different components that meet in a posting list are candidates, where they meet first, and if what follows the
+   member in both can still be enough. So each pair is made once, however many members it shares.
 
 Candidates are verified on the whole sets, so 1 and 2 bear on speed only and 3 misses nothing. The order of members is by
 the number of sets that have them, rare ones first, so that common passages are in few prefixes and lists stay short at any size of
@@ -200,11 +200,12 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, least: float = 0.8, round
     def verified(pairs: DataFrame) -> DataFrame:
         """Of pairs of keys (a, b) those whose sets are similar enough, as (u, v)."""
         pairs = saved(pairs.distinct(), "pairs")
+        few = max(1, pairs.count() // 100_000)  # files and tasks as the pairs need them, whatever the session's partitions
         used = pairs.select(F.col("a").alias("key")).union(pairs.select("b")).distinct()
-        members = saved(members_of(docs, entries.join(used, "key", "left_semi").select("key", "least"), shingle), "members")
+        members = saved(members_of(docs, entries.join(used, "key", "left_semi").select("key", "least"), shingle).coalesce(few), "members")
         side = lambda k: members.select(F.col("key").alias(k), F.col("members").alias(f"m_{k}"))
         both = pairs.join(side("a"), "a").join(side("b"), "b").withColumn("shared", F.size(F.array_intersect("m_a", "m_b")))
-        return saved(both.where(F.col("shared") / (F.size("m_a") + F.size("m_b") - F.col("shared")) >= least).select(F.col("a").alias("u"), F.col("b").alias("v")), "links")
+        return saved(both.where(F.col("shared") / (F.size("m_a") + F.size("m_b") - F.col("shared")) >= least).select(F.col("a").alias("u"), F.col("b").alias("v")).coalesce(few), "links")
 
     # several frames can have posted one set: each set once a list
     posted = made.where(F.size("s") > 0).select("key", "n", "fp", F.explode(F.arrays_zip("s", "p")).alias("_")).select("_.s", "key", "n", F.col("_.p").cast("int").alias("p"), "fp")
@@ -237,9 +238,13 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, least: float = 0.8, round
     now = saved(label(), "labelled")
     several = now.groupBy("s").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo != hi").select("s")
     now = now.join(several, "s", "left_semi")
-    x, y = (now.select("s", *[F.col(k).alias(f"{k}_{side}") for k in ("key", "n", "p", "c")]) for side in "xy")
+    # with each posting the members before it, at most those of a prefix: a pair meets first where these have none in common
+    own = now.groupBy("key").agg(F.first("n").alias("n"), F.first("c").alias("c"), F.array_sort(F.collect_list(F.struct("p", "s"))).alias("all"))
+    now = own.select("key", "n", "c", F.posexplode("all").alias("i", "e"), "all").select("e.s", "e.p", "key", "n", "c", F.transform(F.slice("all", F.lit(1), F.col("i")), lambda e: e["s"]).alias("before"))
+    x, y = (now.select("s", *[F.col(k).alias(f"{k}_{side}") for k in ("key", "n", "p", "c", "before")]) for side in "xy")
     enough = F.least(F.col("n_x") - F.col("p_x"), F.col("n_y") - F.col("p_y")) >= _reachable(least, F.col("n_x"), F.col("n_y"))
-    across = verified(x.join(y, (x["s"] == y["s"]) & (F.col("key_x") < F.col("key_y")) & (F.col("c_x") != F.col("c_y")) & enough).select(F.col("key_x").alias("a"), F.col("key_y").alias("b")))
+    first = ~F.arrays_overlap("before_x", "before_y")
+    across = verified(x.join(y, (x["s"] == y["s"]) & (F.col("key_x") < F.col("key_y")) & (F.col("c_x") != F.col("c_y")) & enough & first).select(F.col("key_x").alias("a"), F.col("key_y").alias("b")))
 
     roots = components(links.union(across))
     rooted = entries.select("key", "least").join(roots.withColumnRenamed("id", "key"), "key", "left").select("key", "least", F.coalesce("root", "key").alias("root"))
