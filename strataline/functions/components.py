@@ -8,6 +8,9 @@ from pyspark.sql import functions as F
 from strataline.functions.scratch import saved
 
 
+TASK_EDGES = 250_000
+
+
 def _stars(edges: DataFrame) -> DataFrame:
     """One large-star and one small-star step over edges (u, v) with u > v."""
     both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
@@ -31,7 +34,8 @@ def components(edges: DataFrame) -> DataFrame:
     mark = lambda df: tuple(df.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
     before = mark(now)
     while before[0]:
-        now = saved(_stars(now), "edges")
+        # a step makes hardly more edges than it gets; few of them need few files, whatever the session's partitions
+        now = saved(_stars(now).coalesce(max(1, before[0] // TASK_EDGES)), "edges")
         after = mark(now)
         if after == before:
             break
