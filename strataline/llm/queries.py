@@ -6,6 +6,7 @@ from strataline.llm.ann import op4_nearest
 from strataline.llm.bpe import op8_byte_bpe
 from strataline.llm.embedding_dedup import op10_embedding_dedup
 from strataline.llm.packing import op7_packing
+from strataline.llm.periodic import PERIODIC_SQL, op11_periodic_runs
 from strataline.llm.quality import POSTERIORS_SQL, op6_quality, quality_posteriors
 from strataline.llm.simhash import COMPONENTS_SQL, fingerprint_components, op5_simhash
 from strataline.llm.suffix_dedup import op3_suffix_dedup
@@ -24,6 +25,7 @@ QUERIES = {
     "op8_byte_bpe": op8_byte_bpe,
     "op9_token_counts": op9_token_counts,
     "op10_embedding_dedup": op10_embedding_dedup,
+    "op11_periodic_runs": op11_periodic_runs,
     # parts of operators that SQL can express too
     "url_rules": url_rules,
     "fingerprint_components": fingerprint_components,
@@ -34,6 +36,7 @@ ORACLE_SQL: dict[str, str] = {
     "url_rules": RULES_SQL,
     "fingerprint_components": COMPONENTS_SQL,
     "quality_posteriors": POSTERIORS_SQL,
+    "op11_periodic_runs": PERIODIC_SQL,
     "op10_embedding_dedup": """WITH RECURSIVE v AS (
   SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings
   WHERE embedding IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0),

@@ -128,7 +128,7 @@ def test_balanced_parts():
 
 def test_every_operator_is_registered():
     numbered = [k for k in QUERIES if re.match(r"op\d+_", k)]
-    assert sorted(int(k[2:].split("_")[0]) for k in numbered) == list(range(1, 11)) and set(ORACLE_SQL) <= set(QUERIES)
+    assert sorted(int(k[2:].split("_")[0]) for k in numbered) == list(range(1, 14)) and set(ORACLE_SQL) <= set(QUERIES)
 
 
 @pytest.mark.parametrize("name", ["url_rules", "fingerprint_components", "quality_posteriors"])
