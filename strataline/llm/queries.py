@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from strataline.llm.ann import op4_nearest
 from strataline.llm.bpe import op8_byte_bpe
+from strataline.llm.clustering import lloyd_sql, op13_centroids
 from strataline.llm.embedding_dedup import op10_embedding_dedup
 from strataline.llm.packing import op7_packing
 from strataline.llm.periodic import PERIODIC_SQL, op11_periodic_runs
@@ -26,6 +27,7 @@ QUERIES = {
     "op9_token_counts": op9_token_counts,
     "op10_embedding_dedup": op10_embedding_dedup,
     "op11_periodic_runs": op11_periodic_runs,
+    "op13_centroids": op13_centroids,
     # parts of operators that SQL can express too
     "url_rules": url_rules,
     "fingerprint_components": fingerprint_components,
@@ -37,6 +39,7 @@ ORACLE_SQL: dict[str, str] = {
     "fingerprint_components": COMPONENTS_SQL,
     "quality_posteriors": POSTERIORS_SQL,
     "op11_periodic_runs": PERIODIC_SQL,
+    "op13_centroids": lloyd_sql(),
     "op10_embedding_dedup": """WITH RECURSIVE v AS (
   SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings
   WHERE embedding IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
