@@ -8,6 +8,7 @@ from strataline.llm.clustering import lloyd_sql, op13_centroids
 from strataline.llm.embedding_dedup import op10_embedding_dedup
 from strataline.llm.packing import op7_packing
 from strataline.llm.periodic import PERIODIC_SQL, op11_periodic_runs
+from strataline.llm.pii import op12_pii
 from strataline.llm.quality import POSTERIORS_SQL, op6_quality, quality_posteriors
 from strataline.llm.simhash import COMPONENTS_SQL, fingerprint_components, op5_simhash
 from strataline.llm.suffix_dedup import op3_suffix_dedup
@@ -27,6 +28,7 @@ QUERIES = {
     "op9_token_counts": op9_token_counts,
     "op10_embedding_dedup": op10_embedding_dedup,
     "op11_periodic_runs": op11_periodic_runs,
+    "op12_pii": op12_pii,
     "op13_centroids": op13_centroids,
     # parts of operators that SQL can express too
     "url_rules": url_rules,
