@@ -154,7 +154,7 @@ def topk_per_endpoint(spark, d):
 
 
 SQL["topk_per_endpoint"] = f"""WITH {_EDGES}, t AS (SELECT i, j, quality, i AS tile FROM q UNION ALL SELECT i, j, quality, j FROM q), r AS (SELECT *, row_number() OVER (PARTITION BY tile ORDER BY round(quality, 9) DESC, i, j) AS k FROM t)
-SELECT DISTINCT i, j, round(quality, 6) AS quality FROM r WHERE k <= 2"""
+SELECT DISTINCT i, j, CAST(round(CAST(quality AS DECIMAL(20, 12)), 6) AS DOUBLE) AS quality FROM r WHERE k <= 2"""
 
 
 def edge_qc(spark, d):
@@ -197,12 +197,14 @@ SELECT point, round(nearest_at, 6) AS nearest_at, round(distance, 6) AS distance
 
 
 def components(spark, d):
-    e = table(spark, d, "part").where(F.col("p_partkey") % 9 != 0).select(F.col("p_partkey").alias("i"), (F.col("p_partkey") + 1).alias("j"))
-    return graph.components(e)
+    """Every part is tied to the next one, or to the one before where the number two on is a square: groups between squares, of growing size."""
+    i = F.col("p_partkey")
+    root = F.round(F.sqrt(i + 2)).cast("long")
+    return graph.components(table(spark, d, "part").select(i.alias("i"), F.when(root * root == i + 2, i - 1).otherwise(i + 1).alias("j")))
 
 
-SQL["components"] = """WITH v AS (SELECT p_partkey AS id FROM part WHERE p_partkey % 9 <> 0 UNION SELECT p_partkey + 1 FROM part WHERE p_partkey % 9 <> 0), s AS (SELECT id, CASE WHEN (id - 1) % 9 = 0 OR id - 1 NOT IN (SELECT p_partkey FROM part WHERE p_partkey % 9 <> 0) THEN 1 ELSE 0 END AS first FROM v)
-SELECT id, max(CASE WHEN first = 1 THEN id END) OVER (ORDER BY id ROWS UNBOUNDED PRECEDING) AS component FROM s"""
+SQL["components"] = """WITH p AS (SELECT p_partkey AS i, CAST(round(sqrt(p_partkey + 2)) AS BIGINT) AS r FROM part), e AS (SELECT i, CASE WHEN r * r = i + 2 THEN i - 1 ELSE i + 1 END AS j FROM p),
+v AS (SELECT i AS id FROM e UNION SELECT j FROM e) SELECT id, min(id) OVER (PARTITION BY CAST(floor(sqrt(id + 1)) AS BIGINT)) AS component FROM v"""
 
 
 def irls_positions(spark, d):

@@ -12,7 +12,8 @@ from pyspark.sql import functions as F
 
 PICTURE = "path string, height int, width int, px_um double, rgb binary, error string"
 # Tags and codes of the format.
-WIDTH, HEIGHT, BITS, COMPRESSION, STRIPS, SAMPLES, STRIP_BYTES, X_RESOLUTION, PLANAR, UNIT, FORMAT = 256, 257, 258, 259, 273, 277, 279, 282, 284, 296, 339
+WIDTH, HEIGHT, BITS, COMPRESSION, STRIPS, SAMPLES, STRIP_BYTES, X_RESOLUTION, PLANAR, UNIT, PREDICTOR, FORMAT = 256, 257, 258, 259, 273, 277, 279, 282, 284, 296, 317, 339
+PHOTOMETRIC, WHITE_IS_ZERO, BLACK_IS_ZERO, RGB = 262, 0, 1, 2
 KINDS = {1: "B", 2: "B", 3: "H", 4: "I", 5: "II", 16: "Q"}
 UNIT_UM = {2: 25400.0, 3: 10000.0}
 DEFLATE = (8, 32946)
@@ -63,17 +64,32 @@ def pixel_size(tags: dict[int, tuple]) -> float | None:
 
 
 def read_tiff(raw: bytes) -> tuple[np.ndarray, float | None]:
-    """Values of the first picture in their own type, and its pixel size. Strips, plain or deflated."""
+    """Values of the first picture in their own type, white as the largest, and its pixel size.
+
+    Strips, plain or deflated, also with horizontal differences; 8, 16, 32 or 64 bits a sample. Anything else is a ValueError.
+    """
     order, tags = tags_of(raw)
     h, w, n = tags[HEIGHT][0], tags[WIDTH][0], tags.get(SAMPLES, (1,))[0]
-    packing = tags.get(COMPRESSION, (1,))[0]
+    packing, bits, shades, differences = tags.get(COMPRESSION, (1,))[0], set(tags.get(BITS, (1,))), tags.get(PHOTOMETRIC, (BLACK_IS_ZERO,))[0], tags.get(PREDICTOR, (1,))[0]
     if packing != 1 and packing not in DEFLATE or STRIPS not in tags:
         raise ValueError(f"compression {packing} or tiles are not read")
-    kind = np.dtype(f"{order}{ {1: 'u', 2: 'i', 3: 'f'}[tags.get(FORMAT, (1,))[0]] }{tags.get(BITS, (8,))[0] // 8}")
+    if len(bits) > 1 or not bits <= {8, 16, 32, 64} or shades not in (WHITE_IS_ZERO, BLACK_IS_ZERO, RGB):
+        raise ValueError(f"samples of {sorted(bits)} bits with colours of kind {shades} are not read")
+    form = {1: "u", 2: "i", 3: "f"}.get(tags.get(FORMAT, (1,))[0])
+    if form is None or differences not in (1, 2) or form == "f" and differences == 2:
+        raise ValueError("this kind of samples or predictor is not read")
+    kind = np.dtype(f"{order}{form}{bits.pop() // 8}")
     strips = [raw[a : a + k] for a, k in zip(tags[STRIPS], tags[STRIP_BYTES])]
     values = np.frombuffer(b"".join(zlib.decompress(s) if packing in DEFLATE else s for s in strips), kind)[: h * w * n]
+    values = values.astype(kind.newbyteorder("="))
     values = np.moveaxis(values.reshape(n, h, w), 0, -1) if tags.get(PLANAR, (1,))[0] == 2 else values.reshape(h, w, n)
-    return values.astype(kind.newbyteorder("=")), pixel_size(tags)
+    if differences == 2:  # each pixel less the one on its left, in the samples' own range
+        values = np.cumsum(values, axis=1, dtype=values.dtype)
+    if shades == WHITE_IS_ZERO:
+        if form != "u":
+            raise ValueError("white as zero is read of unsigned samples only")
+        values = np.iinfo(values.dtype).max - values
+    return values, pixel_size(tags)
 
 
 def read_tiffs(spark: SparkSession, path: str) -> DataFrame:
@@ -87,7 +103,7 @@ def read_tiffs(spark: SparkSession, path: str) -> DataFrame:
                     values, px = read_tiff(raw)
                     img = as_rgb(scaled(values))
                     rows.append((p, img.shape[0], img.shape[1], px, np.ascontiguousarray(img, "<f4").tobytes(), None))
-                except (ValueError, KeyError, struct.error, zlib.error) as e:
+                except (ValueError, KeyError, IndexError, TypeError, struct.error, zlib.error) as e:
                     rows.append((p, None, None, None, None, f"{type(e).__name__}: {e}"))
             out = pd.DataFrame(rows, columns=[c.split()[0] for c in PICTURE.split(", ")])
             yield out.astype({"height": "Int32", "width": "Int32"})
