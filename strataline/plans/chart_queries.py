@@ -150,7 +150,8 @@ q AS (SELECT *, power(greatest(0, least(1, (ncc - 0.35) / 0.5)), 0.8) * (0.35 +
 def topk_per_endpoint(spark, d):
     # ranked by rounded qualities, so that the last digit of a power makes no order; those returned are rounded once
     e = _edges(spark, d).withColumn("ranked", F.round("quality", 9))
-    return rounded(graph.best_edges(e, 2, "ranked").select("i", "j", "quality"))
+    # ties at the seventh digit: both sides round a decimal of twelve digits
+    return graph.best_edges(e, 2, "ranked").select("i", "j", F.round(F.col("quality").cast("decimal(20,12)"), 6).cast("double").alias("quality"))
 
 
 SQL["topk_per_endpoint"] = f"""WITH {_EDGES}, t AS (SELECT i, j, quality, i AS tile FROM q UNION ALL SELECT i, j, quality, j FROM q), r AS (SELECT *, row_number() OVER (PARTITION BY tile ORDER BY round(quality, 9) DESC, i, j) AS k FROM t)
