@@ -32,6 +32,7 @@ from strataline.llm.common import lean, parts_for, saved, scratch, text_slices
 from strataline.llm.simhash import SEED, near_links
 from strataline.llm.suffix_dedup import _five, _from_five, _grouped, frame_table, store_frames
 
+HELD = 256  # members; at most 512 KB a document, whatever its length
 APART = 20  # bits; fingerprints of unrelated texts are seldom nearer, those of texts at 0.8 seldom further apart
 
 
@@ -238,9 +239,11 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, least: float = 0.8, round
     now = saved(label(), "labelled")
     several = now.groupBy("s").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo != hi").select("s")
     now = now.join(several, "s", "left_semi")
-    # with each posting the members before it, at most those of a prefix: a pair meets first where these have none in common
+    # with each posting the members before it: a pair meets first where these have none in common. Those of a prefix longer than HELD
+    # are not repeated at each of its postings, as they would take the square of its length; its pairs come up each time, and once from distinct
     own = now.groupBy("key").agg(F.first("n").alias("n"), F.first("c").alias("c"), F.array_sort(F.collect_list(F.struct("p", "s"))).alias("all"))
-    now = own.select("key", "n", "c", F.posexplode("all").alias("i", "e"), "all").select("e.s", "e.p", "key", "n", "c", F.transform(F.slice("all", F.lit(1), F.col("i")), lambda e: e["s"]).alias("before"))
+    own = own.withColumn("held", F.when(F.size("all") <= HELD, F.col("all")["s"]).otherwise(F.array().cast("array<long>")))
+    now = own.select("key", "n", "c", "held", F.posexplode("all").alias("i", "e")).select("e.s", "e.p", "key", "n", "c", F.slice("held", F.lit(1), F.col("i")).alias("before"))
     x, y = (now.select("s", *[F.col(k).alias(f"{k}_{side}") for k in ("key", "n", "p", "c", "before")]) for side in "xy")
     enough = F.least(F.col("n_x") - F.col("p_x"), F.col("n_y") - F.col("p_y")) >= _reachable(least, F.col("n_x"), F.col("n_y"))
     first = ~F.arrays_overlap("before_x", "before_y")

@@ -194,8 +194,16 @@ def _counted(docs: DataFrame, keys: DataFrame) -> DataFrame:
     """key and n: how often each sequence of words of keys stands in all texts."""
     bits = np.packbits(_bloom(keys))
 
+    def merged(held, counts):
+        key, n = np.unique(np.concatenate([np.zeros(0, np.uint64), *held]), return_counts=True)
+        every, at = np.unique(np.concatenate([counts[0], key]), return_inverse=True)
+        total = np.zeros(len(every), np.int64)
+        np.add.at(total, at, np.concatenate([counts[1], n]))
+        return [], (every, total)
+
     def work(batches):
         bloom = np.unpackbits(bits).astype(bool)
+        held, counts, size = [], (np.zeros(0, np.uint64), np.zeros(0, np.int64)), 0  # a row a task and sequence
         for b in batches:
             for _, _, texts in text_slices(b, 0, 1_000_000):
                 words = [w for t in texts for w in [*t.split(), "\n"]]
@@ -214,8 +222,12 @@ def _counted(docs: DataFrame, keys: DataFrame) -> DataFrame:
                         key = _joined(part)[inside]
                         hit = np.logical_and.reduce([bloom[(key >> np.uint64(r)) % np.uint64(BLOOM_BITS)] for r in (3, 19, 37)])
                         out.append(key[hit])
-                key, n = np.unique(np.concatenate([np.zeros(0, np.uint64), *out]), return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(n)], names=["key", "n"])
+                held += out
+                if (size := size + sum(map(len, out))) > 1 << 20:
+                    held, counts = merged(held, counts)
+                    size = 0
+        key, n = merged(held, counts)[1]
+        yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(n)], names=["key", "n"])
 
     return docs.select("text").mapInArrow(lean(work), "key long, n long").join(keys, "key", "left_semi").groupBy("key").agg(F.sum("n").alias("n"))
 
@@ -234,14 +246,17 @@ def personal_data(docs: DataFrame, support: float = 5.0, confidence: float = 0.7
     values = saved(each.groupBy("value").agg(F.bit_or(F.col("bits").bitwiseAND(15)).alias("may"), F.bit_or(F.shiftright("bits", 4)).alias("seed")), "values")
     edges = saved(each.select(F.explode("keys").alias("key"), "value").groupBy("key", "value").agg(F.count("*").alias("m")), "edges")
     graph = edges.join(values, "value")
-    supported = graph.where("seed > 0").groupBy("key").agg(F.count("*").alias("s")).where(F.col("s") >= min(support, 2))
+    bit = lambda c: F.expr(f"({c} & shiftleft(1, kind)) != 0")
+    kinds = F.explode(F.array(*map(F.lit, range(len(KINDS))))).alias("kind")
+    # what a pattern would need if all values that may be of the kind were, and it stood nowhere else
+    of = lambda c: F.sum(F.when(c, 1).otherwise(0))
+    could = graph.select("*", kinds).groupBy("key", "kind").agg(of(bit("seed")).alias("seeds"), of(bit("seed") | bit("may") & (F.col("seed") == 0)).alias("pro"), F.count("*").alias("s"))
+    supported = could.where(f"seeds >= 1 and pro >= {support} and pro / (s + 1) >= {confidence}").select("key").distinct()
     keys = saved(supported.select("key"), "patterns")
     accepted = found.sparkSession.createDataFrame([], "value long, kind int, score double")
     if not keys.isEmpty():
         every = saved(edges.groupBy("key").agg(F.sum("m").alias("m")).join(_counted(docs, keys), "key").select("key", F.greatest(F.lit(0), F.col("n") - F.col("m")).alias("others")), "counts")
         graph = saved(graph.join(keys, "key", "left_semi").select("key", "value", "may", "seed"), "graph")
-        kinds = F.explode(F.array(*map(F.lit, range(len(KINDS))))).alias("kind")
-        bit = lambda c: F.expr(f"({c} & shiftleft(1, kind)) != 0")
         all_kinds = graph.select("*", kinds)
         known = -1
         while True:

@@ -66,3 +66,14 @@ def test_other_similarities(spark, least):
     rows = planted()[0][:120]
     df = spark.createDataFrame(rows, "doc_id long, text string")
     assert {r["doc_id"]: r["component_id"] for r in jaccard.near_duplicates(df, least=least).collect()} == components(rows, least)
+
+
+def test_long_documents_that_share_a_third(spark):
+    """Each pair shares many members of long prefixes, none is near; and one of a million words stands beside them."""
+    rng = random.Random(9)
+    prose = lambda n: [f"w{rng.randrange(10**6)}" for _ in range(n)]
+    common = prose(13_333)
+    rows = [(i, " ".join(common + prose(26_667))) for i in range(4)] + [(10, " ".join(prose(1_000_000)))]
+    near = " ".join(rows[0][1].split()[:39_000])
+    df = spark.createDataFrame([*rows, (20, near)], "doc_id long, text string").repartition(3)
+    assert {r["doc_id"]: r["component_id"] for r in jaccard.near_duplicates(df).collect()} == {0: 0, 1: 1, 2: 2, 3: 3, 10: 10, 20: 0}
