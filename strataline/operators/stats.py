@@ -40,12 +40,18 @@ def describe_groups(df: DataFrame, value: str, group: str, within: str | None =
     return made.withColumn("sem", F.col("sd") / F.sqrt("n"))
 
 
-def level_pairs(levels: DataFrame, level: str, order: str, how: str = "all", control: str | None = None, within: list[str] | None = None) -> DataFrame:
+def level_pairs(levels: DataFrame, level: str, order: str, how: str = "all", control: str | None = None, within: list[str] | None = None, pairs: DataFrame | None = None) -> DataFrame:
     """(a, b) to compare. levels: a row a level with its order.
 
-    all: every pair in order; adjacent: neighbours; control: every other level with the control, which stands second.
+    all: every pair in order; adjacent: neighbours; control: every other level with the control, which stands second; given: the
+    rows of pairs (a, b) of which both are levels of a block and differ, each once and with its sides as given.
     """
     within = within or []
+    if how == "given":
+        if pairs is None:
+            raise ValueError("pairs are needed")
+        first, second = (levels.select(*within, F.col(level).alias(side)).distinct() for side in "ab")
+        return pairs.select("a", "b").where("a != b").distinct().join(first, "a").join(second, [*within, "b"]).select(*within, "a", "b")
     a = levels.select(*within, F.col(level).alias("a"), F.col(order).alias("a_order"))
     b = levels.select(*within, F.col(level).alias("b"), F.col(order).alias("b_order"))
     if how == "all":

@@ -38,6 +38,15 @@ def pair_plan_control(spark, d):
     return stats.level_pairs(_levels(spark, d), "n_name", "level_order", "control", first)
 
 
+def pair_plan_given(spark, d):
+    """Each nation listed with the seven that follow it, of which those of its region are compared; some are listed twice or with themselves."""
+    n = table(spark, d, "nation")
+    listed = n.select(F.col("n_name").alias("a"), F.explode(F.array(*[F.lit(k) for k in (0, 1, 2, 3, 4, 5, 5, 6, 7)])).alias("k"), "n_nationkey")
+    pairs = listed.join(n.select(F.col("n_name").alias("b"), F.col("n_nationkey").alias("_k")), F.col("_k") == F.col("n_nationkey") + F.col("k"))
+    return stats.level_pairs(_levels(spark, d), "n_name", "level_order", "given", within=["n_regionkey"], pairs=pairs)
+
+
+SQL["pair_plan_given"] = "SELECT a.n_regionkey, a.n_name AS a, b.n_name AS b FROM nation a JOIN nation b ON a.n_regionkey = b.n_regionkey AND b.n_nationkey - a.n_nationkey BETWEEN 1 AND 7"
 SQL["pair_plan_all"] = "SELECT a.n_regionkey, a.n_name AS a, b.n_name AS b FROM nation a JOIN nation b ON a.n_regionkey = b.n_regionkey AND a.n_nationkey < b.n_nationkey"
 SQL["pair_plan_adjacent"] = "SELECT * FROM (SELECT n_regionkey, n_name AS a, lead(n_name) OVER (PARTITION BY n_regionkey ORDER BY n_nationkey) AS b FROM nation) WHERE b IS NOT NULL"
 SQL["pair_plan_control"] = "SELECT a.n_name AS a, b.n_name AS b FROM nation a JOIN nation b ON b.n_name = (SELECT min(n_name) FROM nation) AND a.n_name <> b.n_name"
@@ -182,4 +191,4 @@ def factorial_mixed(spark, d):
     return rounded(stats.factorial(rows, "value", ["event_type", "half"], subject="user_id"), 4)
 
 
-QUERIES = {f.__name__: f for f in (describe_groups_by_unit, pair_plan_all, pair_plan_adjacent, pair_plan_control, mann_whitney_u, cliffs_delta, hedges_g, welch_and_student, paired_t, pooled_paired_t, pooled_ratio_t, adjust_bh, adjust_holm, adjust_bonferroni, p_labels, aligned_rank, average_ranks, compare_all, factorial_anova, factorial_mixed)}
+QUERIES = {f.__name__: f for f in (describe_groups_by_unit, pair_plan_all, pair_plan_adjacent, pair_plan_control, pair_plan_given, mann_whitney_u, cliffs_delta, hedges_g, welch_and_student, paired_t, pooled_paired_t, pooled_ratio_t, adjust_bh, adjust_holm, adjust_bonferroni, p_labels, aligned_rank, average_ranks, compare_all, factorial_anova, factorial_mixed)}
