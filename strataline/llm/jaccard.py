@@ -8,8 +8,9 @@ which no byte is sure to agree; fingerprints alone would lose most such pairs. S
 1. Fingerprints that differ in at most 3 bits, found by the byte-position index, are candidates at once.
 2. In each posting list neighbours in different components are candidates; of those each set takes the one whose fingerprint is
    nearest. Rounds of this join large groups of near copies at about a pair a member and round.
-3. All pairs of different components that meet in a posting list are candidates, where they meet first, and if what follows the
-   member in both can still be enough. So each pair is made once, however many members it shares.
+3. All pairs of different components that meet in a posting list are candidates, where they meet first, if what follows the
+   member in both can still be enough, and if their parities (for each of 256 classes of members, whether their number in the set
+   is odd) differ in no more places than the sets may in members. So each pair is made once, however many members it shares.
 
 Candidates are verified on the whole sets, so 1 and 2 bear on speed only and 3 misses nothing. The order of members is by
 the number of sets that have them, rare ones first, so that common passages are in few prefixes and lists stay short at any size of
@@ -33,6 +34,8 @@ from strataline.llm.simhash import SEED, near_links
 from strataline.llm.suffix_dedup import _five, _from_five, _grouped, frame_table, store_frames
 
 HELD = 256  # members; at most 512 KB a document, whatever its length
+PARITIES = 256  # classes; sets of up to about 500 members are told apart well, larger ones need the other filters
+GS = [f"g{i}" for i in range(PARITIES // 64)]
 APART = 20  # bits; fingerprints of unrelated texts are seldom nearer, those of texts at 0.8 seldom further apart
 
 
@@ -83,8 +86,19 @@ def simhashes(sets: list[np.ndarray]) -> np.ndarray:
     return out
 
 
+def parities(sets: list[np.ndarray]) -> np.ndarray:
+    """(len(sets), PARITIES / 64) i8: a bit is 1 if an odd number of members is of its class.
+
+    Members that two sets share cancel out, so these differ in at most as many bits as the sets in members.
+    """
+    where = np.repeat(np.arange(len(sets)), [*map(len, sets)]) * PARITIES
+    members = np.concatenate([*sets, np.zeros(0, np.int64)]) & (PARITIES - 1)
+    odd = np.bincount(where + members, minlength=len(sets) * PARITIES).astype(np.uint8) & 1
+    return np.packbits(odd, bitorder="little").view("<i8").reshape(len(sets), PARITIES // 64)
+
+
 def posted_sets(docs: DataFrame, shingle: int, least: float) -> DataFrame:
-    """doc_id, key, fp, n (size), s and p of every row: the prefix members that other sets have too, and where they stand in the order.
+    """doc_id, key, fp, n (size), g0... (parities), s and p of every row: the prefix members that other sets have too, and where they stand in the order.
 
     s and p are given once a frame for each key, so many copies have few.
     """
@@ -157,12 +171,13 @@ def posted_sets(docs: DataFrame, shingle: int, least: float) -> DataFrame:
                         at = np.flatnonzero(own[: len(m) - int(np.ceil(least * len(m) - 1e-9)) + 1])
                     s.append(m[at])
                     p.append(at)
-                yield pa.RecordBatch.from_arrays([ids, pa.array(keys, pa.int64()), pa.array(simhashes(sets)), pa.array([*map(len, sets)], pa.int32()), _lists(s), _lists(p)], names=["doc_id", "key", "fp", "n", "s", "p"])
+                g = [pa.array(np.ascontiguousarray(c)) for c in parities(sets).T]
+                yield pa.RecordBatch.from_arrays([ids, pa.array(keys, pa.int64()), pa.array(simhashes(sets)), pa.array([*map(len, sets)], pa.int32()), *g, _lists(s), _lists(p)], names=["doc_id", "key", "fp", "n", *GS, "s", "p"])
 
     asked = frames.select("frame").repartition(tasks).mapInArrow(lean(ask), packed)
     answers = saved(asked.repartitionById(shards, F.col("shard")).sortWithinPartitions("shard").mapInArrow(lean(count), packed), "answers")
     every = answers.unionByName(frames.select("frame"), allowMissingColumns=True)
-    return every.repartition(tasks, "frame").sortWithinPartitions("frame").mapInArrow(lean(post), "doc_id long, key long, fp long, n int, s array<long>, p array<long>")
+    return every.repartition(tasks, "frame").sortWithinPartitions("frame").mapInArrow(lean(post), f"doc_id long, key long, fp long, n int, {', '.join(f'{g} long' for g in GS)}, s array<long>, p array<long>")
 
 
 def members_of(docs: DataFrame, entries: DataFrame, shingle: int) -> DataFrame:
@@ -186,6 +201,11 @@ def _reachable(least: float, n: Column, n2: Column) -> Column:
     return least / (1 + least) * (n + n2) - 1e-9
 
 
+def _apart(least: float, n: Column, n2: Column) -> Column:
+    """In how many members two sets of n and n2 members may differ if they are similar enough."""
+    return (1 - least) / (1 + least) * (n + n2) + 1e-9
+
+
 def near_duplicates(docs: DataFrame, shingle: int = 5, least: float = 0.8, rounds: int = 3) -> DataFrame:
     """doc_id, key (of the set), component_id of every row of docs (doc_id, text); all pairs at `least` or above are linked.
 
@@ -196,7 +216,7 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, least: float = 0.8, round
     """
     spark = docs.sparkSession
     made = saved(posted_sets(docs, shingle, least), "sets")
-    entries = saved(made.groupBy("key").agg(F.min("doc_id").alias("least"), F.min("fp").alias("fp"), F.min("n").alias("n")), "entries")
+    entries = saved(made.groupBy("key").agg(F.min("doc_id").alias("least"), *[F.min(c).alias(c) for c in ("fp", "n", *GS)]), "entries")
 
     def verified(pairs: DataFrame) -> DataFrame:
         """Of pairs of keys (a, b) those whose sets are similar enough, as (u, v)."""
@@ -242,10 +262,12 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, least: float = 0.8, round
     # with each posting the members before it: a pair meets first where these have none in common. Those of a prefix longer than HELD
     # are not repeated at each of its postings, as they would take the square of its length; its pairs come up each time, and once from distinct
     own = now.groupBy("key").agg(F.first("n").alias("n"), F.first("c").alias("c"), F.array_sort(F.collect_list(F.struct("p", "s"))).alias("all"))
-    own = own.withColumn("held", F.when(F.size("all") <= HELD, F.col("all")["s"]).otherwise(F.array().cast("array<long>")))
-    now = own.select("key", "n", "c", "held", F.posexplode("all").alias("i", "e")).select("e.s", "e.p", "key", "n", "c", F.slice("held", F.lit(1), F.col("i")).alias("before"))
-    x, y = (now.select("s", *[F.col(k).alias(f"{k}_{side}") for k in ("key", "n", "p", "c", "before")]) for side in "xy")
+    own = own.join(entries.select("key", *GS), "key").withColumn("held", F.when(F.size("all") <= HELD, F.col("all")["s"]).otherwise(F.array().cast("array<long>")))
+    now = own.select("key", "n", "c", *GS, "held", F.posexplode("all").alias("i", "e")).select("e.s", "e.p", "key", "n", "c", *GS, F.slice("held", F.lit(1), F.col("i")).alias("before"))
+    x, y = (now.select("s", *[F.col(k).alias(f"{k}_{side}") for k in ("key", "n", "p", "c", "before", *GS)]) for side in "xy")
     enough = F.least(F.col("n_x") - F.col("p_x"), F.col("n_y") - F.col("p_y")) >= _reachable(least, F.col("n_x"), F.col("n_y"))
+    odd = sum((F.bit_count(F.col(f"{g}_x").bitwiseXOR(F.col(f"{g}_y"))) for g in GS), F.lit(0))
+    enough &= odd <= _apart(least, F.col("n_x"), F.col("n_y"))
     first = ~F.arrays_overlap("before_x", "before_y")
     across = verified(x.join(y, (x["s"] == y["s"]) & (F.col("key_x") < F.col("key_y")) & (F.col("c_x") != F.col("c_y")) & enough & first).select(F.col("key_x").alias("a"), F.col("key_y").alias("b")))
 

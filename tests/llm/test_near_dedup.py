@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import random
 
+import numpy as np
 import pytest
 
 from strataline.llm import jaccard
@@ -77,3 +78,16 @@ def test_long_documents_that_share_a_third(spark):
     near = " ".join(rows[0][1].split()[:39_000])
     df = spark.createDataFrame([*rows, (20, near)], "doc_id long, text string").repartition(3)
     assert {r["doc_id"]: r["component_id"] for r in jaccard.near_duplicates(df).collect()} == {0: 0, 1: 1, 2: 2, 3: 3, 10: 10, 20: 0}
+
+
+def test_parities_differ_in_at_most_as_many_bits_as_the_sets_in_members():
+    rng = np.random.default_rng(4)
+    pool = rng.integers(-(2**63), 2**63 - 1, 3000)
+    sets = [np.unique(rng.choice(pool, k)) for k in (0, 1, 5, 40, 300, 2000, 3000)]
+    sets += [np.setdiff1d(m, m[:k]) for m in sets for k in (1, 3)]
+    bits = np.unpackbits(jaccard.parities(sets).view("u1"), axis=1)
+    assert jaccard.parities([]).shape[0] == 0 and not jaccard.parities([sets[0]]).any()
+    for a, x in zip(sets, bits):
+        for b, y in zip(sets, bits):
+            differ = len(np.setxor1d(a, b))
+            assert (x != y).sum() <= differ and (x != y).sum() % 2 == differ % 2
