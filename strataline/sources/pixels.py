@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import struct
 import zlib
+from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
@@ -40,22 +41,28 @@ def as_rgb(values: np.ndarray) -> np.ndarray:
     return (values if last else np.moveaxis(values, 0, -1))[..., :3]
 
 
-def tags_of(raw: bytes) -> tuple[str, dict[int, tuple]]:
-    """Byte order and the tags of the first picture of a TIFF file."""
-    order = {b"II": "<", b"MM": ">"}.get(raw[:2])
-    if order is None or struct.unpack_from(f"{order}H", raw, 2)[0] != 42:
+def tags_at(read: Callable[[int, int], bytes]) -> tuple[str, dict[int, tuple]]:
+    """Byte order and the tags of the first picture of a TIFF file; read(at, n) gives n of its bytes."""
+    head = read(0, 8)
+    order = {b"II": "<", b"MM": ">"}.get(head[:2])
+    if order is None or struct.unpack_from(f"{order}H", head, 2)[0] != 42:
         raise ValueError("no TIFF file")
-    at = struct.unpack_from(f"{order}I", raw, 4)[0]
-    tags = {}
-    for k in range(struct.unpack_from(f"{order}H", raw, at)[0]):
-        tag, kind, n = struct.unpack_from(f"{order}HHI", raw, at + 2 + 12 * k)
+    at = struct.unpack_from(f"{order}I", head, 4)[0]
+    n_tags = struct.unpack(f"{order}H", read(at, 2))[0]
+    entries, tags = read(at + 2, 12 * n_tags), {}
+    for k in range(n_tags):
+        tag, kind, n = struct.unpack_from(f"{order}HHI", entries, 12 * k)
         if kind in KINDS:
             form = f"{order}{KINDS[kind] * n}"
-            place = at + 10 + 12 * k
-            tags[tag] = struct.unpack_from(form, raw, place if struct.calcsize(form) <= 4 else struct.unpack_from(f"{order}I", raw, place)[0])
+            size = struct.calcsize(form)
+            tags[tag] = struct.unpack_from(form, entries, 12 * k + 8) if size <= 4 else struct.unpack(form, read(struct.unpack_from(f"{order}I", entries, 12 * k + 8)[0], size))
     return order, tags
 
 
+def tags_of(raw: bytes) -> tuple[str, dict[int, tuple]]:
+    return tags_at(lambda at, n: raw[at : at + n])
+
+
 def pixel_size(tags: dict[int, tuple]) -> float | None:
     """Micrometres a pixel, if the file has a resolution in inches or centimetres."""
     num, den = tags.get(X_RESOLUTION, (0, 0))
