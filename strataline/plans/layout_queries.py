@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from strataline.operators import layout
 from strataline.plans.tables import rounded, table
+from strataline.sources import positions
 
 SQL: dict[str, str] = {}
 
@@ -85,3 +86,16 @@ b AS (SELECT point, arc, sqrt((p.x - c.x) * (p.x - c.x) + (p.y - c.y) * (p.y - c
 SELECT point, arc, round(d, 6) AS distance FROM (SELECT *, row_number() OVER (PARTITION BY point ORDER BY d, arc) AS k FROM b WHERE d <= 60) WHERE k = 1"""
 
 QUERIES = {f.__name__: f for f in (layout_forest, layout_places, islands_merged, sliver_joins, nearest_in_plane)}
+
+
+def complete_groups(spark, d):
+    """Customers as groups of orders as sections: pooled only if each of the orders has lines, and none of them is all returned."""
+    orders = table(spark, d, "orders").select(F.col("o_custkey").alias("group"), F.col("o_orderkey").alias("item"))
+    lines = table(spark, d, "lineitem").groupBy(F.col("l_orderkey").alias("item")).agg(F.sum("l_quantity").alias("quantity"), F.min(F.col("l_returnflag") == "R").alias("returned"))
+    good, _ = positions.complete_groups(orders, lines.select("item", F.when(F.col("returned"), "returned").alias("reason")))
+    return rounded(good.join(lines, "item").groupBy("group").agg(F.count("*").alias("sections"), F.sum("quantity").alias("quantity")))
+
+
+SQL["complete_groups"] = """WITH l AS (SELECT l_orderkey, sum(l_quantity) AS q, min(CASE WHEN l_returnflag = 'R' THEN 1 ELSE 0 END) AS r FROM lineitem GROUP BY 1)
+SELECT o_custkey AS "group", count(*) AS sections, round(sum(q), 6) AS quantity FROM orders LEFT JOIN l ON l_orderkey = o_orderkey GROUP BY o_custkey HAVING count(q) = count(*) AND max(r) = 0"""
+QUERIES["complete_groups"] = complete_groups
