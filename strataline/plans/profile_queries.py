@@ -16,8 +16,8 @@ O = "OVER (PARTITION BY user_id ORDER BY ts, event_id)"
 
 
 def _millis():
-    """Milliseconds since 1970 of a time without zone, whatever the session's zone."""
-    return F.expr("timestampdiff(MILLISECOND, TIMESTAMP_NTZ'1970-01-01 00:00:00', CAST(ts AS TIMESTAMP_NTZ))")
+    """Milliseconds since 1970 of a time without zone, whatever the session's zone; to the nearest, halves away from zero."""
+    return F.expr("round(timestampdiff(MICROSECOND, TIMESTAMP_NTZ'1970-01-01 00:00:00', CAST(ts AS TIMESTAMP_NTZ)), -3) div 1000")
 
 
 def _events(spark, d):
