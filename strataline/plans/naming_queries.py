@@ -48,7 +48,8 @@ SQL["split_file_names"] = "SELECT p_partkey, '20260815/' || replace(p_brand, '#'
 
 
 def part_roles(spark, d):
-    return naming.part_roles(_files(spark, d).select("image"), "image").select("pos", "files", "values", "role")
+    # file numbers grow with the table: whole numbers of any length
+    return naming.part_roles(_files(spark, d).select("image"), "image", digits=None).select("pos", "files", "values", "role")
 
 
 SQL["part_roles"] = """SELECT 0 AS pos, count(*) AS files, CAST(1 AS BIGINT) AS "values", 'date' AS role FROM part UNION ALL SELECT 1, count(*), count(DISTINCT p_brand), 'variant' FROM part UNION ALL SELECT 2, count(*), count(DISTINCT p_size % 3), 'dish' FROM part UNION ALL SELECT 3, count(*), count(DISTINCT p_partkey), 'field' FROM part"""

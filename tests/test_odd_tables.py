@@ -28,3 +28,9 @@ def test_times_between_milliseconds(spark, tmp_path, query):
     near = [t + datetime.timedelta(microseconds=u) for t in at for u in (-1501, -1500, -501, -500, -499, 0, 499, 500)]
     rows = [(k, t, k % 3, "view", float(v)) for k, t in enumerate(near) for v in (0, k * k)]
     check(spark, tmp_path, {"events": ("event_id long, ts timestamp_ntz, user_id long, event_type string, value double", rows)}, query)
+
+
+def test_roles_of_numbers_of_five_digits(spark, tmp_path):
+    """A number of the file stays its field when it has five digits; in a batch's scheme it is whole up to four."""
+    rows = [(k, f"Brand#{k % 5}", k % 7) for k in (0, 1, 7, 9999, 10_000, 123_456, 20_240_101)]
+    check(spark, tmp_path, {"part": ("p_partkey long, p_brand string, p_size int", rows)}, "part_roles", "batch_schemes")
