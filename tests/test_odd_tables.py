@@ -5,6 +5,7 @@ import datetime
 import duckdb
 import pytest
 
+from strataline.operators import graph
 from strataline.plans import catalog
 from tests.compare import same
 
@@ -34,3 +35,18 @@ def test_roles_of_numbers_of_five_digits(spark, tmp_path):
     """A number of the file stays its field when it has five digits; in a batch's scheme it is whole up to four."""
     rows = [(k, f"Brand#{k % 5}", k % 7) for k in (0, 1, 7, 9999, 10_000, 123_456, 20_240_101)]
     check(spark, tmp_path, {"part": ("p_partkey long, p_brand string, p_size int", rows)}, "part_roles", "batch_schemes")
+
+
+def test_overlaps_of_equal_rectangles(spark, tmp_path, monkeypatch):
+    """Rectangles of which many are the same, keys more than a list holds, by their SQL; a group meets once, not once a pair of rows."""
+    monkeypatch.setattr(graph, "LISTED", 7)
+    rows = [(k, k % 2 * 3 + 2) for k in range(0, 180 * 40, 60)] + [(180 * k + 1, 5) for k in range(60)]
+    check(spark, tmp_path, {"part": ("p_partkey long, p_size int", rows)}, "rect_overlap_join")
+
+
+def test_overlaps_of_odd_rectangles(spark):
+    """Missing keys and sides link nothing, a repeated key not with itself."""
+    rows = [(1, 0.0, 0.0, 4.0, 4.0), (1, 1.0, 1.0, 4.0, 4.0), (2, 1.0, 1.0, 4.0, 4.0), (2, 1.0, 1.0, 4.0, 4.0), (None, 0.0, 0.0, 4.0, 4.0), (3, None, 0.0, 4.0, 4.0), (4, 50.0, 0.0, 4.0, 4.0)]
+    df = spark.createDataFrame(rows, "k long, x double, y double, w double, h double")
+    got = graph.rectangle_overlaps(df, "k", "x", "y", "w", "h", 4.0, 8.0).collect()
+    assert sorted(tuple(r) for r in got) == [(1, 2, 9.0), (1, 2, 9.0), (1, 2, 16.0), (1, 2, 16.0)]
