@@ -70,14 +70,22 @@ def edges_of(corners: DataFrame, polygon: str, at: str, x: str, y: str) -> DataF
 def in_polygons(points: DataFrame, key: str, x: str, y: str, edges: DataFrame, height: float) -> DataFrame:
     """key, n_polygons, inside of each point (key tells them apart): how many of the polygons hold it, and whether any does.
 
-    Even-odd rule: sides and points meet in bands of the given height, crossings to the right of the point are counted for each
-    pair of point and polygon. Points with a null coordinate are in none.
+    Even-odd rule: a polygon's sides are cut once at each height at which points lie, in bands of the given height, and the cuts to the
+    right of each point are counted along that line in one order of cuts and points. Points with a null coordinate are in none.
     """
-    sides = edges.where("y0 != y1").withColumn("band", F.explode(F.sequence(F.floor(F.least("y0", "y1") / height), F.floor(F.greatest("y0", "y1") / height))))
-    at = points.select(F.col(key).alias("_key"), F.col(x).alias("_x"), F.col(y).alias("_y"), F.floor(F.col(y) / height).alias("band"))
+    # few corners and points become many cuts and pairs: what is small before is dealt out by number
+    n = int(points.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    band = F.floor(F.col("_y") / height)
+    sides = edges.where("y0 != y1").repartition(n).withColumn("band", F.explode(F.sequence(F.floor(F.least("y0", "y1") / height), F.floor(F.greatest("y0", "y1") / height))))
+    at = points.select(F.col(key).alias("_key"), F.col(x).cast("double").alias("_x"), F.col(y).cast("double").alias("_y")).where("_x is not null and _y is not null").repartition(n)
     cut = F.col("x0") + (F.col("_y") - F.col("y0")) * ((F.col("x1") - F.col("x0")) / (F.col("y1") - F.col("y0")))
-    crossed = at.join(sides, "band").where(((F.col("y0") > F.col("_y")) != (F.col("y1") > F.col("_y"))) & (F.col("_x") < cut))
-    odd = crossed.groupBy("_key", "polygon").agg(F.count("*").alias("n")).where("n % 2 = 1").groupBy("_key").agg(F.count("*").alias("n"))
+    cuts = at.select("_y").distinct().withColumn("band", band).join(sides, "band").where((F.col("y0") > F.col("_y")) != (F.col("y1") > F.col("_y"))).select("_y", "polygon", cut.alias("_x"))
+    met = at.join(cuts.select("_y", "polygon").distinct(), "_y")
+    both = cuts.select(F.lit(None).cast(dict(at.dtypes)["_key"]).alias("_key"), "_y", "polygon", "_x", F.lit(1).alias("_cut")).unionByName(met.withColumn("_cut", F.lit(0))).repartition(n, "_y", "polygon")
+    # from the right, a point before the cuts at its own place; zero has one sign
+    line = Window.partitionBy("_y", "polygon").orderBy((F.col("_x") + F.lit(0.0)).desc(), "_cut").rowsBetween(Window.unboundedPreceding, 0)
+    inside = both.withColumn("_right", F.sum("_cut").over(line)).where("_cut = 0 and _right % 2 = 1")
+    odd = inside.groupBy("_key", "polygon").agg(F.count("*").alias("n")).where("n % 2 = 1").groupBy("_key").agg(F.count("*").alias("n"))
     return points.select(key).join(odd, F.col(key) == F.col("_key"), "left").select(key, F.coalesce("n", F.lit(0)).cast("long").alias("n_polygons"), F.col("n").isNotNull().alias("inside"))
 
 

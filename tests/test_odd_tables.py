@@ -5,7 +5,7 @@ import datetime
 import duckdb
 import pytest
 
-from strataline.operators import graph
+from strataline.operators import graph, planes
 from strataline.plans import catalog
 from tests.compare import same
 
@@ -50,3 +50,15 @@ def test_overlaps_of_odd_rectangles(spark):
     df = spark.createDataFrame(rows, "k long, x double, y double, w double, h double")
     got = graph.rectangle_overlaps(df, "k", "x", "y", "w", "h", 4.0, 8.0).collect()
     assert sorted(tuple(r) for r in got) == [(1, 2, 9.0), (1, 2, 9.0), (1, 2, 16.0), (1, 2, 16.0)]
+
+
+def test_points_on_one_line_share_its_cuts(spark, tmp_path):
+    """Points at few heights in polygons of many sides: at corners, on sides, repeated keys, missing places; sides are cut once a height."""
+    suppliers = [(k, k % 3, float(k * 37 % 101) * 90) for k in range(0, 60)]
+    customers = [(k % 400, None if k % 29 == 0 else float(k * 37 % 101) * 90 + (k % 2) * 0.25) for k in range(410)]
+    customers += [(1000 * k, 4500.0) for k in range(1, 300)]
+    check(spark, tmp_path, {"supplier": ("s_suppkey long, s_nationkey int, s_acctbal double", suppliers), "customer": ("c_custkey long, c_acctbal double", customers)}, "polygon_union")
+    corners = spark.createDataFrame([(k % 5, k, float(k * 31 % 97), float(k * 57 % 89)) for k in range(500)], "p int, k long, x double, y double")
+    points = spark.createDataFrame([(k, float(k % 97), 10.5) for k in range(2000)], "k long, x double, y double")
+    made = planes.in_polygons(points, "k", "x", "y", planes.edges_of(corners, "p", "k", "x", "y"), 20.0)
+    assert made.count() == 2000 and "Aggregate [_y" in made._jdf.queryExecution().optimizedPlan().toString()
