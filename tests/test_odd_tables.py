@@ -5,9 +5,9 @@ import datetime
 import duckdb
 import pytest
 
-from strataline.operators import graph, planes
+from strataline.operators import graph, planes, series
 from strataline.plans import catalog
-from tests.compare import same
+from tests.compare import SF, same
 
 
 def check(spark, folder, tables, *queries):
@@ -62,3 +62,9 @@ def test_points_on_one_line_share_its_cuts(spark, tmp_path):
     points = spark.createDataFrame([(k, float(k % 97), 10.5) for k in range(2000)], "k long, x double, y double")
     made = planes.in_polygons(points, "k", "x", "y", planes.edges_of(corners, "p", "k", "x", "y"), 20.0)
     assert made.count() == 2000 and "Aggregate [_y" in made._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_best_edges_are_ranked_in_as_many_tasks_as_a_shuffle_has(spark):
+    """Edges are few bytes and many rows: by bytes they would all come to one task."""
+    made = graph.best_edges(spark.range(1000).selectExpr("id i", "id + 1 j", "id % 7 / 7.0 quality"), 2)
+    assert "RepartitionByExpression [tile" in made._jdf.queryExecution().optimizedPlan().toString()
