@@ -150,9 +150,14 @@ def median_mad(df: DataFrame, keys: list[str], value: str) -> DataFrame:
 
 
 def weighted_median(df: DataFrame, keys: list[str], value: str, weight: str) -> DataFrame:
-    """The first value at which the running weight reaches half of all."""
+    """The first value at which the running weight reaches half of all.
+
+    Equal values are added up before any order, so a group holds a row for each different value.
+    """
     w = Window.partitionBy(*keys)
-    made = df.withColumn("running", F.sum(weight).over(w.orderBy(value).rangeBetween(Window.unboundedPreceding, 0))).withColumn("total", F.sum(weight).over(w))
+    each = df.groupBy(*keys, value).agg(F.sum(weight).alias("_weight"))
+    totals = each.withColumn("total", F.sum("_weight").over(w))
+    made = totals.withColumn("running", F.sum("_weight").over(w.orderBy(value).rowsBetween(Window.unboundedPreceding, 0)))
     return made.where(F.col("running") >= F.col("total") / 2).groupBy(*keys).agg(F.min(value).alias("weighted_median"))
 
 

@@ -68,3 +68,11 @@ def test_best_edges_are_ranked_in_as_many_tasks_as_a_shuffle_has(spark):
     """Edges are few bytes and many rows: by bytes they would all come to one task."""
     made = graph.best_edges(spark.range(1000).selectExpr("id i", "id + 1 j", "id % 7 / 7.0 quality"), 2)
     assert "RepartitionByExpression [tile" in made._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_weighted_median_adds_equal_values_first(spark, tmp_path):
+    """The order of a group holds different values only; rows without a value come first, as in a range."""
+    rows = [(f, v, w) for f in "AB" for v in (0.1, 0.2, 0.3, None) for w in (1.0, 2.0, 5.0, None)] + [("C", 0.5, 1.0)]
+    check(spark, tmp_path, {"lineitem": ("l_returnflag string, l_discount double, l_quantity double", [r for r in rows if r[1] is not None])}, "weighted_median")
+    made = series.weighted_median(spark.createDataFrame(rows, "k string, v double, w double"), ["k"], "v", "w")
+    assert {r["k"]: r["weighted_median"] for r in made.collect()} == {"A": 0.1, "B": 0.1, "C": 0.5} and "RangeFrame" not in made._jdf.queryExecution().optimizedPlan().toString()
