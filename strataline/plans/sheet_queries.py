@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from strataline.functions.core import dealt
 from strataline.operators import charts, measures, sheets
 from strataline.plans.tables import rounded, table
 
@@ -148,7 +149,7 @@ SELECT CAST(n_parts AS INTEGER) AS n_parts, files, CASE n_parts WHEN 2 THEN 'var
 
 def labels_of_files(spark, d):
     p = table(spark, d, "part").select("p_partkey", F.concat_ws("_", F.lit("20240101"), F.col("p_brand"), F.lit("dish3"), (F.col("p_partkey") % 1000).cast("string")).alias("name"))
-    return p.select("p_partkey", sheets.label_of_one(F.concat("name", F.lit(".czi"))).alias("label"), sheets.label_of_one(F.concat(F.lit("r02c03f01p01-ch"), (F.col("p_partkey") % 9 + 1).cast("string"), F.lit("sk1fk1fl1.tiff"))).alias("well"))
+    return dealt(p).select("p_partkey", sheets.label_of_one(F.concat("name", F.lit(".czi"))).alias("label"), sheets.label_of_one(F.concat(F.lit("r02c03f01p01-ch"), (F.col("p_partkey") % 9 + 1).cast("string"), F.lit("sk1fk1fl1.tiff"))).alias("well"))
 
 
 SQL["labels_of_files"] = "SELECT p_partkey, p_brand AS label, 'B03' AS well FROM part"

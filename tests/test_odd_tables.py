@@ -76,3 +76,8 @@ def test_weighted_median_adds_equal_values_first(spark, tmp_path):
     check(spark, tmp_path, {"lineitem": ("l_returnflag string, l_discount double, l_quantity double", [r for r in rows if r[1] is not None])}, "weighted_median")
     made = series.weighted_median(spark.createDataFrame(rows, "k string, v double, w double"), ["k"], "v", "w")
     assert {r["k"]: r["weighted_median"] for r in made.collect()} == {"A": 0.1, "B": 0.1, "C": 0.5} and "RangeFrame" not in made._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_labels_of_one_small_file_are_many_tasks(spark):
+    """Names are few bytes and much work: a table of one file is dealt out."""
+    assert catalog.QUERIES["labels_of_files"](spark, SF).rdd.getNumPartitions() > 1
