@@ -81,3 +81,7 @@ def test_weighted_median_adds_equal_values_first(spark, tmp_path):
 def test_labels_of_one_small_file_are_many_tasks(spark):
     """Names are few bytes and much work: a table of one file is dealt out."""
     assert catalog.QUERIES["labels_of_files"](spark, SF).rdd.getNumPartitions() > 1
+
+
+def test_section_names_of_one_small_file_are_many_tasks(spark):
+    assert catalog.QUERIES["parse_section_names"](spark, SF).rdd.getNumPartitions() > 1
