@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from strataline.functions.core import unsent
 from strataline.functions.scratch import saved
 
 
@@ -16,10 +17,10 @@ def _stars(edges: DataFrame) -> DataFrame:
     both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
     least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
     # large star: every larger neighbour of u now points to the least of u's neighbourhood
-    large = edges.withColumnRenamed("v", "w").join(least.withColumnRenamed("u", "w"), "w").select("u", F.col("m").alias("v")).distinct()
+    large = edges.withColumnRenamed("v", "w").join(unsent(least.withColumnRenamed("u", "w")), "w").select("u", F.col("m").alias("v")).distinct()
     # small star: the smaller neighbours of u, and u, point to the least of them
     low = large.groupBy("u").agg(F.min("v").alias("m"))
-    linked = large.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u > v")
+    linked = large.join(unsent(low), "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u > v")
     return linked.union(low.select("u", F.col("m").alias("v"))).distinct()
 
 

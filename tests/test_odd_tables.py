@@ -5,6 +5,7 @@ import datetime
 import duckdb
 import pytest
 
+from strataline.functions import components
 from strataline.operators import graph, planes, series
 from strataline.plans import catalog
 from tests.compare import SF, same
@@ -85,3 +86,15 @@ def test_labels_of_one_small_file_are_many_tasks(spark):
 
 def test_section_names_of_one_small_file_are_many_tasks(spark):
     assert catalog.QUERIES["parse_section_names"](spark, SF).rdd.getNumPartitions() > 1
+
+
+def broadcasts(df):
+    """How often a plan that has run sends a table to all."""
+    df.collect()
+    return df._jdf.queryExecution().executedPlan().toString().count("BroadcastExchange")
+
+
+def test_components_send_no_table_to_the_driver(spark):
+    steps = components._stars(spark.range(1000).selectExpr("id + 1 u", "id v"))
+    assert broadcasts(steps) == 0
+    assert broadcasts(graph.components(spark.range(50).selectExpr("id i", "id + 1 j"))) == 0
