@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from strataline.functions import components as stars
+from strataline.functions.core import unsent
 from strataline.functions.scratch import saved
 
 _SHIFT = ["sx", "sy"]
@@ -27,7 +28,7 @@ def _chased(hooks: DataFrame) -> DataFrame:
     """c, p, hx, hy with p the root behind each pointer and the shifts along the way added, by doubling."""
     while True:
         g = hooks.select(F.col("c").alias("p"), F.col("p").alias("p2"), F.col("hx").alias("gx"), F.col("hy").alias("gy"))
-        hooks = saved(hooks.join(g, "p", "left").select("c", F.coalesce("p2", "p").alias("p"), (F.col("hx") + F.coalesce("gx", F.lit(0.0))).alias("hx"), (F.col("hy") + F.coalesce("gy", F.lit(0.0))).alias("hy"), (F.col("p2") != F.col("p")).alias("moved")), "hooks")
+        hooks = saved(hooks.join(unsent(g), "p", "left").select("c", F.coalesce("p2", "p").alias("p"), (F.col("hx") + F.coalesce("gx", F.lit(0.0))).alias("hx"), (F.col("hy") + F.coalesce("gy", F.lit(0.0))).alias("hy"), (F.col("p2") != F.col("p")).alias("moved")), "hooks")
         if hooks.where("moved").isEmpty():
             return hooks.drop("moved")
         hooks = hooks.drop("moved")
@@ -36,13 +37,13 @@ def _chased(hooks: DataFrame) -> DataFrame:
 def _moved(at: DataFrame, hooks: DataFrame) -> DataFrame:
     """Tiles (tile, island, x, y) in the frames of the islands that theirs hang on."""
     h = hooks.withColumnRenamed("c", "island")
-    return at.join(h, "island", "left").select("tile", F.coalesce("p", "island").alias("island"), (F.col("x") + F.coalesce("hx", F.lit(0.0))).alias("x"), (F.col("y") + F.coalesce("hy", F.lit(0.0))).alias("y"))
+    return at.join(unsent(h), "island", "left").select("tile", F.coalesce("p", "island").alias("island"), (F.col("x") + F.coalesce("hx", F.lit(0.0))).alias("x"), (F.col("y") + F.coalesce("hy", F.lit(0.0))).alias("y"))
 
 
 def _anchored(at: DataFrame) -> DataFrame:
     """The same islands, named by their least tile, which lies at 0, 0."""
     first = at.groupBy("island").agg(F.min(F.struct("tile", "x", "y")).alias("m"))
-    return at.join(first, "island").select("tile", F.col("m.tile").alias("island"), (F.col("x") - F.col("m.x")).alias("x"), (F.col("y") - F.col("m.y")).alias("y"))
+    return at.join(unsent(first), "island").select("tile", F.col("m.tile").alias("island"), (F.col("x") - F.col("m.x")).alias("x"), (F.col("y") - F.col("m.y")).alias("y"))
 
 
 def best_forest(joins: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -64,12 +65,12 @@ def best_forest(joins: DataFrame) -> tuple[DataFrame, DataFrame]:
         forest = forest.union(best.select("i", "j", F.col("q").alias("quality")).distinct())
         # two islands that take each other take the same join: the smaller one stays where it is
         back = best.select(F.col("p").alias("c"), F.col("c").alias("p"))
-        held = best.join(back, ["c", "p"], "left_semi").where("c < p").select("c", F.col("c").alias("p"), F.lit(0.0).alias("hx"), F.lit(0.0).alias("hy"))
-        hooks = best.join(held.select("c"), "c", "left_anti").select("c", "p", F.col("sx").alias("hx"), F.col("sy").alias("hy")).union(held)
+        held = best.join(unsent(back), ["c", "p"], "left_semi").where("c < p").select("c", F.col("c").alias("p"), F.lit(0.0).alias("hx"), F.lit(0.0).alias("hy"))
+        hooks = best.join(unsent(held.select("c")), "c", "left_anti").select("c", "p", F.col("sx").alias("hx"), F.col("sy").alias("hy")).union(held)
         hooks = _chased(hooks)
         at = saved(_moved(at, hooks), "places")
         a, b = (hooks.select(F.col("c").alias(k), F.col("p").alias(f"p_{k}"), F.col("hx").alias(f"x_{k}"), F.col("hy").alias(f"y_{k}")) for k in "uv")
-        now = open_.join(a, "u").join(b, "v").where("p_u != p_v")
+        now = open_.join(unsent(a), "u").join(unsent(b), "v").where("p_u != p_v")
         now = now.select(F.col("p_u").alias("u"), F.col("p_v").alias("v"), "q", "i", "j", *[(F.col(f"{k}_u") + F.col(f"s{k}") - F.col(f"{k}_v")).alias(f"s{k}") for k in "xy"])
         turn = F.when(F.col("u") < F.col("v"), 1.0).otherwise(-1.0)
         now = now.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v"), "q", "i", "j", *[(F.col(s) * turn).alias(s) for s in _SHIFT])
@@ -81,7 +82,7 @@ def disagreements(joins: DataFrame, places: DataFrame, within: float) -> DataFra
     """i, j, quality, off of the joins inside an island that lie further than `within` from where its places put them."""
     a, b = (places.select(F.col("tile").alias(k), F.col("island").alias(f"island_{k}"), F.col("x").alias(f"x_{k}"), F.col("y").alias(f"y_{k}")) for k in "ij")
     off = F.hypot(F.col("x_j") - F.col("x_i") - F.col("dx"), F.col("y_j") - F.col("y_i") - F.col("dy"))
-    return joins.join(a, "i").join(b, "j").where("island_i = island_j").withColumn("off", off).where(F.col("off") > within).select("i", "j", "quality", "off")
+    return joins.join(unsent(a), "i").join(unsent(b), "j").where("island_i = island_j").withColumn("off", off).where(F.col("off") > within).select("i", "j", "quality", "off")
 
 
 def shift_votes(places: DataFrame, joins: DataFrame, within: float) -> DataFrame:
@@ -91,7 +92,7 @@ def shift_votes(places: DataFrame, joins: DataFrame, within: float) -> DataFrame
     and the eight around it. The shift is the mean of the cell's own votes. Ties: the larger sum of qualities, then the lesser cell.
     """
     a, b = (places.select(F.col("tile").alias(k), F.col("island").alias(f"c_{k}"), F.col("x").alias(f"x_{k}"), F.col("y").alias(f"y_{k}")) for k in "ij")
-    both = joins.where("quality is not null and dx is not null and dy is not null").join(a, "i").join(b, "j").where("c_i != c_j")
+    both = joins.where("quality is not null and dx is not null and dy is not null").join(unsent(a), "i").join(unsent(b), "j").where("c_i != c_j")
     turn = F.when(F.col("c_i") < F.col("c_j"), 1.0).otherwise(-1.0)
     shift = {f"s{k}": (F.col(f"{k}_i") + F.col(f"d{k}") - F.col(f"{k}_j")) * turn for k in "xy"}
     votes = both.select(F.least("c_i", "c_j").alias("u"), F.greatest("c_i", "c_j").alias("v"), "quality", *[c.alias(k) for k, c in shift.items()])
@@ -102,7 +103,7 @@ def shift_votes(places: DataFrame, joins: DataFrame, within: float) -> DataFrame
     told = near.groupBy("u", "v", (F.col("csx") + F.col("a")).alias("csx"), (F.col("csy") + F.col("b")).alias("csy")).agg(F.sum("n").alias("support"), F.sum("quality").alias("quality"), *[F.max(F.when(own, F.col(s))).alias(s) for s in _SHIFT])
     total = cells.groupBy("u", "v").agg(F.sum("n").alias("total"))
     best = told.where("sx is not null").groupBy("u", "v").agg(F.max(F.struct("support", F.round("quality", 9).alias("quality"), (-F.col("csx")).alias("a"), (-F.col("csy")).alias("b"), *_SHIFT)).alias("m"))
-    return best.join(total, ["u", "v"]).select("u", "v", "m.support", (F.col("total") - F.col("m.support")).alias("conflicts"), "m.quality", "m.sx", "m.sy")
+    return best.join(unsent(total), ["u", "v"]).select("u", "v", "m.support", (F.col("total") - F.col("m.support")).alias("conflicts"), "m.quality", "m.sx", "m.sy")
 
 
 def merge_islands(places: DataFrame, joins: DataFrame, within: float, least: int = 2, conflicts: float = 0.0) -> DataFrame:
@@ -135,15 +136,15 @@ def sliver_groups(places: DataFrame, shared: DataFrame, least: int = 6, share: f
     """
     a, b = (places.select(F.col("tile").alias(k), F.col("island").alias(f"island_{k}")) for k in "ij")
     typical = shared.agg(F.median("shared").alias("typical"))  # one row
-    inside = shared.join(a, "i").join(b, "j").where("island_i = island_j").join(F.broadcast(typical)).where("typical > 0")
+    inside = shared.join(unsent(a), "i").join(unsent(b), "j").where("island_i = island_j").join(F.broadcast(typical)).where("typical > 0")
     inside = saved(inside.select("i", "j", "shared", (F.col("shared") / F.col("typical")).alias("ratio")), "inside")
     roots = stars.components(inside.where(F.col("ratio") >= share).select(F.col("i").alias("u"), F.col("j").alias("v"))).withColumnRenamed("id", "tile")
-    parts = saved(places.join(roots, "tile", "left").select("tile", "island", F.coalesce("root", "tile").alias("part")), "parts")
+    parts = saved(places.join(unsent(roots), "tile", "left").select("tile", "island", F.coalesce("root", "tile").alias("part")), "parts")
     sizes = parts.groupBy("island", "part").agg(F.count("*").alias("size"))
     islands = sizes.groupBy("island").agg(F.sum("size").alias("n"), F.count("*").alias("k"), F.max(F.struct("size", (-F.col("part")).alias("p"))).alias("m")).where((F.col("n") >= least) & (F.col("k") > 1))
-    groups = parts.join(sizes, ["island", "part"]).join(islands.select("island", (-F.col("m.p")).alias("top")), "island").select("tile", "island", "part", "size", (F.col("part") == F.col("top")).alias("main"))
+    groups = parts.join(unsent(sizes), ["island", "part"]).join(unsent(islands.select("island", (-F.col("m.p")).alias("top"))), "island").select("tile", "island", "part", "size", (F.col("part") == F.col("top")).alias("main"))
     own = lambda k: groups.select(F.col("tile").alias(k), F.col("part").alias(f"part_{k}"))
-    return groups, inside.join(own("i"), "i").join(own("j"), "j").where("part_i != part_j").select("i", "j", "shared", "part_i", "part_j", "ratio")
+    return groups, inside.join(unsent(own("i")), "i").join(unsent(own("j")), "j").where("part_i != part_j").select("i", "j", "shared", "part_i", "part_j", "ratio")
 
 
 def nearest_in_plane(points: DataFrame, curve: DataFrame, most: float, halvings: int = 6) -> DataFrame:

@@ -4,9 +4,10 @@ import datetime
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
 from strataline.functions import components
-from strataline.operators import graph, planes, series
+from strataline.operators import graph, layout, planes, series
 from strataline.plans import catalog
 from tests.compare import SF, same
 
@@ -98,3 +99,13 @@ def test_components_send_no_table_to_the_driver(spark):
     steps = components._stars(spark.range(1000).selectExpr("id + 1 u", "id v"))
     assert broadcasts(steps) == 0
     assert broadcasts(graph.components(spark.range(50).selectExpr("id i", "id + 1 j"))) == 0
+
+
+def test_layouts_send_only_one_row_to_all(spark):
+    """A chain, and one with weak joins: forests, places, votes and groups on slivers; the median alone is broadcast."""
+    joins = spark.createDataFrame([(k, k + 1, 1.0 / (k + 1), 1.0, 0.0) for k in range(12)], "i long, j long, quality double, dx double, dy double")
+    forest, places = layout.best_forest(joins)
+    assert broadcasts(places) == 0 and forest.count() == 12 and {(r["tile"], r["island"], r["x"]) for r in places.collect()} == {(k, 0, float(k)) for k in range(13)}
+    assert broadcasts(layout.shift_votes(places.withColumn("island", F.col("tile") % 2), joins, 1.0)) == 0
+    groups, held = layout.sliver_groups(places, joins.select("i", "j", F.when(F.col("i") == 5, 0.01).otherwise(1.0).alias("shared")))
+    assert broadcasts(groups) == 0 and broadcasts(held) == 0 and [(r["i"], r["j"]) for r in held.collect()] == [(5, 6)]
