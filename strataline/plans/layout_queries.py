@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from strataline.functions.core import unsent
 from strataline.operators import layout
 from strataline.plans.tables import rounded, table
 from strataline.sources import positions
@@ -61,7 +62,7 @@ def sliver_joins(spark, d):
     joins = _accepted(spark, d)
     groups, cuts = layout.sliver_groups(layout.best_forest(joins)[1], joins.select("i", "j", F.col("n").cast("double").alias("shared")), share=0.6)
     main = groups.groupBy("island").agg(F.count_if("main").alias("n_main"), F.count("*").alias("n"))
-    return rounded(cuts.join(groups.select(F.col("tile").alias("i"), "island"), "i").join(main, "island"), 6)
+    return rounded(cuts.join(unsent(groups.select(F.col("tile").alias("i"), "island")), "i").join(unsent(main), "island"), 6)
 
 
 SQL["sliver_joins"] = f"""WITH RECURSIVE {_JOINS}, {_PLACES},
