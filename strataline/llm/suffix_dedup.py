@@ -11,8 +11,9 @@ strings), so equal strings meet in the shard of their common minimizer.
 3. Maximal runs of strings with the same repeated minimizer are sent, as text, to shards; equal ones of a frame once, with
    the documents that have them. A minimizer with more text than a part of a shard is hot: its runs are cut further by the
    minimizers of one or two other hashes, which lie in the strings' different contexts, and those cuts go to shards of their own.
-   A shard builds its suffix array by induced sorting over the distinct texts, bounds groups of equal `length`-byte strings by
-   permuted common prefixes, and takes the least doc_id of each. It answers with the intervals to remove in each document.
+   A shard builds its suffix array by induced sorting over the distinct texts that share their minimizer with another, bounds groups
+   of equal `length`-byte strings by permuted common prefixes, and takes the least doc_id of each; a text alone under its minimizer
+   has no string of any other. It answers with the intervals to remove in each document.
 4. Each frame applies its intervals. All strings are judged on the input, not on what is left.
 
 Minimizers only choose where strings meet; two different strings never count as equal, whatever their hashes.
@@ -22,6 +23,7 @@ from __future__ import annotations
 
 import hashlib
 import uuid
+from itertools import compress
 
 import numpy as np
 import pyarrow as pa
@@ -260,7 +262,7 @@ def remove_repeats(docs: DataFrame, finish, schema, length: int = LENGTH) -> Dat
     answers = saved(asked.repartitionById(shards, F.col("shard")).sortWithinPartitions("shard").mapInArrow(lean(repeated), "frame long, shard int, keys binary"), "repeated")
     runs = answers.agg(F.coalesce(F.sum(F.octet_length("keys")), F.lit(0))).first()[0] / 6
     text_shards = parts_for(spark, runs * 1.3 * length, SHARD_BYTES)
-    packet = pa.schema([("shard", pa.int32()), ("frame", pa.int64()), ("text", pa.binary()), ("lens", pa.binary()), ("n", pa.binary()), ("doc", pa.binary()), ("pos", pa.binary()), ("id", pa.binary())])
+    packet = pa.schema([("shard", pa.int32()), ("frame", pa.int64()), ("text", pa.binary()), ("lens", pa.binary()), ("key", pa.binary()), ("n", pa.binary()), ("doc", pa.binary()), ("pos", pa.binary()), ("id", pa.binary())])
 
     def texts(batches):
         for f, rows in _grouped(batches, "frame"):
@@ -280,6 +282,7 @@ def remove_repeats(docs: DataFrame, finish, schema, length: int = LENGTH) -> Dat
             shard = ((keys ^ keys >> np.uint64(21)) % np.uint64(text_shards)).astype(np.int64)
             order = np.argsort(shard, kind="stable")
             raw = frame.buf.tobytes()
+            short = keys * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(32)
             cuts = np.flatnonzero(np.concatenate([[True], shard[order][1:] != shard[order][:-1]])) if len(order) else []
             out = []
             for x, y in zip(cuts, np.append(cuts[1:], len(order))):
@@ -288,7 +291,7 @@ def remove_repeats(docs: DataFrame, finish, schema, length: int = LENGTH) -> Dat
                 for i, a, z in zip(own.tolist(), starts[own].tolist(), ends[own].tolist()):
                     seen.setdefault(raw[a:z], []).append(i)
                 at = np.array([i for v in seen.values() for i in v], np.int64)
-                out.append((int(shard[own[0]]), f, b"".join(seen), np.array([*map(len, seen)], "<u4").tobytes(), np.array([*map(len, seen.values())], "<u4").tobytes(), doc[at].astype("<u4").tobytes(), (starts[at] - frame.off[doc[at]]).astype("<u4").tobytes(), frame.ids[doc[at]].astype("<i8").tobytes()))
+                out.append((int(shard[own[0]]), f, b"".join(seen), np.array([*map(len, seen)], "<u4").tobytes(), short[[v[0] for v in seen.values()]].astype("<u4").tobytes(), np.array([*map(len, seen.values())], "<u4").tobytes(), doc[at].astype("<u4").tobytes(), (starts[at] - frame.off[doc[at]]).astype("<u4").tobytes(), frame.ids[doc[at]].astype("<i8").tobytes()))
                 if sum(len(o[2]) for o in out) > 8 << 20:
                     yield pa.RecordBatch.from_pydict(dict(zip(packet.names, map(list, zip(*out)))), schema=packet)
                     out = []
@@ -309,43 +312,41 @@ def remove_repeats(docs: DataFrame, finish, schema, length: int = LENGTH) -> Dat
             depth = np.bincount(frame.off[marks[:, 0]] + marks[:, 1], minlength=n + 1) - np.bincount(frame.off[marks[:, 0]] + marks[:, 2], minlength=n + 1)
             yield finish(frame, np.cumsum(depth)[:n] > 0)
 
-    sent = answers.repartition(tasks, "frame").sortWithinPartitions("frame").mapInArrow(lean(texts), "shard int, frame long, text binary, lens binary, n binary, doc binary, pos binary, id binary")
+    sent = answers.repartition(tasks, "frame").sortWithinPartitions("frame").mapInArrow(lean(texts), "shard int, frame long, text binary, lens binary, key binary, n binary, doc binary, pos binary, id binary")
     marks = saved(sent.repartitionById(text_shards, F.col("shard")).sortWithinPartitions("shard").mapInArrow(lean(judge), "frame long, marks binary"), "marks")
     return marks.union(frames.select("frame", F.lit(b"").alias("marks"))).repartition(tasks, "frame").sortWithinPartitions("frame").mapInArrow(lean(apply), schema)
 
 
 def judged(rows: list[dict], length: int) -> list[bytes]:
-    """For each packet of one shard the intervals to remove: (document, first byte, end) as u32."""
+    """For each packet of one shard the intervals to remove: (document, first byte, end) as u32.
+
+    Equal strings stand under equal keys. So a text that is the only one of its key has none of another text: what it has first, all
+    of it has. The suffix array is over the others. A key is 32 bits; two that are equal by chance only bring their texts together.
+    """
     unique: dict[bytes, int] = {}
-    where, ids = [], []
+    where, ids, keys = [], [], []
     for r in rows:
         at, own = 0, []
-        for n in np.frombuffer(r["lens"], "<u4").tolist():
-            own.append(unique.setdefault(r["text"][at : at + n], len(unique)))
+        for n, key in zip(np.frombuffer(r["lens"], "<u4").tolist(), np.frombuffer(r["key"], "<u4").tolist()):
+            t = r["text"][at : at + n]
+            k = unique.setdefault(t, len(unique))
+            if k == len(keys):
+                keys.append(key)
+            own.append(k)
             at += n
         where.append(np.repeat(np.array(own, np.int64), np.frombuffer(r["n"], "<u4")))
         ids.append(np.frombuffer(r["id"], "<i8"))
-    lens = np.fromiter(map(len, unique), np.int64, len(unique))
-    off = np.cumsum(lens) - lens
-    text = np.frombuffer(b"".join(unique), np.uint8)
     least = np.full(len(unique), NEVER_SMALLER)
     np.minimum.at(least, np.concatenate(where), np.concatenate(ids))
-    sa = suffix_array(text)
-    same = common_prefixes(text, sa) >= length
-    sa = sa[1:].astype(np.int64)
-    owner = np.repeat(np.arange(len(lens)), lens)
-    group = np.cumsum(~same[sa])
-    own = sa + length <= (off + lens)[owner[sa]]  # strings that do not run into the next text
-    sa, group = sa[own], group[own]
-    first = np.flatnonzero(np.concatenate([[True], group[1:] != group[:-1]]))
-    lowest = np.minimum.reduceat(least[owner[sa]], first)
-    smallest = np.full(len(text), NEVER_SMALLER)
-    smallest[sa] = np.repeat(lowest, np.diff(np.append(first, len(sa))))
+    _, inverse, counts = np.unique(np.array(keys, np.uint32), return_inverse=True, return_counts=True)
+    shared = counts[inverse] > 1
+    lens = np.fromiter(map(len, unique), np.int64, len(unique))
     windows = lens - length + 1
-    within = np.arange(len(text)) - off[owner] < windows[owner]
-    shown = np.where(within, smallest, np.iinfo(np.int64).min)
-    most = np.maximum.reduceat(shown, off)
-    fewest = np.minimum.reduceat(np.where(within, smallest, NEVER_SMALLER), off)
+    most, fewest, off = least.copy(), least.copy(), np.zeros(len(unique), np.int64)
+    if shared.any():
+        text = np.frombuffer(b"".join(compress(unique, shared)), np.uint8)
+        del unique
+        smallest, off[shared], most[shared], fewest[shared] = least_holders(text, lens[shared], least[shared], length)
 
     out = []
     for r, w, d in zip(rows, where, ids):
@@ -371,6 +372,28 @@ def judged(rows: list[dict], length: int) -> list[bytes]:
     return out
 
 
+def least_holders(text: np.ndarray, lens: np.ndarray, least: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """For each position of texts end to end the least id of those that have the string from there, given the least of each text.
+
+    Returns these, where each text starts, and the greatest and least of them within each.
+    """
+    off = np.cumsum(lens) - lens
+    sa = suffix_array(text)
+    same = common_prefixes(text, sa) >= length
+    sa = sa[1:]
+    owner = np.repeat(np.arange(len(lens), dtype=np.int32), lens)
+    own = sa + length <= (off + lens)[owner[sa]]  # strings that do not run into the next text
+    group = np.cumsum(~same[sa], dtype=np.int32)[own]
+    sa = sa[own]
+    first = np.flatnonzero(np.concatenate([[True], group[1:] != group[:-1]]))
+    lowest = np.minimum.reduceat(least[owner[sa]], first)
+    smallest = np.full(len(text), NEVER_SMALLER)
+    smallest[sa] = np.repeat(lowest, np.diff(np.append(first, len(sa))))
+    within = np.arange(len(text)) - off[owner] < (lens - length + 1)[owner]
+    most = np.maximum.reduceat(np.where(within, smallest, np.iinfo(np.int64).min), off)
+    return smallest, off, most, np.minimum.reduceat(smallest, off)
+
+
 def _spans(frame: Frame, removed: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Removed bytes and maximal removed runs of each document."""
     count = np.concatenate([[0], np.cumsum(removed)])

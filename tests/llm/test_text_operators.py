@@ -260,6 +260,21 @@ def test_a_hot_minimizer_is_spread():
         assert np.unique(mark[z - a > 0], return_counts=True)[1].max() < (0.08 if twice else 0.1) * len(mark)
 
 
+def test_only_texts_that_share_a_minimizer_are_sorted(spark, monkeypatch):
+    rng = np.random.default_rng(4)
+    a, b, c = ("".join(map(chr, rng.integers(97, 123, 70))) for _ in range(3))
+    sorted_bytes = []
+    monkeypatch.setattr(suffix_dedup, "suffix_array", lambda t, made=suffix_dedup.suffix_array: sorted_bytes.append(len(t)) or made(t))
+    packet = lambda ids, texts, keys: {"text": "".join(texts).encode(), "lens": np.full(len(texts), 70, "<u4").tobytes(), "key": np.array(keys, "<u4").tobytes(), "n": np.ones(len(texts), "<u4").tobytes(), "doc": np.arange(len(texts)).astype("<u4").tobytes(), "pos": np.zeros(len(texts), "<u4").tobytes(), "id": np.array(ids, "<i8").tobytes()}
+    marks = lambda rows: [np.frombuffer(m, "<u4").reshape(-1, 3).tolist() for m in suffix_dedup.judged(rows, 50)]
+    # alone under its key: what it has first, all of it has
+    assert marks([packet([5, 3], [a, b], [1, 2]), packet([4], [a], [1])]) == [[[0, 0, 70]], []]
+    assert sorted_bytes == []
+    # c ends as b begins: both are under one key, and a stays out
+    assert marks([packet([5, 3, 9], [a, b, c[:10] + b[:60]], [1, 2, 2]), packet([4], [a], [1])]) == [[[0, 0, 70], [2, 10, 70]], []]
+    assert sorted_bytes == [140]
+
+
 def test_suffix_dedup(spark, docs, rows, no_docs):
     got = Counter(tuple(r) for r in suffix_dedup.digests(docs).collect())
     assert got == Counter((r[0], *w) for r, w in zip(rows, brute.without_repeats([(r[0], r[1]) for r in rows])))
