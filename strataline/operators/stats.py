@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from strataline.functions import dist
 from strataline.functions.core import finite, safe_div
+from strataline.functions.scratch import saved
 
 # Spellings of the tests.
 TESTS = {
@@ -305,21 +306,23 @@ def brackets(table: DataFrame, corrected: bool = True, only_significant: bool =
     return made.where(F.col("p") < alpha) if only_significant else made
 
 
-def aligned(df: DataFrame, value: str, factors: list[str], term: list[str], name: str = "aligned") -> DataFrame:
-    """df and the response aligned for one term: residual of the full cell plus the term's effect by inclusion and exclusion.
+def aligned(df: DataFrame, value: str, factors: list[str], term: list[str], name: str = "aligned", within: list[str] | None = None) -> DataFrame:
+    """df and the response aligned for one term (of each block): residual of the full cell plus the term's effect by inclusion and exclusion.
 
     All means come from the sums of the cells, a row a cell, which are joined back.
     """
-    cells = df.groupBy(*factors).agg(F.sum(value).alias("_s"), F.count(value).alias("_c"))
-    over = lambda by: Window.partitionBy(*by) if by else Window.partitionBy(F.lit(1))  # noqa: E731  over cells
-    mean = lambda by: F.sum("_s").over(over(by)) / F.sum("_c").over(over(by))
+    keys = within or []
+    cells = df.groupBy(*keys, *factors).agg(F.sum(value).alias("_sum"), F.count(value).alias("_c"))
+    over = lambda by: Window.partitionBy(*keys, *by) if keys or by else Window.partitionBy(F.lit(1))  # noqa: E731  over cells
+    mean = lambda by: F.sum("_sum").over(over(by)) / F.sum("_c").over(over(by))
     shift = -mean(factors)
     for k in range(len(term) + 1):
         for sub in combinations(term, k):
             shift = shift + (-1) ** (len(term) - k) * mean(list(sub))
-    shifts = cells.select(*[F.col(f).alias(f"_{f}") for f in factors], shift.alias("_shift"))
-    made = df.join(shifts, [df[f].eqNullSafe(shifts[f"_{f}"]) for f in factors])
-    return made.withColumn(name, F.col(value) + F.col("_shift")).drop("_shift", *[f"_{f}" for f in factors])
+    by = [*keys, *factors]
+    shifts = cells.select(*[F.col(f).alias(f"_{f}") for f in by], shift.alias("_shift"))
+    made = df.join(shifts, [df[f].eqNullSafe(shifts[f"_{f}"]) for f in by])
+    return made.withColumn(name, F.col(value) + F.col("_shift")).drop("_shift", *[f"_{f}" for f in by])
 
 
 def terms(factors: list[str]) -> list[tuple[str, ...]]:
@@ -360,14 +363,18 @@ def _mixed(y: np.ndarray, x: np.ndarray, subject: np.ndarray) -> tuple[np.ndarra
         s2 = (r @ r - (shrink * rs * rs).sum()) / len(y)
         return len(y) * np.log(max(s2, 1e-300)) + np.log1p(n_i * theta).sum(), w, np.linalg.pinv(a) * s2
 
+    return _best_ratio(solve)[1:]
+
+
+def _best_ratio(solve) -> tuple[float, np.ndarray, np.ndarray]:
+    """solve's result at the variance ratio where its first value is least."""
     grid = np.concatenate([[0.0], np.logspace(-6, 6, 121)])
     k = int(np.argmin([solve(t)[0] for t in grid]))
     low, high = grid[max(0, k - 1)], grid[min(len(grid) - 1, k + 1)]
     for _ in range(80):
         p, q = low + 0.382 * (high - low), low + 0.618 * (high - low)
         low, high = (low, q) if solve(p)[0] < solve(q)[0] else (p, high)
-    best = min((0.0, (low + high) / 2), key=lambda t: solve(t)[0])
-    return solve(best)[1:]
+    return solve(min((0.0, (low + high) / 2), key=lambda t: solve(t)[0]))
 
 
 def factorial_frame(frame: pd.DataFrame, value: str, factors: list[str], subject: str | None = None, kind: str = "parametric") -> pd.DataFrame:
@@ -415,21 +422,149 @@ def factorial_frame(frame: pd.DataFrame, value: str, factors: list[str], subject
     return pd.DataFrame(out, columns=["term", "statistic", "df1", "df2", "p", "partial_eta_sq", "note"])
 
 
+def _cells_fit(cells: pd.DataFrame, pairs: pd.DataFrame, factors: list[str], subject: bool) -> dict[tuple[str, ...], tuple[float, float, float, float, float]]:
+    """statistic, df1, df2, p and partial eta squared of each term from the moments of one block; see factorial.
+
+    cells: the factors, term, n, mean and m2 (squares about the mean). pairs: n, a, b (numbers of two cells), many, s and ss: of the subjects that
+    have n values, two of them in a and b, how many there are, and the sums of their summed differences from the means and of the squares.
+    """
+    kept = [f for f in factors if cells[f].nunique() > 1]
+    all_terms, out = terms(kept), {}
+    for term in all_terms:
+        own = cells[cells.term.isin(["", ":".join(term)])].reset_index(drop=True)
+        n, mean, m2 = (own[c].to_numpy(float) for c in ("n", "mean", "m2"))
+        blocks = {t: _design(own, t) for t in all_terms}
+        root = np.sqrt(n)[:, None]
+
+        def rss(ts: list) -> tuple[float, int]:
+            x = root * np.hstack([np.ones((len(own), 1)), *[blocks[t] for t in ts]])  # noqa: B023
+            w, _, rank, _ = np.linalg.lstsq(x, root[:, 0] * mean, rcond=None)  # noqa: B023
+            return float(m2.sum() + ((root[:, 0] * mean - x @ w) ** 2).sum()), int(rank)  # noqa: B023
+
+        if subject and (pairs.n > 1).any():
+            here = pairs[pairs.term.isin(["", ":".join(term)])]
+            x = np.hstack([np.ones((len(own), 1)), *blocks.values()])
+            w, cov = _cells_mixed(x, n, mean, m2, here, own.cell.tolist())
+            at = 1 + sum(b.shape[1] for t, b in blocks.items() if all_terms.index(t) < all_terms.index(term))
+            part = slice(at, at + blocks[term].shape[1])
+            stat, df1 = float(w[part] @ np.linalg.pinv(cov[part, part]) @ w[part]), part.stop - part.start
+            out[term] = (stat, df1, float("nan"), float(dist.chi2_sf(stat, df1)), float("nan"))
+            continue
+        others = [t for t in all_terms if t != term and not set(term) < set(t)]
+        (rss0, rank0), (rss1, rank1), (full, rank) = rss(others), rss([*others, term]), rss(all_terms)
+        df1, df2, ss = rank1 - rank0, n.sum() - rank, rss0 - rss1
+        ok = df1 > 0 and df2 > 0 and full > 0
+        stat = ss / df1 / (full / df2) if ok else float("nan")
+        out[term] = (stat, df1, df2, *((float(dist.f_sf(stat, df1, df2)), ss / (ss + full)) if ok else (float("nan"), float("nan"))))
+    return out
+
+
+def _cells_mixed(x: np.ndarray, n: np.ndarray, mean: np.ndarray, m2: np.ndarray, pairs: pd.DataFrame, cell: list) -> tuple[np.ndarray, np.ndarray]:
+    """As _mixed, from moments: x has a row a cell. Values are taken from their cell's mean, and the fit of the means is added to the effects."""
+    sizes = np.sort(pairs.n.unique())
+    number = {c: i for i, c in enumerate(cell)}
+    k, a, b = np.searchsorted(sizes, pairs.n), pairs.a.map(number).to_numpy(int), pairs.b.map(number).to_numpy(int)
+    both = np.zeros((len(sizes), len(n), len(n)))
+    both[k, a, b] = pairs.many
+    own = a == b
+    sums = np.zeros((len(sizes), len(n)))
+    sums[k[own], a[own]] = pairs.s[own]
+    # a subject of n values is in n pairs of a cell with itself
+    squares = np.bincount(k[own], pairs.ss[own], len(sizes)) / sizes
+    many = np.bincount(k[own], pairs.many[own], len(sizes)) / sizes
+    xx, total = x.T @ (n[:, None] * x), n.sum()
+    base = np.linalg.pinv(np.sqrt(n)[:, None] * x) @ (np.sqrt(n) * mean)
+    rest = mean - x @ base  # zero where the terms tell all cells apart
+    sums_x, squares_x = sums + both @ rest, squares + 2 * sums @ rest + np.einsum("kab,a,b->k", both, rest, rest)
+    xy, yy = x.T @ (n * rest), m2.sum() + n @ rest**2
+
+    def solve(theta: float):
+        shrink = theta / (1 + sizes * theta)
+        m = np.tensordot(shrink, both, 1)
+        left = xx - x.T @ m @ x
+        w = np.linalg.pinv(left) @ (xy - x.T @ (shrink @ sums_x))
+        fit = x @ w
+        rs = squares_x - 2 * sums_x @ fit + np.einsum("kab,a,b->k", both, fit, fit)
+        s2 = (yy - 2 * xy @ w + w @ xx @ w - shrink @ rs) / total
+        return total * np.log(max(s2, 1e-300)) + many @ np.log1p(sizes * theta), w, np.linalg.pinv(left) * s2
+
+    _, w, cov = _best_ratio(solve)
+    return w + base, cov
+
+
+def _moments(rows: DataFrame, keys: list[str], factors: list[str], subject: bool, term: str) -> DataFrame:
+    """Moments of one block's cells, and of pairs of cells that subjects share: a row a cell, and a row a pair and number of values.
+
+    rows: keys, factors, _s (subject), _v, _m (values behind _v). Both tables have no more rows than the cells, squared, times the cells.
+    """
+    cell = F.array(*factors)
+    use = F.col("_s").isNotNull() if subject else F.lit(True)
+    v = F.when(use, F.col("_v"))
+    cells = saved(rows.groupBy(*keys, cell.alias("a")).agg(F.sum("_m").alias("before"), F.count(v).alias("n"), F.avg(v).alias("mean"), (F.var_pop(v) * F.count(v)).alias("m2")), "cells")
+    none = lambda t, *names: [F.lit(None).cast(t).alias(c) for c in names]
+    made = cells.select(*keys, "a", *none("array<string>", "b"), "before", F.col("n").cast("long").alias("n"), "mean", "m2", *none("double", "many", "s", "ss"))
+    if subject:
+        means = cells.select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], F.col("a").alias("_a"), F.col("mean").alias("_mean"))
+        on = [F.col(k).eqNullSafe(F.col(f"_k{i}")) for i, k in enumerate(keys)] + [cell == F.col("_a")]
+        apart = rows.where(use).join(means, on).select(*keys, "_s", "_a", (F.col("_v") - F.col("_mean")).alias("_d"))
+        subjects = apart.groupBy(*keys, "_s").agg(F.sum("_d").alias("d"), F.array_sort(F.collect_list("_a")).alias("has"))  # at most all cells
+        same = subjects.groupBy(*keys, "has").agg(F.count("*").alias("many"), F.sum("d").alias("s"), F.sum(F.col("d") * F.col("d")).alias("ss"))
+        pairs = same.withColumn("n", F.size("has").cast("long")).withColumn("a", F.explode("has")).withColumn("b", F.explode("has"))
+        pairs = pairs.groupBy(*keys, "a", "b", "n").agg(F.sum("many").cast("double").alias("many"), F.sum("s").alias("s"), F.sum("ss").alias("ss"))
+        made = made.union(pairs.select(*keys, "a", "b", *none("long", "before"), "n", *none("double", "mean", "m2"), "many", "s", "ss"))
+    return made.withColumn("term", F.lit(term))
+
+
 def factorial(df: DataFrame, value: str, factors: list[str], subject: str | None = None, kind: str = "parametric", within: list[str] | None = None) -> DataFrame:
-    """Factorial analysis of each block in one task (a designed experiment is small; blocks spread)."""
+    """As factorial_frame for each block, however many values it has: only moments of cells and of pairs of cells come to a task's Python.
+
+    A block's cells (combinations of levels) must be few, as in a designed experiment; its values and subjects need not be. Rows with
+    a missing value, factor or (if given) subject take no part.
+    """
     keys = within or []
     if not keys:
         df, keys = df.withColumn("block", F.lit("all")), ["block"]
-    schema = ", ".join([*(f"{k} {dict(df.dtypes)[k]}" for k in keys), "term string, statistic double, df1 double, df2 double, p double, partial_eta_sq double, note string"])
+    types = dict(df.dtypes)
+    there = lambda c: F.col(c).isNotNull() & (~F.isnan(c) if types[c] in ("double", "float") else F.lit(True))
+    names = [f"_f{i}" for i in range(len(factors))]
+    s = F.when(there(subject), F.col(subject)) if subject else F.lit(None).cast("string")
+    good = df.where(there(value))
+    for f in factors:
+        good = good.where(there(f))
+    rows = good.select(*keys, *[F.col(f).cast("string").alias(n) for f, n in zip(factors, names)], s.alias("_s"), F.col(value).cast("double").alias("_v"))
+    rows = rows.groupBy(*keys, *names, "_s").agg(F.avg("_v").alias("_v"), F.count("*").alias("_m")) if subject else rows.withColumn("_m", F.lit(1).cast("long"))
+    rows = saved(rows, "rows") if subject or kind == "rank" else rows
+    if kind == "rank":
+        moments = None
+        for term in terms(names):
+            whole = aligned(rows.where("_s is not null") if subject else rows, "_v", names, list(term), "_v2", keys).withColumn("_v2", F.round("_v2", 10))
+            ranks = whole.select(*keys, *names, "_s", average_rank("_v2", *keys).alias("_v"), "_m")
+            part = _moments(ranks.union(rows.where("_s is null").select(ranks.columns)) if subject else ranks, keys, names, bool(subject), ":".join(factors[names.index(t)] for t in term))
+            moments = part if moments is None else moments.union(part)
+    else:
+        moments = _moments(rows, keys, names, bool(subject), "")
+    schema = ", ".join([*(f"{k} {types[k]}" for k in keys), "term string, statistic double, df1 double, df2 double, p double, partial_eta_sq double, note string"])
 
     def one(pdf: pd.DataFrame) -> pd.DataFrame:
-        got = factorial_frame(pdf, value, factors, subject, kind)
+        pdf = pdf.assign(cell=pdf.a.map(tuple))
+        cells, pairs = pdf[pdf.b.isna()], pdf[pdf.b.notna()]
+        first = cells[cells.term == cells.term.iloc[0]]
+        before, after, cells = first.before.sum(), first.n.sum(), cells[cells.n > 0].copy()
+        for i, f in enumerate(factors):
+            cells[f] = [c[i] for c in cells.cell]
+        notes = ["repeated values were averaged by subject and cell"] if subject and after < before else []
+        kept = [f for f in factors if cells[f].nunique() > 1]
+        notes += [f"{f} has one level" for f in factors if f not in kept]
+        if kept and len(cells.drop_duplicates(kept)) < np.prod([cells[f].nunique() for f in kept]):
+            notes.append("some cells are empty")
+        fits = _cells_fit(cells, pairs.assign(a=pairs.cell, b=pairs.b.map(tuple)), factors, bool(subject))
+        got = [(":".join(t), r[0], float(r[1]), float(r[2]), r[3], r[4], "; ".join(notes)) for t, r in fits.items()]
+        got = pd.DataFrame(got, columns=["term", "statistic", "df1", "df2", "p", "partial_eta_sq", "note"])
         for i, k in enumerate(keys):
             got.insert(i, k, pdf[k].iloc[0])
         return got
 
-    cols = [*keys, value, *factors, *([subject] if subject else [])]
-    return df.select(*cols).groupBy(*keys).applyInPandas(one, schema)
+    return moments.groupBy(*keys).applyInPandas(one, schema)
 
 
 def describe_design(test: str, correction: str, alpha: float, n: int) -> str:

@@ -80,6 +80,31 @@ def test_factorial_against_a_balanced_table(spark):
     assert (rank.p < 0.05).all()
 
 
+def test_factorial_by_moments_equals_the_fit_of_all_rows(spark):
+    rng = np.random.default_rng(5)
+    # subjects lack cells, values stand on a large level, some have no subject, one block has no repeats and one level of b
+    rows = [(k, f"a{i % 3}", int(i // 3 % 2) if k != "r" else 0, float(s if k == "p" else 100 * i + s), float(1e5 + 2 * (i % 3) + s % 5 + rng.normal())) for k in "pqr" for s in range(25) for i in rng.choice(6, 4)]
+    rows += [("p", "a0", 1, None, 7.0), ("p", None, 1, 3.0, 7.0), ("p", "a1", 0, 3.0, float("nan")), ("q", "a1", 0, 3.0, None), (None, "a0", 0, 1.0, 1.0), (None, "a1", 0, 1.0, 2.0), (None, "a1", 0, 2.0, 5.0)]
+    df = spark.createDataFrame(rows, "k string, a string, b int, s double, v double")
+    for subject in (None, "s"):
+        for kind in ("parametric", "rank"):
+            got = stats.factorial(df, "v", ["a", "b"], subject, kind, ["k"]).toPandas()
+            for k in ("p", "q", "r", None):
+                frame = pd.DataFrame([r[1:] for r in rows if r[0] == k], columns=list("absv"))
+                want = stats.factorial_frame(frame, "v", ["a", "b"], subject, kind).set_index("term")
+                own = got[got.k.isna() if k is None else got.k == k].set_index("term").loc[want.index]
+                assert list(own.note) == list(want.note)
+                for c in ("statistic", "df1", "df2", "p", "partial_eta_sq"):
+                    assert np.allclose(own[c].astype(float), want[c].astype(float), rtol=1e-4, atol=1e-6, equal_nan=True), (subject, kind, k, c)
+
+
+def test_factorial_sends_moments_to_python(spark):
+    rows = spark.range(30_000).selectExpr("id % 3 a", "id div 3 % 2 b", "id % 700 s", "sin(id) v")
+    for subject in (None, "s"):
+        plan = stats.factorial(rows, "v", ["a", "b"], subject)._jdf.queryExecution().analyzed().toString()
+        assert "mean" in plan.split("FlatMapGroupsInPandas")[-1].splitlines()[1]  # cells, not rows
+
+
 def test_despike_and_closed_profiles():
     v = np.array([1, 1, 9, 1, 1, np.nan, 1, 1.0])
     assert np.allclose(profile.despike_array(v, 3, 2.0), 1.0) and not profile.despike_array(np.full(3, np.nan), 3, 1.0).any()
