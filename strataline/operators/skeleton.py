@@ -1,16 +1,21 @@
 """Paths on skeletons: tables of pixels or edges of many graphs at once, walked by rounds over their junctions.
 
 A graph is a value of `graph`; nodes are longs. Stretches without a junction are one step, found by pointer doubling, so the number of
-rounds goes with the junctions on a path and not with its pixels. Every round is written to the shared folder.
+rounds goes with the blocks of node numbers on a path and not with its pixels. Every round is written to the shared folder.
 """
 
 from __future__ import annotations
 
+import heapq
+import math
+
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from strataline.functions.scratch import saved
 
+BLOCK = 12  # bits of node numbers of a graph whose ways a task follows at once
 ROW = 1 << 31  # a pixel's node is row * ROW + column
 
 
@@ -37,20 +42,23 @@ def _stretches(edges: DataFrame, stops: DataFrame, most: int | None = None) -> D
     Nodes that are no stops have two neighbours. Pointers double until all stand, for which every ring must have a stop, or until each
     has made `most` steps: a walk that meets no stop by then may end at any node on its way.
     """
-    stop = stops.select("graph", F.col("node").alias("v"), F.lit(True).alias("stop"))
-    e = saved(edges.join(stop, ["graph", "v"], "left").select("graph", "u", "v", "w", F.coalesce("stop", F.lit(False)).alias("stop")), "edges")
-    on = e.select("graph", F.col("u").alias("v"), F.col("v").alias("x"))
-    ahead = e.where("not stop").join(on, ["graph", "v"]).where("x != u").select("graph", "u", "v", F.col("v").alias("pu"), F.col("x").alias("pv"), "w", F.lit(1).cast("long").alias("steps"))
-    still = e.where("stop").select("graph", "u", "v", F.col("u").alias("pu"), F.col("v").alias("pv"), F.lit(0.0).alias("w"), F.lit(0).cast("long").alias("steps"))
-    now, done = saved(ahead.union(still), "pointers"), 1
-    while most is None or done < most:
-        to = now.select("graph", F.col("u").alias("pu"), F.col("v").alias("pv"), F.col("pu").alias("qu"), F.col("pv").alias("qv"), F.col("w").alias("qw"), F.col("steps").alias("qs"))
-        now = saved(now.join(to, ["graph", "pu", "pv"]).select("graph", "u", "v", F.col("qu").alias("pu"), F.col("qv").alias("pv"), (F.col("w") + F.col("qw")).alias("w"), (F.col("steps") + F.col("qs")).alias("steps"), (F.col("qs") > 0).alias("moved")), "pointers")
-        done *= 2
-        if now.where("moved").isEmpty():
-            break
-    last = e.select("graph", F.col("u").alias("pu"), F.col("v").alias("pv"), F.col("w").alias("lw"))
-    return saved(now.join(last, ["graph", "pu", "pv"]).select("graph", "u", "v", F.col("pv").alias("end"), (F.col("w") + F.col("lw")).alias("length"), (F.col("steps") + 1).alias("steps")), "stretches")
+    stop = stops.select("graph", F.col("node").alias("u"), F.lit(True).alias("stop"))
+    e = saved(edges.join(stop, ["graph", "u"], "left").select("graph", "u", "v", "w", F.coalesce("stop", F.lit(False)).alias("stop")), "edges")
+    into = e.where("stop").select("graph", F.col("v").alias("u"), F.col("u").alias("v"), F.col("u").alias("end"), F.col("w").alias("length"), F.lit(1).cast("long").alias("steps"))
+    inner = saved(e.where("not stop").groupBy("graph", F.col("u").alias("node")).agg(F.min("v").alias("a"), F.max("v").alias("b"), F.min_by("w", "v").alias("wa"), F.max_by("w", "v").alias("wb")), "inner")
+    # a pointer is the walk from (u, v) up to the edge (pu, pv): with it if that meets a stop, else without it
+    way = lambda u, x, w, lw: F.struct(F.col(u).alias("u"), F.col("node").alias("v"), F.col(x).alias("x"), F.col(w).alias("w"), F.col(lw).alias("lw"))
+    both = inner.select("graph", F.explode(F.array(way("a", "b", "wa", "wb"), way("b", "a", "wb", "wa"))).alias("p")).select("graph", "p.*")
+    met = both.join(inner.select("graph", F.col("node").alias("x"), F.lit(False).alias("done")), ["graph", "x"], "left").withColumn("done", F.coalesce("done", F.lit(True)))
+    made = saved(met.select("graph", "u", "v", F.col("v").alias("pu"), F.col("x").alias("pv"), F.when(F.col("done"), F.col("w") + F.col("lw")).otherwise(F.col("w")).alias("w"), F.when(F.col("done"), 2).otherwise(1).cast("long").alias("steps"), "done"), "pointers")
+    stand, on, made_steps = made.where("done"), made.where("not done"), 1
+    # only what still walks is joined and written again
+    while (most is None or made_steps + 1 < most) and not on.isEmpty():
+        to = stand.union(on).select("graph", F.col("u").alias("pu"), F.col("v").alias("pv"), F.col("pu").alias("qu"), F.col("pv").alias("qv"), F.col("w").alias("qw"), F.col("steps").alias("qs"), F.col("done").alias("qd"))
+        made = saved(on.join(to, ["graph", "pu", "pv"]).select("graph", "u", "v", F.col("qu").alias("pu"), F.col("qv").alias("pv"), (F.col("w") + F.col("qw")).alias("w"), (F.col("steps") + F.col("qs")).alias("steps"), F.col("qd").alias("done")), "pointers")
+        stand, on, made_steps = stand.union(made.where("done")), made.where("not done"), 2 * made_steps
+    end = lambda df, c: df.select("graph", "u", "v", F.col(c).alias("end"), F.col("w").alias("length"), "steps")
+    return into.union(end(stand, "pv")).union(end(on, "pu"))
 
 
 def _degrees(edges: DataFrame) -> DataFrame:
@@ -58,10 +66,35 @@ def _degrees(edges: DataFrame) -> DataFrame:
     return edges.groupBy("graph", F.col("u").alias("node")).agg(F.count("*").alias("degree"), (F.min("v") > F.col("u")).alias("low"))
 
 
+def _nearer(pdf: pd.DataFrame) -> pd.DataFrame:
+    """Nodes of one block (its hops, and what is known of its nodes) that come nearer, and (new) those of others that ways from here reach."""
+    hop, at = pdf[pdf.length.notna()], pdf[pdf.length.isna()]
+    here, ahead = pdf.block.iloc[0], {}
+    for u, v, w in zip(hop.node.tolist(), hop.end.tolist(), hop.length.tolist()):
+        ahead.setdefault(u, []).append((v, w))
+    best = dict(zip(at.node.tolist(), at.distance.tolist()))
+    heap, found = [(best[n], n) for n in at.node[at.new].tolist()], {}
+    heapq.heapify(heap)
+    while heap:
+        d, u = heapq.heappop(heap)
+        if d > best[u]:
+            continue
+        for v, w in ahead.get(u, ()):
+            inside = v >> BLOCK == here
+            if d + w < (best if inside else found).get(v, math.inf):
+                found[v] = d + w
+                if inside:
+                    best[v] = d + w
+                    heapq.heappush(heap, (d + w, v))
+    nodes = list(found)
+    return pd.DataFrame({"graph": pd.Series([pdf.graph.iloc[0]] * len(nodes), dtype=pdf.graph.dtype), "node": pd.Series(nodes, dtype="int64"), "distance": pd.Series(list(found.values()), dtype="float64"), "new": pd.Series([v >> BLOCK != here for v in nodes], dtype=bool)})
+
+
 def distances(edges: DataFrame, starts: DataFrame) -> DataFrame:
     """graph, node, distance, prev: the shortest way to each node that the starts (graph, node) of its graph reach; edges as of both_ways.
 
-    Only nodes that came nearer in a round are looked at in the next, and rounds end when none did. prev is the neighbour the way
+    A round follows all ways within a block of node numbers, so rounds go with the blocks on a way; only blocks in which a node came nearer
+    from outside are looked at in the next. prev is the neighbour the way
     comes from (ties: the lesser one), null at a start. Starts without an edge are left out.
     """
     edges = saved(edges, "edges")
@@ -72,8 +105,12 @@ def distances(edges: DataFrame, starts: DataFrame) -> DataFrame:
     hops = stretches.join(stops.withColumnRenamed("node", "u"), ["graph", "u"], "left_semi").where("u != end").groupBy("graph", "u", "end").agg(F.min("length").alias("length"))
     hops = saved(hops.select("graph", F.col("u").alias("node"), "end", "length"), "hops")
     known = saved(first.withColumns({"distance": F.lit(0.0), "new": F.lit(True)}), "distances")
+    block = F.shiftright("node", BLOCK).alias("block")
+    ahead = hops.select("graph", block, "node", "end", "length", F.lit(None).cast("double").alias("distance"), F.lit(False).alias("new"))
     while not known.where("new").isEmpty():
-        reached = known.where("new").join(hops, ["graph", "node"]).select("graph", F.col("end").alias("node"), (F.col("distance") + F.col("length")).alias("distance"), F.lit(True).alias("new"))
+        at = known.select("graph", block, "node", F.col("node").alias("end"), F.lit(None).cast("double").alias("length"), "distance", "new")
+        active = at.where("new").select("graph", "block").distinct()
+        reached = ahead.union(at).join(active, ["graph", "block"], "left_semi").groupBy("graph", "block").applyInPandas(_nearer, known.select("graph", "node", "distance", "new").schema)
         best = known.withColumn("new", F.lit(False)).union(reached).groupBy("graph", "node").agg(F.min(F.struct("distance", "new")).alias("m"))  # equal: what was there
         known = saved(best.select("graph", "node", "m.*"), "distances")
     at = known.select("graph", F.col("node").alias("end"), "distance")

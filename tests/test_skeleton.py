@@ -122,3 +122,25 @@ def test_no_pixels(spark):
     edges = skeleton.pixel_edges(spark.createDataFrame([], PIXELS))
     assert skeleton.longest_paths(skeleton.pruned(edges, 5)).count() == 0
     assert skeleton.distances(edges, spark.createDataFrame([], "graph long, node long")).count() == 0
+
+
+def test_distances_take_a_round_a_block_and_not_a_junction(spark, monkeypatch):
+    # a comb: every node has a side branch, so all are junctions; numbers cross blocks and are beyond 2^53
+    base = (1 << 60) + 4096 - 30
+    ways = [(base + i, base + i + 1, 1.0 + i % 3) for i in range(60)] + [(base + i, base + 5000 + i, 0.5) for i in range(60)] + [(base + 5, base + 40, 20.0)]
+    rounds = []
+    monkeypatch.setattr(skeleton, "saved", lambda df, name, made=skeleton.saved: rounds.append(name) or made(df, name))
+    edges = skeleton.both_ways(spark.createDataFrame([("g", *w) for w in ways], "graph string, u long, v long, w double"))
+    got = {r["node"]: r["distance"] for r in skeleton.distances(edges, spark.createDataFrame([("g", base)], "graph string, node long")).collect()}
+    ahead, want, heap = {}, {}, [(0.0, base)]
+    for u, v, w in ways:
+        ahead.setdefault(u, []).append((v, w))
+        ahead.setdefault(v, []).append((u, w))
+    while heap:
+        d, u = heapq.heappop(heap)
+        if u not in want:
+            want[u] = d
+            for v, w in ahead[u]:
+                heapq.heappush(heap, (d + w, v))
+    assert got == want
+    assert rounds.count("distances") <= 8
