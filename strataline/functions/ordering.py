@@ -10,7 +10,7 @@ from strataline.functions.scratch import saved
 RANGE_ROWS = 1_000_000
 
 
-def _ranges(df: DataFrame, order: list[Column]) -> tuple[DataFrame, DataFrame]:
+def ranges(df: DataFrame, order: list[Column]) -> tuple[DataFrame, DataFrame]:
     """df in ranges of the order (column _range), written, and the rows before each range: a row a range."""
     spark = df.sparkSession
     n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-df.count() // RANGE_ROWS))
@@ -21,13 +21,13 @@ def _ranges(df: DataFrame, order: list[Column]) -> tuple[DataFrame, DataFrame]:
 
 def numbered(df: DataFrame, order: list[Column], name: str = "position") -> DataFrame:
     """df and each row's number from 1 in an order: ranges are sorted each for itself."""
-    cut, before = _ranges(df, order)
+    cut, before = ranges(df, order)
     return cut.withColumn("_at", F.row_number().over(Window.partitionBy("_range").orderBy(*order))).join(before, "_range").withColumn(name, (F.col("_before") + F.col("_at")).cast("long")).drop("_range", "_at", "_before")
 
 
 def ranked(df: DataFrame, value: str, name: str = "rank") -> DataFrame:
     """df and each row's rank by a column, ties with their mean rank; equal values are in one range."""
-    cut, before = _ranges(df, [F.col(value)])
+    cut, before = ranges(df, [F.col(value)])
     ties = F.count("*").over(Window.partitionBy("_range", value)) - 1
     return cut.withColumn("_at", F.rank().over(Window.partitionBy("_range").orderBy(value)) + ties / 2).join(before, "_range").withColumn(name, F.col("_before") + F.col("_at")).drop("_range", "_at", "_before")
 

@@ -105,6 +105,22 @@ def test_factorial_sends_moments_to_python(spark):
         assert "mean" in plan.split("FlatMapGroupsInPandas")[-1].splitlines()[1]  # cells, not rows
 
 
+def test_nearest_on_an_axis_makes_no_pairs(spark):
+    from strataline.operators import graph
+
+    rng = np.random.default_rng(6)
+    curve = [float(v) for v in rng.integers(0, 400, 300) / 4] + [None, float("nan"), float("inf"), 1000.0]
+    points = [(i, float(v)) for i, v in enumerate(rng.integers(-100, 900, 400) / 8)] + [(900, None), (901, float("nan")), (902, 994.0), (903, 1006.0), (904, 995.0), (5, 40.0), (905, float("inf"))]
+    df = graph.nearest(spark.createDataFrame(points, "p long, x double"), "p", "x", spark.createDataFrame([(v,) for v in curve], "c double"), "c", 5.0)
+    want: dict = {}
+    for p, x in points:
+        for c in curve:
+            if x is not None and c is not None and abs(x - c) <= 5.0:
+                want[p] = min(want.get(p, (9.0, 0.0)), (abs(x - c), c))
+    assert {r["point"]: (r["distance"], r["at"]) for r in df.collect()} == want and 904 in want and 902 not in want
+    assert "Generate" not in df._jdf.queryExecution().analyzed().toString()  # no value in several cells
+
+
 def test_despike_and_closed_profiles():
     v = np.array([1, 1, 9, 1, 1, np.nan, 1, 1.0])
     assert np.allclose(profile.despike_array(v, 3, 2.0), 1.0) and not profile.despike_array(np.full(3, np.nan), 3, 1.0).any()
