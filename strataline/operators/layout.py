@@ -147,15 +147,24 @@ def sliver_groups(places: DataFrame, shared: DataFrame, least: int = 6, share: f
     return groups, inside.join(unsent(own("i")), "i").join(unsent(own("j")), "j").where("part_i != part_j").select("i", "j", "shared", "part_i", "part_j", "ratio")
 
 
+FEW = 4  # places of a curve in a cell, on average over cells with any
+
+
 def nearest_in_plane(points: DataFrame, curve: DataFrame, most: float, halvings: int = 6) -> DataFrame:
     """point, arc, distance: for each of points (point, x, y) the nearest of curve (arc, x, y) within `most`, ties to the lesser arc.
 
-    Cells double in size round by round, from most / 2^halvings; a point looks into its cell and the eight around it, and only points
+    Cells double in size round by round, from most / 2^halvings, or from smaller ones where they would still hold more than FEW places
+    of the curve on average, so that pairs go with the points and not with how close the places lie. Of equal places the least arc
+    stands for all. A point looks into its cell and the eight around it, and only points
     that have nothing within a cell's size go on to the next round. So crowded places are searched in small cells. Points with
     nothing within `most`, or a null or NaN coordinate, are left out.
     """
     good = lambda df: df.where("x is not null and y is not null and not isnan(x) and not isnan(y)").withColumns({k: F.col(k).cast("double") for k in "xy"})
-    left, c, found = saved(good(points.select("point", "x", "y")), "points"), saved(good(curve.select("arc", "x", "y")).distinct(), "curve"), None
+    left, c, found = saved(good(points.select("point", "x", "y")), "points"), saved(good(curve.select("arc", "x", "y")).groupBy("x", "y").agg(F.min("arc").alias("arc")), "curve"), None
+    n = int(points.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    sizes = range(halvings, halvings + 16)
+    cells = c.agg(F.count("*"), *[F.approx_count_distinct(F.struct(*[F.floor(F.col(v) / (most / 2**k)) for v in "xy"])) for k in sizes]).first()
+    halvings = next((k for k, m in zip(sizes, cells[1:]) if cells[0] <= FEW * m), sizes[-1])
     for k in range(halvings, -1, -1):
         size = most / 2**k
         cell = lambda v: F.floor(F.col(v) / size).cast("long")  # noqa: B023, E731
@@ -163,7 +172,8 @@ def nearest_in_plane(points: DataFrame, curve: DataFrame, most: float, halvings:
         p = left.withColumn("gx", around("x")).withColumn("gy", around("y"))
         q = c.select("arc", F.col("x").alias("qx"), F.col("y").alias("qy"), cell("x").alias("gx"), cell("y").alias("gy"))
         far = F.sqrt((F.col("x") - F.col("qx")) * (F.col("x") - F.col("qx")) + (F.col("y") - F.col("qy")) * (F.col("y") - F.col("qy")))
-        near = p.join(q, ["gx", "gy"]).withColumn("d", far).where(F.col("d") <= size)
+        # few rows become many pairs: what is small before is dealt out by number
+        near = p.repartition(n, "gx", "gy").join(q.repartition(n, "gx", "gy"), ["gx", "gy"]).withColumn("d", far).where(F.col("d") <= size)
         made = saved(near.groupBy("point").agg(F.min(F.struct("d", "arc")).alias("m")).select("point", F.col("m.arc").alias("arc"), F.col("m.d").alias("distance")), "near")
         found = made if found is None else found.union(made)
         left = left.join(made, "point", "left_anti") if k == 0 else saved(left.join(made, "point", "left_anti"), "points")

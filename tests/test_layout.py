@@ -99,3 +99,15 @@ def test_nearest_equals_all_pairs(spark):
             if d <= 50.0:
                 want[p] = (arc, d)
     assert {r["point"]: (r["arc"], r["distance"]) for r in got.collect()} == want and 700 in want and 20 < len(want) < 300
+
+
+def test_nearest_in_plane_takes_smaller_cells_where_places_are_many(spark, monkeypatch):
+    made = []
+    monkeypatch.setattr(layout, "saved", lambda df, name, real=layout.saved: made.append(real(df, name)) or made[-1])
+    rng = random.Random(9)
+    curve = [(k, rng.uniform(0, 10), rng.uniform(0, 10)) for k in range(6000)] * 2  # 6000 places within one first cell
+    points = [(k, rng.uniform(0, 10), rng.uniform(0, 10)) for k in range(40)]
+    got = layout.nearest_in_plane(spark.createDataFrame(points, "point long, x double, y double"), spark.createDataFrame(curve, "arc long, x double, y double"), 1000.0)
+    want = {p: min((math.sqrt((x - a) * (x - a) + (y - b) * (y - b)), k) for k, a, b in curve) for p, x, y in points}
+    assert {r["point"]: (r["distance"], r["arc"]) for r in got.collect()} == want
+    assert made[1].count() == 6000 and len([m for m in made if "distance" in m.columns]) > 10
