@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from strataline.functions.core import UNKNOWN, constant_or_unknown, finite, key_or_unknown, number, safe_div, unpivot, weighted_mean
 from strataline.functions.scratch import saved
 
+TASK_NAMES = 250_000  # rows; what a task holds of names, whatever the size of the input
+
 
 @dataclass(frozen=True)
 class Scheme:
@@ -146,12 +149,26 @@ def _finished(made: DataFrame, scheme: Scheme) -> DataFrame:
     return made.withColumns({k: F.col(c) / unit for k, (c, unit) in scheme.convenience.items() if c in made.columns})
 
 
+def _names(keyed: DataFrame, keys: list[str], name: str, rows: int) -> DataFrame:
+    """keys, value (a name), n of each name by subject and region; `first` in one region of each subject that has the name.
+
+    Names are about as many as rows, so they are dealt out before any task gathers them. Rows of one name that come from different tasks
+    are first counted apart, so a hot one is dealt out too.
+    """
+    parts = max(int(keyed.sparkSession.conf.get("spark.sql.shuffle.partitions")), math.ceil(rows / TASK_NAMES))
+    group, subject, region = keys
+    one = keyed.where(F.col(name).isNotNull()).select(*keys, F.col(name).cast("string").alias("value"), F.spark_partition_id().alias("_task"))
+    apart = one.repartition(parts, *keys, "value", "_task").groupBy(*keys, "value", "_task").agg(F.count("*").alias("n"))
+    each = apart.repartition(parts, group, subject, "value").groupBy(*keys, "value").agg(F.sum("n").alias("n"))
+    return each.withColumn("first", F.row_number().over(Window.partitionBy(group, subject, "value").orderBy(region)) == 1)
+
+
 def ladder(df: DataFrame, group: str = "genotype", subject: str = "mouse", region: str = "segment", scheme: Scheme = WALL, name: str = "name", carry: tuple[str, ...] = ("age",), counted: tuple[str, ...] = ("slide",), listed: bool = False) -> DataFrame:
     """Both lower steps: rows by subject and region, and by subject with the region `all segments`.
 
-    The input is read once, to a small table in the shared folder: by subject and region a row of sums, and a row for each different
-    name, slide and carried value with its count. Either step adds up that table: sums of sums, and counts of what differs.
-    No string is an aggregate's value there, so all of it is hashed and combined before the shuffle.
+    The input is read twice, to small tables in the shared folder: by subject and region a row of sums, and a row for each different
+    slide and carried value; then the number of different names. Either step adds up these: sums of sums, and counts of what differs.
+    No string is an aggregate's value there, so sums, slides and carried values are hashed and combined before the shuffle.
     """
     keys = [group, subject, region]
     df = with_sums(df, scheme)
@@ -164,28 +181,34 @@ def ladder(df: DataFrame, group: str = "genotype", subject: str = "mouse", regio
     carry = tuple(c for c in carry if c in df.columns and c not in keys)
     counted = tuple(c for c in counted if c in df.columns and c not in keys)
     kinds = {"sums": F.lit(None).cast("string")}
-    if name in df.columns:
-        kinds["name"] = F.col(name).cast("string")
     kinds |= {f"n_{c}": key_or_unknown(c) for c in counted} | {f"carry_{c}": F.nullif(F.col(c).cast("string"), F.lit("")) for c in carry}
     number_of = {k: i for i, k in enumerate(kinds)}
     wide = keyed.select(*keys, F.explode(F.array(*[F.struct(F.lit(number_of[k]).alias("kind"), v.alias("value")) for k, v in kinds.items()])).alias("_"), *[v.alias(f"part_{k}") for k, v in parts.items()])
     made = wide.groupBy(*keys, F.col("_.kind").alias("kind"), F.col("_.value").alias("value")).agg(F.count("*").alias("n"), *[F.sum(F.when(F.col("_.kind") == 0, F.col(f"part_{k}"))).alias(f"part_{k}") for k in parts])
     made = saved(made, "ladder")
+    if named := name in df.columns:
+        each = _names(keyed, keys, name, made.where("kind = 0").agg(F.sum("n")).first()[0] or 0)
+        each = saved(each, "names") if listed else each
+        sections = saved(each.groupBy(*keys).agg(F.count("*").alias("n_sections"), F.count_if("first").alias("n_first")), "sections")
 
     def step(by: list[str]) -> DataFrame:
         sums = made.where("kind = 0").groupBy(*by).agg(F.sum("n").alias("n_vessels"), *[F.sum(f"part_{k}").alias(f"part_{k}") for k in parts])
         sums = sums.select(*by, "n_vessels", *[F.col(f"part_{c}").alias(c) for c in parts if c in scheme.sums], *[safe_div(f"part_num_{c}", f"part_den_{c}").alias(c) for c in weights])
         different = made.where("kind > 0").select(*by, "kind", "value").distinct()
         n = lambda k: F.count(F.when(F.col("kind") == number_of[k], F.col("value")))
-        counts = different.groupBy(*by).agg(F.count("*").alias("_rows"), *([n("name").alias("n_sections")] if "name" in kinds else []), *[n(f"n_{c}").alias(f"n_{c}s") for c in counted])
+        counts = different.groupBy(*by).agg(F.count("*").alias("_rows"), *[n(f"n_{c}").alias(f"n_{c}s") for c in counted])
         out = sums.join(counts, by, "left").drop("_rows").withColumn("n_fields", F.col("n_vessels"))
-        if "name" not in kinds:
+        if named:
+            # a name of several regions counts once for its subject
+            n_names = sections.groupBy(*by).agg(F.sum("n_sections" if by == keys else "n_first").alias("n_sections"))
+            out = out.join(n_names, by, "left").withColumn("n_sections", F.coalesce("n_sections", F.lit(0).cast("long")))
+        else:
             out = out.withColumn("n_sections", F.col("n_vessels"))
         for c in carry:
             one = different.where((F.col("kind") == number_of[f"carry_{c}"]) & F.col("value").isNotNull()).groupBy(*by).agg(F.count("*").alias("_k"), F.max("value").alias("_v"))
             out = out.join(one, by, "left").withColumn(c, F.when(F.col("_k") == 1, F.col("_v")).otherwise(F.lit(UNKNOWN))).drop("_k", "_v")
-        if listed and "name" in kinds:
-            names = made.where((F.col("kind") == number_of["name"]) & F.col("value").isNotNull()).groupBy(*by).agg(F.array_join(F.array_sort(F.flatten(F.collect_list(F.array_repeat("value", F.col("n").cast("int"))))), ", ").alias("sections"))
+        if listed and named:
+            names = each.groupBy(*by).agg(F.array_join(F.array_sort(F.flatten(F.collect_list(F.array_repeat("value", F.col("n").cast("int"))))), ", ").alias("sections"))
             out = out.join(names, by, "left")
         return out
 
