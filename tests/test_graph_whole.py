@@ -6,10 +6,13 @@ import random
 from collections import defaultdict
 
 import numpy as np
+import pytest
 
+from strataline.functions import components
 from strataline.operators import graph
 from strataline.plans import chart_queries
 from tests.compare import SF
+from tests.llm import brute
 
 
 def test_components_of_a_long_shuffled_path(spark):
@@ -21,6 +24,42 @@ def test_components_of_a_long_shuffled_path(spark):
     assert got == {**dict.fromkeys(ids, 0), **dict.fromkeys((2000, 2001, 2002), 2000), 3000: 3000, 4000: 4000}
 
 
+@pytest.mark.parametrize("most", [7, 60, 1000])
+def test_components_whatever_a_task_settles(spark, monkeypatch, most):
+    """Rounds for all edges, for the first of them, and none: a path, a tree, cycles, a star and single pairs, their numbers shuffled."""
+    monkeypatch.setattr(components, "TASK_EDGES", most)
+    rng = random.Random(most)
+    ids = rng.sample(range(-(10**12), 10**12), 400)
+    pairs = [(i, i + 1) for i in range(120)] + [(200, 201 + i) for i in range(40)] + [(i, (i - 241) // 2 + 241) for i in range(243, 300)]
+    pairs += [(300 + i, 300 + (i + 1) % 9) for i in range(9)] * 2 + [(320 + 2 * i, 321 + 2 * i) for i in range(30)]
+    rng.shuffle(pairs)
+    root = brute.groups(400, pairs)
+    met = {i for p in pairs for i in p}
+    want = {ids[i]: min(ids[k] for k in met if root[k] == root[i]) for i in met}
+    df = spark.createDataFrame([(ids[a], ids[b]) for a, b in pairs], "u long, v long").repartition(5)
+    got = components.components(df).collect()
+    assert len(got) == len(want) and {r["id"]: r["root"] for r in got} == want
+
+
+def test_components_of_few_edges_take_few_tasks(spark):
+    """Each round had six shuffles, with as many tasks as the session has partitions: a path of 200 took thousands."""
+    put = {"spark.sql.shuffle.partitions": "64", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {k: spark.conf.get(k, None) for k in put}
+    sc = spark.sparkContext
+    try:
+        for k, v in put.items():
+            spark.conf.set(k, v)
+        sc.setJobGroup("few edges", "")
+        assert components.components(spark.range(200).selectExpr("id u", "id + 1 v").repartition(4)).count() == 201
+        jobs = [sc.statusTracker().getJobInfo(j) for j in sc.statusTracker().getJobIdsForGroup("few edges")]
+        stages = [sc.statusTracker().getStageInfo(s) for j in jobs for s in j.stageIds]
+        assert sum(s.numCompletedTasks for s in stages if s) < 200
+    finally:
+        sc.setLocalProperty("spark.jobGroup.id", None)
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
 def positions(edges):
     """Positions by weighted normal equations, the first tile at 0. edges: (i, j, dx, dy, quality)."""
     ids = sorted({k for e in edges for k in e[:2]})
