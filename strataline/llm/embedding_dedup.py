@@ -2,14 +2,14 @@
 
 For unit vectors cos >= c means a squared distance of at most 2 - 2c. Vectors are rotated to the principal axes of a sample
 and the axes dealt into low-dimensional blocks; every block has a share of the squared distance in proportion to its share
-of the sample's variance. If a pair is within the distance, it is within its budget in one block at least, so a range join
-in each block finds every pair.
-
-Range join in a block: the sample gives pivots; a vector is at home with its nearest. By the triangle inequality two
-vectors within radius r have homes p and q only if each lies within r of the plane between p and q, so a vector visits
-only those pivots. Of both homes one is visited, which one goes by parity. Homes are cut into chunks of bounded size by a
-hash; visitors, and each half of the other chunks of the same home, pass every chunk in batches. A pair counts in the first
-block in whose budget it lies, so it counts once. Candidates are verified at once by their cosine on the original vectors.
+of the sample's variance. If a pair is within the distance, it is within its budget in one block at least, so the pairs that are
+in some block are all there can be; they are verified at once by their cosine on the original vectors.
+
+The sample gives pivots; a vector is at home with its nearest. Homes are cut into chunks of bounded size by a hash, and a chunk
+is one row of a written table, so that every vector lies there once. Pairs of chunks are a product of that table with itself whose tasks
+read it, not a shuffle: copies of a vector for each chunk it meets would grow with the square of the table. What lies between
+two vectors of homes p and q crosses the plane between p and q, so their distances to it add up to no more than theirs: chunks
+whose nearest rows are too far apart by that do not meet, nor do the rows of those that do.
 Tasks return sums of links and a forest of the pairs, never all pairs of a group. Equal vectors are one entry.
 """
 
@@ -21,12 +21,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strataline.functions.components import components
-from strataline.llm.common import parts_for, saved
+from strataline.llm.common import lean, parts_for, saved
 from strataline.llm.simhash import Forest
 from strataline.llm.vectors import common_length, matrix, sample_rows, usable
 
-GRID = 2.0**-20
-SLACK = 2e-5  # covers the grid's rounding, so that no pair is lost
+SLACK = 1e-6  # covers, for each axis of a block, the rounding to single precision, so that no pair is lost
+TILE = 256, 2048  # rows compared at once
+TASK_BYTES = 1 << 24  # vectors of either side of a product's task
 
 
 class Blocks:
@@ -39,48 +40,69 @@ class Blocks:
         order = np.argsort(-values, kind="stable")
         self.axes = [axes[:, order[b::n]] for b in range(n)]
         share = np.array([max(values[order[b::n]].sum(), 1e-6) for b in range(n)])
-        self.budget = (2 - 2 * cosine) * share / share.sum() + SLACK
+        self.budget = (2 - 2 * cosine) * share / share.sum() + SLACK * (width + 4)
+        self.radius = float(np.sqrt(max(2 - 2 * cosine, 0.0))) + 1e-6
         step = max(1, len(u) // pivots)
-        self.pivots = [np.unique(self._rotate(u[::step][:pivots], b), axis=0) for b in range(n)]
-
-    def _rotate(self, unit: np.ndarray, b: int) -> np.ndarray:
-        return np.round(unit @ self.axes[b] / GRID) * GRID  # on a grid: the same whatever rows are rotated together
-
-    def rotate(self, x: np.ndarray) -> list[np.ndarray]:
-        unit = x / np.linalg.norm(x, axis=1, keepdims=True)
-        return [self._rotate(unit, b) for b in range(len(self.axes))]
-
-    def homes(self, y: np.ndarray, b: int) -> tuple[np.ndarray, np.ndarray]:
-        """The home of each row in block b, and a mask (rows, pivots) of the others it visits."""
-        p = self.pivots[b]
-        d2 = ((y[:, None, :] - p[None]) ** 2).sum(2)
-        home = d2.argmin(1)
-        apart = np.sqrt(((p[:, None] - p[None]) ** 2).sum(2))[home]
-        gap = (d2 - d2[np.arange(len(y)), home][:, None]) / np.maximum(2 * apart, 1e-12)
-        numbers = np.arange(len(p))[None]
-        goes = np.where((home[:, None] + numbers) % 2 == 0, numbers < home[:, None], numbers > home[:, None])
-        return home, goes & (gap <= np.sqrt(self.budget[b]) + 1e-6) & (numbers != home[:, None])
-
-
-def _pairs(plan: Blocks, b: int, cosine: float, mine, theirs, same: bool):
-    """Linked pairs (i in mine, j in theirs) whose first block within budget is b. A side: x, rotated blocks."""
-    (x, rx), (y, ry) = mine, theirs
-    rough = (rx[b] ** 2).sum(1)[:, None] + (ry[b] ** 2).sum(1)[None] - 2 * rx[b] @ ry[b].T
-    i, j = np.nonzero(rough <= plan.budget[b] + 1e-6)
-    if same:
-        i, j = i[i < j], j[i < j]
-    keep_i, keep_j = [], []
-    for a in range(0, len(i), 200_000):
-        p, q = i[a : a + 200_000], j[a : a + 200_000]
-        cos = (x[p] * y[q]).sum(1) / (np.sqrt((x[p] ** 2).sum(1)) * np.sqrt((y[q] ** 2).sum(1)))
-        near = cos >= cosine
-        p, q = p[near], q[near]
-        own = ((rx[b][p] - ry[b][q]) ** 2).sum(1) <= plan.budget[b]
-        for c in range(b):
-            own &= ((rx[c][p] - ry[c][q]) ** 2).sum(1) > plan.budget[c]
-        keep_i.append(p[own])
-        keep_j.append(q[own])
-    return (np.concatenate(keep_i), np.concatenate(keep_j)) if keep_i else (np.zeros(0, np.int64), np.zeros(0, np.int64))
+        self.pivots = np.unique(u[::step][:pivots], axis=0)
+
+    def homes(self, unit: np.ndarray) -> np.ndarray:
+        return (unit @ self.pivots.T).argmax(1)
+
+    def gaps(self, unit: np.ndarray, home: int, others: np.ndarray) -> np.ndarray:
+        """The distance of rows of a home to the planes between it and other pivots; 0 where those are too close to tell."""
+        apart = self.pivots[home] - self.pivots[others]
+        width = np.sqrt((apart**2).sum(1))
+        return unit @ np.where(width[:, None] > 1e-6, apart / np.maximum(width, 1e-6)[:, None], 0.0).T
+
+    def sides(self, unit: np.ndarray) -> tuple[list[np.ndarray], list[np.ndarray]]:
+        """Rows as either factor of a product that gives their squared distance in each block."""
+        left, right = [], []
+        for axes in self.axes:
+            y = unit @ axes
+            d, one = (y**2).sum(1, keepdims=True), np.ones((len(y), 1))
+            left.append(np.hstack([-2 * y, d, one]).astype(np.float32))
+            right.append(np.hstack([y, one, d]).astype(np.float32))
+        return left, right
+
+
+class _Chunk:
+    """The rows of a chunk, ready to be compared."""
+
+    def __init__(self, plan: Blocks, home: int, ids, n, x: np.ndarray):
+        self.home, self.ids, self.n, self.x = home, ids, n, x.astype(np.float64)
+        self.square = np.sqrt((self.x**2).sum(1))
+        self.unit = self.x / np.linalg.norm(self.x, axis=1, keepdims=True)
+        self.left, self.right = plan.sides(self.unit)
+
+
+def _pairs(plan: Blocks, cosine: float, a: _Chunk, b: _Chunk):
+    """Linked pairs (i in a, j in b) piece by piece; those of a chunk with itself once, i < j."""
+    same, apart = a is b, a.home != b.home
+    rows, others = np.arange(len(a.x)), np.arange(len(b.x))
+    if apart:
+        ga, gb = plan.gaps(a.unit, a.home, [b.home])[:, 0], plan.gaps(b.unit, b.home, [a.home])[:, 0]
+        rows, others = np.argsort(ga, kind="stable"), np.argsort(gb, kind="stable")
+        ga, gb = ga[rows], gb[others]
+        rows = rows[: np.searchsorted(ga, plan.radius - gb[0], "right")]
+        others = others[: np.searchsorted(gb, plan.radius - ga[0], "right")]
+    left, right = [x[rows] for x in a.left], [np.ascontiguousarray(x[others].T) for x in b.right]
+    for s in range(0, len(rows), TILE[0]):
+        e = min(len(rows), s + TILE[0])
+        most = int(np.searchsorted(gb[: len(others)], plan.radius - ga[s], "right")) if apart else len(others)
+        for t in range(s if same else 0, most, TILE[1]):
+            z = min(most, t + TILE[1])
+            near = np.zeros((e - s, z - t), bool)
+            for x, y, budget in zip(left, right, plan.budget):
+                near |= x[s:e] @ y[:, t:z] <= np.float32(budget)
+            at = np.flatnonzero(near)
+            for c in range(0, len(at), 200_000):
+                p, q = np.divmod(at[c : c + 200_000], z - t)
+                p, q = rows[p + s], others[q + t]
+                if same:
+                    p, q = p[p < q], q[p < q]
+                cos = (a.x[p] * b.x[q]).sum(1) / (a.square[p] * b.square[q])
+                if (keep := cos >= cosine).any():
+                    yield p[keep], q[keep]
 
 
 def near_duplicates(vectors: DataFrame, cosine: float = 0.9, width: int = 16, sample: int = 2048, pivots: int | None = None, chunk: int = 4096) -> DataFrame:
@@ -101,104 +123,115 @@ def near_duplicates(vectors: DataFrame, cosine: float = 0.9, width: int = 16, sa
     if not len(x):
         return alone
     # more pivots, so smaller homes, the more vectors there are, up to an eighth of the sample
-    plan = Blocks(x, cosine, width, pivots or min(max(16, entries.count() >> 12), sample >> 3))
-    typed = dict(entries.dtypes)["embedding"]
+    total = entries.count()
+    plan = Blocks(x, cosine, width, pivots or min(max(16, total >> 12), sample >> 3))
+    element = dict(entries.dtypes)["embedding"][len("array<") : -1]
+    stored = np.dtype("<f4" if element == "float" else "<f8")
 
-    def deal(batches):
+    def settle(batches):
+        for b in batches:
+            if b.num_rows:
+                v = matrix(b.column(2))
+                home = plan.homes(v / np.linalg.norm(v, axis=1, keepdims=True))
+                yield pa.RecordBatch.from_arrays([pa.array(home.astype(np.int32)), *b.columns], names=["home", "entry", "n", "embedding"])
+
+    settled = entries.select("entry", "n", "embedding").mapInArrow(settle, f"home int, entry long, n long, embedding array<{element}>")
+    sizes = {r["home"]: -(-r["k"] // chunk) for r in settled.groupBy("home").agg(F.count("*").alias("k")).collect()}  # a row a pivot
+    # rounding may give a row that lies between two pivots the other home the next time
+    cut = F.coalesce(F.create_map(*[F.lit(y) for x in sizes.items() for y in x])[F.col("home")], F.lit(1))
+    part = F.pmod(F.xxhash64("entry"), cut).cast("int")
+
+    def pack(batches):
+        key, held = None, []
+
+        def row():
+            ids, n, v = (np.concatenate(y) for y in zip(*held))
+            gap = plan.gaps(v / np.linalg.norm(v, axis=1, keepdims=True), key[0], np.arange(len(plan.pivots)))
+            values = [[key[0]], [key[1]], [ids.astype("<i8").tobytes()], [n.astype("<i8").tobytes()], [v.astype(stored).tobytes()], [gap.min(0).tolist()]]
+            return pa.RecordBatch.from_arrays([pa.array(y, t) for y, t in zip(values, types)], names=["home", "part", "ids", "n", "vectors", "gaps"])
+
+        types = [pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.binary(), pa.list_(pa.float64())]
         for b in batches:
             if not b.num_rows:
                 continue
-            entry, n, v = b.column(0).to_numpy(), b.column(1).to_numpy(), b.column(2)
-            for k, y in enumerate(plan.rotate(matrix(v))):
-                home, goes = plan.homes(y, k)
-                i, p = np.nonzero(goes)
-                at = np.concatenate([np.arange(len(entry)), i])
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), k, np.int32)), pa.array(np.concatenate([home, p]).astype(np.int32)), pa.array(np.arange(len(at)) >= len(entry)), pa.array(entry[at]), pa.array(n[at]), v.take(pa.array(at))], names=names)
-
-    names = ["block", "pivot", "visits", "entry", "n", "embedding"]
-    schema = f"block int, pivot int, visits boolean, entry long, n long, embedding {typed}"
-    source = entries.select("entry", "n", "embedding")
-    dealt = source.mapInArrow(deal, schema)
-    sizes = {(r["block"], r["pivot"]): r["k"] for r in dealt.where(~F.col("visits")).groupBy("block", "pivot").agg(F.count("*").alias("k")).collect()}  # a row a block and pivot
-    total = max(1, max(p for _, p in sizes) + 1)
-    chunks = F.coalesce(F.create_map(*[F.lit(y) for (b, p), k in sizes.items() for y in (b * total + p, -(-k // chunk))])[F.col("block") * total + F.col("pivot")], F.lit(0))
-    keyed = dealt.withColumn("chunks", chunks).where("chunks > 0").withColumn("own", F.when(~F.col("visits"), F.pmod(F.xxhash64("entry"), F.col("chunks")).cast("int")).otherwise(-1))
-    numbers = F.sequence(F.lit(0), F.col("chunks") - 1)
-    # visitors pass every chunk; a row at home passes its own and half of the others, by parity
-    passes = F.filter(numbers, lambda c: F.col("visits") | (c == F.col("own")) | F.when((c + F.col("own")) % 2 == 0, c < F.col("own")).otherwise(c > F.col("own")))
-    spread = keyed.withColumn("chunk", F.explode(passes)).withColumn("guest", F.col("visits") | (F.col("chunk") != F.col("own"))).select("block", "pivot", "chunk", "guest", "entry", "n", "embedding")
+            home, no, ids, n = (b.column(c).to_numpy() for c in range(4))
+            v = matrix(b.column(4))
+            cuts = np.flatnonzero(np.concatenate([[True], (home[1:] != home[:-1]) | (no[1:] != no[:-1]), [True]]))
+            for i, j in zip(cuts, cuts[1:]):
+                if key != (home[i], no[i]):
+                    if held:
+                        yield row()
+                    key, held = (home[i], no[i]), []
+                held.append((ids[i:j], n[i:j], v[i:j]))
+        if held:
+            yield row()
+
+    n_chunks = sum(sizes.values())
+    dealt = settled.withColumn("part", part).select("home", "part", "entry", "n", "embedding").repartition(parts_for(spark, n_chunks, 4), "home", "part").sortWithinPartitions("home", "part")
+    chunks = saved(dealt.mapInArrow(lean(pack), "home int, part int, ids binary, n binary, vectors binary, gaps array<double>"), "chunks")
+    # few tasks for few rows: a product has a task for each two partitions
+    chunks = chunks.withColumn("no", F.col("home") * max(sizes.values()) + F.col("part")).coalesce(max(8, total * length * stored.itemsize // TASK_BYTES))
+    a, b = (chunks.select(*[F.col(c).alias(f"{c}_{s}") for c in chunks.columns]) for s in "ab")
+    # two chunks meet once, which way goes by parity
+    once = (F.col("no_a") == F.col("no_b")) | F.when((F.col("no_a") + F.col("no_b")) % 2 == 0, F.col("no_a") < F.col("no_b")).otherwise(F.col("no_a") > F.col("no_b"))
+    near = F.col("gaps_a")[F.col("home_b")] + F.col("gaps_b")[F.col("home_a")] <= plan.radius
+    met = a.hint("shuffle_replicate_nl").join(b, once & near).select(*[f"{c}_{s}" for s in "ab" for c in ("no", "home", "ids", "n", "vectors")])
 
     def join(batches):
-        key, hold, mine = None, [], None
         sums: dict[int, int] = {}
         seen: dict[int, int] = {}
         edges: list[tuple[int, int]] = []
+        last: dict[int, tuple[int, _Chunk]] = {}
+
+        def side(b, k, c):
+            no = b.column(c)[k].as_py()
+            if c not in last or last[c][0] != no:
+                ids, n = (np.frombuffer(b.column(c + d)[k].as_buffer(), "<i8") for d in (2, 3))
+                last[c] = no, _Chunk(plan, b.column(c + 1)[k].as_py(), ids, n, np.frombuffer(b.column(c + 4)[k].as_buffer(), stored).reshape(len(ids), -1))
+            return last[c]
+
+        def add(ids, n):
+            for e, s in zip(ids[n > 0].tolist(), n[n > 0].tolist()):
+                sums[e] = sums.get(e, 0) + int(s)
 
-        def count(a_ids, a_n, b_ids, b_n, i, j):
-            for ids, who, n in ((a_ids, i, b_n[j]), (b_ids, j, a_n[i])):
-                for e, s in zip(ids.tolist(), np.bincount(who, n, len(ids)).tolist()):
-                    if s:
-                        sums[e] = sums.get(e, 0) + int(s)
-            both = np.concatenate([a_ids, b_ids])
-            forest = Forest(len(both))
-            forest.join(i, j + len(a_ids))
-            for p, q in forest.kept:
-                e, f = int(both[p]), int(both[q])
-                while seen.get(e, e) != e:
-                    e = seen[e]
-                while seen.get(f, f) != f:
-                    f = seen[f]
-                if e != f:
-                    seen[max(e, f)] = min(e, f)
-                    edges.append((int(both[p]), int(both[q])))
+        def root(e):
+            while (up := seen.get(e, e)) != e:
+                seen[e] = seen.get(up, up)
+                e = up
+            return e
 
         for b in batches:
-            if not b.num_rows:
-                continue
-            block, pivot, no, guest = (b.column(c).to_numpy(zero_copy_only=False) for c in ("block", "pivot", "chunk", "guest"))
-            ids, n, v = b.column(4).to_numpy(), b.column(5).to_numpy(), matrix(b.column(6))
-            cuts = np.flatnonzero(np.concatenate([[True], (block[1:] != block[:-1]) | (pivot[1:] != pivot[:-1]) | (no[1:] != no[:-1]) | (guest[1:] != guest[:-1]), [True]]))
-            for i, j in zip(cuts, cuts[1:]):
-                if (block[i], pivot[i], no[i]) != key:
-                    if hold:
-                        mine = inside(key[0], hold, count)
-                    key, hold, mine = (block[i], pivot[i], no[i]), [], None
-                if not guest[i]:
-                    hold.append((v[i:j], ids[i:j], n[i:j]))
-                    continue
-                if mine is None:
-                    if not hold:
-                        continue
-                    mine, hold = inside(key[0], hold, count), []
-                for a in range(i, j, 1024):
-                    z = min(j, a + 1024)
-                    p, q = _pairs(plan, key[0], cosine, mine[0], (v[a:z], plan.rotate(v[a:z])), False)
-                    count(mine[1], mine[2], ids[a:z], n[a:z], p, q)
-        if hold:
-            inside(key[0], hold, count)
+            for k in range(b.num_rows):
+                (i, x), (j, y) = side(b, k, 0), side(b, k, 5)
+                if i == j:
+                    y = x
+                links = np.zeros(len(x.ids)), np.zeros(len(y.ids))
+                both = x.ids if i == j else np.concatenate([x.ids, y.ids])
+                forest = Forest(len(both))
+                for p, q in _pairs(plan, cosine, x, y):
+                    links[0][:] += np.bincount(p, y.n[q], len(x.ids))
+                    links[1][:] += np.bincount(q, x.n[p], len(y.ids))
+                    forest.join(p, q + (0 if i == j else len(x.ids)))
+                add(x.ids, links[0])
+                add(y.ids, links[1])
+                for p, q in forest.kept:
+                    e, f = root(int(both[p])), root(int(both[q]))
+                    if e != f:
+                        seen[max(e, f)] = min(e, f)
+                        edges.append((int(both[p]), int(both[q])))
         yield pa.RecordBatch.from_pydict({"a": pa.array([*sums, *(e for e, _ in edges)], pa.int64()), "b": pa.array([*(-s for s in sums.values()), *(f for _, f in edges)], pa.int64()), "link": pa.array([False] * len(sums) + [True] * len(edges))})
 
-    def inside(block, hold, count):
-        """The rows at home in a chunk, after their pairs among each other."""
-        x, ids, n = (np.concatenate(y) for y in zip(*hold))
-        rotated = plan.rotate(x)
-        for a in range(0, len(x), 1024):
-            z = min(len(x), a + 1024)
-            part = (x[a:z], [r[a:z] for r in rotated])
-            p, q = _pairs(plan, block, cosine, part, part, True)
-            count(ids[a:z], n[a:z], ids[a:z], n[a:z], p, q)
-            if z < len(x):
-                p, q = _pairs(plan, block, cosine, part, (x[z:], [r[z:] for r in rotated]), False)
-                count(ids[a:z], n[a:z], ids[z:], n[z:], p, q)
-        return (x, rotated), ids, n
-
-    parts = parts_for(spark, sum(-(-k // chunk) for k in sizes.values()), 4)
-    found = saved(spread.repartition(parts, "block", "pivot", "chunk").sortWithinPartitions("block", "pivot", "chunk", "guest").mapInArrow(join, "a long, b long, link boolean"), "links")
+    found = saved(met.mapInArrow(lean(join), "a long, b long, link boolean"), "links")
     links = found.where("not link").groupBy("a").agg(F.sum(-F.col("b")).alias("links"))
     roots = components(found.where("link").select(F.col("a").alias("u"), F.col("b").alias("v")))
-    rooted = entries.join(roots.withColumnRenamed("id", "entry"), "entry", "left").join(links.withColumnRenamed("a", "entry"), "entry", "left").select("embedding", "n", "least", F.coalesce("root", "entry").alias("root"), F.coalesce("links", F.lit(0)).alias("links"))
-    named = rooted.join(rooted.groupBy("root").agg(F.min("least").alias("component_id")), "root").select("embedding", (F.col("links") + F.col("n") - 1).alias("n_links"), "component_id")
-    return good.join(named, "embedding").select("vec_id", "n_links", "component_id", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(False)).alias("kept")).union(alone)
+    # vectors stay out of these joins: a vector of one row is that row, only those of several are looked up
+    rooted = entries.select("entry", "n", "least").join(roots.withColumnRenamed("id", "entry"), "entry", "left").join(links.withColumnRenamed("a", "entry"), "entry", "left").select("entry", "n", "least", F.coalesce("root", "entry").alias("root"), F.coalesce("links", F.lit(0)).alias("links"))
+    named = saved(rooted.join(rooted.groupBy("root").agg(F.min("least").alias("component_id")), "root").select("entry", "n", F.col("least").alias("vec_id"), (F.col("links") + F.col("n") - 1).alias("n_links"), "component_id"), "named")
+    several = entries.where("n > 1").select("entry", "embedding").join(named.select("entry", "n_links", "component_id"), "entry").drop("entry")
+    made = named.where("n = 1").select("vec_id", "n_links", "component_id")
+    if not several.isEmpty():
+        made = made.union(good.join(several, "embedding").select("vec_id", "n_links", "component_id"))
+    return made.withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(False))).union(alone)
 
 
 def op10_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -73,6 +73,21 @@ def test_embedding_dedup(spark, chunk, pivots, width):
     assert got == want
 
 
+def test_embedding_pairs_copy_no_vectors(spark, monkeypatch):
+    """However many chunks meet, a vector is written once to one chunk; pairs of chunks pass no shuffle. Pairs lie across many planes."""
+    given, made = {}, {}
+    monkeypatch.setattr(embedding_dedup, "saved", lambda df, name, real=embedding_dedup.saved: given.update({name: df}) or made.setdefault(name, real(df, name)))
+    x = np.random.default_rng(4).standard_normal((600, 3))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    got = {r["vec_id"]: r["n_links"] for r in embedding_dedup.near_duplicates(df, cosine=0.99, chunk=16, pivots=40).collect()}
+    want = (x @ x.T >= 0.99).sum(1) - 1
+    assert got == dict(enumerate(want.tolist())) and max(got.values()) > 2
+    assert made["chunks"].count() > 40 and made["chunks"].selectExpr("sum(length(ids)) / 8", "max(length(ids)) / 8 < 48").first()[:] == (600, True)
+    plan = given["links"]._jdf.queryExecution().executedPlan().toString()
+    assert "CartesianProduct" in plan and "Exchange" not in plan
+
+
 def test_embedding_dedup_like_its_sql(spark, duck):
     same(QUERIES["op10_embedding_dedup"](spark, SF), duck, ORACLE_SQL["op10_embedding_dedup"])
 
