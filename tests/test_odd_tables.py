@@ -46,6 +46,14 @@ def test_overlaps_of_equal_rectangles(spark, tmp_path, monkeypatch):
     check(spark, tmp_path, {"part": ("p_partkey long, p_size int", rows)}, "rect_overlap_join")
 
 
+def test_overlaps_hold_no_pairs_of_two_lists(spark):
+    """Keys of either list become rows in steps of their own: a task holds the pairs of one key, not those of two lists."""
+    made = graph.rectangle_overlaps(spark.range(50).selectExpr("id", "0.0 x", "0.0 y", "4.0 w", "4.0 h"), "id", "x", "y", "w", "h", 4.0, 8.0)
+    assert made.count() == 50 * 49 // 2
+    plan = made._jdf.queryExecution().executedPlan().toString()
+    assert -1 < plan.index("Generate explode(b_ks") < plan.index("Coalesce") < plan.index("Generate explode(a_ks")
+
+
 def test_overlaps_of_odd_rectangles(spark):
     """Missing keys and sides link nothing, a repeated key not with itself."""
     rows = [(1, 0.0, 0.0, 4.0, 4.0), (1, 1.0, 1.0, 4.0, 4.0), (2, 1.0, 1.0, 4.0, 4.0), (2, 1.0, 1.0, 4.0, 4.0), (None, 0.0, 0.0, 4.0, 4.0), (3, None, 0.0, 4.0, 4.0), (4, 50.0, 0.0, 4.0, 4.0)]
