@@ -5,6 +5,8 @@ Ids are longs. Every round is written to the shared folder; no group is as large
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -147,34 +149,98 @@ def sliver_groups(places: DataFrame, shared: DataFrame, least: int = 6, share: f
     return groups, inside.join(unsent(own("i")), "i").join(unsent(own("j")), "j").where("part_i != part_j").select("i", "j", "shared", "part_i", "part_j", "ratio")
 
 
-FEW = 4  # places of a curve in a cell, on average over cells with any
+FEW = 4  # places of a curve for each square of a search's size, on average over squares with any
+SLICE_ROWS = 16_000_000  # rows that one step shuffles, about
+WIDE = 128  # coarse cells across the points that are left
+
+
+def _slices(rows: int) -> int:
+    return max(1, -(-rows // SLICE_ROWS))
+
+
+def _sliced(n: int, made, name: str) -> DataFrame:
+    """made(k) for k of n slices, written one after another: the shuffle of one is gone before the next is made."""
+    return reduce(DataFrame.union, [saved(made(k), name) for k in range(n)])
+
+
+def _rim(c: DataFrame, f: float) -> DataFrame:
+    """c without places that no point farther than 10 f from all of them can have for its nearest.
+
+    Those lie in a cell of size f around which the eight cells two steps off hold places: one is nearer whatever the direction. (In the
+    worst one it is 0.541 f nearer along that, at most sqrt(10) f away, so nearer from anywhere beyond 10 f / (2 * 0.541) = 9.3 f.)
+    """
+    cell = [F.floor(F.col(v) / f).alias(f"f{v}") for v in "xy"]
+    held = c.where((F.abs("x") < f * 2.0**40) & (F.abs("y") < f * 2.0**40)).select(*cell).distinct()
+    ring = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in (-2, 0, 2) for j in (-2, 0, 2) if i or j]))
+    inner = held.withColumn("o", ring).groupBy((F.col("fx") + F.col("o.i")).alias("fx"), (F.col("fy") + F.col("o.j")).alias("fy")).agg(F.count("*").alias("n")).where("n = 8")
+    return c.select("*", *cell).join(unsent(inner), ["fx", "fy"], "left_anti").select("arc", "x", "y")
 
 
 def nearest_in_plane(points: DataFrame, curve: DataFrame, most: float, halvings: int = 6) -> DataFrame:
     """point, arc, distance: for each of points (point, x, y) the nearest of curve (arc, x, y) within `most`, ties to the lesser arc.
 
-    Cells double in size round by round, from most / 2^halvings, or from smaller ones where they would still hold more than FEW places
-    of the curve on average, so that pairs go with the points and not with how close the places lie. Of equal places the least arc
-    stands for all. A point looks into its cell and the eight around it, and only points
-    that have nothing within a cell's size go on to the next round. So crowded places are searched in small cells. Points with
-    nothing within `most`, or a null or NaN coordinate, are left out.
+    The size of the search doubles round by round, from most / 2^halvings, or from a smaller one where its squares would still hold more
+    than FEW places of the curve on average, so that pairs go with the points and not with how close the places lie. Of equal places the
+    least arc stands for all. Cells are twice that size, so a point looks into two by two of them, and only points that have
+    nothing within the size go on to the next round. So crowded places are searched in small cells, and a point that looks at them
+    from afar sees their rim only. A round takes those places that lie near points left, by a coarse grid of about WIDE by WIDE cells.
+    Least distances first, then the arcs that have them: sums of fixed size, so pairs are neither sorted nor kept. What would be more than
+    about SLICE_ROWS rows to shuffle goes in slices of the cells, one after another. Points with nothing within `most`, or a coordinate
+    that is null, NaN or infinite, are left out.
     """
-    good = lambda df: df.where("x is not null and y is not null and not isnan(x) and not isnan(y)").withColumns({k: F.col(k).cast("double") for k in "xy"})
-    left, c, found = saved(good(points.select("point", "x", "y")), "points"), saved(good(curve.select("arc", "x", "y")).groupBy("x", "y").agg(F.min("arc").alias("arc")), "curve"), None
+    real = " and ".join(f"{v} is not null and not isnan({v}) and abs({v}) < double('infinity')" for v in "xy")
+    good = lambda df: df.withColumns({k: F.col(k).cast("double") for k in "xy"}).where(real)
+    left, places, found = saved(good(points.select("point", "x", "y")), "points"), good(curve.select("arc", "x", "y")), None
+    many = _slices(curve.count())
+    part = F.pmod(F.xxhash64(*[F.col(v) + 0.0 for v in "xy"]), F.lit(many))
+    c = _sliced(many, lambda s: (places if many == 1 else places.where(part == s)).groupBy("x", "y").agg(F.min("arc").alias("arc")), "curve")
     n = int(points.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    sizes = range(halvings, halvings + 16)
-    cells = c.agg(F.count("*"), *[F.approx_count_distinct(F.struct(*[F.floor(F.col(v) / (most / 2**k)) for v in "xy"])) for k in sizes]).first()
-    halvings = next((k for k, m in zip(sizes, cells[1:]) if cells[0] <= FEW * m), sizes[-1])
-    for k in range(halvings, -1, -1):
-        size = most / 2**k
-        cell = lambda v: F.floor(F.col(v) / size).cast("long")  # noqa: B023, E731
-        around = lambda v: F.explode(F.array(cell(v) - 1, cell(v), cell(v) + 1))  # noqa: B023, E731
-        p = left.withColumn("gx", around("x")).withColumn("gy", around("y"))
-        q = c.select("arc", F.col("x").alias("qx"), F.col("y").alias("qy"), cell("x").alias("gx"), cell("y").alias("gy"))
-        far = F.sqrt((F.col("x") - F.col("qx")) * (F.col("x") - F.col("qx")) + (F.col("y") - F.col("qy")) * (F.col("y") - F.col("qy")))
-        # few rows become many pairs: what is small before is dealt out by number
-        near = p.repartition(n, "gx", "gy").join(q.repartition(n, "gx", "gy"), ["gx", "gy"]).withColumn("d", far).where(F.col("d") <= size)
-        made = saved(near.groupBy("point").agg(F.min(F.struct("d", "arc")).alias("m")).select("point", F.col("m.arc").alias("arc"), F.col("m.d").alias("distance")), "near")
-        found = made if found is None else found.union(made)
-        left = left.join(made, "point", "left_anti") if k == 0 else saved(left.join(made, "point", "left_anti"), "points")
+    total, finest = c.count(), halvings + 15
+    for k in range(halvings, halvings + 16, 4):
+        cells = c.agg(*[F.approx_count_distinct(F.struct(*[F.floor(F.col(v) / (most / 2**i)) for v in "xy"])) for i in range(k, k + 4)]).first()
+        if total <= FEW * max(cells):
+            finest = next(i for i, m in enumerate(cells, k) if total <= FEW * m)
+            break
+    for k in range(finest, -1, -1):
+        found, left = _round(found, left, c, most / 2**k, most / 2 ** min(finest - 1, k + 5) if finest - k >= 5 else None, n, total, k == 0)
     return found
+
+
+def _round(found, left: DataFrame, c: DataFrame, size: float, rim: float | None, n: int, total: int, last: bool):
+    """found and those of `left` that have a place within size, and the points that have none; rim: None, or the size of cells for it."""
+
+    def around(v, reach, width):  # rounding moves no place out of reach
+        far = reach * (1 + 1e-9) + F.abs(v) * 1e-15
+        return F.explode(F.sequence(F.floor((F.col(v) - far) / width), F.floor((F.col(v) + far) / width)))
+
+    rows, wide = left.agg(F.count("*"), F.greatest(F.max("x") - F.min("x"), F.max("y") - F.min("y"))).first()
+    coarse = max(2 * size, (wide or 0.0) / WIDE)
+    near = left.withColumn("cx", around("x", F.lit(size), coarse)).select("cx", around("y", F.lit(size), coarse).alias("cy")).distinct()
+    q = c.join(F.broadcast(near), (F.floor(F.col("x") / coarse) == F.col("cx")) & (F.floor(F.col("y") / coarse) == F.col("cy")), "left_semi")
+    if rim and rows:
+        q = saved(_rim(q, rim), "rim")
+    q = q.select("arc", F.col("x").alias("qx"), F.col("y").alias("qy"))
+    parts = _slices(4 * rows + (q.count() if total > SLICE_ROWS else total))
+    cell = [F.floor(F.col(v) / (2 * size)) for v in ("qx", "qy")]
+    d = F.sqrt((F.col("x") - F.col("qx")) * (F.col("x") - F.col("qx")) + (F.col("y") - F.col("qy")) * (F.col("y") - F.col("qy")))
+
+    def pairs(s, p, reach):
+        """Pairs of the cells of slice s. Few rows become many pairs: what is small before is dealt out by number; a place goes without its cell."""
+        p, held = p.withColumn("gx", around("x", reach, 2 * size)).withColumn("gy", around("y", reach, 2 * size)), q
+        if parts > 1:
+            own = lambda x, y: F.pmod(F.xxhash64(x, F.floor(y / 16)), F.lit(parts)) == s
+            p, held = p.where(own(F.col("gx"), F.col("gy"))), held.where(own(*cell))
+        return p.repartition(n, "gx", "gy").join(unsent(held.repartition(n, *cell)), (F.col("gx") == cell[0]) & (F.col("gy") == cell[1]))
+
+    least = _sliced(parts, lambda s: pairs(s, left, F.lit(size)).where(d <= size).groupBy("point").agg(F.min(d).alias("distance")), "near")
+    if parts > 1:
+        least = saved(least.groupBy("point").agg(F.min("distance").alias("distance")), "near")
+    if not rows and found is not None:
+        return found, left
+    known = left.join(unsent(least), "point")
+    made = _sliced(parts, lambda s: pairs(s, known, F.col("distance")).where(d == F.col("distance")).groupBy("point", "distance").agg(F.min("arc").alias("arc")), "near")
+    if parts > 1:
+        made = made.groupBy("point", "distance").agg(F.min("arc").alias("arc"))
+    made = made.select("point", "arc", "distance")
+    rest = left.join(unsent(least.select("point")), "point", "left_anti")
+    return made if found is None else found.union(made), rest if last else saved(rest, "points")

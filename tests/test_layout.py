@@ -111,3 +111,31 @@ def test_nearest_in_plane_takes_smaller_cells_where_places_are_many(spark, monke
     want = {p: min((math.sqrt((x - a) * (x - a) + (y - b) * (y - b)), k) for k, a, b in curve) for p, x, y in points}
     assert {r["point"]: (r["distance"], r["arc"]) for r in got.collect()} == want
     assert made[1].count() == 6000 and len([m for m in made if "distance" in m.columns]) > 10
+
+
+def all_pairs(points, curve, most):
+    made = {p: min((math.sqrt((x - a) * (x - a) + (y - b) * (y - b)), k) for k, a, b in curve) for p, x, y in points}
+    return {p: m for p, m in made.items() if m[0] <= most}
+
+
+def test_points_far_from_crowded_places_see_their_rim(spark, monkeypatch):
+    """Pairs are neither sorted nor as many as the places of a crowd; with and without slices."""
+    given, made = [], []
+    monkeypatch.setattr(layout, "saved", lambda df, name, real=layout.saved: given.append((name, df)) or made.append((name, real(df, name))) or made[-1][1])
+    rng = random.Random(10)
+    curve = [(k, rng.uniform(0, 20), rng.choice((0, 30)) + rng.uniform(0, 10)) for k in range(8000)] + [(9000, 60.0, 10.0), (9001, 70.0, 0.0)]
+    points = [(k, rng.uniform(-60, 80), rng.uniform(-60, 80)) for k in range(400)] + [(500, 60.0, 0.0)]  # the last one has two at 10
+    want = all_pairs(points, curve, 64.0)
+    for rows in (layout.SLICE_ROWS, 3000):
+        monkeypatch.setattr(layout, "SLICE_ROWS", rows)
+        got = layout.nearest_in_plane(spark.createDataFrame(points, "point long, x double, y double"), spark.createDataFrame(curve, "arc long, x double, y double"), 64.0)
+        assert {r["point"]: (r["distance"], r["arc"]) for r in got.collect()} == want and want[500] == (10.0, 9000) and len(want) < 401
+    assert not [df for name, df in given if "SortAggregate" in df._jdf.queryExecution().executedPlan().toString()]
+    assert 0 < min(df.count() for name, df in made if name == "rim") < 4000
+
+
+def test_a_place_just_within_reach_is_found(spark):
+    """The distance rounds to the most there may be, two cells off."""
+    points, curve = [(1, -1e-20, 0.0), (2, 1e5, 3.0), (3, float("inf"), 0.0)], [(7, 60.0, 0.0), (8, 1e5 + 60, 3.0), (9, float("inf"), 0.0)]
+    got = layout.nearest_in_plane(spark.createDataFrame(points, "point long, x double, y double"), spark.createDataFrame(curve, "arc long, x double, y double"), 60.0)
+    assert {(r["point"], r["arc"], r["distance"]) for r in got.collect()} == {(1, 7, 60.0), (2, 8, 60.0)}
